@@ -13,12 +13,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readqc.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readqc.llm.jaccard_join import join
 
     return join(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readqc.llm.quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readqc.llm.license_scan import scan
 
@@ -41,7 +55,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_ngram_jaccard_join, op7_license_scan, op8_best_fit_packing, op9_byte_bpe)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readqc.llm.sharding import SHARDS, place
+
+    return place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", [f"shard-{i:04d}" for i in range(SHARDS)])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op4_ngram_jaccard_join, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 #: SQL of the operators that SQL can express; the others are tested against brute force in tests/llm.
 SQL: dict[str, str] = {"op7_license_scan": scan_sql()}
