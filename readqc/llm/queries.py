@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from readqc.llm.license_scan import scan_sql
+from readqc.llm.topk import search_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readqc.llm.topk import search
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readqc.llm.toxicity import fit, score
 
@@ -26,6 +34,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readqc.llm.embedding_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readqc.llm.quality import fit, score
 
@@ -61,7 +75,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", [f"shard-{i:04d}" for i in range(SHARDS)])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op4_ngram_jaccard_join, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_top_k, op3_toxicity, op4_ngram_jaccard_join, op5_embedding_dedup, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 #: SQL of the operators that SQL can express; the others are tested against brute force in tests/llm.
-SQL: dict[str, str] = {"op7_license_scan": scan_sql()}
+SQL: dict[str, str] = {"op2_exact_top_k": search_sql(), "op7_license_scan": scan_sql()}
