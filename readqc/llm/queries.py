@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readqc.llm.kneser_ney import score_all
+
+    return score_all(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readqc.llm.topk import search
 
@@ -75,7 +81,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", [f"shard-{i:04d}" for i in range(SHARDS)])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_top_k, op3_toxicity, op4_ngram_jaccard_join, op5_embedding_dedup, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kneser_ney, op2_exact_top_k, op3_toxicity, op4_ngram_jaccard_join, op5_embedding_dedup, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 #: SQL of the operators that SQL can express; the others are tested against brute force in tests/llm.
 SQL: dict[str, str] = {"op2_exact_top_k": search_sql(), "op7_license_scan": scan_sql()}
