@@ -33,7 +33,8 @@ from readqc.llm.wordtable import WordTable
 #: Tokens of a sequence; numbers of groups that are tried; a length over capacity / LARGE is large. With a
 #: high LARGE more lengths are rounded up, with a low one more are left to fill gaps exactly.
 CAPACITY, GROUPS, LARGE = 2048, (12, 24, 48, 96), (2, 4, 8)
-STRETCH, PIECE = 24 << 20, 3 << 20
+#: Bytes of text whose new words are encoded together, and of which positions are held at once; words of a table.
+STRETCH, PIECE, KNOWN = 24 << 20, 3 << 20, 1_000_000
 
 
 @functools.cache
@@ -52,23 +53,57 @@ def word_encoder(path: str):
     """For WordTable: ids of words by the tokenizer file. Its rules never join text over white space and
     ignore case, so words may be encoded one by one and once each."""
 
+    split = "\x01"  # a word of its own between words; words that hold it are encoded alone
+
     def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, at = data.tobytes(), offsets.tolist()
-        ids: list[np.ndarray] = []
-        lengths = np.zeros(len(at) - 1, np.int64)
-        for i in range(0, len(at) - 1, 20_000):
-            got = [e.ids for e in _tokenizer(path).encode_batch_fast([flat[a:b].decode() for a, b in zip(at[i : i + 20_000], at[i + 1 : i + 20_001], strict=False)], add_special_tokens=False)]
-            lengths[i : i + len(got)] = [len(x) for x in got]
-            ids.append(np.array([y for x in got for y in x], np.uint32))
-        return np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)])
+        token = _tokenizer(path)
+        (mark,) = token.encode(split, add_special_tokens=False).ids
+        every = [flat[a:b].decode() for a, b in zip(at, at[1:], strict=False)]
+        plain = [split not in x for x in every]
+        joined = [x if ok else "" for x, ok in zip(every, plain, strict=True)]
+        ids: list[int] = []
+        for i in range(0, len(joined), 25_600):
+            lines = [f" {split} ".join(joined[j : j + 128]) for j in range(i, min(i + 25_600, len(joined)), 128)]
+            for e in token.encode_batch_fast(lines, add_special_tokens=False):
+                ids += e.ids
+                ids.append(mark)
+        out = np.array(ids, np.uint32)
+        cut = np.flatnonzero(out == mark)
+        lengths, out = np.diff(cut, prepend=-1) - 1, np.delete(out, cut)
+        for i in np.flatnonzero(~np.array(plain, bool)).tolist():
+            own = token.encode(every[i], add_special_tokens=False).ids
+            out = np.insert(out, int(lengths[:i].sum()), np.array(own, np.uint32))
+            lengths[i] = len(own)
+        return out, np.concatenate([[0], np.cumsum(lengths)])
 
     return encode
 
 
+def without_stops(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and documents' bounds of the words, where a full stop or comma after a letter is a word of its own, as it
+    is to the tokenizer: so one form of a word is encoded, not three."""
+    if not len(w.starts):
+        return w.starts, w.ends, w.bounds
+    last, before = w.data[w.ends - 1], w.data[np.maximum(w.ends - 2, 0)]
+    stop = ((last == ord(".")) | (last == ord(","))) & (before >= ord("a")) & (before <= ord("z")) & (w.ends - w.starts > 1)
+    many = 1 + stop
+    upto = np.cumsum(many)
+    starts, ends = np.repeat(w.starts, many), np.repeat(w.ends, many)
+    ends[upto[stop] - 2] -= 1
+    starts[upto[stop] - 1] = ends[upto[stop] - 1] - 1
+    return starts, ends, np.concatenate([[0], upto])[w.bounds]
+
+
+#: One table for each file lives as long as the Python worker, so that tasks after the first find most words in it.
+_tables: dict[str, WordTable] = {}
+
+
 def document_ids(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc_ids, flat ids, offsets) for stretches of a partition; each document closes with `end`."""
-    encode = word_encoder(path)
-    table = WordTable(encode)
+    if path not in _tables or _tables[path].full:
+        _tables[path] = WordTable(word_encoder(path), KNOWN)
+    table = _tables[path]
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -81,13 +116,14 @@ def document_ids(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iter
 
     for piece in K.chunks(batches, "text", PIECE):
         w = K.words(piece["text"])
-        held.append((piece["doc_id"].combine_chunks(), table.add(w.data, w.starts, w.ends), w.bounds))
+        starts, ends, bounds = without_stops(w)
+        held.append((piece["doc_id"].combine_chunks(), table.add(w.data, starts, ends), bounds))
         size += len(w.data)
         if size >= STRETCH:
             yield from emit()
             held, size = [], 0
             if table.full:
-                table = WordTable(encode)
+                table = _tables[path] = WordTable(word_encoder(path), KNOWN)
     yield from emit()
 
 
