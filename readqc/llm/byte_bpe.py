@@ -122,7 +122,9 @@ class Ranks:
         return np.where(self.keys[at] == key, self.to[at], NONE)
 
     def one(self, word: bytes) -> list[int]:
-        """One word by the definition: the lowest rank first, the leftmost of equals."""
+        """One word by the definition: a token as it is; else the lowest rank first, the leftmost of equals."""
+        if word in self.rank:
+            return [self.rank[word]]
         parts = [word[i : i + 1] for i in range(len(word))]
         while True:
             ranked = [(self.rank.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
@@ -204,11 +206,15 @@ class Ranks:
         kept = np.flatnonzero(alive)
         bounds = np.searchsorted(kept, offsets)
         ids = symbol[kept]
-        if odd:  # a merge made a pair of lower rank: within such a word order matters, so it is done by the definition
-            again = np.unique(np.searchsorted(offsets, np.concatenate(odd), side="right") - 1)
+        # a merge made a pair of lower rank: within such a word order matters, so it is done by the definition
+        again = set((np.searchsorted(offsets, np.concatenate(odd), side="right") - 1).tolist()) if odd else set()
+        # a word that is a token stays whole, also where its merges lead elsewhere
+        flat, size = data.tobytes(), np.diff(offsets)
+        again |= {w for w in np.flatnonzero((np.diff(bounds) > 1) & (size <= self.length.max())).tolist() if flat[offsets[w] : offsets[w + 1]] in self.rank}
+        if again:
             parts, lengths = np.split(ids, bounds[1:-1]), np.diff(bounds)
-            for w in again.tolist():
-                parts[w] = np.array(self.one(data[offsets[w] : offsets[w + 1]].tobytes()), np.int32)
+            for w in again:
+                parts[w] = np.array(self.one(flat[offsets[w] : offsets[w + 1]]), np.int32)
                 lengths[w] = len(parts[w])
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths)])
         return ids, bounds
