@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from readqc.llm.license_scan import scan_sql
+from readqc.llm.sql import embedding_dedup_sql, jaccard_join_sql
 from readqc.llm.topk import search_sql
 
 
@@ -84,4 +85,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kneser_ney, op2_exact_top_k, op3_toxicity, op4_ngram_jaccard_join, op5_embedding_dedup, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 #: SQL of the operators that SQL can express; the others are tested against brute force in tests/llm.
-SQL: dict[str, str] = {"op2_exact_top_k": search_sql(), "op7_license_scan": scan_sql()}
+SQL: dict[str, str] = {"op2_exact_top_k": search_sql(), "op4_ngram_jaccard_join": jaccard_join_sql(), "op5_embedding_dedup": embedding_dedup_sql(), "op7_license_scan": scan_sql()}
