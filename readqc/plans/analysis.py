@@ -68,11 +68,6 @@ class Analysis:
         hist = dup.levels(self.key_counts)
         return dup.corrected(hist, self._original[1]) if self.mode.original_duplicates else hist
 
-    @property
-    def counted(self) -> DataFrame:
-        """(file_id, n_counted)."""
-        return dup.summary(self.levels).select("file_id", "n_counted")
-
     def result(self, module: str) -> DataFrame:
         """The rows of a module's report."""
         on = self.mode.groups

@@ -118,3 +118,18 @@ def test_reports(spark, tmp_path):
     assert one[0].replace("one.fq", "two.bam").replace("FASTQ", "BAM") == two[0]
     assert one[0].count(">>END_MODULE") == 11 and "Total Sequences\t120" in one[0] and len(one[1].splitlines()) == 11
     assert one[3].count("<section>") == 11 and "Total Sequences\t0" in three[0]
+
+
+def test_modes(spark, tmp_path):
+    from readqc.config import MODULES, RunMode
+
+    path = tmp_path / "one.fq"
+    path.write_bytes(fastq(some_reads(150)))
+    plain = RunMode()
+    every = frozenset(MODULES)
+    texts = {}
+    for name, mode in {"plain": plain, "orig": RunMode(original_duplicates=True), "preseq": RunMode(preseq=True), "all": RunMode(enabled=every, groups=True, bisulfite=True)}.items():
+        (folder,) = run(spark, [str(path)], str(tmp_path / name), mode)
+        texts[name] = open(f"{folder}/fastqc_data.txt").read()
+    assert texts["plain"] == texts["orig"] == texts["preseq"]
+    assert texts["all"].count(">>END_MODULE") == 12 and "\n10-11\t" in texts["all"]
