@@ -31,6 +31,8 @@ from readqc.llm.vectors import common_size, matrix
 
 #: Vectors of a block, pivots at most, radii of the levels below the root, slack for rounding.
 BLOCK, PIVOTS, RADII, SLACK = 4096, 256, (1.0, 0.5, 0.25), 1e-7
+#: Pairs of vectors that are multiplied at once.
+PAIRS = 50_000
 COSINE = 0.9
 
 
@@ -95,6 +97,15 @@ def _between(t: Tree, u: Tree, i: np.ndarray, j: np.ndarray, level: int, reach:
     return np.concatenate(left), np.concatenate(right)
 
 
+def _dots(t: Tree, u: Tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows a of t with rows b of u, in pieces."""
+    out = np.empty(len(a))
+    for lo in range(0, len(a), PAIRS):
+        part = slice(lo, lo + PAIRS)
+        out[part] = np.einsum("ij,ij->i", t.x[a[part]], u.x[b[part]])
+    return out
+
+
 def dual(t: Tree, u: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Counts of links of the rows of t and of u (of t alone if they are the same tree), and ends of edges that hold together what
     links: rows of t, rows of u."""
@@ -107,7 +118,7 @@ def dual(t: Tree, u: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
         cj, rj, bj = u.levels[level]
         if level == 1:  # below the roots: all children of both
             i, j = _between(t, u, np.arange(len(ci)), np.arange(len(cj)), level, reach)
-        d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", t.x[ci[i]], u.x[cj[j]])))
+        d = np.sqrt(np.maximum(0, 2 - 2 * _dots(t, u, ci[i], cj[j])))
         near = d <= reach + ri[i] + rj[j] + SLACK
         i, j, d = i[near], j[near], d[near]
         inside = (d + ri[i] + rj[j] <= reach - SLACK) & (np.diff(bi)[i] + np.diff(bj)[j] > 2)
@@ -133,13 +144,15 @@ def dual(t: Tree, u: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
     else:
         bi, bj = t.levels[-1][2], u.levels[-1][2]
         many = np.diff(bi)[i] * np.diff(bj)[j]
-        for lo in range(0, len(i), 50_000):  # in pieces, so that memory stays bounded
-            m = many[lo : lo + 50_000]
+        lo = 0
+        while lo < len(i):  # in pieces, so that memory stays bounded
+            m = many[lo : lo + max(1, int(np.searchsorted(np.cumsum(many[lo:]), PAIRS * 10)))]
             pair = np.repeat(np.arange(lo, lo + len(m)), m)
             k = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
             wide = np.diff(bj)[j][pair]
             a, b = bi[i][pair] + k // wide, bj[j][pair] + k % wide
-            link = np.einsum("ij,ij->i", t.x[a], u.x[b]) >= cosine
+            lo += len(m)
+            link = _dots(t, u, a, b) >= cosine
             a, b = a[link], b[link]
             if same:
                 a, b = a[a != b], b[a != b]
