@@ -31,8 +31,8 @@ from readqc.llm.vectors import common_size, matrix
 
 #: Vectors of a block, pivots at most, radii of the levels below the root, slack for rounding.
 BLOCK, PIVOTS, RADII, SLACK = 4096, 256, (1.0, 0.5, 0.25), 1e-7
-#: Pairs of vectors that are multiplied at once.
-PAIRS = 50_000
+#: Pairs of vectors that are multiplied at once; vectors of a node below the root, at least, unless it holds one alone.
+PAIRS, FEW = 50_000, 16
 COSINE = 0.9
 
 
@@ -63,7 +63,9 @@ def cover_tree(x: np.ndarray, radii=RADII) -> tuple[np.ndarray, list[tuple[np.nd
                     near = x[left] @ x[left[0]] >= 1 - radius * radius / 2
                     near[0] = True
                 new_order.append(left[near])
-                new_bounds.append(new_bounds[-1] + int(near.sum()))
+                many = int(near.sum())
+                # the bound of a node of few vectors costs more than it saves: each is a node of its own
+                new_bounds += [new_bounds[-1] + many] if many >= FEW else range(new_bounds[-1] + 1, new_bounds[-1] + many + 1)
                 left = left[~near]
         order, bounds = np.concatenate(new_order), np.array(new_bounds)
         cuts.append(bounds)
