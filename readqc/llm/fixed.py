@@ -11,31 +11,30 @@ from pyspark.sql import DataFrame
 PARTS = 32
 
 
-def summed(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], length: int) -> np.ndarray:
+def summed(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], length: int, sent: type = np.uint32, final: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """The sum over partitions of a uint32 array of `length` that `count` fills from a partition's batches. Added up in
-    pieces by an exchange; the driver gets one array, whatever the number of partitions."""
+    pieces by an exchange, to which a partition's counts go as `sent` (larger ones as its largest number); `final` turns a piece's
+    sums into what comes to the driver. The driver gets one array, whatever the number of partitions."""
     step = -(-length // PARTS)
+    final = final or (lambda x: x)
+    made = final(np.zeros(1, np.uint32)).dtype
 
     def fill(batches):
         out = np.zeros(step * PARTS, np.uint32)
         count(batches, out)
+        out = np.minimum(out, np.iinfo(sent).max).astype(sent)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([out[i * step : (i + 1) * step].tobytes() for i in range(PARTS)], pa.binary())], ["piece", "data"])
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(step, np.uint64)
         for batch in batches:
             for x in batch.column(1):
-                total += np.frombuffer(x.as_buffer(), np.uint32)
-        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
+                total += np.frombuffer(x.as_buffer(), sent)
+        total = final(np.minimum(total, 2**32 - 1).astype(np.uint32))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "data"])
 
     kind = "piece int, data binary"
-
-    def add_all(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return add(key, batches)
-
-    rows = df.mapInArrow(fill, kind).groupBy("piece").applyInArrow(add_all, kind).collect()
-    out = np.zeros((PARTS, step), np.uint32)
-    for r in rows:
-        out[r["piece"]] = np.frombuffer(bytes(r["data"]), np.uint32)
+    out = np.zeros((PARTS, step), made)
+    for r in df.mapInArrow(fill, kind).groupBy("piece").applyInArrow(add, kind).collect():
+        out[r["piece"]] = np.frombuffer(r["data"], made)
     return out.reshape(-1)[:length]

@@ -18,6 +18,7 @@ and copies are one set. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,14 @@ from pyspark.sql import functions as F
 from readqc.llm import textkernel as K
 from readqc.llm.components import components
 from readqc.llm.fixed import summed
-from readqc.llm.shared import arrow, partitions, texts, written
+from readqc.llm.shared import arrow, partitions, release, texts, written
 
 #: Words of a shingle; similarity in hundredths; slots of the sketch; rounds of stars and hubs in each.
-WIDTH, PERCENT, SLOTS, STARS, HUBS = 5, 75, 1 << 22, 3, 4
-PIECE, POSTINGS = 2 << 20, 2_000_000
+WIDTH, PERCENT, SLOTS, STARS, HUBS = 5, 75, 1 << 22, 2, 4
+#: Words of the outline that a join's condition looks at.
+FOLD = 4
+#: Bytes of text at once; postings packed at once; postings of a shingle that are compared for a partner.
+PIECE, POSTINGS, NEIGHBOURS = 2 << 20, 2_000_000, 24
 U = np.uint64
 
 
@@ -62,8 +66,8 @@ def sketch(docs: DataFrame, width: int, slots: int) -> np.ndarray:
             sets = [np.unique(s) for s in shingle_sets(piece["text"], width)]
             np.add.at(out, _slot(np.concatenate(sets), slots), np.uint32(1)) if sets else None
 
-    counts = summed(docs, count, slots)
-    return np.minimum(15, np.floor(np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    # large counts of one task are cut, as only their magnitude tells
+    return summed(docs, count, slots, np.uint8, lambda x: np.minimum(15, np.floor(np.log2(np.maximum(x, 1)))).astype(np.uint8))
 
 
 def ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -71,6 +75,49 @@ def ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.unique((levels[_slot(h, len(levels))].astype(U) << U(60)) | (h >> U(4)))
 
 
+def bits(s: np.ndarray) -> np.ndarray:
+    """A set's outline: a bit for each remainder that a shingle has, two to four times as many bits as shingles, in 64-bit words."""
+    size = 1 << max(8, int(2 * len(s)).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[(s & U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64)
+
+
+def fold(outline: np.ndarray, words: int) -> np.ndarray:
+    """An outline laid over itself down to so many words (both are powers of two): that of the same set with fewer bits."""
+    return np.bitwise_or.reduce(outline.reshape(-1, words), axis=0)
+
+
+def outlines_allow(a: np.ndarray, b: np.ndarray, n1: int, n2: int, percent: int) -> bool:
+    """Whether two outlines leave room for a link: a bit that only one set has stands for a shingle at least that the other lacks."""
+    words = min(len(a), len(b))
+    a, b = fold(a, words), fold(b, words)
+    lacks = [int(np.bitwise_count(x & ~y).sum()) for x, y in ((a, b), (b, a))]
+    return (100 + percent) * min(n1 - lacks[0], n2 - lacks[1]) >= percent * (n1 + n2)
+
+
+def folds_allow(a: str, b: str, n1, n2, percent: int):
+    """The same for columns of outlines of FOLD words; few enough for the condition of a join to stay small code."""
+
+    def lacks(x, y):
+        return functools.reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}.f{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.f{i}")))) for i in range(FOLD)))
+
+    return (100 + percent) * F.least(n1 - lacks(a, b), n2 - lacks(b, a)) >= percent * (n1 + n2)
+
+
+def likely_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of (u, v) those whose outlines allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            n1, b1, n2, b2 = (batch.column(c).to_pylist() for c in ("n1", "b1", "n2", "b2"))
+            ok = [outlines_allow(np.frombuffer(x, U), np.frombuffer(y, U), m, n, percent) for m, x, n, y in zip(n1, b1, n2, b2, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    outline = members.select("node", "n", "bits")
+    return pairs.join(outline.toDF("u", "n1", "b1"), "u").join(outline.toDF("v", "n2", "b2"), "v").select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u long, v long")
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
@@ -85,8 +132,8 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int)
 
     def run(batches):
         book = levels.value
-        names = ["doc_id", "n", "prefix", "node", "bucket", "tokens", "owner", "place", "owners", "sizes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        names = ["doc_id", "n", "prefix", "node", "bits", "fold", "bucket", "tokens", "owner", "place", "owners", "sizes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), *[pa.binary()] * 5]
         held: list[tuple[np.ndarray, int]] = []
         own: dict[int, int] = {}
         sizes: list[int] = []
@@ -106,14 +153,15 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int)
             for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if b > a:
                     used, local = np.unique(owner[a:b], return_inverse=True)
-                    row = [[None]] * 4 + [[i], [K.pack_sorted(tokens[a:b])], [K.planes(local.astype(np.uint32))], [K.planes(place[a:b])], [keys[used].tobytes()], [ns[used].tobytes()]]
+                    row = [[None]] * 6 + [[i], [K.pack_sorted(tokens[a:b])], [K.planes(local.astype(np.uint32))], [K.planes(place[a:b])], [keys[used].tobytes()], [ns[used].tobytes()]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for piece in K.chunks(batches, "text", PIECE):
-            n, prefix, node = [], [], []
+            n, prefix, node, outline = [], [], [], []
             for key, s in zip(piece["doc_id"].to_pylist(), shingle_sets(piece["text"], width), strict=True):
                 s = ordered(s, book)
                 n.append(len(s))
+                outline.append(bits(s))
                 if not len(s):
                     prefix.append(None)
                     node.append(None)
@@ -126,7 +174,8 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int)
                     sizes.append(len(s))
                     held.append((head, own[p]))
                     waiting += len(head)
-            row = [piece["doc_id"].combine_chunks(), n, prefix, node, *[[None] * len(n)] * 6]
+            folds = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([fold(x, FOLD) for x in outline])), FOLD).cast(pa.list_(pa.int64()))
+            row = [piece["doc_id"].combine_chunks(), n, prefix, node, [x.tobytes() for x in outline], folds, *[[None] * len(n)] * 6]
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
             if waiting >= POSTINGS:
                 yield from postings()
@@ -134,12 +183,22 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int)
                 waiting = 0
         yield from postings()
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix long, node long, bucket int, tokens binary, owner binary, place binary, owners binary, sizes binary")
+    return docs.mapInArrow(run, "doc_id long, n long, prefix long, node long, bits binary, fold array<long>, bucket int, tokens binary, owner binary, place binary, owners binary, sizes binary")
+
+
+def may_link(n1, i1, n2, i2, percent: int):
+    """Whether sets of n1 and n2 shingles may link, whose first common shingle is at places i1 and i2: the sizes allow it, and
+    what is left from those places on. For numbers, arrays and columns."""
+    small = 100 * n1 >= percent * n2
+    large = 100 * n2 >= percent * n1
+    least = percent * (n1 + n2)
+    return small & large & ((100 + percent) * (n1 - i1) >= least) & ((100 + percent) * (n2 - i2) >= least)
 
 
-def shared_postings(packed: DataFrame) -> DataFrame:
-    """(token, prefix, n, place) of the shingles that two prefixes or more hold. A bucket's share of postings is bounded, as
-    buckets are many and filled by hash."""
+def shared_postings(packed: DataFrame, percent: int) -> DataFrame:
+    """(token, prefix, n, place) of the shingles that two prefixes or more hold. Postings without any partner that the filter
+    lets through are left out, and of shingles that the same prefixes hold the first in the order stands for all, as it has the
+    least places. A bucket's share of postings is bounded, as buckets are many and filled by hash."""
 
     def merge(key, batches):
         tokens, owner, n, place = [], [], [], []
@@ -161,53 +220,67 @@ def shared_postings(packed: DataFrame) -> DataFrame:
         order, t = order[fresh], t[fresh]
         same = t[1:] == t[:-1]
         order = order[(np.append(False, same) | np.append(same, False))[: len(t)]]
-        yield pa.RecordBatch.from_arrays([pa.array(x[order].astype(np.int64)) for x in (tokens.view(np.int64), owner, n, place)], ["token", "prefix", "n", "place"])
+        order = order[np.lexsort((n[order], tokens[order]))]
+        t, size, at = tokens[order], n[order], place[order].astype(np.int64)
+        keep = np.zeros(len(order), bool)
+        for d in range(1, min(NEIGHBOURS, len(order) - 1) + 1):
+            same = t[d:] == t[:-d]
+            if not same.any():
+                break
+            good = same & may_link(size[d:], at[d:], size[:-d], at[:-d], percent)
+            keep[d:] |= good
+            keep[:-d] |= good
+        else:
+            if len(order) > NEIGHBOURS + 1:  # longer lists than were compared stay whole
+                _, back, many = np.unique(t, return_inverse=True, return_counts=True)
+                keep |= many[back] > NEIGHBOURS + 1
+        order = order[keep]
+        if len(order):
+            t = tokens[order]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            many = np.diff(np.append(first, len(t)))
+            # a hash of the set of prefixes: the sum of theirs
+            lists = K.mix(np.add.reduceat(K.mix(owner[order].view(U)), first) + many.astype(U))
+            _, kept = np.unique(lists, return_index=True)
+            chosen = np.zeros(len(first), bool)
+            chosen[kept] = True
+            order, lists = order[np.repeat(chosen, many)], np.repeat(lists[chosen], many[chosen])
+            signed = (tokens[order] ^ U(1 << 63)).view(np.int64)  # in the same order
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (lists.view(np.int64), signed, owner[order], n[order], place[order])], ["list", "token", "prefix", "n", "place"])
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return merge(key, batches)
 
-    return packed.groupBy("bucket").applyInArrow(run, "token long, prefix long, n long, place long")
+    rows = written(packed.groupBy("bucket").applyInArrow(run, "list long, token long, prefix long, n long, place long"), "bucket-postings")
+    best = rows.groupBy("list").agg(F.min("token").alias("token"))
+    return rows.join(best, ["list", "token"]).select("token", "prefix", "n", "place")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, levels, width: int, slots: int) -> DataFrame:
-    """(node, s) with the whole set of each wanted (node, rep), where rep is one document that has it. The texts are read where
-    they lie: a filter of fixed size tells which documents to work out; those that it lets through wrongly cost time only."""
+    """(node, s) with at least the whole set of each wanted rep, a document. The texts are read where they lie: a filter of fixed size
+    tells which documents to work out; those that it lets through wrongly, and repeated rows, cost time only."""
 
     def cells_of(ids: np.ndarray) -> np.ndarray:
         return (K.mix(ids.astype(np.int64).view(U)) >> U(20)).astype(np.int64) & (slots - 1)
 
-    def both(node: np.ndarray, rep: np.ndarray) -> np.ndarray:
-        return node ^ K.mix(rep.view(U)).view(np.int64)
-
-    def mark_both(batches, out):
-        for b in batches:
-            out[cells_of(both(b.column(0).to_numpy(), b.column(1).to_numpy()))] = 1
-
-    def mark_rep(batches, out):
+    def mark(batches, out):
         for b in batches:
             out[cells_of(b.column(0).to_numpy())] = 1
 
-    def filter_of(columns: list[str], mark):
-        return docs.sparkSession.sparkContext.broadcast(np.packbits(summed(wanted.select(*columns), mark, slots) > 0))
-
-    cells, ids = filter_of(["node", "rep"], mark_both), filter_of(["rep"], mark_rep)
+    ids = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(wanted.select("rep"), mark, slots, np.uint8, lambda x: (x > 0).astype(np.uint8))))
 
     def run(batches):
-        book, cell, of_id = levels.value, np.unpackbits(cells.value), np.unpackbits(ids.value)
+        book, of_id = levels.value, np.unpackbits(ids.value)
         for piece in K.chunks(batches, "text", PIECE):
             piece = piece.filter(pc.is_valid(piece["doc_id"]))
             key = piece["doc_id"].to_numpy()
-            maybe = of_id[cells_of(key)] > 0
-            piece, key = piece.filter(pa.array(maybe)), key[maybe]
-            out = [(_long(K.digest(s)), s) for s in (ordered(x, book) for x in shingle_sets(piece["text"], width))] if len(key) else []
-            node = np.array([x for x, _ in out], np.int64)
-            keep = np.flatnonzero(cell[cells_of(both(node, key))]).tolist() if len(key) else []
-            if keep:
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(out[i][1]) for i in keep)]), pa.int32()), pa.array(np.concatenate([out[i][1] for i in keep]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(key[keep]), lists], ["node", "rep", "s"])
+            piece = piece.filter(pa.array(of_id[cells_of(key)] > 0))
+            sets = [x for x in (ordered(x, book) for x in shingle_sets(piece["text"], width)) if len(x)]
+            if sets:
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([_long(K.digest(x)) for x in sets], pa.int64()), lists], ["node", "s"])
 
-    got = docs.mapInArrow(run, "node long, rep long, s array<long>")
-    return got.join(wanted.select("node", "rep"), ["node", "rep"], "left_semi").dropDuplicates(["node"]).select("node", "s")
+    return docs.mapInArrow(run, "node long, s array<long>")
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int = SLOTS) -> DataFrame:
@@ -219,39 +292,56 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
     levels = spark.sparkContext.broadcast(sketch(docs, width, slots))
     made = written(signatures(docs, levels, width, percent, partitions(docs)), "signatures")
     rows = made.where("n IS NOT NULL").select("doc_id", "n", "prefix", "node")
-    posted = written(shared_postings(made.where("bucket IS NOT NULL").select("bucket", "tokens", "owner", "place", "owners", "sizes")), "postings")
+    release(spark)
+    posted = written(shared_postings(made.where("bucket IS NOT NULL").select("bucket", "tokens", "owner", "place", "owners", "sizes"), percent), "postings")
     sets = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     # groups with a partner: by a shingle of their prefix, or inside, where sets differ after equal prefixes
     paired = posted.select("prefix").unionByName(sets.groupBy("prefix").count().where("count > 1").select("prefix")).distinct()
-    members = written(sets.join(paired, "prefix", "left_semi"), "members")
-    whole = written(candidate_sets(docs, members, levels, width, slots), "sets")
+    members = sets.join(paired, "prefix", "left_semi")
+    # any of the copies tells the outline of their set
+    outlines = made.where("node IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "node", "bits", F.struct(*(F.get("fold", F.lit(i)).alias(f"f{i}") for i in range(FOLD))).alias("fold"))
+    members = written(members.join(outlines, ["node", "rep"]).dropDuplicates(["node"]), "members")
+    release(spark)
 
     def verified(pairs):
-        """Of (u, v) those that link."""
+        """Of (u, v) those that link: by their outlines, then by the whole sets."""
+        pairs = likely_pairs(pairs, members, percent)
+        pairs = written(pairs, "likely")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        # dealt out by node once, for both joins
+        whole = candidate_sets(docs, members.join(ends, "node", "left_semi").select("rep"), levels, width, slots).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
         a, b = whole.select(F.col("node").alias("u"), F.col("s").alias("su")), whole.select(F.col("node").alias("v"), F.col("s").alias("sv"))
         both = F.size(F.array_intersect("su", "sv"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("t")).where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("u", "v")
+        found = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("t")).where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("u", "v")
+        found = written(found, "found")
+        whole.unpersist()
+        return found
 
-    links = None
     labels = members.select("node", F.col("node").alias("component"))
     turn = 0
     while turn <= STARS:
         # a group may hold members of several components: each such part is a unit, named by its least member
-        parts = written(members.join(labels, "node").groupBy("prefix", "component").agg(F.min("node").alias("first"), F.min("n").alias("n")), "parts")
-        open_tokens = posted.join(parts.select("prefix", "component"), "prefix").groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-        base = posted.join(open_tokens, "token", "left_semi").join(parts.select("prefix", "component", "first"), "prefix")
-        one = base.select("token", F.col("component").alias("c1"), F.col("prefix").alias("p1"), F.col("first").alias("u"), F.col("n").alias("n1"), F.col("place").alias("i1"))
+        parts = written(members.join(labels, "node").groupBy("prefix", "component").agg(F.min("node").alias("first"), F.min("n").alias("n"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")), "parts")
+        # a shingle's bucket holds each part with its first member's outline; in the last round, where all members are asked for, if it is the only one
+        outline = F.col("fold") if turn < STARS else F.when(F.col("size") == 1, F.col("fold"))
+        base = posted.join(parts.select("prefix", "component", "first", outline.alias("fold")), "prefix")
+        if turn:  # shingles of one component are done with
+            open_tokens = base.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+            base = written(base.join(open_tokens, "token", "left_semi"), "base")
+            posted = base.select("token", "prefix", "n", "place").distinct()
+        one = base.select("token", F.col("component").alias("c1"), F.col("prefix").alias("p1"), F.col("first").alias("u"), F.col("n").alias("n1"), F.col("place").alias("i1"), F.col("fold").alias("b1"))
         inner = parts.groupBy("prefix").agg(F.min("first").alias("u"), F.count("*").alias("many")).where("many > 1")
         if turn < STARS:
-            unit = F.struct(F.col("c1").alias("c2"), F.col("p1").alias("p2"), F.col("u").alias("v"), F.col("n1").alias("n2"), F.col("i1").alias("i2"))
-            hubs = one.groupBy("token").agg(F.array(*(F.min_by(unit, F.xxhash64("u", F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("hubs"))
+            unit = F.struct(F.col("c1").alias("c2"), F.col("p1").alias("p2"), F.col("u").alias("v"), F.col("n1").alias("n2"), F.col("i1").alias("i2"), F.col("b1").alias("b2"))
+            hub_by = ["u", "token"] if turn else ["u"]  # the same hubs at first, for few pairs; then others for each shingle, so that all meet some
+            hubs = one.groupBy("token").agg(F.array(*(F.min_by(unit, F.xxhash64(*hub_by, F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("hubs"))
             two = hubs.select("token", F.explode(F.array_distinct("hubs")).alias("hub")).select("token", "hub.*")
             near = one.join(two, "token").where("c1 <> c2")
         else:
-            two = one.select("token", *(F.col(x).alias(y) for x, y in (("c1", "c2"), ("p1", "p2"), ("u", "v"), ("n1", "n2"), ("i1", "i2"))))
+            two = one.select("token", *(F.col(x).alias(y) for x, y in (("c1", "c2"), ("p1", "p2"), ("u", "v"), ("n1", "n2"), ("i1", "i2"), ("b1", "b2"))))
             near = one.join(two, "token").where("c1 < c2")
-        # sizes, and what the places of the common shingle leave: intersection >= percent / (100 + percent) * (n1 + n2)
-        near = near.where(f"100L * least(n1, n2) >= {percent}L * greatest(n1, n2) AND {100 + percent}L * (least(n1 - i1, n2 - i2)) >= {percent}L * (n1 + n2)")
+        near = near.where(may_link(F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2"), percent))
+        near = near.where(F.coalesce(folds_allow("b1", "b2", F.col("n1"), F.col("n2"), percent), F.lit(True)))
         if turn < STARS:
             pairs = near.select("u", "v").unionByName(parts.join(inner, "prefix").where("first <> u").select("u", F.col("first").alias("v")))
         else:
@@ -260,11 +350,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
             across = near.select("p1", "c1", "p2", "c2").distinct().join(left, ["p1", "c1"]).join(right, ["p2", "c2"]).select("u", "v")
             within = left.join(right, (F.col("p1") == F.col("p2")) & (F.col("c1") < F.col("c2"))).select("u", "v")
             pairs = across.unionByName(within)
-        found = written(verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "found")
-        links = found if links is None else links.unionByName(found)
+        found = verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        release(spark)
         turn = turn + 1 if turn == STARS or found.take(1) else STARS  # a round that finds nothing is the last of the stars
-        ends = components(links)
-        labels = written(members.join(ends.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+        # what links joins components, so it is their links that are followed
+        new = found.join(labels.toDF("u", "c1"), "u").join(labels.toDF("v", "c2"), "v").select(F.col("c1").alias("u"), F.col("c2").alias("v")).distinct()
+        ends = components(written(new, "new")).toDF("component", "root")
+        labels = written(labels.join(ends, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
     linked = sets.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = linked.join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
     out = rows.join(least, "node", "left")

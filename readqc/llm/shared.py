@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished work: it does so when the driver's memory is tidied, which a long job of small
+    results may not do for hours while disks fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow(spark: SparkSession) -> None:
     """Bounds an Arrow batch by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
