@@ -37,7 +37,7 @@ WIDTH, PERCENT, SLOTS, STARS, HUBS = 5, 75, 1 << 22, 2, 4
 #: Words of the outline that a join's condition looks at.
 FOLD = 4
 #: Bytes of text at once; postings packed at once; postings of a shingle that are compared for a partner.
-PIECE, POSTINGS, NEIGHBOURS = 2 << 20, 2_000_000, 24
+PIECE, POSTINGS, NEIGHBOURS = 2 << 20, 1_000_000, 24
 U = np.uint64
 
 

@@ -6,6 +6,7 @@ byte and some ten operations a word, without a Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,9 +48,18 @@ def flat(column: pa.Array | pa.ChunkedArray) -> Flat:
     return Flat(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def trim() -> None:
+    """Gives freed memory back to the machine: a Python worker lives on for the tasks of later stages, and what it keeps counts
+    against its executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.Table]:
     """Gathers Arrow batches up to about `size` bytes of text, so that fixed costs are paid seldom and
     memory stays bounded: a chunk ends with the row that passes the size."""
+    trim()
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -66,6 +76,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[
                 held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)
+        del held
+    trim()
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
