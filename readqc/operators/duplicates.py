@@ -13,6 +13,8 @@ BINS = [(i, str(i)) for i in range(1, 10)] + [(10, ">10"), (50, ">50"), (100, ">
 #: Reads up to which all are counted; keys and reads that the original mode takes up.
 FULL, SEED_KEYS, SEED_READS = 1_000_000, 100_000, 1_000_000
 OVERREPRESENTED = 0.001
+#: Width of the stretches of indexes in which reads are numbered.
+STRETCH = 65_536
 
 
 def stride(n_reads: int) -> int:
@@ -56,13 +58,25 @@ def summary(hist: DataFrame) -> DataFrame:
     )
 
 
+def first_reads(some: DataFrame, limit: int) -> DataFrame:
+    """(file_id, seq, at) of the first `limit` rows a file by read_idx, which may have gaps; at counts them from 0. Rows are numbered within stretches of
+    indexes, so that no task holds all rows of a file."""
+    some = some.withColumn("stretch", F.floor(F.col("read_idx") / STRETCH))
+    sizes = some.groupBy("file_id", "stretch").agg(F.count("*").alias("here"))
+    before = sizes.withColumn("before", F.sum("here").over(Window.partitionBy("file_id").orderBy("stretch")) - F.col("here")).where(F.col("before") < limit)
+    # before: a row for each stretch that has any of the first reads
+    within = F.row_number().over(Window.partitionBy("file_id", "stretch").orderBy("read_idx", "seq"))
+    rows = some.join(F.broadcast(before.drop("here")), ["file_id", "stretch"])
+    return rows.select("file_id", "seq", (F.col("before") + within - 1).alias("at")).where(F.col("at") < limit)
+
+
 def seeds(reads: DataFrame, keys: int = SEED_KEYS, limit: int = SEED_READS) -> tuple[DataFrame, DataFrame]:
     """The keys of the original mode: those first seen among the first reads, until there are `keys` of them or `limit` reads; and for each
-    file (file_id, count_at_limit), the reads that this took. No read is walked through in order: a key's first index is a
-    minimum, and the cut-off the index of the keys-th smallest."""
+    file (file_id, count_at_limit), the reads that this took. No read is walked through in order: a key's first place is a
+    minimum, and the cut-off the place of the keys-th smallest."""
     some = reads.where("length(seq) > 0").select("file_id", "read_idx", expr.prefix(F.col("seq")).alias("seq"))
-    first = some.where(F.col("read_idx") < limit).groupBy("file_id", "seq").agg(F.min("read_idx").alias("at"))
-    # of at most `limit` rows a file, as read_idx numbers the reads with bases
+    first = first_reads(some, limit).groupBy("file_id", "seq").agg(F.min("at").alias("at"))
+    # of at most `limit` rows a file
     order = first.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("at", "seq"))).where(F.col("k") <= keys)
     last = order.groupBy("file_id").agg(F.max("at").alias("last"), F.count("*").alias("many"))
     total = some.groupBy("file_id").agg(F.count("*").alias("n"))

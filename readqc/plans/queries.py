@@ -201,7 +201,7 @@ def contaminant_match(reads):
     return _round(dup.contaminant_match(over, dims.contaminants(reads.sparkSession, CONTAMINANTS)).drop("file_id"), "pct")
 
 
-#: Keys of the original mode's query: fewer than there are, so that the cut-off shows.
+#: Keys of the query that SQL checks: fewer than there are, so that the cut-off shows. It is a part of the original mode; orig_dups_whole has all of it.
 SEEDS = 500
 
 
@@ -213,6 +213,13 @@ def orig_dups(reads):
     return dup.levels(dup.original_counts(reads, seeded)).drop("file_id")
 
 
+@_query()
+def orig_dups_whole(reads):
+    """The levels that the original mode reports: keys up to its own limit, scaled up by what the seeding may have missed."""
+    seeded, cut = dup.seeds(reads)
+    return dup.corrected(dup.levels(dup.original_counts(reads, seeded)), cut).drop("file_id")
+
+
 _HITS = "hits AS (" + " UNION ALL ".join(f"SELECT {i} AS adapter_id, instr(seq, '{s}')::INTEGER AS pos FROM reads" for i, (_, s) in enumerate(dims.DEFAULT_ADAPTERS)) + "), ah AS (SELECT adapter_id, pos, count(*) AS n FROM hits WHERE pos > 0 GROUP BY ALL)"
 
 
