@@ -246,7 +246,9 @@ def score(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least `accept`."""
+    """The rows of docs, all columns, whose text scores at least `accept`; every row if the model has learned nothing, as its 0.5 says nothing of a text."""
+    if model.weights is None:
+        return docs
     arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from readqc.functions.stats import corrected_count
+from readqc.llm import quality
 from readqc.operators import duplicates
 from readqc.plans import queries
 from readqc.schema import READS
@@ -46,3 +47,11 @@ def test_orig_dups_whole_counts_every_key_under_the_limit(spark):
         c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
         want = dict(c.sql(f"SELECT times_seen, n_keys FROM ({queries.SQL['dup_levels']})").fetchall())
     assert {x.times_seen: x.n_keys for x in queries.QUERIES["orig_dups_whole"](spark, SF).collect()} == want and sum(want.values()) > queries.SEEDS
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 1, 0), (3, 1, 0)], [(7, 1, 0), (15, 0, 0)]])  # none; of one class; of two classes, held out (crc32 % 4 == 2)
+def test_quality_stage_keeps_all_where_nothing_was_learned(spark, rows):
+    docs = spark.createDataFrame([(i, None if i == 5 else "a clean text. " * i) for i in range(20)] + [(None, "x")], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+    kept = quality.accepted(docs, model)
+    assert model.weights is None and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
