@@ -9,13 +9,14 @@ links, so that a group of copies costs rows in proportion to its size.
 In data without structure (all distances near a right angle, as random directions in many dimensions have) no bound can drop
 pairs of blocks, and the work is that of comparing all blocks: this is so for any exact method of this kind.
 
-Nulls: vectors that are null, zero, hold null or non-finite components, or differ in size from most link with nothing and are
-kept. A null vec_id has a null component. Rows that share a vec_id share one set of links. An empty table has an empty
+Nulls: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept. Vectors link with those of
+their own size, each size in a run of its own. A null vec_id has a null component. Rows that share a vec_id share one set of links. An empty table has an empty
 result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from readqc.llm.components import components
 from readqc.llm.shared import arrow, written
-from readqc.llm.vectors import common_size, matrix
+from readqc.llm.vectors import matrix, sizes
 
 #: Vectors of a block, pivots at most, radii of the levels below the root, slack for rounding.
 BLOCK, PIVOTS, RADII, SLACK = 4096, 256, (1.0, 0.5, 0.25), 1e-7
@@ -213,13 +214,9 @@ def _tree(x: bytes, cuts: bytes, radii: bytes, size: int) -> Tree:
     return Tree(np.frombuffer(x, np.float64).reshape(-1, size), levels)
 
 
-def dedup(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Per row of vectors: vec_id, n_links (other vectors with that cosine or more), component_id (the least vec_id that links
-    reach) and kept (whether it is that one)."""
+def _links(vectors: DataFrame, size: int, cosine: float, key: str, vector: str) -> DataFrame | None:
+    """(vec_id, n, root) of the pairs of blocks of the vectors of a size: links and the least row that they lead to. None if there are no such vectors."""
     spark = vectors.sparkSession
-    arrow(spark)
-    size = common_size(vectors, vector)
-    all_ids = vectors.select(F.col(key).cast("long").alias("vec_id"))
 
     def read(batches):
         for b in batches:
@@ -228,13 +225,10 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vecto
             rows, x = rows[some], x[some]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), size).cast(pa.list_(pa.float64()))], ["vec_id", "x"])
 
-    plain = all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
-    if not size:
-        return plain
     rows = written(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("x")).where("vec_id IS NOT NULL").mapInArrow(read, "vec_id long, x array<double>"), "vectors")
     n = rows.count()
     if not n:
-        return plain
+        return None
     few = min(PIVOTS, max(1, n // BLOCK))
     # `few` pivots, the first by a hash
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(few).collect()
@@ -276,7 +270,18 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vecto
                 linked = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(count[linked]), pa.array(ids[label[linked]])], ["vec_id", "n", "root"])
 
-    found = written(units.mapInArrow(compare, "vec_id long, n long, root long"), "links")
+    return written(units.mapInArrow(compare, "vec_id long, n long, root long"), "links")
+
+
+def dedup(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Per row of vectors: vec_id, n_links (other vectors with that cosine or more), component_id (the least vec_id that links
+    reach) and kept (whether it is that one)."""
+    arrow(vectors.sparkSession)
+    all_ids = vectors.select(F.col(key).cast("long").alias("vec_id"))
+    parts = [x for size in sizes(vectors, vector, 2) if (x := _links(vectors, size, cosine, key, vector)) is not None]  # one vector alone links with nothing
+    if not parts:
+        return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
+    found = functools.reduce(DataFrame.unionByName, parts)
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     ends = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
     least = F.coalesce("component", "vec_id")

@@ -6,13 +6,14 @@ q c + |q| r of the queries still active there, and a query leaves a node whose b
 kth score. That score carries over from shard to shard. The k best of each unit meet in a last ranking of k rows a
 unit and query.
 
-Nulls: vectors that are null, hold null or non-finite components, or differ in size from most take no part; nor do rows with a
-null vec_id. Ties go to the smaller vec_id. Rows that share a query's vec_id are its own. An empty table has an empty
+Nulls: vectors that are null or hold null or non-finite components take no part; nor do rows with a null vec_id. Vectors meet those
+of their own size, each size in a run of its own. Ties go to the smaller vec_id. Rows that share a query's vec_id are its own. An empty table has an empty
 result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readqc.llm.shared import arrow, written
-from readqc.llm.vectors import common_size, matrix
+from readqc.llm.vectors import matrix, sizes
 
 #: Rows of a shard and of a block of queries, shards of a unit of work, rows of a leaf.
 SHARD, BLOCK, UNIT, LEAF = 16_384, 4_096, 8, 256
@@ -110,15 +111,9 @@ def _pack(rows: DataFrame, key: str, size: int, tree: bool) -> DataFrame:
     return rows.groupBy(key).applyInArrow(run, f"{key} long, ids binary, x binary, nodes binary")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of queries its k best rows of vectors by inner product of
-    floor(scale * component)."""
+def _found(vectors: DataFrame, queries: DataFrame, size: int, k: int, scale: int, key: str, vector: str) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each unit of work among the vectors of a size."""
     spark = vectors.sparkSession
-    arrow(spark)
-    size = common_size(vectors, vector)
-    kinds = "query_id long, rank int, vec_id long, score long"
-    if not size:
-        return spark.createDataFrame([], kinds)
 
     def whole(batches):
         for b in batches:
@@ -151,7 +146,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCA
             out = [np.repeat(best.ids, [len(s) for s, _ in best.found]), np.concatenate([i for _, i in best.found]), np.concatenate([s for s, _ in best.found])]
         return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
-    found = sets.groupBy("block", "unit").cogroup(trees.groupBy("block", "unit")).applyInArrow(lambda key, a, b: run(key, a, b), "query_id long, vec_id long, score long")
+    return sets.groupBy("block", "unit").cogroup(trees.groupBy("block", "unit")).applyInArrow(lambda key, a, b: run(key, a, b), "query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of queries its k best rows of vectors by inner product of
+    floor(scale * component)."""
+    spark = vectors.sparkSession
+    arrow(spark)
+    both = sorted({*sizes(vectors, vector)} & {*sizes(queries, vector)})
+    if not both:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = functools.reduce(DataFrame.unionByName, [_found(vectors, queries, size, k, scale, key, vector) for size in both])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.distinct().select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def common_size(df: DataFrame, vector: str) -> int:
-    """The number of components that most vectors have (the larger of equals); 0 if there are none."""
-    row = df.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
-    return row["d"] if row else 0
+def sizes(df: DataFrame, vector: str, least: int = 1) -> list[int]:
+    """The numbers of components, but 0, that `least` vectors or more have."""
+    rows = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).count().where(F.col("count") >= least)
+    return sorted(r["d"] for r in rows.collect())  # a row for each size
 
 
 def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from readqc.functions.stats import corrected_count
-from readqc.llm import quality
+from readqc.llm import embedding_dedup, quality, topk
 from readqc.operators import duplicates
 from readqc.plans import queries
 from readqc.schema import READS
@@ -55,3 +55,13 @@ def test_quality_stage_keeps_all_where_nothing_was_learned(spark, rows):
     model = quality.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
     kept = quality.accepted(docs, model)
     assert model.weights is None and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_vectors_of_every_size_meet_their_own(spark):
+    rows = [(i, [1.0, float(i), 0.0]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [-2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(df).collect()}
+    assert len(got) == 9 and (got[10], got[11], got[12]) == ((1, 10, True), (1, 10, False), (0, 12, True)) and got[5][0] > 0
+    best = topk.search(df, df.where("vec_id IN (0, 10)")).orderBy("query_id", "rank").collect()
+    assert [(r.vec_id, r.score) for r in best if r.query_id == 10] == [(11, 5 << 20), (12, 0)]
+    assert [r.vec_id for r in best if r.query_id == 0] == [1, 2, 3, 4, 5]
