@@ -4,7 +4,7 @@ Rows are dealt by hash to shards of bounded size; each shard is a ball tree in o
 A unit of work is a block against some shards: for each shard, tree nodes come off a heap by the largest upper bound
 q c + |q| r of the queries still active there, and a query leaves a node whose bound is below its current
 kth score. That score carries over from shard to shard. The k best of each unit meet in a last ranking of k rows a
-unit and query.
+unit and query. Products that doubles may round are taken in Python integers; a scaled component or a score beyond 64 bits is an error.
 
 Nulls: vectors that are null or hold null or non-finite components take no part; nor do rows with a null vec_id. Vectors meet those
 of their own size, each size in a run of its own. Ties go to the smaller vec_id. Rows that share a query's vec_id are its own. An empty table has an empty
@@ -29,6 +29,8 @@ from readqc.llm.vectors import matrix, sizes
 #: Rows of a shard and of a block of queries, shards of a unit of work, rows of a leaf.
 SHARD, BLOCK, UNIT, LEAF = 16_384, 4_096, 8, 256
 SCALE = 1024
+#: Up to this product of norms every sum in an inner product is exact in doubles; a part is left for the rounding of the norms.
+EXACT = 2**53 * 0.999
 
 
 def ball_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +56,11 @@ def ball_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(nodes, np.int32).reshape(-1, 4)
 
 
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """x, of whole values, as Python integers."""
+    return x.astype(np.int64).astype(object)
+
+
 class Best:
     """The k best (score, id) of each query so far."""
 
@@ -78,6 +85,7 @@ class Best:
         radius = np.array([math.sqrt(((x[a:b] - c) ** 2).sum(1).max()) for (a, b, _, _), c in zip(nodes.tolist(), centre, strict=True)])
         # a little is added for rounding, so that it stays an upper bound
         bound = (self.queries @ centre.T + self.norm[:, None] * radius) * 1.0 + 1e-6 * (1 + self.norm[:, None] * (radius + np.sqrt((centre**2).sum(1))))
+        size = np.sqrt((x**2).sum(1))
         everyone = np.arange(len(self.ids))
         heap = [(-bound[:, 0].max(), 0, everyone)]
         while heap:
@@ -90,8 +98,11 @@ class Best:
                 for child in (left, right):
                     heapq.heappush(heap, (-bound[active, child].max(), child, active))
                 continue
-            score = self.queries[active] @ x[a:b].T
-            good = (score >= self.kth[active][:, None]) & (ids[a:b][None, :] != self.ids[active][:, None])
+            if self.norm[active].max() * size[a:b].max() < EXACT:
+                score, kth = self.queries[active] @ x[a:b].T, self.kth[active]
+            else:  # kth is a rounded integer: one step less is no more than it
+                score, kth = whole_numbers(self.queries[active]) @ whole_numbers(x[a:b]).T, np.nextafter(self.kth[active], -np.inf)
+            good = (score >= kth[:, None]).astype(bool) & (ids[a:b][None, :] != self.ids[active][:, None])
             for r in np.flatnonzero(good.any(1)).tolist():
                 self.take(int(active[r]), score[r, good[r]].astype(np.int64), ids[a:b][good[r]])
 
@@ -106,7 +117,7 @@ def _pack(rows: DataFrame, key: str, size: int, tree: bool) -> DataFrame:
             parts.append(b.column("x").flatten().to_numpy().reshape(b.num_rows, size))
         ids, x = np.concatenate(ids), np.concatenate(parts)
         order, nodes = ball_tree(x.astype(float)) if tree else (np.argsort(ids), np.zeros((0, 4), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[order], x[order].astype(np.int32), nodes))], [key, "ids", "x", "nodes"])
+        yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[order], x[order].astype(np.int64), nodes))], [key, "ids", "x", "nodes"])
 
     return rows.groupBy(key).applyInArrow(run, f"{key} long, ids binary, x binary, nodes binary")
 
@@ -119,12 +130,13 @@ def _found(vectors: DataFrame, queries: DataFrame, size: int, k: int, scale: int
         for b in batches:
             rows, x = matrix(b.column(1), size)
             x = np.floor(scale * x)
-            fits = (np.abs(x) < 2**31).all(1)
-            rows, x = rows[fits], x[fits].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), size).cast(pa.list_(pa.int32()))], ["vec_id", "x"])
+            if (np.abs(x) >= 2.0**63).any():
+                raise ValueError("a scaled component is beyond 64 bits")
+            x = x.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), size).cast(pa.list_(pa.int64()))], ["vec_id", "x"])
 
     def read(df):
-        return df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("x")).where("vec_id IS NOT NULL").mapInArrow(whole, "vec_id long, x array<int>")
+        return df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("x")).where("vec_id IS NOT NULL").mapInArrow(whole, "vec_id long, x array<long>")
 
     rows, asked = written(read(vectors), "vectors"), written(read(queries), "queries")
     shards, blocks = max(1, math.ceil(rows.count() / SHARD)), max(1, math.ceil(asked.count() / BLOCK))
@@ -139,10 +151,10 @@ def _found(vectors: DataFrame, queries: DataFrame, size: int, k: int, scale: int
         out = [[], [], []]
         if left.num_rows and right.num_rows:
             q = left.to_pylist()[0]
-            best = Best(np.frombuffer(q["x"], np.int32).reshape(-1, size).astype(float), np.frombuffer(q["ids"], np.int64), k)
+            best = Best(np.frombuffer(q["x"], np.int64).reshape(-1, size).astype(float), np.frombuffer(q["ids"], np.int64), k)
             for t in range(right.num_rows):
                 ids, x, nodes = (right.column(c)[t].as_py() for c in ("ids", "x", "nodes"))
-                best.search(np.frombuffer(x, np.int32).reshape(-1, size).astype(float), np.frombuffer(ids, np.int64), np.frombuffer(nodes, np.int32).reshape(-1, 4))
+                best.search(np.frombuffer(x, np.int64).reshape(-1, size).astype(float), np.frombuffer(ids, np.int64), np.frombuffer(nodes, np.int32).reshape(-1, 4))
             out = [np.repeat(best.ids, [len(s) for s, _ in best.found]), np.concatenate([i for _, i in best.found]), np.concatenate([s for s, _ in best.found])]
         return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
