@@ -299,7 +299,7 @@ def _grades(reads: DataFrame) -> DataFrame:
     return Analysis(reads, RunMode(enabled=frozenset(MODULES) - {"kmer"})).grades().drop("file_id")
 
 
-#: The grades by SQL; GC content is left out of the query, as its curve is worked out on 101 numbers outside SQL.
+#: The grades by SQL, a part; GC content is left out of the query, as its curve is worked out on 101 numbers outside SQL. module_grades_whole has all.
 @_query(f"""{_CELLS}, {_KEYS}, {_TILES}, {_HITS}, h AS (SELECT pos, q, count(*) AS n FROM cells GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY pos ORDER BY q) AS upto, sum(n) OVER (PARTITION BY pos) AS total FROM h),
 qq AS (SELECT pos, {_QUANTILES} FROM w GROUP BY pos), cc AS (SELECT pos, {_N} FROM cells GROUP BY pos), pp AS (SELECT pos, n, {_PCT}, n::DOUBLE / (a + c + g + t + n) AS n_frac FROM cc),
 mm AS (SELECT (list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c))) // length(qual) - 33) AS quality FROM reads WHERE length(qual) > 0), mh AS (SELECT quality, count(*) AS n FROM mm GROUP BY 1),
@@ -321,6 +321,12 @@ def module_grades(reads):
     return Analysis(reads, RunMode(enabled=frozenset(MODULES) - {"kmer", "gc_sequence"})).grades().drop("file_id")
 
 
+@_query()
+def module_grades_whole(reads):
+    """The grades of all modules of a default run."""
+    return Analysis(reads).grades().drop("file_id")
+
+
 @_query()
 def gc_theoretical(reads):
     import numpy as np

@@ -9,7 +9,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from readqc.functions.stats import corrected_count
+from readqc.config import MODULES, RunMode, grade
+from readqc.functions.stats import corrected_count, gc_deviation
 from readqc.llm import embedding_dedup, quality, topk
 from readqc.operators import duplicates
 from readqc.plans import queries
@@ -89,3 +90,16 @@ def test_rounded_kth_score_drops_no_better_row():
         order, nodes = topk.ball_tree(x[a : a + 20], 4)
         best.search(x[a : a + 20][order], np.arange(a, a + 20)[order], nodes)
     assert best.found[0][1].tolist() == [39, 38, 37] and best.found[0][0].tolist() == [2**60 + i for i in (39, 38, 37)]
+
+
+@tables
+def test_module_grades_whole_has_the_gc_grade(spark):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+        want = dict(c.sql(f"SELECT module, grade FROM ({queries.SQL['module_grades']})").fetchall())
+        hist = np.zeros(101)
+        for gc, n in c.sql(f"SELECT gc, n FROM ({queries.SQL['gc_hist_combined']})").fetchall():
+            hist[gc] = n
+    want["gc_sequence"] = grade(gc_deviation(hist), *RunMode().graders["gc_sequence"])
+    got = {r.module: r.grade for r in queries.QUERIES["module_grades_whole"](spark, SF).collect()}
+    assert got == want and set(got) == set(MODULES) - {"kmer"}
