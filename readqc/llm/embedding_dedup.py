@@ -3,14 +3,15 @@
 Unit vectors are dealt to blocks of bounded size by their nearest pivot. Each block is a cover tree: nested levels whose
 radii halve; a node's covering radius is the largest distance to a vector below it. Pairs of blocks, then pairs of nodes,
 are dropped when their centres are farther apart than the threshold and both radii, and taken whole when even their farthest
-vectors link. What is left is compared in double precision. A pair of blocks gives counts and one root a vector, not its
-links, so that a group of copies costs rows in proportion to its size.
+vectors link. What is left is compared in double precision. Blocks meet by bands, so that a block ships once for a band of others. A
+band against a band gives counts and one root a vector, not its links, so that a group of copies costs rows in proportion to its size.
 
 In data without structure (all distances near a right angle, as random directions in many dimensions have) no bound can drop
 pairs of blocks, and the work is that of comparing all blocks: this is so for any exact method of this kind.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept. Vectors link with those of
-their own size, each size in a run of its own. A null vec_id has a null component. Rows that share a vec_id share one set of links. An empty table has an empty
+their own size, each size in a run of its own. A row with a null vec_id links with nothing and has a null component. Repeated rows are vectors
+each: they count among each other's links, and rows that share the least vec_id of a component are all kept. An empty table has an empty
 result. Other columns of the input are ignored.
 """
 
@@ -28,12 +29,16 @@ from pyspark.sql import functions as F
 
 from readqc.llm.components import components
 from readqc.llm.shared import arrow, written
-from readqc.llm.vectors import matrix, sizes
+from readqc.llm.vectors import block_of, deal, numbered, packed, sizes, unpacked
 
-#: Vectors of a block, pivots at most, radii of the levels below the root, slack for rounding.
-BLOCK, PIVOTS, RADII, SLACK = 4096, 256, (1.0, 0.5, 0.25), 1e-7
+#: Vectors of a block, radii of the levels below the root, slack for rounding.
+BLOCK, RADII, SLACK = 4096, (1.0, 0.5, 0.25), 1e-7
+#: Blocks of a band at most; blocks whose outlines meet at once.
+BAND, OUTLINES = 8, 512
 #: Pairs of vectors that are multiplied at once; vectors of a node below the root, at least, unless it holds one alone.
 PAIRS, FEW = 50_000, 16
+#: Edges that are held before they are made few.
+EDGES = 1_000_000
 COSINE = 0.9
 
 
@@ -109,12 +114,35 @@ def _dots(t: Tree, u: Tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that edges between rows a and b lead to, for n rows."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def compact(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few edges as hold together what edges between rows a and b of n rows hold together: each row with its least."""
+    label = roots(n, a, b)
+    linked = np.flatnonzero(label != np.arange(n))
+    return linked, label[linked]
+
+
 def dual(t: Tree, u: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Counts of links of the rows of t and of u (of t alone if they are the same tree), and ends of edges that hold together what
-    links: rows of t, rows of u."""
+    links. Ends are rows of t and, unless it is the same tree, rows of u numbered on from them."""
     reach = math.sqrt(2 - 2 * cosine)
     nt, nu = np.zeros(len(t.x), np.int64), np.zeros(len(u.x), np.int64)
     ends_t, ends_u = [], []
+    behind = 0 if same else len(nt)
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for level in range(len(t.levels)):
         ci, ri, bi = t.levels[level]
@@ -133,7 +161,7 @@ def dual(t: Tree, u: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
             else:
                 nu[other] += bi[a + 1] - bi[a]
             ends_t += [np.arange(bi[a], bi[a + 1]), np.full(bj[b + 1] - bj[b], ci[a])]
-            ends_u += [np.full(bi[a + 1] - bi[a], cj[b]), np.arange(bj[b], bj[b + 1])]
+            ends_u += [np.full(bi[a + 1] - bi[a], cj[b] + behind), np.arange(bj[b], bj[b + 1]) + behind]
         i, j = i[~inside], j[~inside]
         if not len(i):
             break
@@ -163,44 +191,36 @@ def dual(t: Tree, u: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
             if not same:
                 nu += np.bincount(b, minlength=len(nu))
             ends_t.append(a)
-            ends_u.append(b)
+            ends_u.append(b + behind)
+            if sum(map(len, ends_t)) > EDGES:
+                ends_t, ends_u = ([x] for x in compact(behind + len(nu), np.concatenate(ends_t), np.concatenate(ends_u)))
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return nt, nu, join(ends_t), join(ends_u)
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least row that edges between rows a and b lead to, for n rows."""
-    label = np.arange(n)
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x**2).sum(1))[:, None]
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """One row for each block: number, ids, vectors, tree, centre and radius."""
+    """One row for each block: number, ids, row numbers, vectors as they came, tree, centre and radius."""
 
     def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts = [], []
+        row, ids, parts = [], [], []
         for b in batches:
+            row.append(b.column("row").to_numpy())
             ids.append(b.column("vec_id").to_numpy())
-            parts.append(b.column("x").flatten().to_numpy().reshape(b.num_rows, size))
-        ids, x = np.concatenate(ids), np.concatenate(parts)
-        start = np.argsort(ids)
-        ids, x = ids[start], x[start] / np.sqrt((x[start] ** 2).sum(1))[:, None]
+            parts.append(block_of(b.column("x"), size))
+        row, ids, raw = np.concatenate(row), np.concatenate(ids), np.concatenate(parts)
+        start = np.lexsort((row, ids))
+        row, ids, raw = row[start], ids[start], raw[start]
+        x = unit_vectors(raw.astype(float))
         order, levels = cover_tree(x)
         cut = [np.int64(len(levels)).tobytes()] + [np.int64(len(v)).tobytes() + v.astype(np.int64).tobytes() for _, _, v in levels]
-        values = [[group[0].as_py()], [ids[order].tobytes()], [x[order].tobytes()], [b"".join(cut)], [np.concatenate([r for _, r, _ in levels]).tobytes()], [x[order[0]].tolist()], [float(levels[0][1][0])]]
-        kinds = [pa.int64(), *[pa.binary()] * 4, pa.list_(pa.float64()), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "ids", "x", "cuts", "radii", "centre", "radius"])
+        values = [ids[order].tobytes(), row[order].tobytes(), packed(raw[order]), b"".join(cut), np.concatenate([r for _, r, _ in levels]).tobytes(), x[order[0]].tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], pa.int64()), *(pa.array([v], pa.binary()) for v in values), pa.array([float(levels[0][1][0])])], ["block", "ids", "rows", "x", "cuts", "radii", "centre", "radius"])
 
-    return rows.groupBy("block").applyInArrow(run, "block long, ids binary, x binary, cuts binary, radii binary, centre array<double>, radius double")
+    return rows.groupBy("block").applyInArrow(run, "block long, ids binary, rows binary, x binary, cuts binary, radii binary, centre binary, radius double")
 
 
 def _tree(x: bytes, cuts: bytes, radii: bytes, size: int) -> Tree:
@@ -211,82 +231,90 @@ def _tree(x: bytes, cuts: bytes, radii: bytes, size: int) -> Tree:
         bounds = cut[at + 1 : at + 1 + n]
         levels.append((bounds[:-1], r[done : done + n - 1], bounds))
         at, done = at + 1 + n, done + n - 1
-    return Tree(np.frombuffer(x, np.float64).reshape(-1, size), levels)
-
-
-def _links(vectors: DataFrame, size: int, cosine: float, key: str, vector: str) -> DataFrame | None:
-    """(vec_id, n, root) of the pairs of blocks of the vectors of a size: links and the least row that they lead to. None if there are no such vectors."""
-    spark = vectors.sparkSession
-
-    def read(batches):
-        for b in batches:
-            rows, x = matrix(b.column(1), size)
-            some = (x != 0).any(1)
-            rows, x = rows[some], x[some]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), size).cast(pa.list_(pa.float64()))], ["vec_id", "x"])
-
-    rows = written(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("x")).where("vec_id IS NOT NULL").mapInArrow(read, "vec_id long, x array<double>"), "vectors")
-    n = rows.count()
-    if not n:
-        return None
-    few = min(PIVOTS, max(1, n // BLOCK))
-    # `few` pivots, the first by a hash
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(few).collect()
-    pivots = np.array([r["x"] for r in picked])
-    pivots /= np.sqrt((pivots**2).sum(1))[:, None]
-    sent = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches):
-        for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, size)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.argmax(x @ sent.value.T, axis=1).astype(np.int64))], ["vec_id", "x", "cell"])
-
-    dealt = written(rows.mapInArrow(assign, "vec_id long, x array<double>, cell long"), "cells")
-    counts = {r["cell"]: math.ceil(r["count"] / BLOCK) for r in dealt.groupBy("cell").count().collect()}
-    first, total = {}, 0
-    for c in sorted(counts):
-        first[c], total = total, total + counts[c]
-    table = spark.createDataFrame([(c, first[c], counts[c]) for c in sorted(counts)], "cell long, first long, parts long")  # a row a pivot
-    numbered = dealt.join(F.broadcast(table), "cell").select("vec_id", "x", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"))
-    blocks = written(_blocks(numbered, size), "blocks")
-    outline = blocks.select("block", "centre", "radius")
-    gap = F.aggregate(F.zip_with("c1", "c2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    ahead = outline.select(F.col("block").alias("b1"), F.col("centre").alias("c1"), F.col("radius").alias("r1"), F.explode(F.sequence("block", F.lit(total - 1))).alias("b2"))
-    pairs = ahead.join(outline.toDF("b2", "c2", "r2"), "b2").where(F.sqrt(gap) <= math.sqrt(2 - 2 * cosine) + F.col("r1") + F.col("r2") + SLACK).select("b1", "b2")
-    side = lambda k: blocks.select(F.col("block").alias(f"b{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("ids", "x", "cuts", "radii")))
-    units = pairs.join(side(1), "b1").join(side(2), "b2").repartition(max(total, 1), "b1", "b2")
-
-    def compare(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                ids1, ids2 = np.frombuffer(row["ids1"], np.int64), np.frombuffer(row["ids2"], np.int64)
-                same = row["b1"] == row["b2"]
-                t = _tree(row["x1"], row["cuts1"], row["radii1"], size)
-                u = t if same else _tree(row["x2"], row["cuts2"], row["radii2"], size)
-                nt, nu, a, c = dual(t, u, cosine, same)
-                ids = ids1 if same else np.concatenate([ids1, ids2])
-                count = nt if same else np.concatenate([nt, nu])
-                label = roots(len(ids), a, c if same else c + len(ids1))
-                linked = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(count[linked]), pa.array(ids[label[linked]])], ["vec_id", "n", "root"])
-
-    return written(units.mapInArrow(compare, "vec_id long, n long, root long"), "links")
+    return Tree(unit_vectors(unpacked(x, size)), levels)
+
+
+def near_blocks(blocks: DataFrame, total: int, size: int, reach: float) -> DataFrame:
+    """(b1, b2), b1 <= b2: the pairs of blocks whose centres are no farther apart than reach and both radii. Outlines meet in pieces of OUTLINES
+    blocks, so what ships is a centre for BLOCK vectors, for each piece."""
+
+    def gather(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("block").to_numpy(), b.column("centre").to_pylist(), b.column("radius").to_numpy()) for b in batches]
+        values = [np.concatenate([n for n, _, _ in held]).tobytes(), b"".join(c for _, own, _ in held for c in own), np.concatenate([r for _, _, r in held]).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], ["p", "n", "c", "r"])
+
+    pieces = math.ceil(total / OUTLINES)
+    outline = written(blocks.select(F.floor(F.col("block") / OUTLINES).alias("p"), "block", "centre", "radius").groupBy("p").applyInArrow(gather, "p long, n binary, c binary, r binary"), "outlines")
+    ahead = outline.toDF("p1", "n1", "c1", "r1").withColumn("p2", F.explode(F.sequence("p1", F.lit(pieces - 1).cast("long"))))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                n1, n2 = (np.frombuffer(row[c], np.int64) for c in ("n1", "n2"))
+                c1, c2 = (np.frombuffer(row[c], np.float64).reshape(-1, size) for c in ("c1", "c2"))
+                r1, r2 = (np.frombuffer(row[c], np.float64) for c in ("r1", "r2"))
+                gap = np.sqrt(np.maximum(0, 2 - 2 * (c1 @ c2.T)))
+                i, j = np.nonzero((gap <= reach + r1[:, None] + r2[None, :] + SLACK) & ((n1[:, None] <= n2[None, :]) | (row["p1"] != row["p2"])))
+                yield pa.RecordBatch.from_arrays([pa.array(n1[i]), pa.array(n2[j])], ["b1", "b2"])
+
+    return ahead.join(outline.toDF("p2", "n2", "c2", "r2"), "p2").select("p1", "n1", "c1", "r1", "p2", "n2", "c2", "r2").mapInArrow(run, "b1 long, b2 long")
+
+
+def _links(rows: DataFrame, n: int, size: int, cosine: float) -> DataFrame:
+    """(vec_id, row, n, root): the links of rows of a size, and a row, as (vec_id, row), that they lead to."""
+    spark = rows.sparkSession
+    dealt, total = deal(rows, n, size, BLOCK, True)
+    blocks = written(_blocks(dealt, size), "blocks")
+    pairs = written(near_blocks(blocks, total, size, math.sqrt(2 - 2 * cosine)), "pairs")
+    # a unit of work is a band of blocks against a band: a block ships once a unit in which it has a pair, not once a pair
+    band = min(BAND, max(1, int(total / math.sqrt(4 * spark.sparkContext.defaultParallelism))))
+    pairs = pairs.select(F.floor(F.col("b1") / band).alias("u1"), F.floor(F.col("b2") / band).alias("u2"), "b1", "b2")
+    needed = pairs.select("u1", "u2", F.explode(F.array("b1", "b2")).alias("block")).distinct().join(blocks.drop("centre", "radius"), "block")
+
+    def compare(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        trees, start, ids, row = {}, {}, [], []
+        many = 0
+        for i in range(right.num_rows):
+            r = {c: right.column(c)[i].as_py() for c in ("block", "ids", "rows", "x", "cuts", "radii")}
+            trees[r["block"]], start[r["block"]] = _tree(r["x"], r["cuts"], r["radii"], size), many
+            ids.append(np.frombuffer(r["ids"], np.int64))
+            row.append(np.frombuffer(r["rows"], np.int64))
+            many += len(ids[-1])
+        ids, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, row))
+        count, ends = np.zeros(many, np.int64), [np.zeros(0, np.int64)] * 2
+        for b1, b2 in zip(left.column("b1").to_pylist(), left.column("b2").to_pylist(), strict=True):
+            t, u = trees[b1], trees[b2]
+            nt, nu, a, c = dual(t, u, cosine, b1 == b2)
+            count[start[b1] : start[b1] + len(nt)] += nt
+            if b1 != b2:
+                count[start[b2] : start[b2] + len(nu)] += nu
+            place = lambda e, k=len(nt): np.where(e < k, e + start[b1], e - k + start[b2])  # noqa: B023, E731
+            ends = list(compact(many, np.concatenate([ends[0], place(a)]), np.concatenate([ends[1], place(c)])))
+        label = roots(many, *ends)
+        linked = np.flatnonzero(count)
+        return pa.table([pa.array(x[linked]) for x in (ids, row, count, ids[label], row[label])], ["vec_id", "row", "n", "root_id", "root_row"])
+
+    found = pairs.toDF("v1", "v2", "b1", "b2").groupBy("v1", "v2").cogroup(needed.groupBy("u1", "u2")).applyInArrow(lambda key, a, b: compare(key, a, b), "vec_id long, row long, n long, root_id long, root_row long")
+    return written(found, "links")
 
 
 def dedup(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per row of vectors: vec_id, n_links (other vectors with that cosine or more), component_id (the least vec_id that links
     reach) and kept (whether it is that one)."""
     arrow(vectors.sparkSession)
-    all_ids = vectors.select(F.col(key).cast("long").alias("vec_id"))
-    parts = [x for size in sizes(vectors, vector, 2) if (x := _links(vectors, size, cosine, key, vector)) is not None]  # one vector alone links with nothing
+    rows = numbered(vectors, key, vector, False)
+    parts = [_links(rows.where(F.col("size") == size), n, size, cosine) for size, n in sizes(rows).items() if n > 1]  # one vector alone links with nothing
+    every = rows.select("vec_id", "row")
     if not parts:
-        return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
+        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
     found = functools.reduce(DataFrame.unionByName, parts)
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    ends = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
+    links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
+    # ends are (vec_id, row), so that the least end tells the least vec_id
+    end = lambda a, b: F.struct(F.col(a).alias("vec_id"), F.col(b).alias("row"))
+    ends = components(found.select(end("vec_id", "row").alias("u"), end("root_id", "root_row").alias("v")))
     least = F.coalesce("component", "vec_id")
     return (
-        all_ids.join(links, "vec_id", "left")
-        .join(ends.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+        every.join(links, "row", "left")
+        .join(ends.select(F.col("id.row").alias("row"), F.col("component.vec_id").alias("component")), "row", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), least.alias("component_id"), (F.col("vec_id") == least).alias("kept"))
     )

@@ -22,8 +22,11 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS comp
 
 def embedding_dedup_sql(table: str = "embeddings", cosine: float = 0.9) -> str:
     return f"""
-WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM {table} WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
-links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id < q.vec_id AND p.norm > 0 AND q.norm > 0 WHERE list_sum(list_transform(list_zip(p.e, q.e), lambda x: x[1] * x[2])) / (p.norm * q.norm) >= {cosine}::DOUBLE),{_REACH},
-degree AS (SELECT a, count(*) AS n FROM either_way GROUP BY a)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM {table} LEFT JOIN degree ON a = vec_id LEFT JOIN least ON id = vec_id"""
+WITH RECURSIVE every AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM {table}),
+v AS (SELECT r, vec_id, e FROM every WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+links AS (SELECT p.r AS a, q.r AS b FROM u p JOIN u q ON p.r < q.r AND len(p.e) = len(q.e) AND p.norm > 0 AND q.norm > 0 WHERE list_sum(list_transform(list_zip(p.e, q.e), lambda x: x[1] * x[2])) / (p.norm * q.norm) >= {cosine}::DOUBLE),{_REACH},
+degree AS (SELECT a, count(*) AS n FROM either_way GROUP BY a),
+lowest AS (SELECT l.component, min(vec_id) AS component_id FROM least l JOIN u ON u.r = l.id GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM every LEFT JOIN degree ON a = r LEFT JOIN least ON id = r LEFT JOIN lowest USING (component)"""
