@@ -1,6 +1,5 @@
 """Queries do the whole job, on small tables and against plain Python."""
 
-import math
 import os
 import random
 from collections import Counter
@@ -11,7 +10,6 @@ import pytest
 
 from readqc.config import MODULES, RunMode, grade
 from readqc.functions.stats import corrected_count, gc_deviation
-from readqc.llm import embedding_dedup, quality, topk
 from readqc.operators import duplicates
 from readqc.plans import queries
 from readqc.schema import READS
@@ -52,46 +50,6 @@ def test_orig_dups_whole_counts_every_key_under_the_limit(spark):
     assert {x.times_seen: x.n_keys for x in queries.QUERIES["orig_dups_whole"](spark, SF).collect()} == want and sum(want.values()) > queries.SEEDS
 
 
-@pytest.mark.parametrize("rows", [[], [(1, 1, 0), (3, 1, 0)], [(7, 1, 0), (15, 0, 0)]])  # none; of one class; of two classes, held out (crc32 % 4 == 2)
-def test_quality_stage_keeps_all_where_nothing_was_learned(spark, rows):
-    docs = spark.createDataFrame([(i, None if i == 5 else "a clean text. " * i) for i in range(20)] + [(None, "x")], "doc_id long, text string")
-    model = quality.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
-    kept = quality.accepted(docs, model)
-    assert model.weights is None and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
-
-
-def test_vectors_of_every_size_meet_their_own(spark):
-    rows = [(i, [1.0, float(i), 0.0]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [-2.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(df).collect()}
-    assert len(got) == 9 and (got[10], got[11], got[12]) == ((1, 10, True), (1, 10, False), (0, 12, True)) and got[5][0] > 0
-    best = topk.search(df, df.where("vec_id IN (0, 10)")).orderBy("query_id", "rank").collect()
-    assert [(r.vec_id, r.score) for r in best if r.query_id == 10] == [(11, 5 << 20), (12, 0)]
-    assert [r.vec_id for r in best if r.query_id == 0] == [1, 2, 3, 4, 5]
-
-
-def test_top_k_keeps_large_components_and_exact_scores(spark):
-    big = float(2**21)  # 2**31 when scaled
-    rows = [(0, [big, 3.0]), (1, [big, 1.0]), (2, [big, 1.0 + 2**-10]), (3, [-big, 0.0]), (4, [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    e = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
-    got = topk.search(df, df).collect()
-    for q in e:
-        best = sorted((-sum(a * b for a, b in zip(e[q], e[i], strict=True)), i) for i in e if i != q)
-        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    with pytest.raises(Exception, match="beyond 64 bits"):
-        topk.search(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), df.limit(1).selectExpr("vec_id", "array(1D) AS embedding")).collect()
-
-
-def test_rounded_kth_score_drops_no_better_row():
-    q, x = np.array([[2.0**30, 1.0]]), np.array([[2.0**30, float(i)] for i in range(40)])
-    best = topk.Best(q, np.array([-1]), 3)
-    for a in (0, 20):
-        order, nodes = topk.ball_tree(x[a : a + 20], 4)
-        best.search(x[a : a + 20][order], np.arange(a, a + 20)[order], nodes)
-    assert best.found[0][1].tolist() == [39, 38, 37] and best.found[0][0].tolist() == [2**60 + i for i in (39, 38, 37)]
-
-
 @tables
 def test_module_grades_whole_has_the_gc_grade(spark):
     with duckdb.connect() as c:
