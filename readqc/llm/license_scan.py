@@ -1,13 +1,14 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
 Every pair of neighbouring words of a text is hashed; the hashes join to the places of the same pair in
-short license notices. A hit at word i of the text and place j of a notice votes for the diagonal i - j. Votes
-are added up by diagonal, neighbouring diagonals of one notice merge (words may be inserted or missing), and
-a merged span counts if it covers enough of the notice and is dense. The phrases of the base rule are
-notices too, of which every pair must vote on one diagonal.
+the sentences of licenses and of notices. A hit, whose words are then compared, at word i of the text and place j of a notice votes for the
+diagonal i - j. Votes are added up by diagonal, as a bit for each place of the notice, so that a place counts once however often its words
+come; neighbouring diagonals of one notice merge (words may be inserted or missing), and a diagonal or a merged span counts if its places
+are enough of the notice and dense. The phrases of the base rule are notices too, of which every pair must vote on one diagonal.
 
 Nulls: a null text is an empty text: no words, no labels, score 0; a null doc_id stays null. Repeated rows give a
-row each. Other columns of the input are ignored.
+row each. Labels that tie are all named, in order. Texts of any length are read whole. An empty table has an empty result. Other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,68 +22,99 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base rule.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices, as words in lower case, with the labels that the method adds.
+#: Sentences of public licences and of notices that name them, as words in lower case, with the labels that the method adds.
 NOTICES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software": "mit",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit",
     "licensed under the apache license version 2 0": "apache",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license": "apache",
     "this work is licensed under the gnu general public license version 3": "gpl",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under a creative commons attribution": "cc",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "may be used to endorse or promote products derived from this software without specific prior written permission": "bsd",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc",
     "subject to the terms of the mozilla public license": "mpl",
     "dedicated to the public domain": "public-domain",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose": "unlicense",
     "all rights reserved": "all-rights-reserved",
 }
+#: Pairs of a notice at most: a bit each of a long.
+PAIRS = 63
 
 #: Diagonals that lie so near merge; the share of a notice's pairs that must vote; the share of a span's pairs that must.
 NEAR, COVER, DENSE = 2, 0.8, 0.6
 
 
-def _notices(spark: SparkSession) -> DataFrame:
-    """(notice, label, base, pairs, place, a, b): each pair of neighbouring words of each notice. Its size is that of the lists
-    above, whatever the corpus."""
+def _rows(notices: dict[str, str]) -> list[tuple[int, str, bool, int, int, str, str]]:
+    """(notice, label, base, pairs, place, a, b): each pair of neighbouring words of each notice."""
     rows = []
-    for k, (text, label, base) in enumerate([(t, x, True) for t, x in BASE.items()] + [(t, x, False) for t, x in NOTICES.items()]):
+    for k, (text, label, base) in enumerate([(t, x, True) for t, x in BASE.items()] + [(t, x, False) for t, x in notices.items()]):
         w = text.split()
-        rows += [f"({k}, '{label}', {str(base).lower()}, {len(w) - 1}, {j}, '{a}', '{b}')" for j, (a, b) in enumerate(zip(w, w[1:], strict=False))]
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(notice, label, base, pairs, place, a, b)")
+        if not 2 <= len(w) <= PAIRS + 1:
+            raise ValueError(f"a notice has 2 to {PAIRS + 1} words; cut longer texts into sentences: {text[:60]!r}")
+        rows += [(k, label, base, len(w) - 1, j, a, b) for j, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+    return rows
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _notices(spark: SparkSession, notices: dict[str, str]) -> DataFrame:
+    """The pairs as a table, with a last one that keeps texts without a hit. Its size is that of the lists, whatever the corpus."""
+    rows = [*_rows(notices), (-1, "", False, 0, 0, "", "")]
+    table = spark.createDataFrame(rows, "notice int, label string, base boolean, pairs int, place int, a string, b string")
+    return table.withColumn("h", F.xxhash64("a", "b"))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", notices: dict[str, str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (the largest share of
-    a notice that a counted span covers; 0 without one)."""
+    a notice that a counted span covers; 0 without one). notices: sentences in lower case with their labels, for NOTICES."""
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # lower() also maps U+212A to an ASCII letter, unlike the rule; such texts take the slower way
-    low = F.when(F.instr(whole, "K") > 0, F.translate(whole, UPPER, UPPER.lower())).otherwise(F.lower(whole))
+    low = F.when(F.instr(whole, "K") > 0, F.translate(whole, UPPER, UPPER.lower())).otherwise(F.lower(whole))
     split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.split(low, BREAK).alias("w"))
     lead = (F.col("w")[0] == "").cast("int")
     trail = ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
-    pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
+    pair = lambda x, y: F.struct(F.xxhash64(x, y).alias("h"), x.alias("a"), y.alias("b"))
+    pairs = F.transform("w", lambda x, i: pair(x, F.get(F.col("w"), i + 1)))
     # one entry more, which matches the mark that keeps texts without a hit
-    counted = split.select("row", "doc_id", lead.alias("lead"), (F.size("w") - lead - trail).cast("long").alias("n_words"), F.array_append(pairs, F.xxhash64(F.lit("end of text"))).alias("h"))
-    every = counted.select("row", "doc_id", "lead", "n_words", F.posexplode("h").alias("i", "h"))
-    notices = _notices(spark).withColumn("h", F.xxhash64("a", "b")).drop("a", "b")
-    mark = spark.sql("SELECT -1 AS notice, '' AS label, false AS base, 0 AS pairs, 0 AS place, xxhash64('end of text') AS h")
-    hits = every.join(F.broadcast(notices.unionByName(mark)), "h").where("notice = -1 OR i + 1 < lead + n_words").select("row", "doc_id", "n_words", "notice", "label", "base", "pairs", (F.col("i") - F.col("lead")).alias("i"), (F.col("i") - F.col("lead") - F.col("place")).alias("diagonal"))
-    lines = hits.groupBy("row", "doc_id", "n_words", "notice", "label", "base", "pairs", "diagonal").agg(F.count("*").alias("votes"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    counted = split.select("row", "doc_id", lead.alias("lead"), (F.size("w") - lead - trail).cast("long").alias("n_words"), F.array_append(pairs, pair(F.lit(""), F.lit(""))).alias("pairs_of"))
+    every = counted.select("row", "doc_id", "lead", "n_words", F.posexplode("pairs_of").alias("i", "of")).select("row", "doc_id", "lead", "n_words", "i", "of.*")
+    table = F.broadcast(_notices(spark, NOTICES if notices is None else notices).withColumnsRenamed({"a": "word", "b": "next"}))
+    # pairs meet by their hashes, and count if the words are the same
+    same = (F.col("a") == F.col("word")) & (F.col("b") == F.col("next"))
+    hits = every.join(table, "h").where(same & ((F.col("notice") == -1) | (F.col("i") + 1 < F.col("lead") + F.col("n_words"))))
+    hits = hits.select("row", "doc_id", "n_words", "notice", "label", "base", "pairs", F.expr("shiftleft(1L, place)").alias("bit"), (F.col("i") - F.col("lead")).alias("i"), (F.col("i") - F.col("lead") - F.col("place")).alias("diagonal"))
+    by = ["row", "doc_id", "n_words", "notice", "label", "base", "pairs"]
+    lines = hits.groupBy(*by, "diagonal").agg(F.bit_or("bit").alias("places"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     along = Window.partitionBy("row", "notice").orderBy("diagonal")
     apart = F.col("base") | F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along)) > NEAR, F.lit(True))
+    # what is verified is how many different places of the notice have their words there, in one diagonal or in those that merge
+    covered = F.bit_count("places")
+    share = F.when(F.col("base"), F.when(covered == F.col("pairs"), 1.0)).when((covered >= COVER * F.col("pairs")) & (covered >= DENSE * (F.col("hi") - F.col("lo") + 1)), covered / F.col("pairs"))
+    share = F.when(F.col("notice") >= 0, share)
     merged = (
         lines.withColumn("apart", apart.cast("int"))
         .withColumn("span", F.sum("apart").over(along))
-        .groupBy("row", "doc_id", "n_words", "notice", "label", "base", "pairs", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("start"))
+        .withColumn("own", share)
+        .groupBy(*by, "span")
+        .agg(F.bit_or("places").alias("places"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("start"), F.max("own").alias("own"))
     )
-    # a span that repeats votes for a place twice covers it once at most, so a share stays within 1
-    share = F.least(F.try_divide("votes", "pairs"), F.lit(1.0))
-    counts = F.when(F.col("base"), F.col("votes") == F.col("pairs")).otherwise((share >= COVER) & (F.col("votes") >= DENSE * (F.col("hi") - F.col("lo") + 1)))
-    spans = merged.withColumn("counts", (F.col("notice") >= 0) & counts).withColumn("share", share)
+    spans = merged.withColumn("share", F.greatest("own", share)).withColumn("counts", F.col("share").isNotNull())
     is_base = F.col("counts") & F.col("base")
     joined = lambda cond: F.concat_ws(",", F.array_sort(F.collect_set(F.when(cond, F.col("label")))))
     return (
@@ -101,24 +133,22 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def scan_sql(table: str = "documents") -> str:
     """The same in DuckDB's SQL, on words instead of their hashes."""
-    rows = []
-    for k, (text, label, base) in enumerate([(t, x, True) for t, x in BASE.items()] + [(t, x, False) for t, x in NOTICES.items()]):
-        w = text.split()
-        rows += [f"({k}, '{label}', {base}, {len(w) - 1}, {j}, '{a}', '{b}')" for j, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+    rows = [f"({k}, '{label}', {base}, {pairs}, {place}, '{a}', '{b}')" for k, label, base, pairs, place, a, b in _rows(NOTICES)]
+    share = f"CASE WHEN base THEN CASE WHEN bit_count(places) = pairs THEN 1.0::DOUBLE END WHEN bit_count(places) >= {COVER}::DOUBLE * pairs AND bit_count(places) >= {DENSE}::DOUBLE * (hi - lo + 1) THEN bit_count(places)::DOUBLE / pairs END"
     return rf"""
 WITH notices(notice, label, base, pairs, place, a, b) AS (VALUES {", ".join(rows)}),
 texts AS (SELECT row_number() OVER () AS r, doc_id,
   list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {table}),
 words AS (SELECT r, unnest(w) AS a, unnest(range(len(w))) AS i FROM texts),
 pairs AS (SELECT r, i, a, lead(a) OVER (PARTITION BY r ORDER BY i) AS b FROM words),
-lines AS (SELECT r, notice, label, base, pairs, i - place AS diagonal, count(*) AS votes, min(i) AS lo, max(i) AS hi
+lines AS (SELECT r, notice, label, base, pairs, i - place AS diagonal, bit_or(1::BIGINT << place::INTEGER) AS places, min(i) AS lo, max(i) AS hi
   FROM pairs JOIN notices USING (a, b) GROUP BY ALL),
-cut AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, notice ORDER BY diagonal) > {NEAR}, true) THEN 1 ELSE 0 END AS apart FROM lines),
+cut AS (SELECT *, {share} AS own, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, notice ORDER BY diagonal) > {NEAR}, true) THEN 1 ELSE 0 END AS apart FROM lines),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY r, notice ORDER BY diagonal) AS span FROM cut),
-merged AS (SELECT r, notice, label, base, pairs, sum(votes) AS votes, min(lo) AS lo, max(hi) AS hi, min(diagonal) AS start
+merged AS (SELECT r, notice, label, base, pairs, bit_or(places) AS places, min(lo) AS lo, max(hi) AS hi, min(diagonal) AS start, max(own) AS own
   FROM numbered GROUP BY r, notice, label, base, pairs, span),
-spans AS (SELECT *, least(votes::DOUBLE / pairs, 1.0::DOUBLE) AS share FROM merged),
-good AS (SELECT * FROM spans WHERE CASE WHEN base THEN votes = pairs ELSE share >= {COVER} AND votes >= {DENSE} * (hi - lo + 1) END)
+spans AS (SELECT *, greatest(own, {share}) AS share FROM merged),
+good AS (SELECT * FROM spans WHERE share IS NOT NULL)
 SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(*) FILTER (base) AS n_base,
   min(start) FILTER (base)::BIGINT AS first_word, max(start) FILTER (base)::BIGINT AS last_word,
   coalesce(list_aggregate(list_sort(list(DISTINCT label) FILTER (base)), 'string_agg', ','), '') AS base_labels,
