@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from readqc.llm.license_scan import scan_sql
+from readqc.llm.sharding import SHARDS, place_sql
 from readqc.llm.sql import embedding_dedup_sql, jaccard_join_sql
 from readqc.llm.topk import search_sql
 
+SHARD_NAMES = [f"shard-{i:04d}" for i in range(SHARDS)]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,12 +80,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from readqc.llm.sharding import SHARDS, place
+    from readqc.llm.sharding import place
 
-    return place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", [f"shard-{i:04d}" for i in range(SHARDS)])
+    return place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARD_NAMES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kneser_ney, op2_exact_top_k, op3_toxicity, op4_ngram_jaccard_join, op5_embedding_dedup, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 #: SQL of the operators that SQL can express; the others are tested against brute force in tests/llm.
-SQL: dict[str, str] = {"op2_exact_top_k": search_sql(), "op4_ngram_jaccard_join": jaccard_join_sql(), "op5_embedding_dedup": embedding_dedup_sql(), "op7_license_scan": scan_sql()}
+SQL: dict[str, str] = {"op2_exact_top_k": search_sql(), "op4_ngram_jaccard_join": jaccard_join_sql(), "op5_embedding_dedup": embedding_dedup_sql(), "op7_license_scan": scan_sql(), "op10_sharding": place_sql(SHARD_NAMES)}

@@ -7,8 +7,8 @@ few keys besides its own. The table goes to the executors once, as its size is a
 hash, a remainder and one look-up, with no exchange: a hot source or group spreads by the rows' own keys.
 
 Nulls: a null key is placed like the text of an empty key, always in the same shard. Repeated rows go to
-the same shard. Other columns stay as they are; the two new ones take the names asked for, and
-replace columns that have them.
+the same shard, and rows of one key always meet. Other columns stay as they are, whatever they are called; the two new ones take the
+names asked for, and replace columns that have them in any case of letters. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Slots of the table (a prime) and shards. With a hundred slots a shard or more, shares differ by under a hundredth.
 SLOTS, SHARDS = 65_537, 512
@@ -54,12 +55,30 @@ def slot_of(key, slots: int = SLOTS):
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
+def lookup_frame(spark: SparkSession, names: list[str], slots: int, slot_column: str, shard_column: str) -> DataFrame:
+    """The table as rows (slot, shard): as many as slots, whatever the data."""
+    table = lookup_table(names, slots).tolist()
+    return spark.createDataFrame([(i, names[x]) for i, x in enumerate(table)], T.StructType([T.StructField(slot_column, T.IntegerType()), T.StructField(shard_column, T.StringType())]))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def place(df: DataFrame, key: str, names: list[str], slots: int = SLOTS, slot_column: str = "slot", shard_column: str = "shard") -> DataFrame:
     """df with the slot and the shard (one of names) of each row's key."""
-    spark = df.sparkSession
-    table = lookup_table(names, slots).tolist()
-    # as many rows as slots, whatever the data
-    lookup = spark.createDataFrame([(i, names[x]) for i, x in enumerate(table)], "slot_ int, shard_ string")
-    rest = [f"`{c}`" for c in df.columns if c not in (slot_column, shard_column)]
-    keyed = df.withColumn("slot_", slot_of(df[key], slots))
-    return keyed.join(F.broadcast(lookup), "slot_").select(*rest, F.col("slot_").alias(slot_column), F.col("shard_").alias(shard_column))
+    # the row travels as one struct, so that no name of its columns can clash with those of the table
+    keyed = df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("whole"), slot_of(F.col(quoted(key)), slots).alias("at"))
+    lookup = lookup_frame(df.sparkSession, names, slots, "at", "name")
+    taken = {slot_column.lower(), shard_column.lower()}
+    rest = [F.col("whole." + quoted(c)).alias(c) for c in df.columns if c.lower() not in taken]
+    return keyed.join(F.broadcast(lookup), "at").select(*rest, F.col("at").alias(slot_column), F.col("name").alias(shard_column))
+
+
+def place_sql(names: list[str], slots: int = SLOTS, table: str = "documents", key: str = "doc_id") -> str:
+    """The same for a key column alone, in DuckDB's SQL. The lookup table is a list in it; tests fill one by the plain rule."""
+    shards = ", ".join(f"'{x}'" for x in names)
+    return f"""
+WITH lookup AS (SELECT [{", ".join(map(str, lookup_table(names, slots).tolist()))}] AS claimed, [{shards}] AS names),
+keyed AS (SELECT {key}, (('0x' || substr(md5(coalesce({key}::VARCHAR, '')), 1, 15))::BIGINT % {slots})::INTEGER AS slot FROM {table})
+SELECT {key}, slot, names[claimed[slot + 1] + 1] AS shard FROM keyed, lookup"""

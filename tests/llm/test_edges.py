@@ -1,12 +1,13 @@
 """Repeated rows, ties, very long texts and clashing names against brute force."""
 
+import hashlib
 import math
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from readqc.llm import embedding_dedup, quality, topk, vectors
+from readqc.llm import embedding_dedup, license_scan, quality, sharding, topk, vectors
 
 VEC = "vec_id long, embedding array<float>, row string, block int, x int"  # the last three clash with names that operators use
 
@@ -133,3 +134,71 @@ def test_rounded_kth_score_drops_no_better_row():
         order, nodes = topk.ball_tree(x[a : a + 20], 4)
         best.search(x[a : a + 20][order], np.arange(a, a + 20)[order], np.arange(a, a + 20)[order], nodes)
     assert best.found[0][1].tolist() == [39, 38, 37] and best.found[0][0].tolist() == [2**60 + i for i in (39, 38, 37)]
+
+
+DOC = "doc_id long, text string, row int, h long, place string, slot int"  # all but the first two clash with names that operators use
+
+
+def docs_of(spark, texts, ids=None, parts=3):
+    rows = [(i, t, 7, 8, "p", 777) for i, t in zip(range(len(texts)) if ids is None else ids, texts, strict=True)]
+    return spark.createDataFrame(rows, DOC).repartition(parts)
+
+
+def test_license_spans_are_verified(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this very software"
+    warranty = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    cases = {
+        "all rights all rights all rights": "",  # a place counts once, so nothing stands for "reserved"
+        "rights reserved all rights": "",
+        "all rights all rights reserved": "all-rights-reserved",
+        "all rights reserved " * 3: "all-rights-reserved",
+        ("word " * 150_000) + mit + (" word" * 150_000): "mit",
+        warranty: "mit",
+        "software software " + "the software " * 40: "",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+    }
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, list(cases))).collect()}
+    assert [got[i].labels for i in range(len(cases))] == list(cases.values())
+    assert got[4].n_words == 300_017 and all((r.score > 0) == bool(r.labels) for r in got.values())
+    own = license_scan.scan(docs_of(spark, ["free as in beer", "x"]), notices={"as in beer": "beer"}).collect()
+    assert sorted((r.doc_id, r.labels) for r in own) == [(0, "beer"), (1, "")]
+    with pytest.raises(ValueError, match="sentences"):
+        license_scan.scan(docs_of(spark, ["x"]), notices={"x " * 70: "long"})
+
+
+def filled(names, slots):
+    """The table by the plain rule: whole permutations, and turns in which each takes the next that is free."""
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:14], 16)
+    prefers = [[(number(f"start {n}") % slots + k * (number(f"step {n}") % (slots - 1) + 1)) % slots for k in range(slots)] for n in names]
+    held, nexts = {}, [iter(p) for p in prefers]
+    while len(held) < slots:
+        for i, own in enumerate(nexts):
+            if len(held) < slots:
+                held[next(s for s in own if s not in held)] = i
+    return [held[s] for s in range(slots)]
+
+
+@pytest.mark.parametrize(("shards", "slots"), [(5, 101), (12, 1009), (512, sharding.SLOTS)])
+def test_lookup_table_by_the_plain_rule(shards, slots):
+    names = [f"shard-{i:04d}" for i in range(shards)]
+    if slots < 2000:
+        assert sharding.lookup_table(names, slots).tolist() == filled(names, slots)
+    else:
+        table = sharding.lookup_table(names, slots)
+        counts = np.bincount(table)
+        assert len(counts) == shards and counts.max() - counts.min() <= 1
+        # shard 0 has the first turn: its start is its own
+        assert table[int(hashlib.md5(f"start {names[0]}".encode()).hexdigest()[:14], 16) % slots] == 0
+
+
+def test_sharding_with_odd_names(spark):
+    names = [f"s{i}" for i in range(5)]
+    rows = [(i % 40, 1, "x", 2, 3, 4, 5) for i in range(80)] + [(None, 1, "x", 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, ["key.with `marks`", "at", "name", "slot_", "Slot", "whole", "shard_"])
+    got = sharding.place(df, "key.with `marks`", names, 101)
+    assert got.columns == ["key.with `marks`", "at", "name", "slot_", "whole", "shard_", "slot", "shard"]
+    table = filled(names, 101)
+    for r in got.collect():
+        slot = int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16) % 101
+        assert tuple(r)[1:] == (1, "x", 2, 4, 5, slot, names[table[slot]])
+    assert got.count() == 81

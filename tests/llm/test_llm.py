@@ -511,7 +511,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
-@pytest.mark.parametrize("name", ["op2_exact_top_k", "op4_ngram_jaccard_join", "op5_embedding_dedup", "op7_license_scan"])
+@pytest.mark.parametrize("name", ["op2_exact_top_k", "op4_ngram_jaccard_join", "op5_embedding_dedup", "op7_license_scan", "op10_sharding"])
 def test_sql(spark, name):
     import os
 
