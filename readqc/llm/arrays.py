@@ -12,8 +12,8 @@ import pyarrow.fs as fs
 
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path: a local or mounted folder, or any store that Arrow knows by its scheme."""
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """File system and path of an address with its scheme, as shared.new_folder gives it."""
+    return fs.FileSystem.from_uri(uri)
 
 
 def save(folder: str, name: str, array: np.ndarray) -> str:

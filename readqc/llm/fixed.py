@@ -8,22 +8,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PARTS = 32
+#: Pieces in which arrays are added up: one for so many partitions, within bounds, so that an adder reads a bounded share.
+PARTITIONS, LEAST, MOST = 16, 32, 1024
 
 
 def summed(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], length: int, sent: type = np.uint32, final: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """The sum over partitions of a uint32 array of `length` that `count` fills from a partition's batches. Added up in
     pieces by an exchange, to which a partition's counts go as `sent` (larger ones as its largest number); `final` turns a piece's
     sums into what comes to the driver. The driver gets one array, whatever the number of partitions."""
-    step = -(-length // PARTS)
+    pieces = min(max(df.rdd.getNumPartitions() // PARTITIONS, LEAST), MOST)
+    step = -(-length // pieces)
     final = final or (lambda x: x)
     made = final(np.zeros(1, np.uint32)).dtype
 
     def fill(batches):
-        out = np.zeros(step * PARTS, np.uint32)
+        out = np.zeros(step * pieces, np.uint32)
         count(batches, out)
         out = np.minimum(out, np.iinfo(sent).max).astype(sent)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([out[i * step : (i + 1) * step].tobytes() for i in range(PARTS)], pa.binary())], ["piece", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([out[i * step : (i + 1) * step].tobytes() for i in range(pieces)], pa.binary())], ["piece", "data"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(step, np.uint64)
@@ -34,7 +36,7 @@ def summed(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "data"])
 
     kind = "piece int, data binary"
-    out = np.zeros((PARTS, step), made)
+    out = np.zeros((pieces, step), made)
     for r in df.mapInArrow(fill, kind).groupBy("piece").applyInArrow(add, kind).collect():
         out[r["piece"]] = np.frombuffer(r["data"], made)
     return out.reshape(-1)[:length]

@@ -1,10 +1,14 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set is its distinct word shingles. All sets share one order of shingles: rare ones first, by
-a count sketch of fixed size, then by hash. Two sets that overlap enough share a shingle among the first
+a count sketch that grows with the input up to SLOTS_MOST, then by hash; a slot's level goes up to 2 ** 31, so that also in a sketch that is full
+the common shingles stand out and come last. Two sets that overlap enough share a shingle among the first
 n - ceil(t n) + 1 of each (the prefix). Documents with identical prefix and size form one group; groups that
 share a prefix shingle are paired, filtered by size and by the places of that shingle, then expanded
-to members and verified on the whole sets.
+to members and verified on the whole sets. A set's identity is a digest of 16 bytes.
+
+A shingle that the sketch counts 2 ** HOT times or more is dealt over parts: its postings go to several buckets, and its side of a join is
+split by part while the few on the other side go to each, so that no task holds all of it.
 
 What is asked for is which documents hang together, so a pair inside one component need not be looked at.
 Rounds of stars (some groups of a shingle's bucket against all others) merge large groups of copies with
@@ -32,8 +36,14 @@ from readqc.llm.components import components
 from readqc.llm.fixed import summed
 from readqc.llm.shared import arrow, partitions, release, texts, written
 
-#: Words of a shingle; similarity in hundredths; slots of the sketch; rounds of stars and hubs in each.
-WIDTH, PERCENT, SLOTS, STARS, HUBS = 5, 75, 1 << 22, 2, 4
+#: Words of a shingle; similarity in hundredths; rounds of stars and hubs in each.
+WIDTH, PERCENT, STARS, HUBS = 5, 75, 2, 4
+#: Slots of the sketch: so many for each split of the input, within these bounds. A worker holds a byte a slot, and four while counting.
+SLOTS_SPLIT, SLOTS_LEAST, SLOTS_MOST = 1 << 17, 1 << 22, 1 << 24
+#: Bits of a shingle's key that hold its level; from which level on it is dealt over parts, which hold some 2 ** (HOT - 1) postings each.
+LEVEL_BITS, HOT = 5, 12
+#: Bits for each document that is looked for, least and most bits of that filter.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 25
 #: Words of the outline that a join's condition looks at.
 FOLD = 4
 #: Bytes of text at once; postings packed at once; postings of a shingle that are compared for a partner.
@@ -59,7 +69,7 @@ def _slot(h: np.ndarray, slots: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, slots: int) -> np.ndarray:
-    """For each slot of shingle hashes the power of two that its count over all documents reaches (0 to 15)."""
+    """For each slot of shingle hashes the power of two that its count over all documents reaches (0 to 31)."""
 
     def count(batches, out):
         for piece in K.chunks(batches, "text", PIECE):
@@ -67,12 +77,23 @@ def sketch(docs: DataFrame, width: int, slots: int) -> np.ndarray:
             np.add.at(out, _slot(np.concatenate(sets), slots), np.uint32(1)) if sets else None
 
     # large counts of one task are cut, as only their magnitude tells
-    return summed(docs, count, slots, np.uint8, lambda x: np.minimum(15, np.floor(np.log2(np.maximum(x, 1)))).astype(np.uint8))
+    return summed(docs, count, slots, np.uint8, lambda x: np.minimum(31, np.floor(np.log2(np.maximum(x, 1)))).astype(np.uint8))
 
 
 def ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The distinct shingles in the common order, as keys of 4 bits of level and 60 of hash."""
-    return np.unique((levels[_slot(h, len(levels))].astype(U) << U(60)) | (h >> U(4)))
+    """The distinct shingles in the common order, as keys of level and hash."""
+    return np.unique((levels[_slot(h, len(levels))].astype(U) << U(64 - LEVEL_BITS)) | (h >> U(LEVEL_BITS)))
+
+
+def parts_of(tokens: np.ndarray, hot: int) -> np.ndarray:
+    """Over how many parts each shingle is dealt: one below the level `hot`."""
+    level = (tokens >> U(64 - LEVEL_BITS)).astype(np.int64)
+    return np.left_shift(1, np.maximum(level - (hot - 1), 0))
+
+
+def part_of(owner: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The part of a posting, by its prefix."""
+    return ((K.mix(owner.astype(np.int64).view(U)) >> U(32)).astype(np.int64) % parts).astype(np.int64)
 
 
 def bits(s: np.ndarray) -> np.ndarray:
@@ -115,7 +136,7 @@ def likely_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFram
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     outline = members.select("node", "n", "bits")
-    return pairs.join(outline.toDF("u", "n1", "b1"), "u").join(outline.toDF("v", "n2", "b2"), "v").select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u long, v long")
+    return pairs.join(outline.toDF("u", "n1", "b1"), "u").join(outline.toDF("v", "n2", "b2"), "v").select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u binary, v binary")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -126,16 +147,17 @@ def _long(b: bytes) -> int:
     return int.from_bytes(b[:8], "little", signed=True)
 
 
-def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int) -> DataFrame:
-    """In one pass a row per document (doc_id, n, prefix, node: hashes of prefix with size and of the whole set) and rows of
-    packed postings: for a bucket of shingles, which prefixes hold which, and where."""
+def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int, hot: int = HOT) -> DataFrame:
+    """In one pass a row per document (doc_id, n, prefix, node: hash of prefix with size, and digest of the whole set) and rows of
+    packed postings: for a bucket of shingles, which prefixes hold which, and where. Prefixes of one size whose hashes are equal by chance
+    form one group, of which nothing is lost: all of their postings stay, and their members are verified as any others."""
 
     def run(batches):
         book = levels.value
         names = ["doc_id", "n", "prefix", "node", "bits", "fold", "bucket", "tokens", "owner", "place", "owners", "sizes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), *[pa.binary()] * 5]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), *[pa.binary()] * 5]
         held: list[tuple[np.ndarray, int]] = []
-        own: dict[int, int] = {}
+        own: dict[bytes, int] = {}
         sizes: list[int] = []
         waiting = 0
 
@@ -145,11 +167,12 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int)
             tokens = np.concatenate([x for x, _ in held])
             owner = np.repeat(np.array([o for _, o in held], np.uint32), [len(x) for x, _ in held])
             place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x, _ in held])
-            bucket = (K.mix(tokens) % U(buckets)).astype(np.int32)
+            keys, ns = np.array([_long(k) for k in own], np.int64), np.array(sizes, np.int64)
+            part = part_of(keys[owner], parts_of(tokens, hot))
+            bucket = (K.mix(K.mix(tokens) + part.astype(U)) % U(buckets)).astype(np.int32)
             order = np.lexsort((tokens, bucket))
             tokens, owner, place, bucket = tokens[order], owner[order], place[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            keys, ns = np.array(list(own), np.int64), np.array(sizes, np.int64)
             for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if b > a:
                     used, local = np.unique(owner[a:b], return_inverse=True)
@@ -167,8 +190,9 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int)
                     node.append(None)
                     continue
                 head = s[: prefix_length(len(s), percent)]
-                prefix.append(p := _long(K.digest(np.append(head, U(len(s))))))
-                node.append(_long(K.digest(s)))
+                p = K.digest(np.append(head, U(len(s))))
+                prefix.append(_long(p))
+                node.append(K.digest(s))
                 if p not in own and key is not None:
                     own[p] = len(own)
                     sizes.append(len(s))
@@ -183,7 +207,7 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int)
                 waiting = 0
         yield from postings()
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix long, node long, bits binary, fold array<long>, bucket int, tokens binary, owner binary, place binary, owners binary, sizes binary")
+    return docs.mapInArrow(run, "doc_id long, n long, prefix long, node binary, bits binary, fold array<long>, bucket int, tokens binary, owner binary, place binary, owners binary, sizes binary")
 
 
 def may_link(n1, i1, n2, i2, percent: int):
@@ -195,10 +219,11 @@ def may_link(n1, i1, n2, i2, percent: int):
     return small & large & ((100 + percent) * (n1 - i1) >= least) & ((100 + percent) * (n2 - i2) >= least)
 
 
-def shared_postings(packed: DataFrame, percent: int) -> DataFrame:
-    """(token, prefix, n, place) of the shingles that two prefixes or more hold. Postings without any partner that the filter
+def shared_postings(packed: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
+    """(token, part, parts, prefix, n, place) of the shingles that two prefixes or more hold. Postings without any partner that the filter
     lets through are left out, and of shingles that the same prefixes hold the first in the order stands for all, as it has the
-    least places. A bucket's share of postings is bounded, as buckets are many and filled by hash."""
+    least places. A bucket's share of postings is bounded, as buckets are many and filled by hash, and hot shingles are dealt over
+    several; their postings all stay, since no bucket sees all of them."""
 
     def merge(key, batches):
         tokens, owner, n, place = [], [], [], []
@@ -210,19 +235,21 @@ def shared_postings(packed: DataFrame, percent: int) -> DataFrame:
                 n.append(np.frombuffer(sizes, np.int64)[local])
                 place.append(K.unplanes(p, np.uint32))
         tokens, owner, n, place = (np.concatenate(x) for x in (tokens, owner, n, place))
+        parts = parts_of(tokens, hot)
+        dealt = parts > 1
         order = np.argsort(tokens, kind="stable")
         t = tokens[order]
         same = t[1:] == t[:-1]
-        order = order[np.append(False, same) | np.append(same, False)]  # of shingles met twice
-        order = order[np.lexsort((owner[order], tokens[order]))]
-        t, o = tokens[order], owner[order]
-        fresh = np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))[: len(t)]
-        order, t = order[fresh], t[fresh]
+        order = order[np.append(False, same) | np.append(same, False) | dealt[order]]  # of shingles met twice
+        order = order[np.lexsort((place[order], n[order], owner[order], tokens[order]))]
+        columns = [x[order] for x in (tokens, owner, n, place)]
+        fresh = np.append(True, np.any([x[1:] != x[:-1] for x in columns], axis=0))[: len(order)]
+        order, t = order[fresh], columns[0][fresh]
         same = t[1:] == t[:-1]
-        order = order[(np.append(False, same) | np.append(same, False))[: len(t)]]
+        order = order[(np.append(False, same) | np.append(same, False))[: len(t)] | dealt[order]]
         order = order[np.lexsort((n[order], tokens[order]))]
         t, size, at = tokens[order], n[order], place[order].astype(np.int64)
-        keep = np.zeros(len(order), bool)
+        keep = dealt[order]
         for d in range(1, min(NEIGHBOURS, len(order) - 1) + 1):
             same = t[d:] == t[:-d]
             if not same.any():
@@ -239,26 +266,38 @@ def shared_postings(packed: DataFrame, percent: int) -> DataFrame:
             t = tokens[order]
             first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             many = np.diff(np.append(first, len(t)))
-            # a hash of the set of prefixes: the sum of theirs
-            lists = K.mix(np.add.reduceat(K.mix(owner[order].view(U)), first) + many.astype(U))
+            # a hash of the set of prefixes: the sum of theirs; hot shingles, of which a part is here, get theirs later
+            lists = K.mix(np.add.reduceat(K.mix(owner[order].view(U) + n[order].view(U)), first) + many.astype(U))
             _, kept = np.unique(lists, return_index=True)
-            chosen = np.zeros(len(first), bool)
+            chosen = dealt[order][first]
+            some = chosen.copy()
             chosen[kept] = True
-            order, lists = order[np.repeat(chosen, many)], np.repeat(lists[chosen], many[chosen])
+            order, lists, some = order[np.repeat(chosen, many)], np.repeat(lists[chosen], many[chosen]), np.repeat(some[chosen], many[chosen])
             signed = (tokens[order] ^ U(1 << 63)).view(np.int64)  # in the same order
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (lists.view(np.int64), signed, owner[order], n[order], place[order])], ["list", "token", "prefix", "n", "place"])
+            values = [pa.array(lists.view(np.int64), mask=some), *map(pa.array, (signed, part_of(owner[order], parts[order]), parts[order], owner[order], n[order], place[order].astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays(values, ["list", "token", "part", "parts", "prefix", "n", "place"])
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return merge(key, batches)
 
-    rows = written(packed.groupBy("bucket").applyInArrow(run, "list long, token long, prefix long, n long, place long"), "bucket-postings")
-    best = rows.groupBy("list").agg(F.min("token").alias("token"))
-    return rows.join(best, ["list", "token"]).select("token", "prefix", "n", "place")
+    rows = written(packed.groupBy("bucket").applyInArrow(run, "list long, token long, part long, parts long, prefix long, n long, place long"), "bucket-postings")
+    best = rows.where("list IS NOT NULL").groupBy("list").agg(F.min("token").alias("token")).select("token")
+    whole = rows.where("list IS NULL").groupBy("token").agg(F.bit_xor(F.xxhash64("prefix", "n")).alias("a"), F.bit_xor(F.xxhash64("n", "prefix")).alias("b"), F.count("*").alias("c"))
+    best = best.unionByName(whole.groupBy("a", "b", "c").agg(F.min("token").alias("token")).select("token"))
+    return rows.join(best, "token", "left_semi").select("token", "part", "parts", "prefix", "n", "place")
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame, levels, width: int, slots: int) -> DataFrame:
-    """(node, s) with at least the whole set of each wanted rep, a document. The texts are read where they lie: a filter of fixed size
-    tells which documents to work out; those that it lets through wrongly, and repeated rows, cost time only."""
+def to_each_part(df: DataFrame) -> DataFrame:
+    """df (token, parts, ..) with a row for each part of its shingle: what meets a side that is split by part."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+
+def candidate_sets(docs: DataFrame, wanted: DataFrame, levels, width: int) -> DataFrame:
+    """(node, s) with at least the whole set of each wanted rep, a document. The texts are read where they lie: a filter, whose size follows
+    the number of wanted ones up to FILTER_MOST bits, tells which documents to work out. Those that it lets through wrongly, and repeated rows,
+    cost time only: at worst, with many more wanted than it has bits, the sets of all documents are worked out and dealt out once."""
+
+    slots = 1 << min(max(FILTER_SHARE * wanted.count(), FILTER_LEAST), FILTER_MOST).bit_length() - 1
 
     def cells_of(ids: np.ndarray) -> np.ndarray:
         return (K.mix(ids.astype(np.int64).view(U)) >> U(20)).astype(np.int64) & (slots - 1)
@@ -278,26 +317,33 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, levels, width: int, slots
             sets = [x for x in (ordered(x, book) for x in shingle_sets(piece["text"], width)) if len(x)]
             if sets:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([_long(K.digest(x)) for x in sets], pa.int64()), lists], ["node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([K.digest(x) for x in sets], pa.binary()), lists], ["node", "s"])
+
+    return docs.mapInArrow(run, "node binary, s array<long>")
+
 
-    return docs.mapInArrow(run, "node long, s array<long>")
+def sketch_slots(docs: DataFrame) -> int:
+    """The slots of the sketch for an input: a power of two that follows its splits."""
+    return 1 << (min(max(SLOTS_SPLIT * docs.rdd.getNumPartitions(), SLOTS_LEAST), SLOTS_MOST)).bit_length() - 1
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int = SLOTS) -> DataFrame:
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int | None = None, key: str = "doc_id", hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the least doc_id that links reach. Two documents link if
-    100 * intersection >= percent * union of their sets."""
+    100 * intersection >= percent * union of their sets. key: the column of docs that is doc_id here; hot: see HOT."""
     spark = docs.sparkSession
     arrow(spark)
-    docs = texts(docs)
-    levels = spark.sparkContext.broadcast(sketch(docs, width, slots))
-    made = written(signatures(docs, levels, width, percent, partitions(docs)), "signatures")
+    docs = texts(docs, key)
+    buckets = partitions(docs)
+    levels = spark.sparkContext.broadcast(sketch(docs, width, slots or sketch_slots(docs)))
+    made = written(signatures(docs, levels, width, percent, buckets, hot), "signatures")
     rows = made.where("n IS NOT NULL").select("doc_id", "n", "prefix", "node")
     release(spark)
-    posted = written(shared_postings(made.where("bucket IS NOT NULL").select("bucket", "tokens", "owner", "place", "owners", "sizes"), percent), "postings")
+    posted = written(shared_postings(made.where("bucket IS NOT NULL").select("bucket", "tokens", "owner", "place", "owners", "sizes"), percent, hot), "postings")
+    group = ["prefix", "n"]
     sets = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     # groups with a partner: by a shingle of their prefix, or inside, where sets differ after equal prefixes
-    paired = posted.select("prefix").unionByName(sets.groupBy("prefix").count().where("count > 1").select("prefix")).distinct()
-    members = sets.join(paired, "prefix", "left_semi")
+    paired = posted.select(*group).unionByName(sets.groupBy(*group).count().where("count > 1").select(*group)).distinct()
+    members = sets.join(paired, group, "left_semi")
     # any of the copies tells the outline of their set
     outlines = made.where("node IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "node", "bits", F.struct(*(F.get("fold", F.lit(i)).alias(f"f{i}") for i in range(FOLD))).alias("fold"))
     members = written(members.join(outlines, ["node", "rep"]).dropDuplicates(["node"]), "members")
@@ -309,7 +355,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
         pairs = written(pairs, "likely")
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         # dealt out by node once, for both joins
-        whole = candidate_sets(docs, members.join(ends, "node", "left_semi").select("rep"), levels, width, slots).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
+        whole = candidate_sets(docs, members.join(ends, "node", "left_semi").select("rep"), levels, width).repartition(buckets, "node").persist()
         a, b = whole.select(F.col("node").alias("u"), F.col("s").alias("su")), whole.select(F.col("node").alias("v"), F.col("s").alias("sv"))
         both = F.size(F.array_intersect("su", "sv"))
         found = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("t")).where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("u", "v")
@@ -321,34 +367,35 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
     turn = 0
     while turn <= STARS:
         # a group may hold members of several components: each such part is a unit, named by its least member
-        parts = written(members.join(labels, "node").groupBy("prefix", "component").agg(F.min("node").alias("first"), F.min("n").alias("n"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")), "parts")
-        # a shingle's bucket holds each part with its first member's outline; in the last round, where all members are asked for, if it is the only one
+        units = written(members.join(labels, "node").groupBy(*group, "component").agg(F.min("node").alias("first"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")), "units")
+        # a shingle's bucket holds each unit with its first member's outline; in the last round, where all members are asked for, if it is the only one
         outline = F.col("fold") if turn < STARS else F.when(F.col("size") == 1, F.col("fold"))
-        base = posted.join(parts.select("prefix", "component", "first", outline.alias("fold")), "prefix")
+        base = posted.join(units.select(*group, "component", "first", outline.alias("fold")), group)
         if turn:  # shingles of one component are done with
-            open_tokens = base.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-            base = written(base.join(open_tokens, "token", "left_semi"), "base")
-            posted = base.select("token", "prefix", "n", "place").distinct()
-        one = base.select("token", F.col("component").alias("c1"), F.col("prefix").alias("p1"), F.col("first").alias("u"), F.col("n").alias("n1"), F.col("place").alias("i1"), F.col("fold").alias("b1"))
-        inner = parts.groupBy("prefix").agg(F.min("first").alias("u"), F.count("*").alias("many")).where("many > 1")
+            open_tokens = base.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("parts").alias("parts")).where("a <> b").select("token", "parts")
+            base = written(base.join(to_each_part(open_tokens), ["token", "part"], "left_semi"), "base")
+            posted = base.select("token", "part", "parts", *group, "place").distinct()
+        one = base.select("token", "part", "parts", F.col("component").alias("c1"), F.col("prefix").alias("p1"), F.col("first").alias("u"), F.col("n").alias("n1"), F.col("place").alias("i1"), F.col("fold").alias("b1"))
+        other = {"c1": "c2", "p1": "p2", "u": "v", "n1": "n2", "i1": "i2", "b1": "b2"}
+        inner = units.groupBy(*group).agg(F.min("first").alias("u"), F.count("*").alias("many")).where("many > 1")
         if turn < STARS:
-            unit = F.struct(F.col("c1").alias("c2"), F.col("p1").alias("p2"), F.col("u").alias("v"), F.col("n1").alias("n2"), F.col("i1").alias("i2"), F.col("b1").alias("b2"))
+            unit = F.struct(*(F.col(x).alias(y) for x, y in other.items()))
             hub_by = ["u", "token"] if turn else ["u"]  # the same hubs at first, for few pairs; then others for each shingle, so that all meet some
-            hubs = one.groupBy("token").agg(F.array(*(F.min_by(unit, F.xxhash64(*hub_by, F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("hubs"))
-            two = hubs.select("token", F.explode(F.array_distinct("hubs")).alias("hub")).select("token", "hub.*")
-            near = one.join(two, "token").where("c1 <> c2")
+            hubs = one.groupBy("token").agg(F.max("parts").alias("parts"), F.array(*(F.min_by(unit, F.xxhash64(*hub_by, F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("hubs"))
+            two = to_each_part(hubs.select("token", "parts", F.explode(F.array_distinct("hubs")).alias("hub"))).select("token", "part", "hub.*")
+            near = one.join(two, ["token", "part"]).where("c1 <> c2")
         else:
-            two = one.select("token", *(F.col(x).alias(y) for x, y in (("c1", "c2"), ("p1", "p2"), ("u", "v"), ("n1", "n2"), ("i1", "i2"), ("b1", "b2"))))
-            near = one.join(two, "token").where("c1 < c2")
+            two = to_each_part(one.select("token", "parts", *(F.col(x).alias(y) for x, y in other.items())))
+            near = one.join(two, ["token", "part"]).where("c1 < c2")
         near = near.where(may_link(F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2"), percent))
         near = near.where(F.coalesce(folds_allow("b1", "b2", F.col("n1"), F.col("n2"), percent), F.lit(True)))
         if turn < STARS:
-            pairs = near.select("u", "v").unionByName(parts.join(inner, "prefix").where("first <> u").select("u", F.col("first").alias("v")))
+            pairs = near.select("u", "v").unionByName(units.join(inner, group).where("first <> u").select("u", F.col("first").alias("v")))
         else:
-            group = members.join(labels, "node").select("prefix", "component", "node")
-            left, right = group.toDF("p1", "c1", "u"), group.toDF("p2", "c2", "v")
-            across = near.select("p1", "c1", "p2", "c2").distinct().join(left, ["p1", "c1"]).join(right, ["p2", "c2"]).select("u", "v")
-            within = left.join(right, (F.col("p1") == F.col("p2")) & (F.col("c1") < F.col("c2"))).select("u", "v")
+            every = members.join(labels, "node").select(*group, "component", "node")
+            left, right = every.toDF("p1", "n1", "c1", "u"), every.toDF("p2", "n2", "c2", "v")
+            across = near.select("p1", "n1", "c1", "p2", "n2", "c2").distinct().join(left, ["p1", "n1", "c1"]).join(right, ["p2", "n2", "c2"]).select("u", "v")
+            within = left.join(right, (F.col("p1") == F.col("p2")) & (F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2"))).select("u", "v")
             pairs = across.unionByName(within)
         found = verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         release(spark)

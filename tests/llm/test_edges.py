@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from readqc.llm import embedding_dedup, license_scan, quality, sharding, topk, vectors
+from readqc.llm import embedding_dedup, jaccard_join, license_scan, quality, sharding, topk, vectors
 
 VEC = "vec_id long, embedding array<float>, row string, block int, x int"  # the last three clash with names that operators use
 
@@ -202,3 +204,50 @@ def test_sharding_with_odd_names(spark):
         slot = int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16) % 101
         assert tuple(r)[1:] == (1, "x", 2, 4, 5, slot, names[table[slot]])
     assert got.count() == 81
+
+
+def prose(r, n, vocabulary=3000):
+    return " ".join(f"w{int(vocabulary * r.random() ** 2)}" for _ in range(n))
+
+
+def shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def jaccard_brute(rows):
+    sets = [shingles(t) for _, t in rows]
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    least = {c: min(rows[i][0] for i in range(len(rows)) if comp[i] == c) for c in set(comp)}
+    return sorted((rows[i][0], len(sets[i]), least[comp[i]]) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("hot", [1, 3, 12])
+def test_jaccard_join_deals_common_shingles_over_parts(spark, hot):
+    r = random.Random(hot)
+    passage, base = prose(r, 40), prose(r, 60)
+    rows = [(i, prose(r, r.randint(5, 40)) + " " + passage) for i in range(40)]
+    for i in range(100, 180):  # a group of near copies, all different
+        w = base.split()
+        w[r.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, base) for i in range(200, 230)] + rows[:10] + [(7, "other words for the id of another text"), (300, ""), (301, None)]
+    got = sorted(tuple(x) for x in jaccard_join.join(docs_of(spark, [t for _, t in rows], [i for i, _ in rows]), hot=hot).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == jaccard_brute(rows)
+
+
+def test_pipeline_stage_of_near_duplicates_looks_at_rows(spark):
+    import corpus_pipeline
+
+    r = random.Random(2)
+    a, b = prose(r, 50), prose(r, 50)
+    rows = [(3, a), (5, a + " more"), (5, b), (8, b), (8, b), (9, ""), (9, ""), (None, a), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 99) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted([(False, 3, a), (False, 5, b), (False, 9, ""), (False, 9, ""), (True, 0, a), (False, 4, "")])
