@@ -1,17 +1,20 @@
 """A corpus pipeline over the operators of readqc.llm: quality, toxicity, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All
-but the last keep the columns of documents and whole rows. Nulls, empty texts and repeated rows are treated as the operators
-say; a row with a null doc_id is never a duplicate.
+but the last keep the columns of documents and whole rows, and judge each row by its own text. Nulls, empty texts and repeated rows are
+treated as the operators say; a row with a null doc_id is never a duplicate. Where the labels teach nothing (none, or of one kind only), the
+first two stages keep every row. An empty table has an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc.llm import jaccard_join, packing, quality, toxicity
-from readqc.llm.shared import new_folder
+from readqc.llm.shared import new_folder, written
 
 #: SQL cannot express the stages' learned and iterative steps; tests/llm hold them against brute force and labels.
 ORACLE_SQL = None
@@ -32,11 +35,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least doc_id. A repeated row stays once."""
-    groups = jaccard_join.join(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each group of near-duplicates: that with the least doc_id. Rows are judged each by its own text, so two texts under one doc_id
+    are two documents, and a repeated row stays once. Rows without words, and those with a null doc_id, all stay."""
+    row = next(name for name in (f"row{i}" for i in itertools.count()) if name not in map(str.lower, docs.columns))
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    known = numbered.where("doc_id IS NOT NULL")
+    groups = jaccard_join.join(known, key=row).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    first = groups.join(known.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first"))
+    others = groups.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_anti").select(row)
+    return numbered.join(others, row, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
