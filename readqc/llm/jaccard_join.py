@@ -109,12 +109,13 @@ def fold(outline: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(outline.reshape(-1, words), axis=0)
 
 
-def outlines_allow(a: np.ndarray, b: np.ndarray, n1: int, n2: int, percent: int) -> bool:
-    """Whether two outlines leave room for a link: a bit that only one set has stands for a shingle at least that the other lacks."""
+def margin(a: np.ndarray, b: np.ndarray, n1: int, n2: int, percent: int) -> float:
+    """By how much two outlines leave room for a link, negative if they don't: a bit that only one set has stands for a shingle at least
+    that the other lacks."""
     words = min(len(a), len(b))
     a, b = fold(a, words), fold(b, words)
     lacks = [int(np.bitwise_count(x & ~y).sum()) for x, y in ((a, b), (b, a))]
-    return (100 + percent) * min(n1 - lacks[0], n2 - lacks[1]) >= percent * (n1 + n2)
+    return ((100 + percent) * min(n1 - lacks[0], n2 - lacks[1]) - percent * (n1 + n2)) / (n1 + n2)
 
 
 def folds_allow(a: str, b: str, n1, n2, percent: int):
@@ -127,16 +128,16 @@ def folds_allow(a: str, b: str, n1, n2, percent: int):
 
 
 def likely_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Of (u, v) those whose outlines allow a link."""
+    """(u, v, margin) of those of (u, v) whose outlines allow a link."""
 
     def run(batches):
         for batch in batches:
             n1, b1, n2, b2 = (batch.column(c).to_pylist() for c in ("n1", "b1", "n2", "b2"))
-            ok = [outlines_allow(np.frombuffer(x, U), np.frombuffer(y, U), m, n, percent) for m, x, n, y in zip(n1, b1, n2, b2, strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            room = np.array([margin(np.frombuffer(x, U), np.frombuffer(y, U), m, n, percent) for m, x, n, y in zip(n1, b1, n2, b2, strict=True)], float)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(room)], ["u", "v", "margin"]).filter(pa.array(room >= 0))
 
     outline = members.select("node", "n", "bits")
-    return pairs.join(outline.toDF("u", "n1", "b1"), "u").join(outline.toDF("v", "n2", "b2"), "v").select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u binary, v binary")
+    return pairs.join(outline.toDF("u", "n1", "b1"), "u").join(outline.toDF("v", "n2", "b2"), "v").select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u binary, v binary, margin double")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -350,9 +351,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
     release(spark)
 
     def verified(pairs):
-        """Of (u, v) those that link: by their outlines, then by the whole sets."""
-        pairs = likely_pairs(pairs, members, percent)
-        pairs = written(pairs, "likely")
+        """Of (u, v) those that link, by the whole sets."""
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         # dealt out by node once, for both joins
         whole = candidate_sets(docs, members.join(ends, "node", "left_semi").select("rep"), levels, width).repartition(buckets, "node").persist()
@@ -363,6 +362,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
         whole.unpersist()
         return found
 
+    def merged(labels, found):
+        # what links joins components, so it is their links that are followed
+        new = named(found, labels).select(F.col("c1").alias("u"), F.col("c2").alias("v")).distinct()
+        ends = components(written(new, "new")).toDF("component", "root")
+        return written(labels.join(ends, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+
+    def named(pairs, labels):
+        return pairs.join(labels.toDF("u", "c1"), "u").join(labels.toDF("v", "c2"), "v").where("c1 <> c2")
+
     labels = members.select("node", F.col("node").alias("component"))
     turn = 0
     while turn <= STARS:
@@ -397,13 +405,16 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
             across = near.select("p1", "n1", "c1", "p2", "n2", "c2").distinct().join(left, ["p1", "n1", "c1"]).join(right, ["p2", "n2", "c2"]).select("u", "v")
             within = left.join(right, (F.col("p1") == F.col("p2")) & (F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2"))).select("u", "v")
             pairs = across.unionByName(within)
-        found = verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        likely = written(likely_pairs(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), members, percent), "likely")
+        if turn == STARS:  # of two components first the likeliest pair, which mostly merges them; then every pair of those that are still apart
+            pair = F.struct("u", "v")
+            best = named(likely, labels).groupBy(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).agg(F.max_by(pair, F.struct("margin", "u", "v")).alias("best"))
+            labels = merged(labels, verified(written(best.select("best.*"), "best")))
+            likely = written(named(likely, labels).select("u", "v"), "rest")
+        found = verified(likely.select("u", "v"))
         release(spark)
         turn = turn + 1 if turn == STARS or found.take(1) else STARS  # a round that finds nothing is the last of the stars
-        # what links joins components, so it is their links that are followed
-        new = found.join(labels.toDF("u", "c1"), "u").join(labels.toDF("v", "c2"), "v").select(F.col("c1").alias("u"), F.col("c2").alias("v")).distinct()
-        ends = components(written(new, "new")).toDF("component", "root")
-        labels = written(labels.join(ends, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        labels = merged(labels, found)
     linked = sets.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = linked.join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
     out = rows.join(least, "node", "left")
