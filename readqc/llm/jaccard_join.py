@@ -36,8 +36,8 @@ from readqc.llm.components import components
 from readqc.llm.fixed import summed
 from readqc.llm.shared import arrow, partitions, release, texts, written
 
-#: Words of a shingle; similarity in hundredths; rounds of stars and hubs in each.
-WIDTH, PERCENT, STARS, HUBS = 5, 75, 2, 4
+#: Words of a shingle; similarity in hundredths; rounds of stars at most, hubs in the first one and in each of the others.
+WIDTH, PERCENT, STARS, FIRST_HUBS, HUBS = 5, 75, 3, 4, 16
 #: Slots of the sketch: so many for each split of the input, within these bounds. A worker holds a byte a slot, and four while counting.
 SLOTS_SPLIT, SLOTS_LEAST, SLOTS_MOST = 1 << 17, 1 << 22, 1 << 24
 #: Bits of a shingle's key that hold its level; from which level on it is dealt over parts, which hold some 2 ** (HOT - 1) postings each.
@@ -389,7 +389,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
         if turn < STARS:
             unit = F.struct(*(F.col(x).alias(y) for x, y in other.items()))
             hub_by = ["u", "token"] if turn else ["u"]  # the same hubs at first, for few pairs; then others for each shingle, so that all meet some
-            hubs = one.groupBy("token").agg(F.max("parts").alias("parts"), F.array(*(F.min_by(unit, F.xxhash64(*hub_by, F.lit(turn * HUBS + k))) for k in range(HUBS))).alias("hubs"))
+            many = HUBS if turn else FIRST_HUBS
+            hubs = one.groupBy("token").agg(F.max("parts").alias("parts"), F.array(*(F.min_by(unit, F.xxhash64(*hub_by, F.lit(turn * HUBS + k))) for k in range(many))).alias("hubs"))
             two = to_each_part(hubs.select("token", "parts", F.explode(F.array_distinct("hubs")).alias("hub"))).select("token", "part", "hub.*")
             near = one.join(two, ["token", "part"]).where("c1 <> c2")
         else:
