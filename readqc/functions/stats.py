@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 
+#: Positions up to which none are grouped, and the most ranges behind the first nine.
+SINGLES, RANGES = 75, 66
+
 
 def base_groups(n: int, on: bool = True) -> list[tuple[int, int]]:
-    """1-based closed ranges of positions: single ones up to 75 positions or where grouping is off; else nine single ones, then the
-    smallest step of 2, 5, 10, 20, 50, .. that gives 66 ranges at most, the last one cut at n."""
-    if not on or n <= 75:
+    """1-based closed ranges of positions: single ones up to 75 positions or where grouping is off; else nine single ones, then ranges of the
+    smallest step of 2, 5, 10, 20, 50, .. of which no more than 66 reach from position 10 to n. The last one is cut at n."""
+    if not on or n <= SINGLES:
         return [(i, i) for i in range(1, n + 1)]
-    size, step = 1, 2
-    while True:
-        for step in (2 * size, 5 * size, 10 * size):
-            out = [(i, i) for i in range(1, 10)]
-            first = 10
-            while first <= n:
-                # the first wide range ends on a multiple of the step
-                last = min(n, first + step - 1)
-                out.append((first, last))
-                first = last + 1
-            if len(out) <= 66:
-                return out
-        size *= 10
+    step = next(k for e in itertools.count() for k in (2 * 10**e, 5 * 10**e, 10 * 10**e) if -(-(n - 9) // k) <= RANGES)
+    return [(i, i) for i in range(1, 10)] + [(i, min(n, i + step - 1)) for i in range(10, n + 1, step)]
 
 
 def theoretical_gc(hist: np.ndarray) -> np.ndarray:
@@ -62,53 +55,34 @@ def smoothed(values: list[float], width: int = 5) -> list[float]:
     return ends + [sum(values[i : i + width]) / width for i in range(n - width + 1)] + tail
 
 
-def gamma_p(a: np.ndarray, x: np.ndarray, steps: int = 200) -> np.ndarray:
-    """The regularised lower incomplete gamma function: a series below a + 1, a continued fraction above."""
-    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    out = np.zeros(a.shape)
-    log_gamma = np.vectorize(math.lgamma, otypes=[float])
-    ok = (a > 0) & (x > 0)
-    low = ok & (x < a + 1)
-    if low.any():
-        aa, xx = a[low], x[low]
-        term = total = 1 / aa
-        for k in range(1, steps + 1):
-            term = term * xx / (aa + k)
-            total = total + term
-        out[low] = total * np.exp(-xx + aa * np.log(xx) - log_gamma(aa))
-    high = ok & ~low
-    if high.any():
-        aa, xx = a[high], x[high]
-        tiny = 1e-300
-        b = xx + 1 - aa
-        c, d = np.full(b.shape, 1 / tiny), 1 / b
-        h = d
-        for k in range(1, steps + 1):
-            an = -k * (k - aa)
-            b = b + 2
-            d = an * d + b
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = b + an / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        out[high] = 1 - h * np.exp(-xx + aa * np.log(xx) - log_gamma(aa))
-    return np.clip(out, 0, 1)
+def poisson_above(k: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """P(X > k) for X of mean mu, k whole; 1 where mu is not positive. The terms of one tail are added up, each from its logarithm: those above k where
+    k is at least mu, as they fall from there on, else one less those up to k."""
+    k, mu = (np.asarray(x, float) for x in np.broadcast_arrays(k, mu))
+    return np.array([_above(int(a), m) if m > 0 else 1.0 for a, m in zip(k.ravel().tolist(), mu.ravel().tolist(), strict=True)]).reshape(k.shape)
 
 
-def poisson_above(k: np.ndarray, mu: np.ndarray) -> np.ndarray:
-    """P(X > k) for X of mean mu; 1 where mu is not positive."""
-    k, mu = np.asarray(k, float), np.asarray(mu, float)
-    return np.where(mu > 0, gamma_p(k + 1, np.where(mu > 0, mu, 1.0)), 1.0)
+def _above(k: int, mu: float) -> float:
+    upper = k >= mu
+    # beyond some forty standard deviations a term adds nothing
+    span = int(40 * math.sqrt(mu) + 60)
+    i = np.arange(k + 1, k + 1 + span) if upper else np.arange(max(0, k - span), k + 1)
+    first = int(i[0] if upper else i[-1])
+    top = first * math.log(mu) - mu - math.lgamma(first + 1)
+    # logarithms of the ratios of neighbouring terms, from the largest term on
+    ratios = np.log(mu / i[1:]) if upper else np.log(i[:0:-1] / mu)
+    total = math.exp(top) * float(np.exp(np.concatenate([[0.0], np.cumsum(ratios)])).sum())
+    return min(1.0, total if upper else max(0.0, 1 - total))
 
 
 def corrected_count(limit: int, n_reads: int, level: int, observed: int) -> float:
     """How many keys of a duplication level there are, where keys were taken up among the first `limit` of n_reads only."""
     if limit == n_reads or n_reads - observed < limit:
         return float(observed)
-    # the chance that none of `level` copies is among the first reads, as a product of limit factors
-    i = np.arange(min(limit, n_reads), dtype=float)
-    left = n_reads - i - level
-    missed = 0.0 if (left <= 0).any() else float(np.exp(np.log(left / (n_reads - i)).sum()))
-    if missed < 1 - observed / (observed + 0.01):
+    # the chance that none of `level` copies is among the first reads: the first copy lies behind them, then the second, and so on
+    least = max(1 - observed / (observed + 0.01), 1e-300)
+    if level > n_reads - limit or level * math.log1p(-limit / n_reads) < math.log(least):  # no factor is larger than the first
         missed = 0.0
-    return observed / max(np.finfo(float).eps, 1 - missed)
+    else:
+        missed = math.exp(float(np.log1p(-limit / (n_reads - np.arange(level, dtype=float))).sum()))
+    return observed / max(np.finfo(float).eps, 1 - (missed if missed >= least else 0.0))

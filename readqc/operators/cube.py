@@ -22,6 +22,8 @@ for _i, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
 #: Positions up to which counts are kept as a dense array; beyond them, by sorting.
 DENSE = 4096
+#: Keys beyond them that are held before they are merged.
+MERGE = 2_000_000
 
 
 def exploded(reads: DataFrame) -> DataFrame:
@@ -40,25 +42,35 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counter:
-    """Counts of integer keys: dense while they are small."""
+    """Counts of integer keys: dense while they are small, else as sorted keys that are merged now and then."""
 
     def __init__(self, limit: int):
         self.limit, self.dense = limit, np.zeros(0, np.int64)
-        self.sparse: dict[int, int] = {}
+        self.sparse: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
 
     def add(self, keys: np.ndarray) -> None:
         high = keys >= self.limit
         if high.any():
-            for k, n in zip(*(x.tolist() for x in np.unique(keys[high], return_counts=True)), strict=True):
-                self.sparse[k] = self.sparse.get(k, 0) + n
+            self.sparse.append(np.unique(keys[high], return_counts=True))
+            self.held += len(self.sparse[-1][0])
+            if self.held > MERGE and len(self.sparse) > 1:
+                self.sparse = [self._merged()]
+                self.held = len(self.sparse[0][0]) // 2  # so that merging stays in proportion to what comes
             keys = keys[~high]
         got = np.bincount(keys, minlength=len(self.dense))
         got[: len(self.dense)] += self.dense
         self.dense = got
 
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate([x[i] for x in self.sparse]) if self.sparse else np.zeros(0, np.int64) for i in (0, 1))
+        unique, back = np.unique(keys, return_inverse=True)
+        return unique, np.bincount(back, n, len(unique)).astype(np.int64)
+
     def items(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.dense)
-        return np.concatenate([at, np.array(list(self.sparse), np.int64)]), np.concatenate([self.dense[at], np.array(list(self.sparse.values()), np.int64)])
+        keys, n = self._merged()
+        return np.concatenate([at, keys]), np.concatenate([self.dense[at], n])
 
 
 def counted(reads: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +92,11 @@ def original_counts(reads: DataFrame, seeded: DataFrame) -> DataFrame:
 
 def corrected(hist: DataFrame, cut: DataFrame) -> DataFrame:
     """levels() of the original mode, scaled up by what the seeding may have missed. A row for each level: few."""
-    fix = F.udf(lambda limit, n, level, seen: int(corrected_count(limit, n, level, seen)), "long")
+
+    @F.pandas_udf("long")
+    def fix(limit: pd.Series, n: pd.Series, level: pd.Series, seen: pd.Series) -> pd.Series:
+        return pd.Series([int(corrected_count(*x)) for x in zip(limit.tolist(), n.tolist(), level.tolist(), seen.tolist(), strict=True)], dtype="int64")
+
     return hist.join(F.broadcast(cut), "file_id").select("file_id", "times_seen", fix("count_at_limit", "n_reads", "times_seen", "n_keys").alias("n_keys"))  # cut: a row a file
 
 

@@ -49,7 +49,9 @@ def gc_combined(hist: DataFrame) -> DataFrame:
     first, last = F.floor("lo").cast("int"), (F.least(F.lit(101), F.ceil("hi")) - 1).cast("int")
     each = rows.withColumn("gc", F.explode(F.sequence(first, F.greatest(first, last))))
     share = F.when(first == last, F.col("width")).when(F.col("gc") == first, first + 1 - F.col("lo")).when(F.col("gc") == last, F.col("hi") - last).otherwise(1.0)
-    return each.groupBy("file_id", "gc").agg(F.sum(F.col("n") / F.col("width") * share).alias("n"))
+    # in a set order, so that the sum of doubles is the same on any machine; some thousand numbers a bin at most, one for each length and count
+    held = F.sort_array(F.collect_list(F.struct("len_bin", "gc_bin", (F.col("n") / F.col("width") * share).alias("part"))))
+    return each.groupBy("file_id", "gc").agg(F.aggregate(held, F.lit(0.0), lambda total, x: total + x["part"]).alias("n"))
 
 
 def mean_quality(reads: DataFrame) -> DataFrame:

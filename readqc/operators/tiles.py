@@ -38,4 +38,6 @@ def tile_quality(reads: DataFrame, offset: DataFrame | int = 33, every: int = EV
 def centered(quality: DataFrame, on: bool = False) -> DataFrame:
     """(file_id, tile, group_id, tag, centered_mean): a tile's mean less the plain mean of the tiles' means there."""
     rows = grouped(quality, on).groupBy("file_id", "tile", "group_id", "tag").agg((F.sum("qsum") / F.sum("n")).alias("mean"))
-    return rows.select("file_id", "tile", "group_id", "tag", (F.col("mean") - F.avg("mean").over(Window.partitionBy("file_id", "group_id"))).alias("centered_mean"))
+    # in the order of tiles, so that the sum of doubles is the same on any machine
+    tiles = Window.partitionBy("file_id", "group_id").orderBy("tile").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select("file_id", "tile", "group_id", "tag", (F.col("mean") - F.avg("mean").over(tiles)).alias("centered_mean"))

@@ -41,6 +41,7 @@ class Analysis:
     encodings = _kept(lambda self: positions.encoding(self.cube))
     lengths = _kept(lambda self: per_read.lengths(self.reads))
     summary = _kept(lambda self: per_read.length_summary(self.lengths))
+    qualities = _kept(lambda self: per_read.quality_by_read(self.reads, self.encodings))
     gc = _kept(lambda self: per_read.gc_combined(per_read.gc_by_length(self.reads)))
     levels = _kept(lambda self: self._levels())
     adapter_hits = _kept(lambda self: ad.hits(self.reads, self.adapters))
@@ -61,8 +62,11 @@ class Analysis:
         if self.mode.original_duplicates:
             return dup.original_counts(self.reads, self._original[0]).persist()
         every = {f: 1 if self.mode.preseq else dup.stride(n) for f, n in self.with_bases.items()}
-        parts = [dup.key_counts(self.reads.where(F.col("file_id").isin([f for f, k in every.items() if k == step])), step) for step in sorted(set(every.values()))]
-        return functools.reduce(DataFrame.unionByName, parts or [dup.key_counts(self.reads)]).persist()
+        reads = self.reads
+        if set(every.values()) - {1}:
+            strides = reads.sparkSession.createDataFrame(list(every.items()), "file_id int, stride long")
+            reads = reads.join(F.broadcast(strides), "file_id").where("pmod(read_idx, stride) = 0").drop("stride")  # a row a file
+        return dup.key_counts(reads).persist()
 
     def _levels(self) -> DataFrame:
         hist = dup.levels(self.key_counts)
@@ -81,7 +85,7 @@ class Analysis:
         if module == "tile":
             return self.tile_means
         if module == "quality_sequence":
-            return per_read.trimmed(per_read.quality_by_read(self.reads, self.encodings), "quality")
+            return per_read.trimmed(self.qualities, "quality")
         if module == "sequence":
             return positions.base_content(self.cube, on)
         if module == "gc_sequence":

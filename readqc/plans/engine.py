@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from readqc.config import RunMode
 from readqc.plans.analysis import Analysis
 from readqc.report import html, text
-from readqc.sources import sniff
-from readqc.sources.files import read_files
+from readqc.sources import sniff, store
+from readqc.sources.files import staged_files
 
+#: Files that are analysed together.
+FILES = 256
 SUFFIXES = (".fastq.gz", ".fq.gz", ".fastq", ".fq", ".bam", ".sam")
 
 
@@ -25,7 +25,7 @@ def output_folders(paths: list[str], out: str) -> list[str]:
     stems = [stem(p) for p in paths]
     if twice := sorted({s for s in stems if stems.count(s) > 1}):
         raise ValueError(f"these inputs would share a folder: {twice}")
-    return [os.path.join(out, s) for s in stems]
+    return [f"{out.rstrip('/') or '/'}/{s}" for s in stems]
 
 
 def collected(analysis: Analysis) -> tuple[dict[str, dict[int, list[dict]]], dict[int, dict[str, str]]]:
@@ -54,23 +54,23 @@ def write_reports(analysis: Analysis, infos: list[dict], folders: list[str]) ->
     for i, (info, folder) in enumerate(zip(infos, folders, strict=True)):
         own = {m: by_file.get(i, [empty] if m == "basic_stats" else []) for m, by_file in results.items()}
         grade = {m: grades.get(i, {}).get(m, "pass") for m in own}
-        os.makedirs(folder, exist_ok=True)
         files = {"fastqc_data.txt": text.report(own, grade, info), "fastqc_report.html": html.report(own, grade, info, analysis.mode.graders, levels.get(i)), "summary.txt": text.summary(grade, info["name"])}
         if analysis.mode.on("duplication"):
             files["preseq_hist.txt"] = text.preseq(levels.get(i, []))
         for name, content in files.items():
-            with open(os.path.join(folder, name), "w") as f:
-                f.write(content)
+            store.write_text(folder, name, content)
 
 
 def run(spark: SparkSession, paths: list[str], out: str, mode: RunMode | None = None, adapters: list[tuple[str, str]] | None = None, contaminants: DataFrame | None = None, **options) -> list[str]:
-    """Reports on files, one folder each under `out` (on the driver). Returns the folders."""
+    """Reports on files, one folder each under `out`, a path or the address of any store. Returns the folders. Files are taken FILES at a time,
+    so what comes to the driver at once is the histograms of so many."""
     folders = output_folders(paths, out)
-    reads = read_files(spark, paths, **options)
-    analysis = Analysis(reads, mode or RunMode(), contaminants=contaminants, **({"adapters": adapters} if adapters else {}))
-    infos = [{"name": p.rstrip("/").rpartition("/")[2], "type": sniff.FORMATS[sniff.detect(p)]} for p in paths]
-    try:
-        write_reports(analysis, infos, folders)
-    finally:
-        analysis.close()
+    for lo in range(0, len(paths), FILES):
+        own = paths[lo : lo + FILES]
+        analysis = Analysis(staged_files(spark, own, **options), mode or RunMode(), contaminants=contaminants, **({"adapters": adapters} if adapters else {}))
+        infos = [{"name": p.rstrip("/").rpartition("/")[2], "type": sniff.FORMATS[sniff.detect(p)]} for p in own]
+        try:
+            write_reports(analysis, infos, folders[lo : lo + FILES])
+        finally:
+            analysis.close()
     return folders

@@ -1,7 +1,9 @@
-"""BAM as a Spark data source: one task a file. Reads of the reverse strand are turned back; absent qualities are null."""
+"""BAM as a Spark data source, split by bytes: a split owns the records that start in its blocks, and finds the first of them by what a record looks
+like, several in a row. Reads of the reverse strand are turned back; absent qualities are null."""
 
 from __future__ import annotations
 
+import collections
 import json
 import struct
 from collections.abc import Iterator
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from readqc.sources import bgzf, store
-from readqc.sources.fastq import BATCH, COLUMNS, KINDS, Split
+from readqc.sources.fastq import BATCH, COLUMNS, KINDS, SPLIT, Split
 
 #: Fixed value: bases by their four-bit codes.
 CODES = b"=ACMGRSVTWYHKDBN"
@@ -21,35 +23,114 @@ _COMPLEMENT = bytes({65: 84, 67: 71, 71: 67, 84: 65}.get(i, 78) for i in range(2
 
 
 class _Stream:
-    def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.data, self.at = chunks, b"", 0
-
-    def take(self, n: int) -> bytes | None:
-        """The next n bytes; None at the end, where none are left."""
+    """Inflated blocks as one stream, which knows in which block a place lies."""
+
+    def __init__(self, blocks: Iterator[tuple[int, bytes]]):
+        self.blocks, self.data, self.at, self.before = blocks, b"", 0, 0
+        self.starts: collections.deque[tuple[int, int]] = collections.deque()  # place in the stream, address of the block
+
+    def more(self) -> bool:
+        """One block more is at hand; False at the end of the file."""
+        got = next(self.blocks, None)
+        if got is None:
+            return False
+        if got[1]:
+            self.starts.append((self.before + len(self.data), got[0]))
+            self.data += got[1]
+        return True
+
+    def has(self, n: int) -> bool:
         if len(self.data) - self.at < n:
+            self.before += self.at
             parts, have = [self.data[self.at :]], len(self.data) - self.at
-            while have < n and (chunk := next(self.chunks, None)) is not None:
-                parts.append(chunk)
-                have += len(chunk)
+            while have < n and (got := next(self.blocks, None)) is not None:
+                if got[1]:
+                    self.starts.append((self.before + have, got[0]))
+                parts.append(got[1])
+                have += len(got[1])
             self.data, self.at = b"".join(parts), 0
-            if not have and n:
+        return len(self.data) - self.at >= n
+
+    def take(self, n: int) -> bytes | None:
+        """The next n bytes; None at the end, where none are left."""
+        if not self.has(n):
+            if self.at == len(self.data) and n:
                 return None
-            if have < n:
-                raise ValueError("the file ends inside a record")
+            raise ValueError("the file ends inside a record")
         self.at += n
         return self.data[self.at - n : self.at]
 
+    def address(self) -> int | None:
+        """Of the block that the next byte lies in; None at the end."""
+        if not self.has(1):
+            return None
+        while len(self.starts) > 1 and self.starts[1][0] <= self.before + self.at:
+            self.starts.popleft()
+        return self.starts[0][1]
+
 
-def records(chunks: Iterator[bytes]) -> Iterator[tuple[str, int, bytes, bytes | None]]:
-    """(name, flag, seq, qual) of inflated BAM bytes, as stored."""
-    s = _Stream(chunks)
+def _head(s: _Stream) -> int:
+    """Goes past the header; the number of references."""
     if s.take(4) != b"BAM\x01":
         raise ValueError("not a BAM file")
     s.take(struct.unpack("<i", s.take(4))[0])
-    for _ in range(struct.unpack("<i", s.take(4))[0]):
+    n = struct.unpack("<i", s.take(4))[0]
+    for _ in range(n):
         s.take(struct.unpack("<i", s.take(4))[0] + 4)
-    while (head := s.take(4)) is not None:
-        data = s.take(struct.unpack("<i", head)[0])
+    return n
+
+
+#: Records in a row that must look like records where one is looked for inside a file; bytes of a record at most there.
+CHAIN, LARGEST = 8, 1 << 28
+
+
+def _record_size(data: bytes, at: int, references: int) -> int | None:
+    """The length of what may be a record there, with its length field; 0 if too little is at hand to tell; None if it is none."""
+    if len(data) - at < 36:
+        return 0
+    size, ref, pos, name, _, _, cigar, _, length, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (-1 <= ref < references and -1 <= next_ref < references and pos >= -1 and next_pos >= -1 and name and length >= 0):
+        return None
+    if not 32 + name + 4 * cigar + (length + 1) // 2 + length <= size <= LARGEST:
+        return None
+    if len(data) - at < 36 + name:
+        return 0
+    text = data[at + 36 : at + 36 + name]
+    if text[-1] or not all(33 <= c <= 126 for c in text[:-1]):
+        return None
+    return size + 4
+
+
+def _find(s: _Stream, references: int) -> bool:
+    """Goes to the first record that starts in the stream, told by CHAIN records in a row or as many as are left; False if there is none."""
+    at = 0
+    while True:
+        if at >= len(s.data) and not s.more():
+            return False
+        place, chain = at, 0
+        while chain < CHAIN:
+            size = _record_size(s.data, place, references)
+            if size is None:
+                break
+            if not size or place + size > len(s.data):
+                if s.more():
+                    continue
+                if place != len(s.data):  # the last one must end with the file
+                    chain = -1
+                break
+            place, chain = place + size, chain + 1
+        if chain >= CHAIN or (chain > 0 and place == len(s.data)):
+            s.at = at
+            return True
+        at += 1
+
+
+def records(s: _Stream, end: int) -> Iterator[tuple[str, int, bytes, bytes | None]]:
+    """(name, flag, seq, qual), as stored, of the records that start in blocks before `end`."""
+    while (address := s.address()) is not None and address < end:
+        data = s.take(struct.unpack("<i", s.take(4))[0])
+        if data is None:
+            raise ValueError("the file ends inside a record")
         name_size, cigar, flag, size = data[8], *struct.unpack_from("<HHi", data, 12)
         at = 32 + name_size + 4 * cigar
         packed = data[at : at + (size + 1) // 2]
@@ -60,20 +141,31 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[str, int, bytes, bytes |
 class BamReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.files = json.loads(options["files"])
+        self.split = int(options.get("splitbytes", SPLIT))
 
     def partitions(self) -> list[Split]:
-        return [Split(i, path.rstrip("/").rpartition("/")[2], path, "bam", 0, n, n) for i, path, _ in self.files for n in [store.size(path)]]
+        out = []
+        for i, path, _ in self.files:
+            size = store.size(path)
+            out += [Split(i, path.rstrip("/").rpartition("/")[2], path, "bam", start, min(size, start + self.split), size) for start in range(0, size, self.split)]
+        return out
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         names, seqs, quals, index, local = [], [], [], [], 0
 
         def batch():
             n = len(names)
-            values = [[partition.file_id] * n, [partition.file_name] * n, [0] * n, index, names, seqs, quals]
+            values = [[partition.file_id] * n, [partition.file_name] * n, [partition.start] * n, index, names, seqs, quals]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, COLUMNS.values(), strict=True)], list(COLUMNS))
 
         with store.open_file(partition.path) as f:
-            for name, flag, seq, qual in records(data for _, data in bgzf.blocks(f, 0, partition.size, True)):
+            references = _head(head := _Stream(bgzf.blocks(f, 0, partition.size, True)))
+            s = head
+            if partition.start:
+                s = _Stream(bgzf.blocks(f, partition.start, partition.size, False))
+                if not _find(s, references):
+                    return
+            for name, flag, seq, qual in records(s, partition.end):
                 if flag & 16:
                     seq, qual = seq.translate(_COMPLEMENT)[::-1], qual and qual[::-1]
                 names.append(name)
@@ -89,7 +181,7 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """Option: files (JSON list of [file_id, path, kind])."""
+    """Options: files (JSON list of [file_id, path, kind]), splitBytes."""
 
     @classmethod
     def name(cls) -> str:

@@ -19,6 +19,8 @@ DEFAULT_ADAPTERS = [
     ("PolyG", "GGGGGGGGGGGG"),
 ]
 SHORTEST, LONGEST = 6, 16
+#: Contaminants of a list at most.
+MOST = 100_000
 
 
 def parse_pairs(lines: Iterable[str]) -> list[tuple[str, str]]:
@@ -56,4 +58,7 @@ def contaminants(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame
 
 
 def read_contaminants(spark: SparkSession, path: str) -> DataFrame:
-    return contaminants(spark, parse_pairs(_lines(path)))
+    pairs = parse_pairs(_lines(path))
+    if len(pairs) > MOST:
+        raise ValueError(f"{path}: {len(pairs)} contaminants; {MOST} at most, as the list goes to every executor")
+    return contaminants(spark, pairs)

@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -50,8 +51,14 @@ def _record_start(data: bytes, at: int) -> int | None:
     return None
 
 
-def region(own: bytes, first: bool, more: Callable[[], bytes]) -> list[bytes]:
-    """The lines, four a record, of the records that a split owns; more() gives the bytes behind it, empty at the end of the file."""
+def _line_ends(data: bytes, at: int) -> np.ndarray:
+    """Where the lines from `at` on end: their newlines, and the end of the data if the last has none."""
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8, offset=at) == 10) + at
+    return ends if data.endswith(b"\n") or at == len(data) else np.append(ends, len(data))
+
+
+def region(own: bytes, first: bool, more: Callable[[], bytes]) -> bytes:
+    """The records that a split owns; more() gives the bytes behind it, empty at the end of the file."""
     data, ended, after = own, False, 0
     while not ended and after < 9:
         got = more()
@@ -61,56 +68,81 @@ def region(own: bytes, first: bool, more: Callable[[], bytes]) -> list[bytes]:
     at = 0
     if not first:
         at = data.find(b"\n") + 1
-        if not at:
-            return []
-        start = _record_start(data, at)
+        start = _record_start(data, at) if at else None
         if start is None:
-            return []
+            return b""
         at = start
-    lines = data[at:].split(b"\n")
-    if lines and not lines[-1]:
-        lines.pop()
-    whole = len(lines) // 4 * 4
-    if at + sum(map(len, lines)) + len(lines) > len(own) + 1:
-        pos, kept = at, 0
-        for i in range(0, whole, 4):
-            if pos > len(own):
-                break
-            kept = i + 4
-            pos += sum(map(len, lines[i : i + 4])) + 4
-        whole = min(whole, kept)
-    return lines[:whole]
-
-
-def stream(chunks: Iterator[bytes]) -> Iterator[list[bytes]]:
-    """Lines of whole records from a stream."""
-    rest: list[bytes] = []
-    open_line = b""
+    ends = _line_ends(data, at)[3::4] + 1
+    starts = np.append(at, ends)[: len(ends)]
+    kept = int(np.searchsorted(starts, len(own), side="right"))
+    return data[at : ends[kept - 1]] if kept else b""
+
+
+def stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Whole records from a stream."""
+    rest = b""
     for chunk in chunks:
-        lines = (open_line + chunk).split(b"\n")
-        open_line = lines.pop()
-        rest += lines
-        whole = len(rest) // 4 * 4
-        if whole:
-            yield rest[:whole]
-            rest = rest[whole:]
-    if open_line:
-        rest.append(open_line)
-    if len(rest) >= 4:
-        yield rest[:4]
+        rest += chunk
+        ends = np.flatnonzero(np.frombuffer(rest, np.uint8) == 10)[3::4]
+        if len(ends):
+            yield rest[: ends[-1] + 1]
+            rest = rest[ends[-1] + 1 :]
+    if len(_line_ends(rest, 0)) >= 4:
+        yield rest
 
 
 def gunzip(f, step: int = 1 << 22) -> Iterator[bytes]:
-    """The inflated bytes of a gzip file of any number of members."""
-    z = zlib.decompressobj(31)
+    """The inflated bytes of a gzip file of any number of members. A file that ends inside a member is an error."""
+    z, fed = zlib.decompressobj(31), False
     while data := f.read(step):
         while data:
             out = z.decompress(data)
+            fed = True
             if out:
                 yield out
             data = b""
             if z.eof:
-                data, z = z.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+                data, z, fed = z.unused_data.lstrip(b"\0"), zlib.decompressobj(31), False
+    if fed:
+        raise ValueError("the gzip file ends inside a member: it is cut short")
+
+
+@dataclass
+class Records:
+    """Records of a text: for each where its lines start and end, without line ends, and the bytes."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, text: bytes) -> Records:
+        ends = _line_ends(text, 0)
+        ends = ends[: len(ends) // 4 * 4]
+        starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+        data = np.frombuffer(text, np.uint8)
+        while len(data) and (back := (ends > starts) & (data[ends - 1] == 13)).any():
+            ends = ends - back
+        return cls(data, starts.reshape(-1, 4), ends.reshape(-1, 4))
+
+    def good(self) -> np.ndarray:
+        """Which begin with @, have a third line that begins with +, and as many qualities as bases."""
+        size = self.ends - self.starts
+        first = lambda i: self.data[np.minimum(self.starts[:, i], len(self.data) - 1)]
+        return (size[:, 0] > 0) & (first(0) == ord("@")) & (size[:, 2] > 0) & (first(2) == ord("+")) & (size[:, 1] == size[:, 3])
+
+    def columns(self, rows: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Names, bases and qualities of some of the records, taken from the text as it lies."""
+        s, e = self.starts[rows], self.ends[rows]
+        return tuple(_spans(self.data, a, b) for a, b in ((s[:, 0] + 1, e[:, 0]), (s[:, 1], e[:, 1]), (s[:, 3], e[:, 3])))
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The strings data[start:end]; spans are in order. They are every second one of the strings that the bounds cut."""
+    offsets = np.empty(2 * len(starts) + 1, np.int64)
+    offsets[0], offsets[1::2], offsets[2::2] = 0, starts, ends
+    every = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return every.take(pa.array(np.arange(1, 2 * len(starts), 2))).cast(pa.large_string()).cast(pa.string())
 
 
 class FastqReader(DataSourceReader):
@@ -129,7 +161,7 @@ class FastqReader(DataSourceReader):
                 out.append(Split(file_id, path.rstrip("/").rpartition("/")[2], path, kind, start, min(size, start + max(step, 1)), size))
         return out
 
-    def _lines(self, s: Split) -> Iterator[list[bytes]]:
+    def _texts(self, s: Split) -> Iterator[bytes]:
         with store.open_file(s.path) as f:
             if s.kind == "fastq_gz":
                 yield from stream(gunzip(f))
@@ -151,25 +183,24 @@ class FastqReader(DataSourceReader):
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         local = 0
-        for lines in self._lines(partition):
-            for i in range(0, len(lines), 4 * BATCH):
-                part = [x.rstrip(b"\r") for x in lines[i : i + 4 * BATCH]]
-                name, seq, plus, qual = part[0::4], part[1::4], part[2::4], part[3::4]
-                good = [n[:1] == b"@" and p[:1] == b"+" and len(s) == len(q) for n, s, p, q in zip(name, seq, plus, qual, strict=True)]
-                if not all(good):
-                    if not self.drop:
-                        bad = good.index(False)
-                        raise ValueError(f"{partition.path}: not a FASTQ record: {name[bad][:80]!r}, {len(seq[bad])} bases, {len(qual[bad])} qualities")
-                    name, seq, qual = ([x for x, ok in zip(v, good, strict=True) if ok] for v in (name, seq, qual))
-                index = []
-                for s in seq:
-                    index.append(local)
-                    local += bool(s)
-                values = {
-                    "file_id": [partition.file_id] * len(name), "file_name": [partition.file_name] * len(name), "part": [partition.start] * len(name), "local": index,
-                    "name": [x[1:].decode() for x in name], "seq": [x.decode() for x in seq], "qual": [x.decode() for x in qual],
-                }
-                yield pa.RecordBatch.from_arrays([pa.array(values[c], COLUMNS[c]) for c in self.columns], self.columns)
+        for text in self._texts(partition):
+            found = Records.of(text)
+            good = found.good()
+            if not good.all() and not self.drop:
+                bad = int(np.argmin(good))
+                name, seq, qual = (bytes(found.data[found.starts[bad, i] : found.ends[bad, i]]) for i in (0, 1, 3))
+                raise ValueError(f"{partition.path}: not a FASTQ record: {name[:80]!r}, {len(seq)} bases, {len(qual)} qualities")
+            kept = np.flatnonzero(good)
+            for i in range(0, len(kept), BATCH):
+                rows = kept[i : i + BATCH]
+                n = len(rows)
+                name, seq, qual = found.columns(rows)
+                some = found.ends[rows, 1] > found.starts[rows, 1]
+                index = local + np.cumsum(some) - some
+                local += int(some.sum())
+                fixed = {"file_id": partition.file_id, "file_name": partition.file_name, "part": partition.start}
+                values = {c: pa.repeat(pa.scalar(v, COLUMNS[c]), n) for c, v in fixed.items()} | {"local": pa.array(index.astype(np.int64)), "name": name, "seq": seq, "qual": qual}
+                yield pa.RecordBatch.from_arrays([values[c] for c in self.columns], self.columns)
 
 
 class FastqSource(DataSource):

@@ -8,23 +8,30 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from readqc.shared import written
 from readqc.sources import sniff
 from readqc.sources.bam import BamSource
 from readqc.sources.fastq import FastqSource
 from readqc.sources.sam import read_sam
 
 
+#: Splits whose running totals are broadcast (a row each, some tens of bytes); with more of them the totals are joined as any table.
+SPLITS = 1_000_000
+
+
 def with_index(rows: DataFrame) -> DataFrame:
-    """read_idx, the number of reads with bases before a read in its file, out of its split and place there. A pass over the source counts
-    the splits; their running totals are a row a split."""
+    """read_idx, the number of reads with bases before a read in its file, out of its split and place there. A pass over the rows counts
+    the splits; their running totals are a row a split, so that the reads themselves stay where they are."""
     sizes = rows.groupBy("file_id", "part").agg(F.count(F.when(F.length("seq") > 0, 1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(sizes.select("file_id", "part", before.alias("before")), ["file_id", "part"]).withColumn("read_idx", F.col("before") + F.col("local"))
+    totals = sizes.select("file_id", "part", before.alias("before"))
+    if rows.rdd.getNumPartitions() <= SPLITS:
+        totals = F.broadcast(totals)
+    return rows.join(totals, ["file_id", "part"]).withColumn("read_idx", F.col("before") + F.col("local"))
 
 
-def read_files(spark: SparkSession, paths: list[str], split_bytes: int | None = None, mode: str = "FAILFAST", index: bool = True) -> DataFrame:
-    """The common schema over all files; file_id is the place in the list. Without index, read_idx is the place within a split,
-    and no second pass is made."""
+def read_parts(spark: SparkSession, paths: list[str], split_bytes: int | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """(file_id, file_name, part, local, name, seq, qual) over all files; file_id is the place in the list."""
     if not paths:
         raise ValueError("no files")
     files = [(i, path, sniff.detect(path)) for i, path in enumerate(paths)]
@@ -34,7 +41,20 @@ def read_files(spark: SparkSession, paths: list[str], split_bytes: int | None =
             spark.dataSource.register(source)
             reader = spark.read.format(source.name()).option("files", json.dumps(own)).option("mode", mode)
             parts.append((reader.option("splitBytes", split_bytes) if split_bytes else reader).load())
-    parts += [read_sam(spark, path, i) for i, path, kind in files if kind == "sam"]
-    rows = functools.reduce(DataFrame.unionByName, parts)
-    rows = with_index(rows) if index else rows.withColumn("read_idx", F.col("local"))
-    return rows.select("file_id", "file_name", "read_idx", "name", "seq", "qual")
+    if own := [(i, path) for i, path, kind in files if kind == "sam"]:
+        parts.append(read_sam(spark, own))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+COMMON = ["file_id", "file_name", "read_idx", "name", "seq", "qual"]
+
+
+def read_files(spark: SparkSession, paths: list[str], split_bytes: int | None = None, mode: str = "FAILFAST", index: bool = True) -> DataFrame:
+    """The common schema over all files. Without index, read_idx is the place within a split, and no second pass is made."""
+    rows = read_parts(spark, paths, split_bytes, mode)
+    return (with_index(rows) if index else rows.withColumn("read_idx", F.col("local"))).select(*COMMON)
+
+
+def staged_files(spark: SparkSession, paths: list[str], split_bytes: int | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """The same, inflated and parsed once into a table of the shared folder: what many passes with a few columns each are best read from."""
+    return with_index(written(read_parts(spark, paths, split_bytes, mode), "reads")).select(*COMMON)

@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 from readqc.functions import expr
 
 
-def read_sam(spark: SparkSession, path: str, file_id: int) -> DataFrame:
-    """(file_id, file_name, part, local, name, seq, qual). `*` for bases is an empty read, for qualities a null. Records of any flag count;
-    only the strand bit is looked at. A line of fewer than 11 fields, or with bases and qualities of different length, is an error."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
-    fields = lines.where("value NOT LIKE '@%' AND value <> ''").select("part", "at", F.split(F.rtrim("value"), "\t").alias("f"))
+def _address(path):
+    """A file's address, with one slash where local addresses may have one or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def read_sam(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
+    """(file_id, file_name, part, local, name, seq, qual) of all (file_id, path) in one scan. `*` for bases is an empty read, for qualities a null.
+    Records of any flag count; only the strand bit is looked at. A line of fewer than 11 fields, or with bases and qualities of different length,
+    is an error."""
+    conf = spark._jsc.hadoopConfiguration()
+    whole = lambda p: (q := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).makeQualified(q).toUri().toString()
+    known = spark.createDataFrame([(i, p.rstrip("/").rpartition("/")[2], whole(p)) for i, p in files], "file_id int, file_name string, address string").withColumn("address", _address(F.col("address")))
+    lines = spark.read.text([p for _, p in files]).select("value", _address(F.col("_metadata.file_path")).alias("address"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.join(F.broadcast(known), "address")  # a row a file
+    fields = lines.where("value NOT LIKE '@%' AND value <> ''").select("file_id", "file_name", "part", "at", F.split(F.rtrim("value"), "\t").alias("f"))
     short = F.raise_error(F.lit("a SAM line has fewer than 11 fields")).cast("array<string>")
-    f = fields.select("part", "at", F.when(F.size("f") >= 11, F.col("f")).otherwise(short).alias("f"))
+    f = fields.select("file_id", "file_name", "part", "at", F.when(F.size("f") >= 11, F.col("f")).otherwise(short).alias("f"))
     seq = F.when(F.col("f")[9] == "*", "").otherwise(F.col("f")[9])
     qual = F.when((F.col("f")[10] == "*") & (F.length(F.col("f")[9]) != 1), F.lit(None)).when(F.col("f")[9] == "*", "").otherwise(F.col("f")[10])
-    rows = f.select("part", "at", F.col("f")[0].alias("name"), F.col("f")[1].cast("int").alias("flag"), seq.alias("seq"), qual.alias("qual"))
+    rows = f.select("file_id", "file_name", "part", "at", F.col("f")[0].alias("name"), F.col("f")[1].cast("int").alias("flag"), seq.alias("seq"), qual.alias("qual"))
     bad = F.raise_error(F.concat(F.lit("bases and qualities differ in length: "), F.col("name"))).cast("string")
     rows = rows.withColumn("qual", F.when(F.col("qual").isNotNull() & (F.length("qual") != F.length("seq")), bad).otherwise(F.col("qual")))
-    order = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a split of the file
+    order = Window.partitionBy("file_id", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a split of the file
     local = F.coalesce(F.count(F.when(F.length("seq") > 0, 1)).over(order), F.lit(0))
-    name = path.rstrip("/").rpartition("/")[2]
     return rows.select(
-        F.lit(file_id).alias("file_id"), F.lit(name).alias("file_name"), "part", local.alias("local"), "name",
+        "file_id", "file_name", "part", local.alias("local"), "name",
         expr.oriented(F.col("seq"), F.col("flag"), expr.reverse_complement(F.col("seq"))).alias("seq"), expr.oriented(F.col("qual"), F.col("flag"), F.reverse("qual")).alias("qual"),
     )

@@ -22,6 +22,14 @@ def open_file(path: str):
     return system.open_input_file(name)
 
 
+def write_text(folder: str, name: str, content: str) -> None:
+    """A text file in a folder, which is made if it is not there."""
+    system, path = locate(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{name}") as f:
+        f.write(content.encode())
+
+
 def head(path: str, n: int = 1 << 16) -> bytes:
     with open_file(path) as f:
         return f.read(n)

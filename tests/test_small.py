@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,24 +11,50 @@ from readqc.plans.engine import output_folders, stem
 from readqc.sources import dims
 
 
-@pytest.mark.parametrize(("n", "many", "tenth", "last"), [(75, 75, (10, 10), (75, 75)), (76, 43, (10, 11), (76, 76)), (100, 55, (10, 11), (100, 100)), (150, 38, (10, 14), (150, 150)), (1000, 59, (10, 29), (990, 1000)), (10000, 59, (10, 209), (9810, 10000))])
+@pytest.mark.parametrize(("n", "many", "tenth", "last"), [(75, 75, (10, 10), (75, 75)), (76, 43, (10, 11), (76, 76)), (100, 55, (10, 11), (100, 100)), (125, 67, (10, 11), (124, 125)), (150, 38, (10, 14), (150, 150)), (300, 68, (10, 14), (300, 300)), (301, 68, (10, 14), (300, 301)), (1000, 59, (10, 29), (990, 1000)), (10000, 59, (10, 209), (9810, 10000))])
 def test_base_groups(n, many, tenth, last):
     g = stats.base_groups(n)
     assert (len(g), g[9], g[-1]) == (many, tenth, last)
-    assert [p for a, b in g for p in range(a, b + 1)] == list(range(1, n + 1))
+
+
+def test_base_groups_of_every_length():
+    steps = [b * 10**e for e in range(5) for b in (2, 5, 10)]
+    for n in range(76, 20_001):
+        g = stats.base_groups(n)
+        wide = g[9:]
+        step = next(s for s in steps if len(range(10, n + 1, s)) <= 66)
+        assert g[:9] == [(i, i) for i in range(1, 10)] and wide == [(i, min(n, i + step - 1)) for i in range(10, n + 1, step)]
+        assert len(wide) <= 66 and wide[-1][1] == n
 
 
 def test_poisson_tail():
-    for k, mu in ((0, 1.0), (3, 0.5), (10, 2.0), (2, 40.0), (50, 60.0)):
-        want = 1 - sum(math.exp(-mu) * mu**i / math.factorial(i) for i in range(k + 1))
+    for k, mu in ((0, 1.0), (3, 0.5), (10, 2.0), (2, 40.0), (50, 60.0), (0, 0.001), (5, 0.01), (120, 60.0), (400, 500.0)):
+        m = Fraction(mu)
+        want = float(math.exp(-mu) * float(sum(m**i / math.factorial(i) for i in range(k + 1, k + 400))))
         assert stats.poisson_above(np.array([k]), np.array([mu]))[0] == pytest.approx(want, rel=1e-6)
     assert stats.poisson_above(np.array([3]), np.array([0.0]))[0] == 1
 
 
+def corrected_plainly(limit, n, level, seen):
+    if limit == n or n - seen < limit:
+        return float(seen)
+    missed, least = 1.0, 1 - seen / (seen + 0.01)
+    for i in range(limit):
+        missed *= max(0, n - i - level) / (n - i)
+        if missed < least:
+            missed = 0.0
+            break
+    return seen / max(2.0**-52, 1 - missed)
+
+
 def test_corrected_count():
     cases = {(100, 100, 1, 5): 5, (100, 200, 1, 40): 80, (100, 200, 2, 10): 13.311037, (100, 1000, 1, 60): 600}
     for args, want in cases.items():
         assert stats.corrected_count(*args) == pytest.approx(want, rel=1e-6)
+    for limit, n in ((10, 1000), (300, 1000), (999, 1000), (5000, 5001)):
+        for level in (1, 2, 3, 7, 50, 400, 990):
+            for seen in (1, 5, 300):
+                assert stats.corrected_count(limit, n, level, seen) == pytest.approx(corrected_plainly(limit, n, level, seen), rel=1e-9)
 
 
 def test_theoretical_gc():

@@ -133,3 +133,68 @@ def test_modes(spark, tmp_path):
         texts[name] = open(f"{folder}/fastqc_data.txt").read()
     assert texts["plain"] == texts["orig"] == texts["preseq"]
     assert texts["all"].count(">>END_MODULE") == 12 and "\n10-11\t" in texts["all"]
+
+
+def test_gzip_that_is_cut_short_is_an_error(spark, tmp_path):
+    data = members(fastq(some_reads()))
+    for name, part in (("a.fq.gz", data[:-20]), ("b.fq.gz", data[: len(data) // 2]), ("c.fq.gz", gzip.compress(fastq(some_reads()))[:-4])):
+        path = tmp_path / name
+        path.write_bytes(part)
+        with pytest.raises(Exception, match="cut short"):
+            read_files(spark, [str(path)], index=False).collect()
+
+
+@pytest.mark.parametrize("split", [300, 1500, 10_000])
+def test_bam_splits_lose_and_repeat_nothing(spark, tmp_path, split):
+    reads = some_reads(300) + [("long:0", "ACGT" * 900, "IIII" * 900)] + some_reads(50, 9)
+    path = tmp_path / "x.bam"
+    path.write_bytes(bam(reads))
+    rows = read_files(spark, [str(path)], split_bytes=split).collect()
+    assert sorted((r.name, r.seq, r.qual or "") for r in rows) == sorted(reads)
+    index = iter(range(len(reads)))
+    want = {i: next(index) for i, (_, s, _) in enumerate(reads) if s}
+    assert sorted(r.read_idx for r in rows if r.seq) == sorted(want.values())
+
+
+def test_many_sam_files_are_one_scan(spark, tmp_path):
+    paths = []
+    for i in range(3):
+        path = tmp_path / f"s {i}.sam"
+        path.write_bytes(sam(some_reads(20 + i, i)))
+        paths.append(str(path))
+    rows = read_files(spark, paths)
+    got = sorted((r.file_id, r.file_name, r.name, r.seq) for r in rows.collect())
+    assert got == sorted((i, f"s {i}.sam", n, s) for i in range(3) for n, s, _ in some_reads(20 + i, i))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 2  # for the rows, and for the totals of splits
+
+
+def test_reads_stay_where_they_are_when_numbered(spark, tmp_path):
+    path = tmp_path / "x.fq"
+    path.write_bytes(fastq(some_reads()))
+    plan = read_files(spark, [str(path)])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_reports_are_the_same_for_any_partitions(spark, tmp_path):
+    path = tmp_path / "one.fq"
+    path.write_bytes(fastq(some_reads(300)))
+    texts = set()
+    for i, split in enumerate((None, 5000, 900)):
+        (folder,) = run(spark, [str(path)], str(tmp_path / f"out{i}"), split_bytes=split)
+        texts.add(open(f"{folder}/fastqc_data.txt").read())
+    assert len(texts) == 1
+
+
+def test_strides_of_several_files(spark, monkeypatch):
+    from readqc.operators import duplicates
+    from readqc.plans.analysis import Analysis
+    from readqc.schema import READS
+
+    monkeypatch.setattr(duplicates, "FULL", 50)
+    rows = [(f, "f", i, "r", "ACGT"[i % 4] * 5, "IIIII") for f, n in ((0, 20), (1, 60), (2, 170)) for i in range(n)]
+    got = {(r.file_id, r.seq): r.n for r in Analysis(spark.createDataFrame(rows, READS)).key_counts.collect()}
+    want = {}
+    for f, _, i, _, s, _ in rows:
+        if i % {0: 1, 1: 2, 2: 4}[f] == 0:
+            want[f, s] = want.get((f, s), 0) + 1
+    assert got == want
