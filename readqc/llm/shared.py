@@ -1,59 +1,19 @@
-"""What the operators share: where written tables go, and settings for Arrow batches."""
+"""What the operators share: settings for Arrow batches, and the columns that they read."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows and bytes of an Arrow batch: the bytes bound it where texts are long.
-BATCH_ROWS, BATCH_BYTES = 500, "8m"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it, with the scheme that Spark gives it. Where it is unset,
-    it is a local folder in local mode, as in tests; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.gettempdir()}/readqc-checkpoints"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder, which goes when the driver ends."""
-    folder = f"{shared_dir(spark)}/readqc-{spark.sparkContext.applicationId}"
-    if folder not in _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        system.mkdirs(path)
-        system.deleteOnExit(path)
-        _made.add(folder)
-    return folder
-
+from readqc.shared import new_folder, written
 
-_made: set[str] = set()
+__all__ = ["arrow", "new_folder", "partitions", "release", "texts", "written"]
 
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: later plans start there, and lost
-    executors cost no recomputation of what came before."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and bytes of an Arrow batch: the bytes bound it where texts are long.
+BATCH_ROWS, BATCH_BYTES = 500, "8m"
 
 
 def release(spark: SparkSession) -> None:
