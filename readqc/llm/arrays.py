@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import mmap
 import os
 import tempfile
@@ -10,21 +11,27 @@ import uuid
 import numpy as np
 import pyarrow.fs as fs
 
+#: Files that a worker holds mapped; far fewer than the maps that a process may have.
+MAPPED = 4096
+#: Bytes before an array: the kind of its numbers.
+HEAD = 8
+
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of an address with its scheme, as shared.new_folder gives it."""
     return fs.FileSystem.from_uri(uri)
 
 
-def save(folder: str, name: str, array: np.ndarray) -> str:
-    """Writes an array under a name of its own for each attempt; only the names that a finished task returns are
-    ever read. The return holds the kind and the name."""
+def save(folder: str, name: str, array: np.ndarray) -> None:
+    """Writes an array under its name. It is written aside and then moved, so that a file is whole or not there; attempts of one task write the
+    same bytes."""
     system, path = _at(folder)
     system.create_dir(path, recursive=True)
-    own = f"{name}-{uuid.uuid4().hex}.{array.dtype.str[1:]}"
-    with system.open_output_stream(f"{path}/{own}") as f:
+    aside = f"{path}/{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as f:
+        f.write(array.dtype.str[1:].encode().ljust(HEAD))
         f.write(memoryview(np.ascontiguousarray(array)).cast("B") if len(array) else b"")
-    return own
+    system.move(aside, f"{path}/{name}")
 
 
 def smallest(array: np.ndarray) -> np.ndarray:
@@ -34,19 +41,37 @@ def smallest(array: np.ndarray) -> np.ndarray:
 
 
 def load(folder: str, name: str) -> np.ndarray:
-    """Maps an array into memory. A local file is mapped where it lies; one from elsewhere is copied to an unnamed temporary file
-    first, which goes with the worker."""
-    kind = np.dtype("<" + name.rpartition(".")[2])
+    """Maps an array into memory; one that is not there is an error. A local file is mapped where it lies; one from elsewhere is copied to an
+    unnamed temporary file first, which goes with the map."""
     system, path = _at(folder)
     path = f"{path}/{name}"
     if isinstance(system, fs.LocalFileSystem):
-        if not os.path.getsize(path):
-            return np.zeros(0, kind)
-        return np.memmap(path, dtype=kind, mode="r")
+        with open(path, "rb") as f:
+            return _mapped(f.fileno())
     with tempfile.TemporaryFile() as out, system.open_input_stream(path) as f:
         while part := f.read(1 << 24):
             out.write(part)
         out.flush()
-        if not out.tell():
-            return np.zeros(0, kind)
-        return np.frombuffer(mmap.mmap(out.fileno(), 0, access=mmap.ACCESS_READ), kind)
+        return _mapped(out.fileno())
+
+
+def _mapped(file: int) -> np.ndarray:
+    data = mmap.mmap(file, 0, access=mmap.ACCESS_READ)
+    kind = np.dtype("<" + data[:HEAD].decode().strip())
+    return np.frombuffer(data, kind, offset=HEAD) if os.fstat(file).st_size > HEAD else np.zeros(0, kind)
+
+
+class Shelf:
+    """Arrays of a folder, mapped when they are first asked for. The least used go when there are too many."""
+
+    def __init__(self, folder: str, most: int = MAPPED):
+        self.folder, self.most = folder, most
+        self.held: collections.OrderedDict[str, np.ndarray] = collections.OrderedDict()
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name in self.held:
+            self.held.move_to_end(name)
+            return self.held[name]
+        if len(self.held) >= self.most:
+            self.held.popitem(last=False)
+        return self.held.setdefault(name, load(self.folder, name))

@@ -16,7 +16,6 @@ score each. Without training rows the model is uniform. Other columns of the inp
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +32,8 @@ U = np.uint64
 END = U(0x8C7F0AACF7B6A1E3)  #: stands for the end of a text among word hashes
 #: Tokens whose counts a task adds up before it sends them; bytes of text scored at once; the base rule's addition.
 STRETCH, PIECE, ADD = 3_000_000, 6 << 20, 0.1
+#: Buckets of the hash range at most.
+BUCKETS = 65_536
 
 
 def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +68,16 @@ SENT = "bucket long, keys binary, counts binary"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [], []
+    """Sorted distinct keys and their counts, added up on the way, so that memory follows what is distinct."""
+    keys, counts, held, whole = [], [], 0, 0
     for b in batches:
         for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
             keys.append(K.unpack_sorted(k))
             counts.append(K.unplanes(c, np.uint32).astype(np.int64))
+            held += len(keys[-1])
+            if held > STRETCH + whole:
+                keys, counts = ([x] for x in _summed(np.concatenate(keys), np.concatenate(counts)))
+                held, whole = 0, len(keys[0])
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -99,49 +105,55 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What a worker needs to map the arrays: folder, names of files by bucket, and some numbers. The arrays grow with the corpus
-    and stay in the shared folder; this does not."""
+    """What a worker needs to map the arrays: their folder, how many words and pairs each bucket holds, and some numbers. The arrays grow with the
+    corpus and stay in the shared folder; this has two numbers for each of BUCKETS buckets at most."""
 
     folder: str
     buckets: int
-    words: list[tuple[int, str, str]] = field(default_factory=list)  # distinct words, hashes, counts
-    pairs: list[tuple[str, str]] = field(default_factory=list)  # hashes, counts
-    after: list[tuple[str, str]] = field(default_factory=list)  # freed mass, numbers of different words before
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # distinct ones by bucket
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    whole: bool = False  # whether the masses and numbers by word are there
     total: int = 0
-    kinds: int = 0
-    pair_kinds: int = 0
     d_pair: np.ndarray = field(default_factory=lambda: np.zeros(4))
     d_word: np.ndarray = field(default_factory=lambda: np.zeros(4))
     free_word: float = 1.0
 
+    @property
+    def kinds(self) -> int:
+        return int(self.words.sum())
+
+    @property
+    def pair_kinds(self) -> int:
+        return int(self.pairs.sum())
+
+    @property
+    def start(self) -> np.ndarray:
+        """The number of each bucket's first word."""
+        return np.concatenate([[0], np.cumsum(self.words)]).astype(np.int64)
+
 
 class Mapped:
-    """The arrays of a model in a worker."""
+    """The arrays of a model in a worker, mapped when they are first asked for."""
 
     def __init__(self, model: Model):
-        self.m = model
-        read = functools.partial(arrays.load, model.folder)
-        none = (np.zeros(0, U), np.zeros(0, np.uint8))
-        self.words = [(read(h), read(c)) if h else none for _, h, c in model.words]
-        self.start = np.concatenate([[0], np.cumsum([n for n, _, _ in model.words])]).astype(np.int64)
-        self.pairs = [(read(h), read(c)) if h else none for h, c in model.pairs]
-        self.after = [(read(g), read(c)) if g else (np.zeros(0), np.zeros(0, np.uint8)) for g, c in model.after]
-
-    def _find(self, keys: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
-        """For sorted keys: bucket, their slice, places in the bucket's table, and whether they are there."""
+        self.m, self.start, self.shelf = model, model.start, arrays.Shelf(model.folder)
+
+    def _find(self, keys: np.ndarray, kind: str, sizes: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """For sorted keys: bucket, their slice, places in the bucket's array, whether they are there, and their counts."""
         edges = np.searchsorted(bucket_of(keys, self.m.buckets), np.arange(self.m.buckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            part, table = slice(edges[b], edges[b + 1]), tables[b][0]
-            if len(table):
+            if sizes[b]:
+                part, table = slice(edges[b], edges[b + 1]), self.shelf[f"{kind}-{b}"]
                 at = np.minimum(np.searchsorted(table, keys[part]), len(table) - 1)
-                yield b, part, at, table[at] == keys[part]
+                there = table[at] == keys[part]
+                yield b, part, at, there, np.where(there, self.shelf[f"{kind}-counts-{b}"][at], 0)
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted word hashes."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for b, part, at, there in self._find(hashes, self.words):
+        for b, part, at, there, counts in self._find(hashes, "words", self.m.words):
             number[part] = np.where(there, self.start[b] + at, -1)
-            count[part] = np.where(there, self.words[b][1][at], 0)
+            count[part] = counts
         return number, count
 
     def mass(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +163,13 @@ class Mapped:
         for b in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[b], edges[b + 1])
             at = number[part] - self.start[b]
-            free[part], before[part] = self.after[b][0][at], self.after[b][1][at]
+            free[part], before[part] = self.shelf[f"free-{b}"][at], self.shelf[f"before-{b}"][at]
         return free, before
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        for b, part, at, there in self._find(keys, self.pairs):
-            out[part] = np.where(there, self.pairs[b][1][at], 0)
+        for _, part, _, _, counts in self._find(keys, "pairs", self.m.pairs):
+            out[part] = counts
         return out
 
 
@@ -178,7 +190,7 @@ _mapped: dict[str, Mapped] = {}
 
 
 def mapped(model: Model) -> Mapped:
-    name = f"{model.folder} {len(model.pairs)} {len(model.after)}"
+    name = f"{model.folder} {len(model.pairs)} {model.whole}"
     if name not in _mapped:
         _mapped.clear()
         _mapped[name] = Mapped(model)
@@ -194,7 +206,7 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     arrow(spark)
     docs = docs.select("text")
-    model = Model(new_folder(spark, "kneser-ney"), partitions(docs))
+    model = Model(new_folder(spark, "kneser-ney"), min(BUCKETS, partitions(docs)))
     folder, buckets = model.folder, model.buckets
 
     def count_words(batches):
@@ -203,13 +215,18 @@ def train(docs: DataFrame) -> Model:
     def merge_words(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = key[0].as_py()
         h, c = _merge(batches)
-        row = [b, len(h), int(c.sum()), arrays.save(folder, f"words-{b}", h), arrays.save(folder, f"counts-{b}", arrays.smallest(c))]
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["bucket", "n", "total", "hashes", "counts"])
+        arrays.save(folder, f"words-{b}", h)
+        arrays.save(folder, f"words-counts-{b}", arrays.smallest(c))
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (b, len(h), int(c.sum()))], ["bucket", "n", "total"])
+
+    def by_bucket(rows: list) -> np.ndarray:
+        out = np.zeros(buckets, np.int64)
+        for r in rows:
+            out[r["bucket"]] = r["n"]
+        return out
 
-    rows = docs.mapInArrow(count_words, SENT).groupBy("bucket").applyInArrow(merge_words, "bucket long, n long, total long, hashes string, counts string").collect()
-    found = {r["bucket"]: r for r in rows}
-    model.words = [(found[b]["n"], found[b]["hashes"], found[b]["counts"]) if b in found else (0, "", "") for b in range(buckets)]
-    model.total, model.kinds = sum(r["total"] for r in rows), sum(r["n"] for r in rows)
+    rows = docs.mapInArrow(count_words, SENT).groupBy("bucket").applyInArrow(merge_words, "bucket long, n long, total long").collect()  # a row a bucket
+    model.words, model.total = by_bucket(rows), sum(r["total"] for r in rows)
     if model.kinds >= 1 << 32:
         raise ValueError("more than 2 ** 32 distinct words")
     vocabulary = spark.sparkContext.broadcast(model)
@@ -226,15 +243,17 @@ def train(docs: DataFrame) -> Model:
 
         yield from _counting(K.chunks(batches, "text", PIECE), keys, buckets)
 
-    start = np.concatenate([[0], np.cumsum([n for n, _, _ in model.words])]).astype(np.int64)
+    start, words = model.start, model.words
 
     def merge_pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = key[0].as_py()
         h, c = _merge(batches)
-        names = ["bucket", "n", "hashes", "counts", "ones", "to", "numbers", "before", "after"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["bucket", "n", "ones", "to", "numbers", "before", "after"]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         ones = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-        row = [b, len(h), arrays.save(folder, f"pairs-{b}", h), arrays.save(folder, f"pair-counts-{b}", arrays.smallest(c)), ones, None, None, None, None]
+        arrays.save(folder, f"pairs-{b}", h)
+        arrays.save(folder, f"pairs-counts-{b}", arrays.smallest(c))
+        row = [b, len(h), ones, None, None, None, None]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
         both = K.unmix(h)
         v, w = (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.int64)
@@ -246,35 +265,31 @@ def train(docs: DataFrame) -> Model:
         edges = np.searchsorted(number, start)
         for to in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[to], edges[to + 1])
-            row = [None] * 5 + [to, K.pack_sorted((number[part] - start[to]).astype(U)), K.planes(before[part]), K.planes(after[3 * edges[to] : 3 * edges[to + 1]])]
+            row = [None] * 3 + [to, K.pack_sorted((number[part] - start[to]).astype(U)), K.planes(before[part]), K.planes(after[3 * edges[to] : 3 * edges[to + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
-    merged = docs.mapInArrow(count_pairs, SENT).groupBy("bucket").applyInArrow(merge_pairs, "bucket long, n long, hashes string, counts string, ones array<long>, to long, numbers binary, before binary, after binary")
+    merged = docs.mapInArrow(count_pairs, SENT).groupBy("bucket").applyInArrow(merge_pairs, "bucket long, n long, ones array<long>, to long, numbers binary, before binary, after binary")
     merged = written(merged, "pairs")
-    rows = merged.where("bucket IS NOT NULL").select("bucket", "n", "hashes", "counts", "ones").collect()
-    found = {r["bucket"]: r for r in rows}
-    model.pairs = [(found[b]["hashes"], found[b]["counts"]) if b in found else ("", "") for b in range(buckets)]
-    model.pair_kinds = sum(r["n"] for r in rows)
+    rows = merged.where("bucket IS NOT NULL").select("bucket", "n", "ones").collect()  # a row a bucket
+    model.pairs = by_bucket(rows)
     model.d_pair = discounts(np.sum([r["ones"] for r in rows], axis=0)) if rows else model.d_pair
-    d, words = model.d_pair, model.words
+    d = model.d_pair
 
     def merge_after(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = key[0].as_py()
-        n, _, name = words[b]
-        before, after = np.zeros(n, np.int64), np.zeros((n, 3), np.int64)
+        before, after = np.zeros(words[b], np.int64), np.zeros((words[b], 3), np.int64)
         for batch in batches:
             for at, x, y in zip(*(batch.column(c).to_pylist() for c in ("numbers", "before", "after")), strict=True):
                 at = K.unpack_sorted(at).astype(np.int64)
                 before[at] += K.unplanes(x, np.uint32)
                 after[at] += K.unplanes(y, np.uint32).reshape(-1, 3)
-        free = (after @ d[1:]) / arrays.load(folder, name)
-        row = [b, arrays.save(folder, f"free-{b}", free), arrays.save(folder, f"before-{b}", arrays.smallest(before)), [int((before == k).sum()) for k in (1, 2, 3, 4)], int((before >= 3).sum())]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["bucket", "free", "before", "ones", "more"])
-
-    rows = merged.where("to IS NOT NULL").select("to", "numbers", "before", "after").groupBy("to").applyInArrow(merge_after, "bucket long, free string, before string, ones array<long>, more long").collect()
-    found = {r["bucket"]: r for r in rows}
-    model.after = [(found[b]["free"], found[b]["before"]) if b in found else ("", "") for b in range(buckets)]
+        arrays.save(folder, f"free-{b}", (after @ d[1:]) / arrays.load(folder, f"words-counts-{b}"))
+        arrays.save(folder, f"before-{b}", arrays.smallest(before))
+        row = [[int((before == k).sum()) for k in (1, 2, 3, 4)], int((before >= 3).sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.list_(pa.int64()), pa.int64()), strict=True)], ["ones", "more"])
+
+    rows = merged.where("to IS NOT NULL").select("to", "numbers", "before", "after").groupBy("to").applyInArrow(merge_after, "ones array<long>, more long").collect()  # a row a bucket
+    model.whole = True
     if rows:
         ones = np.sum([r["ones"] for r in rows], axis=0)
         model.d_word = discounts(ones)
@@ -291,8 +306,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = mapped(sent.value)
-        model = m.m
-        base_all = model.total + ADD * (model.kinds + 1)
+        model, kinds, pair_kinds = m.m, m.m.kinds, m.m.pair_kinds
+        base_all = model.total + ADD * (kinds + 1)
         for piece in K.chunks(batches, "text", PIECE):
             h, bounds = tokens(piece["text"])
             unique, back = np.unique(h, return_inverse=True)
@@ -300,7 +315,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             order = np.argsort(number, kind="stable")
             free, before = np.empty(len(unique)), np.empty(len(unique), np.int64)
             free[order], before[order] = m.mass(number[order])
-            low = np.maximum(before - model.d_word[np.minimum(before, 3)], 0) / max(1, model.pair_kinds) + model.free_word / (model.kinds + 1)
+            low = np.maximum(before - model.d_word[np.minimum(before, 3)], 0) / max(1, pair_kinds) + model.free_word / (kinds + 1)
             base = np.log10((count + ADD) / base_all)
             at = _before(back, bounds, int(np.searchsorted(unique, END)))
             known = (number[at] >= 0) & (number[back] >= 0)
