@@ -31,7 +31,12 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     with system.open_output_stream(aside) as f:
         f.write(array.dtype.str[1:].encode().ljust(HEAD))
         f.write(memoryview(np.ascontiguousarray(array)).cast("B") if len(array) else b"")
-    system.move(aside, f"{path}/{name}")
+    try:
+        system.move(aside, f"{path}/{name}")
+    except OSError:  # some stores don't move onto a file that another attempt has left
+        if system.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+            raise
+        system.delete_file(aside)
 
 
 def smallest(array: np.ndarray) -> np.ndarray:

@@ -1,10 +1,10 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a stretch of a partition form one array of symbols with links to their
-neighbours. An inverted index holds, for each rank, the positions of the pairs that merge to it. Ranks
+The distinct pre-tokens of the corpus meet by an exchange, in buckets of their hashes. A bucket's words form one array of symbols with links
+to their neighbours. An inverted index holds, for each rank, the positions of the pairs that merge to it. Ranks
 are taken in order; a merge touches only its positions and their neighbours, whose new pairs enter the
-index. The text itself never shuffles: each partition replays the merges over its own distinct words,
-in memory that the size of a stretch bounds.
+index. So each word of the corpus is worked out once. The words with their ids go to the shared folder as sorted arrays, which workers map into
+memory and look the words of a stretch of text up in, comparing bytes. The text itself never shuffles, and a frequent word is one row a task.
 
 Nulls: a null text is an empty text and has no ids; a null key stays null. Repeated rows and ties
 give a row each. Other columns of the input are ignored.
@@ -17,17 +17,21 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from readqc.llm import arrays
 from readqc.llm import textkernel as K
-from readqc.llm.shared import arrow, texts
+from readqc.llm.shared import arrow, new_folder, partitions, texts
 from readqc.llm.wordtable import WordTable, ranges
 
 #: Bytes of text whose new words are encoded together, and of which positions are held at once.
 STRETCH, PIECE = 24 << 20, 3 << 20
+#: Buckets of the corpus's words at most: words are far fewer than text, so that a bucket of so many stays within a task's memory.
+BUCKETS = 4096
 _LETTER, _NUMBER, _BLANK, _OTHER = 1, 2, 3, 0
 NONE = np.int32(2**31 - 1)
 
@@ -225,10 +229,129 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def cut(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a batch of texts, starts and ends of their pre-tokens, and each document's range of them."""
+    text = K.flat(column)
+    starts, bounds = pretokens(text)
+    return text.data, starts, np.append(starts[1:], len(text.data)).astype(np.int64)[: len(starts)], bounds
+
+
+@dataclass
+class Vocabulary:
+    """The pre-tokens of a corpus with their ids: for each bucket of their hashes sorted hashes, ends of words and of ids, bytes and ids. The arrays
+    lie in the shared folder; this is where."""
+
+    folder: str
+    buckets: int
+    path: str
+
+    def bucket_of(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+
+class Lookup:
+    """A vocabulary in a worker."""
+
+    def __init__(self, words: Vocabulary):
+        self.words, self.shelf, self.book = words, arrays.Shelf(words.folder), ranks(words.path)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word and their offsets: taken from the vocabulary, where words are compared byte by byte. What is not there, as a word that
+        shares its hash with another, is worked out here."""
+        n = len(offsets) - 1
+        h = K.span_hash(data, offsets[:-1], offsets[1:])
+        order = np.argsort(h)
+        edges = np.searchsorted(self.words.bucket_of(h[order]), np.arange(self.words.buckets + 1))
+        length, parts, where = np.zeros(n, np.int64), [np.zeros(0, np.int32)], np.zeros(n, np.int64)
+        done, missing = 0, []
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[b] : edges[b + 1]]
+            known, ends, flat, last, ids = (self.shelf[f"{kind}-{b}"] for kind in ("hashes", "ends", "bytes", "last", "ids"))
+            at = np.minimum(np.searchsorted(known, h[own]), max(len(known) - 1, 0))
+            there = known[at] == h[own] if len(known) else np.zeros(len(own), bool)
+            there[there] = K.same_spans(data, offsets[own[there]], offsets[own[there] + 1], flat, ends[at[there]], ends[at[there] + 1])
+            missing.append(own[~there])
+            own, at = own[there], at[there]
+            size = last[at + 1] - last[at]
+            parts.append(ids[ranges(last[at], size)])
+            length[own], where[own] = size, done + np.cumsum(size) - size
+            done += int(size.sum())
+        if len(left := np.concatenate(missing) if missing else np.zeros(0, np.int64)):
+            size = offsets[left + 1] - offsets[left]
+            ids, bounds = self.book.replay(data[ranges(offsets[left], size)], np.concatenate([[0], np.cumsum(size)]))
+            parts.append(ids)
+            length[left], where[left] = np.diff(bounds), done + bounds[:-1]
+        return np.concatenate(parts)[ranges(where, length)], np.concatenate([[0], np.cumsum(length)])
+
+
+def vocabulary(docs: DataFrame, path: str) -> Vocabulary:
+    """Gathers the distinct pre-tokens of all texts by an exchange of their hashes, and replays the merges over all of them, a bucket at a time."""
+    out = Vocabulary(new_folder(docs.sparkSession, "pretokens"), min(BUCKETS, partitions(docs)), path)
+
+    def gather(batches):
+        table = WordTable(lambda data, offsets: (np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)))
+
+        def sent():
+            data, ends = np.frombuffer(bytes(table.bytes), np.uint8), np.frombuffer(table.ends, np.int64)
+            starts = np.append(0, ends[:-1])[: len(ends)]
+            bucket = out.bucket_of(K.span_hash(data, starts, ends)) if len(ends) else np.zeros(0, np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(out.buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[b] : edges[b + 1]]
+                size = ends[own] - starts[own]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([data[ranges(starts[own], size)].tobytes()], pa.binary()), pa.array([size.tobytes()], pa.binary())], ["bucket", "words", "sizes"])
+
+        for piece in K.chunks(batches, "text", PIECE):
+            data, starts, ends, _ = cut(piece["text"])
+            table.add(data, starts, ends)
+            if table.full:
+                yield from sent()
+                table = WordTable(table.encode)
+        yield from sent()
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, book = key[0].as_py(), ranks(path)
+        table = WordTable(book.replay)
+        for batch in batches:
+            for words, sizes in zip(batch.column("words").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                ends = np.cumsum(np.frombuffer(sizes, np.int64))
+                table.add(np.frombuffer(words, np.uint8), np.append(0, ends[:-1]), ends)
+        table.encode_new()
+        data, ends = np.frombuffer(bytes(table.bytes), np.uint8), np.frombuffer(table.ends, np.int64)
+        starts = np.append(0, ends[:-1])
+        hashes = K.span_hash(data, starts, ends)
+        _, order = np.unique(hashes, return_index=True)  # of words that share a hash, one
+        size = ends[order] - starts[order]
+        numbers = order.astype(np.int32)
+        values = {"hashes": hashes[order], "ends": np.concatenate([[0], np.cumsum(size)]), "bytes": data[ranges(starts[order], size)], "last": np.concatenate([[0], np.cumsum(table.counts(numbers))]), "ids": table.ids_of(numbers).astype(np.int32)}
+        for kind, value in values.items():
+            arrays.save(out.folder, f"{kind}-{b}", value)
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([len(order)], pa.int64())], ["bucket", "n"])
+
+    rows = texts(docs).select("text").mapInArrow(gather, "bucket long, words binary, sizes binary").groupBy("bucket").applyInArrow(merge, "bucket long, n long").collect()  # a row a bucket
+    full = {r["bucket"] for r in rows}
+    for b in range(out.buckets):
+        if b not in full:  # buckets without a word are files too, so that a file that is missing is an error
+            for kind, value in {"hashes": np.zeros(0, np.uint64), "ends": np.zeros(1, np.int64), "bytes": np.zeros(0, np.uint8), "last": np.zeros(1, np.int64), "ids": np.zeros(0, np.int32)}.items():
+                arrays.save(out.folder, f"{kind}-{b}", value)
+    return out
+
+
+#: One table for a vocabulary lives as long as the Python worker, so that tasks after the first find most words in it.
+_tables: dict[str, WordTable] = {}
+
+
+def _table(words: Vocabulary) -> WordTable:
+    if words.folder not in _tables or _tables[words.folder].full:
+        _tables.clear()
+        _tables[words.folder] = WordTable(Lookup(words))
+    return _tables[words.folder]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """(doc_ids, ids of each document) for stretches of a partition."""
-    book = ranks(path)
-    table = WordTable(book.replay)
+    table = _table(words)
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -239,25 +362,23 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.A
             yield keys, np.split(table.ids_of(numbers), ends[1:-1])
 
     for piece in K.chunks(batches, "text", PIECE):
-        text = K.flat(piece["text"])
-        starts, bounds = pretokens(text)
-        ends = np.append(starts[1:], len(text.data)).astype(np.int64)[: len(starts)]
-        held.append((piece["doc_id"], table.add(text.data, starts, ends), bounds))
-        size += len(text.data)
+        data, starts, ends, bounds = cut(piece["text"])
+        held.append((piece["doc_id"], table.add(data, starts, ends), bounds))
+        size += len(data)
         if size >= STRETCH:
             yield from emit()
             held, size = [], 0
-            if table.full:
-                table = WordTable(book.replay)
+            table = _table(words)
     yield from emit()
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every text of docs."""
     arrow(docs.sparkSession)
+    words = vocabulary(docs, path)
 
     def run(batches):
-        for keys, ids in encoded(batches, path):
+        for keys, ids in encoded(batches, words):
             flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
             ends = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
@@ -282,10 +403,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document the number of ids, their SHA-256 (little-endian unsigned 32-bit) and that of the bytes that they
     decode to."""
     arrow(docs.sparkSession)
+    words = vocabulary(docs, path)
 
     def run(batches):
         book = ranks(path)
-        for keys, ids in encoded(batches, path):
+        for keys, ids in encoded(batches, words):
             rows = [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(book.decode(x).tobytes()).hexdigest()) for x in ids]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([keys.combine_chunks(), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -107,9 +107,7 @@ def unmix(h: np.ndarray) -> np.ndarray:
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each data[start:end], eight bytes a step."""
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    lanes = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    lanes = _lanes(data)
     size = ends - starts
     h = size.astype(U) * _K0 + _K3
     h = mix(h ^ ((lanes[starts] & _MASK[np.minimum(size, 8)]) * _K1))
@@ -123,6 +121,28 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return h
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, as one number."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each data[start:end] is the same bytes as other[begin:stop], eight bytes a step."""
+    size = ends - starts
+    same = size == stop - begin
+    left, at = np.flatnonzero(same), 0
+    mine, others = _lanes(data), _lanes(other)
+    while len(left):
+        rest = size[left] - at
+        equal = ((mine[starts[left] + at] ^ others[begin[left] + at]) & _MASK[np.clip(rest, 0, 8)]) == 0
+        same[left[~equal]] = False
+        left = left[equal & (rest > 8)]
+        at += 8
+    return same
+
+
 @dataclass
 class Words:
     """Words of a batch in order: hash each, and the range of words of each document."""

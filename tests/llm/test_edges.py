@@ -7,9 +7,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from readqc.llm import embedding_dedup, jaccard_join, license_scan, quality, sharding, topk, vectors
+from readqc.llm import arrays, byte_bpe, embedding_dedup, jaccard_join, license_scan, quality, sharding, textkernel, topk, vectors, wordtable
 
 VEC = "vec_id long, embedding array<float>, row string, block int, x int"  # the last three clash with names that operators use
 
@@ -251,3 +252,39 @@ def test_pipeline_stage_of_near_duplicates_looks_at_rows(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted([(False, 3, a), (False, 5, b), (False, 9, ""), (False, 9, ""), (True, 0, a), (False, 4, "")])
+
+
+def test_words_of_one_hash_are_told_apart():
+    words = [b"one", b"two", b"three", b"a rather long word", b"a rather long wort", b"", b"one", b"two"]
+    ends = np.cumsum([len(w) for w in words])
+    data, starts = np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1])
+    ids = lambda d, o: (d.astype(np.uint32), o)
+    for hashed in (textkernel.span_hash, lambda d, s, e: np.zeros(len(s), np.uint64), lambda d, s, e: (e - s).astype(np.uint64)):
+        table = wordtable.WordTable(ids, hashed=hashed)
+        for part in (slice(0, 4), slice(0, 8), slice(3, 8)):
+            numbers = table.add(data, starts[part], ends[part])
+            table.encode_new()
+            assert [bytes(table.ids_of(numbers[i : i + 1]).astype(np.uint8)) for i in range(len(numbers))] == words[part]
+        assert len(table.starts) == len(set(words))
+
+
+def test_vocabulary_misses_are_worked_out(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    words = byte_bpe.vocabulary(docs_of(spark, ["some words", None, "more words"]), path)
+    find = byte_bpe.Lookup(words)
+    for text in ([b" words", b"unseen", b"some", b"\xe6\x97\xa5"], [b"x"], []):
+        cut = np.concatenate([[0], np.cumsum([len(w) for w in text])]).astype(np.int64)
+        got, at = find(np.frombuffer(b"".join(text), np.uint8), cut)
+        assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [find.book.one(w) for w in text]
+
+
+def test_arrays_open_when_asked_for(tmp_path):
+    folder = f"file://{tmp_path}"
+    for i in range(6):
+        arrays.save(folder, f"a-{i}", np.arange(i, dtype=np.uint16))
+        arrays.save(folder, f"a-{i}", np.arange(i, dtype=np.uint16))
+    shelf = arrays.Shelf(folder, 2)
+    assert [shelf[f"a-{i}"].tolist() for i in (0, 5, 3, 5, 0)] == [[], list(range(5)), [0, 1, 2], list(range(5)), []] and len(shelf.held) == 2
+    with pytest.raises(FileNotFoundError):
+        shelf["b"]
+    assert sorted(x.name for x in tmp_path.iterdir()) == [f"a-{i}" for i in range(6)]
