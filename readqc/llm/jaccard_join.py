@@ -380,16 +380,19 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
         outline = F.col("fold") if turn < STARS else F.when(F.col("size") == 1, F.col("fold"))
         base = posted.join(units.select(*group, "component", "first", outline.alias("fold")), group)
         if turn:  # shingles of one component are done with
-            open_tokens = base.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("parts").alias("parts")).where("a <> b").select("token", "parts")
-            base = written(base.join(to_each_part(open_tokens), ["token", "part"], "left_semi"), "base")
+            open_tokens = base.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("parts").alias("parts"), F.count("*").alias("many")).where("a <> b").select("token", "parts", "many")
+            base = written(base.join(to_each_part(open_tokens), ["token", "part"]), "base")
             posted = base.select("token", "part", "parts", *group, "place").distinct()
-        one = base.select("token", "part", "parts", F.col("component").alias("c1"), F.col("prefix").alias("p1"), F.col("first").alias("u"), F.col("n").alias("n1"), F.col("place").alias("i1"), F.col("fold").alias("b1"))
+        one_of = {x: F.col(x) for x in ("token", "part", "parts")} | {y: F.col(x).alias(y) for x, y in {"component": "c1", "prefix": "p1", "first": "u", "n": "n1", "place": "i1", "fold": "b1"}.items()}
+        one = base.select(*one_of.values())
         other = {"c1": "c2", "p1": "p2", "u": "v", "n1": "n2", "i1": "i2", "b1": "b2"}
         inner = units.groupBy(*group).agg(F.min("first").alias("u"), F.count("*").alias("many")).where("many > 1")
         if turn < STARS:
             unit = F.struct(*(F.col(x).alias(y) for x, y in other.items()))
             hub_by = ["u", "token"] if turn else ["u"]  # the same hubs at first, for few pairs; then others for each shingle, so that all meet some
             many = HUBS if turn else FIRST_HUBS
+            if turn:  # shingles of few units have few pairs, which the last round takes
+                one = base.where(F.col("many") > HUBS).select(*map(one_of.get, one.columns))
             hubs = one.groupBy("token").agg(F.max("parts").alias("parts"), F.array(*(F.min_by(unit, F.xxhash64(*hub_by, F.lit(turn * HUBS + k))) for k in range(many))).alias("hubs"))
             two = to_each_part(hubs.select("token", "parts", F.explode(F.array_distinct("hubs")).alias("hub"))).select("token", "part", "hub.*")
             near = one.join(two, ["token", "part"]).where("c1 <> c2")
