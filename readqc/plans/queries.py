@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc import derived
-from readqc.config import MODULES, RunMode
 from readqc.functions import expr
 from readqc.functions.stats import base_groups
 from readqc.operators import adapters as ad
@@ -118,9 +117,13 @@ def gc_hist_by_len(reads):
     return per_read.gc_by_length(reads).drop("file_id")
 
 
-@_query(f"""{_GC}, w AS (SELECT n, gc_bin * (101.0::DOUBLE / (len_bin + 1)) AS lo, (gc_bin + 1) * (101.0::DOUBLE / (len_bin + 1)) AS hi, 101.0::DOUBLE / (len_bin + 1) AS width FROM gc),
-e AS (SELECT *, floor(lo)::INTEGER AS first, (least(101, ceil(hi)) - 1)::INTEGER AS last FROM w), b AS (SELECT *, unnest(range(first, greatest(first, last) + 1))::INTEGER AS gc FROM e)
-SELECT gc, round(sum(n / width * CASE WHEN first = last THEN width WHEN gc = first THEN first + 1 - lo WHEN gc = last THEN hi - last ELSE 1 END), 6) AS n FROM b GROUP BY gc""")
+#: Each GC count over the bins of 0 .. 100 that its share of the scale overlaps.
+_SPREAD = """gw AS (SELECT n, gc_bin * (101.0::DOUBLE / (len_bin + 1)) AS lo, (gc_bin + 1) * (101.0::DOUBLE / (len_bin + 1)) AS hi, 101.0::DOUBLE / (len_bin + 1) AS width FROM gc),
+gf AS (SELECT *, floor(lo)::INTEGER AS first, (least(101, ceil(hi)) - 1)::INTEGER AS last FROM gw), gb AS (SELECT *, unnest(range(first, greatest(first, last) + 1))::INTEGER AS gc FROM gf),
+gs AS (SELECT gc, n / width * CASE WHEN first = last THEN width WHEN gc = first THEN first + 1 - lo WHEN gc = last THEN hi - last ELSE 1 END AS part FROM gb)"""
+
+
+@_query(f"{_GC}, {_SPREAD} SELECT gc, round(sum(part), 6) AS n FROM gs GROUP BY gc")
 def gc_hist_combined(reads):
     return _round(per_read.gc_combined(per_read.gc_by_length(reads)).drop("file_id"), "n")
 
@@ -201,20 +204,19 @@ def contaminant_match(reads):
     return _round(dup.contaminant_match(over, dims.contaminants(reads.sparkSession, CONTAMINANTS)).drop("file_id"), "pct")
 
 
-#: Keys of the query that SQL checks: fewer than there are, so that the cut-off shows. It is a part of the original mode; orig_dups_whole has all of it.
-SEEDS = 500
+@_query("k AS (SELECT substr(seq, 1, 50) AS seq, count(*) AS n FROM reads WHERE length(seq) > 0 AND read_idx % 3 = 0 GROUP BY 1) SELECT n AS times_seen, count(*) AS n_keys FROM k GROUP BY n")
+def dup_levels_sampled(reads):
+    """Levels of every third read: what files of two million reads and more are counted by."""
+    return dup.levels(dup.key_counts(reads, 3)).drop("file_id")
 
 
-@_query(f"""r AS (SELECT read_idx, substr(seq, 1, 50) AS seq FROM reads WHERE length(seq) > 0), f AS (SELECT seq, min(read_idx) AS first_at FROM r WHERE read_idx < {dup.SEED_READS} GROUP BY seq),
-s AS (SELECT seq FROM (SELECT seq, row_number() OVER (ORDER BY first_at, seq) AS k FROM f) WHERE k <= {SEEDS}), k AS (SELECT s.seq, count(r.seq) AS n FROM s LEFT JOIN r USING (seq) GROUP BY s.seq)
-SELECT n AS times_seen, count(*) AS n_keys FROM k GROUP BY n""")
+@_query(f"""r AS (SELECT row_number() OVER (ORDER BY read_idx, substr(seq, 1, 50)) - 1 AS nth, substr(seq, 1, 50) AS seq FROM reads WHERE length(seq) > 0),
+f AS (SELECT seq, min(nth) AS first_at FROM r WHERE nth < {dup.SEED_READS} GROUP BY seq), s AS (SELECT seq, first_at FROM f ORDER BY first_at, seq LIMIT {dup.SEED_KEYS}),
+k AS (SELECT s.seq, count(*) AS n FROM s JOIN r USING (seq) GROUP BY s.seq), l AS (SELECT n AS times_seen, count(*) AS seen FROM k GROUP BY n),
+c AS (SELECT (SELECT count(*) FROM r) AS total, CASE WHEN (SELECT count(*) FROM s) >= {dup.SEED_KEYS} THEN (SELECT max(first_at) + 1 FROM s) ELSE least((SELECT count(*) FROM r), {dup.SEED_READS}) END AS took),
+m AS (SELECT l.*, c.*, CASE WHEN took = total OR total - seen < took THEN NULL WHEN times_seen > total - took THEN 0 ELSE exp(list_sum(list_transform(range(times_seen), lambda j: ln(1 - took::DOUBLE / (total - j))))) END AS missed FROM l, c)
+SELECT times_seen, CASE WHEN missed IS NULL THEN seen ELSE floor(seen / greatest(2.220446049250313e-16, 1 - CASE WHEN missed < 1 - seen / (seen + 0.01::DOUBLE) THEN 0 ELSE missed END))::BIGINT END AS n_keys FROM m""")
 def orig_dups(reads):
-    seeded, _ = dup.seeds(reads, SEEDS)
-    return dup.levels(dup.original_counts(reads, seeded)).drop("file_id")
-
-
-@_query()
-def orig_dups_whole(reads):
     """The levels that the original mode reports: keys up to its own limit, scaled up by what the seeding may have missed."""
     seeded, cut = dup.seeds(reads)
     return dup.corrected(dup.levels(dup.original_counts(reads, seeded)), cut).drop("file_id")
@@ -283,9 +285,19 @@ def kmer_obs_exp_top20(reads):
     return _round(best.select("file_id", rank.alias("rank"), "kmer", "n", "obs_exp", "pos").drop("file_id"), "obs_exp")
 
 
-@_query()
+#: The chance of more than n for a mean of mu, as the sum of the terms above n; a term is taken from its logarithm.
+_ABOVE = "list_sum(list_transform(range(1, 80), lambda i: exp((n + i) * ln(mu) - mu - lgamma(n + i + 1))))"
+
+
+@_query(f"""{_KMERS}, bk AS (SELECT kmer, sum(n) AS of_kmer FROM kc GROUP BY 1), bp AS (SELECT pos, sum(n) AS of_pos FROM kc GROUP BY 1), tt AS (SELECT sum(n) AS total FROM kc),
+kx AS (SELECT kmer, of_kmer, pos, (n * total)::DOUBLE / (of_kmer::DOUBLE * of_pos::DOUBLE) AS ratio FROM kc JOIN bk USING (kmer) JOIN bp USING (pos), tt),
+k1 AS (SELECT kmer, of_kmer, pos, ratio FROM kx QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY ratio DESC, pos) = 1),
+cell AS (SELECT kmer, pos, coalesce(kc.n, 0) AS n, k1.of_kmer::DOUBLE / total * of_pos AS mu FROM (SELECT kmer, of_kmer FROM k1 WHERE ratio >= {km.LEAST_RATIO}) k1 CROSS JOIN bp CROSS JOIN tt LEFT JOIN kc USING (kmer, pos)),
+pv AS (SELECT kmer, least(1.0::DOUBLE, {4**km.K}::DOUBLE * min({_ABOVE})) AS pvalue FROM cell GROUP BY kmer),
+k2 AS (SELECT *, row_number() OVER (ORDER BY ratio DESC, translate(kmer, 'ACTG', '0123')) AS rank FROM k1 JOIN pv USING (kmer) WHERE pvalue <= {km.MOST_P})
+SELECT rank::INTEGER AS rank, kmer, of_kmer::BIGINT AS n, round(pvalue, 9) AS pvalue, round(ratio, 6) AS obs_exp, pos FROM k2 WHERE rank <= {km.TOP}""")
 def kmer_enriched(reads):
-    return km.enriched(km.counts(reads)).drop("file_id")
+    return _round(_round(km.enriched(km.counts(reads)).drop("file_id"), "obs_exp"), "pvalue", digits=9)
 
 
 @_query("x AS (SELECT CASE WHEN read_idx % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN read_idx % 2 = 1 THEN reverse(qual) ELSE qual END AS qual FROM reads) SELECT seq, qual, count(*) AS n FROM x GROUP BY ALL")
@@ -295,12 +307,16 @@ def revcomp(reads):
     return turned.groupBy("seq", "qual").agg(F.count("*").alias("n"))
 
 
-def _grades(reads: DataFrame) -> DataFrame:
-    return Analysis(reads, RunMode(enabled=frozenset(MODULES) - {"kmer"})).grades().drop("file_id")
+#: The GC histogram as 101 numbers, its normal curve, and its moving averages.
+_CURVE = f"""{_GC}, {_SPREAD}, g0 AS (SELECT unnest(range(0, 101))::INTEGER AS gc), gh AS (SELECT gc, coalesce(sum(part), 0)::DOUBLE AS n FROM g0 LEFT JOIN gs USING (gc) GROUP BY gc),
+gt AS (SELECT sum(n) AS whole, trunc(sum(n)) AS total, max(n) AS most, min(gc) FILTER (n = (SELECT max(n) FROM gh)) AS top FROM gh),
+gm AS (SELECT top + (coalesce((SELECT min(gc) FROM gh WHERE gc >= top AND n < 0.9::DOUBLE * most), 101) - coalesce((SELECT max(gc) FROM gh WHERE gc <= top AND n < 0.9::DOUBLE * most), -1) - 2) / 2.0::DOUBLE AS mode, * FROM gt),
+gd AS (SELECT *, sqrt((SELECT sum((gc - mode) * (gc - mode) * n) FROM gh) / (total - 1)) AS sd FROM gm),
+ge AS (SELECT gc, n, exp(-(gc - mode) * (gc - mode) / (2 * sd * sd)) AS e, total, whole FROM gh, gd),
+gcurve AS (SELECT gc, n, whole, e * total / sum(e) OVER () AS theoretical FROM ge)"""
 
 
-#: The grades by SQL, a part; GC content is left out of the query, as its curve is worked out on 101 numbers outside SQL. module_grades_whole has all.
-@_query(f"""{_CELLS}, {_KEYS}, {_TILES}, {_HITS}, h AS (SELECT pos, q, count(*) AS n FROM cells GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY pos ORDER BY q) AS upto, sum(n) OVER (PARTITION BY pos) AS total FROM h),
+_GRADES = f"""{_CELLS}, {_KEYS}, {_TILES}, {_HITS}, {_CURVE}, h AS (SELECT pos, q, count(*) AS n FROM cells GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY pos ORDER BY q) AS upto, sum(n) OVER (PARTITION BY pos) AS total FROM h),
 qq AS (SELECT pos, {_QUANTILES} FROM w GROUP BY pos), cc AS (SELECT pos, {_N} FROM cells GROUP BY pos), pp AS (SELECT pos, n, {_PCT}, n::DOUBLE / (a + c + g + t + n) AS n_frac FROM cc),
 mm AS (SELECT (list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c))) // length(qual) - 33) AS quality FROM reads WHERE length(qual) > 0), mh AS (SELECT quality, count(*) AS n FROM mm GROUP BY 1),
 tm AS (SELECT tile, pos, qsum::DOUBLE / n AS mean FROM tq), tc AS (SELECT abs(mean - avg(mean) OVER (PARTITION BY pos)) AS v FROM tm),
@@ -308,6 +324,7 @@ vals(section_no, module, title, v, warn, fail) AS (
   SELECT 2, 'tile', 'Per tile sequence quality', (SELECT max(v) FROM tc), 5::DOUBLE, 10::DOUBLE UNION ALL
   SELECT 3, 'quality_sequence', 'Per sequence quality scores', (SELECT quality FROM mh ORDER BY n DESC, quality LIMIT 1)::DOUBLE, 27, 20 UNION ALL
   SELECT 4, 'sequence', 'Per base sequence content', (SELECT max(greatest(abs(a_pct - t_pct), abs(c_pct - g_pct))) FROM pp), 10, 20 UNION ALL
+  SELECT 5, 'gc_sequence', 'Per sequence GC content', (SELECT 100.0::DOUBLE * sum(abs(n - theoretical)) / max(whole) FROM gcurve), 15, 30 UNION ALL
   SELECT 6, 'n_content', 'Per base N content', (SELECT n_frac FROM pp ORDER BY n DESC, pos LIMIT 1), 0.05, 0.2 UNION ALL
   SELECT 8, 'duplication', 'Sequence Duplication Levels', (SELECT sum(n_keys)::DOUBLE / sum(times_seen * n_keys) FROM l), 0.7, 0.5 UNION ALL
   SELECT 9, 'overrepresented', 'Overrepresented sequences', (SELECT max(n)::DOUBLE / sum(n) FROM k), 0.1, 1.0 UNION ALL
@@ -315,19 +332,17 @@ vals(section_no, module, title, v, warn, fail) AS (
 gr AS (SELECT section_no, module, title, CASE WHEN warn < fail THEN (CASE WHEN v < warn THEN 'pass' WHEN v < fail THEN 'warn' ELSE 'fail' END) ELSE (CASE WHEN v < fail THEN 'fail' WHEN v < warn THEN 'warn' ELSE 'pass' END) END AS grade FROM vals
   UNION ALL SELECT 0, 'basic_stats', 'Basic Statistics', 'pass' UNION ALL
   SELECT 1, 'quality_base', 'Per base sequence quality', CASE WHEN min(median) < 20 OR min(lower_quartile) < 5 THEN 'fail' WHEN min(median) < 25 OR min(lower_quartile) < 10 THEN 'warn' ELSE 'pass' END FROM qq UNION ALL
-  SELECT 7, 'sequence_length', 'Sequence Length Distribution', CASE WHEN min(length(seq)) = 0 THEN 'fail' WHEN min(length(seq)) < max(length(seq)) THEN 'warn' ELSE 'pass' END FROM reads)
-SELECT section_no::INTEGER AS section_no, module, title, grade FROM gr""")
-def module_grades(reads):
-    return Analysis(reads, RunMode(enabled=frozenset(MODULES) - {"kmer", "gc_sequence"})).grades().drop("file_id")
+  SELECT 7, 'sequence_length', 'Sequence Length Distribution', CASE WHEN min(length(seq)) = 0 THEN 'fail' WHEN min(length(seq)) < max(length(seq)) THEN 'warn' ELSE 'pass' END FROM reads)"""
 
 
-@_query()
-def module_grades_whole(reads):
+@_query(f"""{_GRADES} SELECT section_no::INTEGER AS section_no, module, title, grade FROM gr""")
+def module_grades(reads):
     """The grades of all modules of a default run."""
     return Analysis(reads).grades().drop("file_id")
 
 
-@_query()
+@_query(f"""{_CURVE} SELECT gc, round(n, 6) AS n, round(CASE WHEN gc IN (0, 100) THEN n WHEN gc = 1 THEN (n + lag(n) OVER w) / 2 WHEN gc = 99 THEN (n + lead(n) OVER w) / 2
+  ELSE avg(n) OVER (ORDER BY gc ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 6) AS smoothed, round(theoretical, 6) AS theoretical FROM gcurve WINDOW w AS (ORDER BY gc)""")
 def gc_theoretical(reads):
     import numpy as np
 
@@ -336,9 +351,64 @@ def gc_theoretical(reads):
     rows = Analysis(reads).result("gc_sequence").orderBy("gc").collect()  # 101 rows
     hist = np.array([r["n"] for r in rows])
     data = zip(range(101), hist.tolist(), smoothed(hist.tolist()), theoretical_gc(hist).tolist(), strict=True)
-    return reads.sparkSession.createDataFrame(list(data), "gc int, n double, smoothed double, theoretical double")
+    return _round(reads.sparkSession.createDataFrame(list(data), "gc int, n double, smoothed double, theoretical double"), "n", "smoothed", "theoretical")
 
 
-@_query()
+@_query(f"{_GRADES} SELECT concat_ws(chr(9), upper(grade), title, 'lineitem') AS line FROM gr ORDER BY section_no")
 def summary(reads):
-    return _grades(reads).orderBy("section_no").select(F.concat_ws("\t", F.upper("grade"), "title", F.lit("lineitem")).alias("line"))
+    return Analysis(reads).grades().orderBy("section_no").select(F.concat_ws("\t", F.upper("grade"), "title", F.lit("lineitem")).alias("line"))
+
+
+@_query("m AS (SELECT (list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c))) // length(qual) - 33)::INTEGER AS quality FROM reads WHERE length(qual) > 0), h AS (SELECT quality, count(*) AS n FROM m GROUP BY 1), g AS (SELECT unnest(range(min(quality), max(quality) + 1))::INTEGER AS quality FROM h) SELECT quality, coalesce(n, 0)::BIGINT AS n FROM g LEFT JOIN h USING (quality)")
+def quality_sequence(reads):
+    return Analysis(reads).result("quality_sequence").drop("file_id")
+
+
+#: Longer reads out of the derived ones, in either case of letters for Spark and in upper case for SQL.
+_LONGER = "reads AS (SELECT read_id, read_idx, name, substr(concat(seq, reverse(seq), seq, reverse(seq)), 1, {size}) AS seq, substr(concat(qual, qual, qual, qual), 1, {size}) AS qual FROM short)"
+_SHORT = f"short AS ({derived.duckdb_sql()})"
+
+
+def _longer(reads: DataFrame, size: int) -> DataFrame:
+    seq = F.concat("seq", F.reverse("seq"), F.lower("seq"), F.reverse("seq"))
+    return reads.withColumns({"seq": F.substring(seq, 1, size), "qual": F.substring(F.concat(*["qual"] * 4), 1, size)})
+
+
+def _long_query(size: int, sql: str):
+    def add(f):
+        name = f"{f.__name__}_{size}"
+        QUERIES[name] = lambda spark, sf_dir: f(_longer(derived.reads(spark, sf_dir), size))
+        SQL[name] = f"WITH {_SHORT}, {_LONGER.format(size=size)}, {sql.strip()}"
+        return f
+
+    return add
+
+
+#: Groups by the plain rule: the least step of 1, 2 or 5 by powers of ten, but one, by which 66 ranges reach from 10 to the longest read.
+_RULE = """lg AS (SELECT max(length(seq)) AS n FROM reads), st AS (SELECT min(b * (10 ** e)::BIGINT)::BIGINT AS step FROM lg, (SELECT unnest([1, 2, 5]) AS b), (SELECT unnest(range(0, 6)) AS e) WHERE b * 10 ** e > 1 AND ceil((n - 9) / (b * 10 ** e)::DOUBLE) <= 66),
+grp AS (SELECT row_number() OVER (ORDER BY lo) - 1 AS group_id, lo, hi FROM (SELECT unnest(range(1, 10)) AS lo, unnest(range(1, 10)) AS hi UNION ALL SELECT lo, least(n, lo + step - 1) FROM (SELECT unnest(range(10, n + 1, step)) AS lo, n, step FROM lg, st)))"""
+
+
+for _size in (125, 301):
+
+    @_long_query(_size, f"{_RULE} SELECT group_id::INTEGER AS group_id, lo::INTEGER AS lo, hi::INTEGER AS hi, {_TAG} AS tag FROM grp")
+    def base_groups_long(reads):
+        return base_groups_of_longest(reads)
+
+    @_long_query(_size, f"{_CELLS}, {_RULE}, k AS (SELECT group_id, lo, hi, {_N} FROM cells JOIN grp ON pos BETWEEN lo AND hi GROUP BY ALL) SELECT group_id::INTEGER AS group_id, {_TAG} AS tag, {', '.join(f'round(100.0::DOUBLE * {b} / nullif(a + c + g + t, 0), 6) AS {b}_pct' for b in 'gatc')} FROM k")
+    def base_content_long(reads):
+        return base_content_grouped(reads)
+
+
+@_long_query(301, "gc AS (SELECT least(length(seq), 250)::INTEGER AS len_bin, (CASE WHEN length(seq) >= 250 THEN 250 * length(regexp_replace(seq, '[^GC]', '', 'g')) // length(seq) ELSE length(regexp_replace(seq, '[^GC]', '', 'g')) END)::INTEGER AS gc_bin, count(*) AS n FROM reads WHERE length(seq) > 0 GROUP BY ALL) SELECT * FROM gc")
+def gc_hist_by_len_long(reads):
+    return gc_hist_by_len(reads)
+
+
+#: The derived qualities, and as many characters from @ on.
+_SOLEXA = ("#(-279:<>?@ABCDE", "BGLQVXY[]^_`abcd")
+
+
+@_query(f"x AS (SELECT unnest(string_split(translate(qual, '{_SOLEXA[0]}', '{_SOLEXA[1]}'), '')) AS c FROM reads WHERE length(qual) > 0) SELECT min(ascii(c))::INTEGER AS lowest, CASE WHEN min(ascii(c)) < 64 THEN 'Sanger' ELSE 'Solexa' END AS encoding FROM x")
+def encoding_solexa(reads):
+    return encoding(reads.withColumn("qual", F.translate("qual", *_SOLEXA)))
