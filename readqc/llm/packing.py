@@ -34,7 +34,7 @@ from readqc.llm.wordtable import WordTable
 #: high LARGE more lengths are rounded up, with a low one more are left to fill gaps exactly.
 CAPACITY, GROUPS, LARGE = 2048, (12, 24, 48, 96), (2, 4, 8)
 #: Bytes of text whose new words are encoded together, and of which positions are held at once; words of a table.
-STRETCH, PIECE, KNOWN = 24 << 20, 3 << 20, 600_000
+STRETCH, PIECE, KNOWN = 12 << 20, 2 << 20, 400_000
 
 
 @functools.cache
