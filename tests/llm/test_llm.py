@@ -68,45 +68,96 @@ def test_chunks_hold_every_row():
 # 1
 
 
-def kneser_ney_brute(texts, train):
+def kneser_ney_brute(texts, train, order):
+    """Counts and formulas by dictionaries: the number of training tokens, per text its figures, and the sums over all words after some contexts."""
     tokens = [[*word_list(t), None] for t in texts]
-    c, b = Counter(), Counter()
+    c, pairs, triples = Counter(), Counter(), Counter()
     for i in train:
+        long = [None, *tokens[i]]
         c.update(tokens[i])
-        b.update(zip([None, *tokens[i][:-1]], tokens[i], strict=True))
-    d = lambda n: kneser_ney.discounts(np.array([n[k] for k in (1, 2, 3, 4)]))
-    after, before = defaultdict(lambda: [0] * 4), Counter()
-    for (v, w), k in b.items():
-        after[v][min(k, 3)] += 1
-        before[w] += 1
-    dp, dw = d(Counter(b.values())), d(Counter(before.values()))
-    free = sum(dw[min(k, 3)] for k in before.values()) / len(b) if b else 1.0
-    low = lambda w: max(before[w] - dw[min(before[w], 3)], 0) / max(1, len(b)) + free / (len(c) + 1)
-
-    def p(v, w):
-        if v not in c:
-            return low(w)
-        k = b[(v, w)]
-        return max(k - dp[min(k, 3)], 0) / c[v] + sum(dp[i] * after[v][i] for i in (1, 2, 3)) / c[v] * low(w)
+        pairs.update(zip(long, long[1:], strict=False))
+        triples.update(zip(long, long[1:], long[2:], strict=False))
+    if order == 2:
+        lower = pairs
+    else:
+        lower = Counter((v, w) for _, v, w in triples) | Counter({x: k for x, k in pairs.items() if x[0] is None})
+    one = Counter(w for _, w in pairs)
+
+    def discounted(counts):
+        n = Counter(counts.values())
+        d = kneser_ney.discounts(np.array([n[k] for k in (1, 2, 3, 4)]))
+        whole, free = Counter(), Counter()
+        for key, k in counts.items():
+            whole[key[:-1]] += k
+            free[key[:-1]] += d[min(k, 3)]
+        return lambda key: (max(counts[key] - d[min(counts[key], 3)], 0) / whole[key[:-1]], free[key[:-1]] / whole[key[:-1]]) if whole[key[:-1]] else (0, 1)
+
+    p1, p2, p3 = discounted(Counter({(w,): k for w, k in one.items()})), discounted(lower), discounted(triples)
+
+    def p(u, v, w):
+        kept, free = p1((w,))
+        out = kept + free / (len(c) + 1)
+        kept, free = p2((v, w))
+        out = kept + free * out
+        if order == 3 and v is not None:
+            kept, free = p3((u, v, w))
+            out = kept + free * out
+        return out
 
     n = sum(c.values())
-    rows = [(len(x), sum(w in c for w in x), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in x), sum(math.log10(p(v, w)) for v, w in zip([None, *x[:-1]], x, strict=True))) for x in tokens]
-    return n, rows, sum(p(None, w) for w in c) + p(None, b"never seen")
+    rows = []
+    for x in tokens:
+        before = [None, None, *x]
+        rows.append((len(x), sum(w in c for w in x), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in x), sum(math.log10(p(u, v, w)) for u, v, w in zip(before, before[1:], x, strict=False))))
+    contexts = [(None, None), (b"never seen", b"never seen"), *list(pairs)[:5], *(x for x, _ in pairs.most_common(5))]
+    return n, rows, [sum(p(u, v, w) for w in [*c, b"never seen"]) for u, v in contexts if v is not None or u is None]
 
 
-def test_kneser_ney(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(spark, order):
     r = random.Random(3)
     texts = [*odd_texts(r), *[prose(r, 40, 60) for _ in range(60)]]
-    got = {x.doc_id: x for x in kneser_ney.score_all(docs_of(spark, texts)).collect()}
+    texts += texts[-20:]
+    got = {x.doc_id: x for x in kneser_ney.score_all(docs_of(spark, texts), order).collect()}
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
-    n, want, one = kneser_ney_brute(texts, train)
-    assert one == pytest.approx(1)
+    n, want, whole = kneser_ney_brute(texts, train, order)
+    assert whole == pytest.approx([1] * len(whole))
     for i, (many, known, base, score) in enumerate(want):
         x = got[i]
         assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (many, known, n, i not in train)
         assert x.base_score == pytest.approx(base) and x.score == pytest.approx(score)
 
 
+@pytest.mark.parametrize(("left", "right", "top"), [(1, 1, 1), (5, 3, 5), (16, 1, 16), (23, 23, 6), (27, 23, 6), (40, 24, 16)])
+def test_keys_can_be_undone_and_found(tmp_path, left, right, top):
+    r = np.random.default_rng(left)
+    kind = kneser_ney.Keys(left, right, top)
+    a, b = (r.integers(0, 1 << bits, 3000) for bits in (left, right))
+    assert all((x == y).all() for x, y in zip(kind.split(kind.join(a, b)), (a, b), strict=True))
+    keys = np.unique(kind.join(a, b))
+    assert len(keys) == len(set(zip(a.tolist(), b.tolist(), strict=True)))
+    model = kneser_ney.Model(f"file://{tmp_path}", top)
+    model.keys = lambda name: kind
+    parts = kind.edges(keys)
+    many = np.arange(len(keys)) % 3 > 0
+    model.sizes = {name: np.zeros(1 << top, np.int64) for name in ("words", "pairs", "pairs-once")}
+    for bucket in np.flatnonzero(np.diff(parts)).tolist():
+        part = slice(parts[bucket], parts[bucket + 1])
+        for name, mine in (("pairs", many[part]), ("pairs-once", ~many[part])):
+            kneser_ney._save_keys(model.folder, f"{name}-{bucket}", kind.within(keys[part])[mine], kind.low)
+            model.sizes[name][bucket] = mine.sum()
+        kneser_ney.arrays.save(model.folder, f"pairs-counts-{bucket}", np.full(int(many[part].sum()), 7))
+    m = kneser_ney.Mapped(model)
+    number, count = m._counted(keys, "pairs")
+    assert sorted(number.tolist()) == list(range(len(keys))) and (count == np.where(many, 7, 1)).all()
+    assert (number[many] < many.sum()).all()
+    for bucket in np.flatnonzero(np.diff(parts)).tolist():
+        part = slice(parts[bucket], parts[bucket + 1])
+        assert (m.stored("pairs", bucket) == keys[part][many[part]]).all()
+    others = np.setdiff1d(r.integers(0, 1 << min(63, left + right), 500).astype(np.uint64), keys)
+    assert (m._counted(others, "pairs")[0] == -1).all()
+
+
 def test_kneser_ney_with_nothing_to_learn(spark):
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     rows = kneser_ney.score_all(docs_of(spark, ["a b", None, "c"], held)).collect()
