@@ -35,6 +35,8 @@ U = np.uint64
 END = U(0x8C7F0AACF7B6A1E3)  #: stands for the end of a text among word hashes
 #: Tokens whose counts a task adds up before it sends them; bytes of text scored at once; the base rule's addition.
 STRETCH, PIECE, ADD = 3_000_000, 6 << 20, 0.1
+#: Keys that begin alike in an array, about.
+PLACES = 16
 #: Bits of the number of buckets at most.
 TOP = 16
 #: Words that the model looks back over, and one.
@@ -143,13 +145,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _save_keys(folder: str, name: str, keys: np.ndarray, low: int) -> None:
-    """A bucket's sorted keys of so many bits: their last 32 bits and where each value of the bits above begins, unless that is more."""
-    if low <= 32 or 1 << (low - 32) <= len(keys):
-        arrays.save(folder, name, keys.astype(np.uint32))
-        if low > 32:
-            arrays.save(folder, f"{name}-begin", arrays.smallest(np.searchsorted(keys >> U(32), np.arange((1 << (low - 32)) + 1, dtype=U))))
-    else:
+    """A bucket's sorted keys of so many bits. What is kept is their last 32 bits, and where the keys begin of each value of the bits above, or of more bits, so
+    that some PLACES keys begin alike. Where the bits above have more values than there are keys, whole keys are kept."""
+    piece = max(0, low - 32, min(low, bits_of(len(keys)) - bits_of(PLACES)))
+    if low > 32 and 1 << piece > len(keys):
         arrays.save(folder, name, keys)
+    else:
+        arrays.save(folder, name, keys.astype(np.uint32))
+        arrays.save(folder, f"{name}-begin", arrays.smallest(np.searchsorted(keys >> U(low - piece), np.arange((1 << piece) + 1, dtype=U))))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -225,24 +228,30 @@ class Mapped:
                 part, table = slice(edges[b], edges[b + 1]), self.shelf[f"{name}-{b}"]
                 asked = kind.within(keys[part])
                 own = asked.astype(table.dtype)
-                if kind.low > 32 and table.dtype == np.uint32:
-                    at = _search(table, own, self.shelf[f"{name}-{b}-begin"], (asked >> U(32)).astype(np.int64))
-                    ends = self.shelf[f"{name}-{b}-begin"][(asked >> U(32)).astype(np.int64) + 1]
-                    there = at < ends
+                if table.dtype == np.uint32:
+                    at, ends = _search(table, own, *self._pieces(name, b, asked, kind))
                 else:
-                    at = np.searchsorted(table, own)
-                    there = at < len(table)
+                    at, ends = np.searchsorted(table, own), len(table)
+                there = at < ends
                 at = np.minimum(at, len(table) - 1)
                 yield b, part, at, there & (table[at] == own)
 
+    def _pieces(self, name: str, b: int, asked: np.ndarray, kind: Keys) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys begin and end that begin like those asked for."""
+        begin = self.shelf[f"{name}-{b}-begin"]
+        piece = (asked >> U(kind.low - bits_of(len(begin)) + 1)).astype(np.int64) if len(begin) > 2 else np.zeros(len(asked), np.int64)
+        return begin[piece].astype(np.int64), begin[piece + 1].astype(np.int64)
+
     def _counted(self, keys: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted keys."""
         number, count, kind = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), self.m.keys(name)
         for part_name in (name,) if name == "words" else (name, f"{name}-once"):
             start = self.m.start(part_name)
-            for b, part, at, there in self._find(keys, part_name, kind):
-                number[part] = np.where(there, start[b] + at, number[part])
-                count[part] = np.where(there, 1 if part_name.endswith("-once") else self.shelf[f"{name}-counts-{b}"][at], count[part])
+            left = np.flatnonzero(number < 0)
+            for b, part, at, there in self._find(keys[left], part_name, kind):
+                mine, at = left[part][there], at[there]
+                number[mine] = start[b] + at
+                count[mine] = 1 if part_name.endswith("-once") else self.shelf[f"{name}-counts-{b}"][at]
         return number, count
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,10 +301,12 @@ class Mapped:
             return np.zeros(0, U)
         kind, table = self.m.keys(name.removesuffix("-once")), self.shelf[f"{name}-{b}"]
         at = np.arange(len(table)) if at is None else at
-        out = table[at].astype(U) | U(b << kind.low)
-        if kind.low > 32 and table.dtype == np.uint32:
-            out |= (np.searchsorted(self.shelf[f"{name}-{b}-begin"].astype(np.int64), at, "right") - 1).astype(U) << U(32)
-        return out
+        out = table[at].astype(U)
+        if table.dtype == np.uint32:
+            begin = self.shelf[f"{name}-{b}-begin"]
+            rest = kind.low - bits_of(len(begin)) + 1 if len(begin) > 2 else kind.low
+            out = out & U((1 << rest) - 1) | (np.searchsorted(begin, at.astype(begin.dtype), "right") - 1).astype(U) << U(rest)
+        return out | U(b << kind.low)
 
     def last_words(self, pair: np.ndarray) -> np.ndarray:
         """The second words of sorted pair numbers."""
@@ -309,14 +320,14 @@ class Mapped:
         return out
 
 
-def _search(table: np.ndarray, asked: np.ndarray, begin: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """For each number asked for, its place among the sorted numbers of its piece of the table."""
-    lo, hi = begin[piece].astype(np.int64), begin[piece + 1].astype(np.int64)
+def _search(table: np.ndarray, asked: np.ndarray, lo: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number asked for, its place among the sorted numbers of the table from lo up to an end, and that end."""
+    hi = ends
     for _ in range(int((hi - lo).max(initial=0)).bit_length()):
         mid = (lo + hi) >> 1
         less = (table[np.minimum(mid, len(table) - 1)] < asked) & (lo < hi)
         lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-    return lo
+    return lo, ends
 
 
 def _before(number: np.ndarray, bounds: np.ndarray, first: int) -> np.ndarray:

@@ -128,7 +128,7 @@ def test_kneser_ney(spark, order):
         assert x.base_score == pytest.approx(base) and x.score == pytest.approx(score)
 
 
-@pytest.mark.parametrize(("left", "right", "top"), [(1, 1, 1), (5, 3, 5), (16, 1, 16), (23, 23, 6), (27, 23, 6), (40, 24, 16)])
+@pytest.mark.parametrize(("left", "right", "top"), [(1, 1, 1), (5, 3, 5), (16, 1, 16), (20, 16, 1), (20, 20, 2), (23, 23, 6), (27, 23, 6), (40, 24, 16)])
 def test_keys_can_be_undone_and_found(tmp_path, left, right, top):
     r = np.random.default_rng(left)
     kind = kneser_ney.Keys(left, right, top)
