@@ -128,6 +128,18 @@ def test_kneser_ney(spark, order):
         assert x.base_score == pytest.approx(base) and x.score == pytest.approx(score)
 
 
+def test_discounts():
+    d = kneser_ney.discounts(np.array([1000, 400, 220, 150]))
+    y = 1000 / 1800
+    assert d.tolist() == pytest.approx([0, 1 - 2 * y * 0.4, 2 - 3 * y * 0.55, 3 - 4 * y * 150 / 220])
+    many_copies = kneser_ney.discounts(np.array([1000, 400, 20, 10]))
+    assert many_copies.tolist() == pytest.approx([0, y, y, y])
+    for n in ([0, 0, 0, 0], [5, 0, 0, 0], [5, 1, 0, 0], [100, 50, 40, 30], [9, 900, 1, 1]):
+        d = kneser_ney.discounts(np.array(n))
+        kept = 1 - d[1:] / [1, 2, 3]
+        assert (kept >= 0).all() and (np.diff(kept) >= -1e-12).all()
+
+
 @pytest.mark.parametrize(("left", "right", "top"), [(1, 1, 1), (5, 3, 5), (16, 1, 16), (20, 16, 1), (20, 20, 2), (23, 23, 6), (27, 23, 6), (40, 24, 16)])
 def test_keys_can_be_undone_and_found(tmp_path, left, right, top):
     r = np.random.default_rng(left)
