@@ -2,7 +2,7 @@
 
 Each step is an aggregation (with partial sums before the exchange) and a join, so a node with very many
 links is split by the skew join and never gathers in one task. Each round is written to the shared
-folder; nothing but two numbers a round comes to the driver.
+folder; nothing but one bit a round comes to the driver. A round follows only while some id is not yet linked to its root alone.
 """
 
 from __future__ import annotations
@@ -10,16 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readqc.llm.shared import written
+from readqc.llm.shared import release, written
 
 
 def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _state(links: DataFrame) -> tuple:
-    r = links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-    return tuple(r)
+def _both(links: DataFrame, one: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """Two links (u, v) for each row, of the columns named, in one pass over it."""
+    pair = [F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in (one, other)]
+    return links.select(F.explode(F.array(*pair)).alias("link")).select("link.*")
+
+
+def _open(links: DataFrame) -> bool:
+    """Whether any id has more than one smaller end, or both a smaller and a larger one. If not, links go from each id to the least of its component."""
+    end = [F.struct(F.col(x).alias("id"), F.lit(int(x == "u")).alias("down"), F.lit(int(x == "v")).alias("up")) for x in "uv"]
+    ends = links.select(F.explode(F.array(*end)).alias("end")).select("end.*").groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.agg(F.max((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1)))).first()[0] or False
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,13 +36,9 @@ def components(links: DataFrame) -> DataFrame:
     ids = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     # every link as (larger, smaller)
     now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(now)
-    while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while _open(now):
+        both = _both(now, ("u", "v"), ("v", "u"))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(_least(large), "u")
-        now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        last, state = state, _state(now)
-        if state == last:
-            break
+        now = written(_both(large.join(_least(large), "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct(), "links")
+        release(links.sparkSession)
     return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))

@@ -42,6 +42,8 @@ WIDTH, PERCENT, STARS, FIRST_HUBS, HUBS = 5, 75, 3, 4, 16
 SLOTS_SPLIT, SLOTS_LEAST, SLOTS_MOST = 1 << 17, 1 << 22, 1 << 24
 #: Bits of a shingle's key that hold its level; from which level on it is dealt over parts, which hold some 2 ** (HOT - 1) postings each.
 LEVEL_BITS, HOT = 5, 12
+#: Upper bits of a key that postings carry. Shingles that share them are taken for one there, which makes candidates and loses none.
+POSTED_BITS = 48
 #: Bits for each document that is looked for, least and most bits of that filter.
 FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 25
 #: Words of the outline that a join's condition looks at.
@@ -165,10 +167,10 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int,
         def postings():
             if not held:
                 return
-            tokens = np.concatenate([x for x, _ in held])
+            tokens = np.concatenate([x for x, _ in held]) & ~U((1 << (64 - POSTED_BITS)) - 1)
             owner = np.repeat(np.array([o for _, o in held], np.uint32), [len(x) for x, _ in held])
             place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x, _ in held])
-            keys, ns = np.array([_long(k) for k in own], np.int64), np.array(sizes, np.int64)
+            keys, ns = np.array([_long(k) for k in own], np.int64), np.array(sizes, np.uint32)
             part = part_of(keys[owner], parts_of(tokens, hot))
             bucket = (K.mix(K.mix(tokens) + part.astype(U)) % U(buckets)).astype(np.int32)
             order = np.lexsort((tokens, bucket))
@@ -177,7 +179,7 @@ def signatures(docs: DataFrame, levels, width: int, percent: int, buckets: int,
             for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if b > a:
                     used, local = np.unique(owner[a:b], return_inverse=True)
-                    row = [[None]] * 6 + [[i], [K.pack_sorted(tokens[a:b])], [K.planes(local.astype(np.uint32))], [K.planes(place[a:b])], [keys[used].tobytes()], [ns[used].tobytes()]]
+                    row = [[None]] * 6 + [[i], [K.pack_sorted(tokens[a:b])], [K.planes(local.astype(np.uint32))], [K.planes(place[a:b])], [keys[used].tobytes()], [K.planes(ns[used])]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for piece in K.chunks(batches, "text", PIECE):
@@ -233,7 +235,7 @@ def shared_postings(packed: DataFrame, percent: int, hot: int = HOT) -> DataFram
                 local = K.unplanes(o, np.uint32)
                 tokens.append(K.unpack_sorted(t))
                 owner.append(np.frombuffer(owners, np.int64)[local])
-                n.append(np.frombuffer(sizes, np.int64)[local])
+                n.append(K.unplanes(sizes, np.uint32)[local].astype(np.int64))
                 place.append(K.unplanes(p, np.uint32))
         tokens, owner, n, place = (np.concatenate(x) for x in (tokens, owner, n, place))
         parts = parts_of(tokens, hot)
@@ -243,7 +245,8 @@ def shared_postings(packed: DataFrame, percent: int, hot: int = HOT) -> DataFram
         same = t[1:] == t[:-1]
         order = order[np.append(False, same) | np.append(same, False) | dealt[order]]  # of shingles met twice
         order = order[np.lexsort((place[order], n[order], owner[order], tokens[order]))]
-        columns = [x[order] for x in (tokens, owner, n, place)]
+        columns = [x[order] for x in (tokens, owner, n)]
+        # a posting for each prefix, at its least place, which rules out least
         fresh = np.append(True, np.any([x[1:] != x[:-1] for x in columns], axis=0))[: len(order)]
         order, t = order[fresh], columns[0][fresh]
         same = t[1:] == t[:-1]
@@ -354,12 +357,14 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
         """Of (u, v) those that link, by the whole sets."""
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         # dealt out by node once, for both joins
-        whole = candidate_sets(docs, members.join(ends, "node", "left_semi").select("rep"), levels, width).repartition(buckets, "node").persist()
+        wanted = written(members.join(ends, "node", "left_semi").select("rep"), "wanted")
+        whole = candidate_sets(docs, wanted, levels, width).repartition(buckets, "node").persist()
         a, b = whole.select(F.col("node").alias("u"), F.col("s").alias("su")), whole.select(F.col("node").alias("v"), F.col("s").alias("sv"))
         both = F.size(F.array_intersect("su", "sv"))
         found = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("t")).where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("u", "v")
         found = written(found, "found")
         whole.unpersist()
+        release(spark)
         return found
 
     def merged(labels, found):
@@ -375,7 +380,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
     turn = 0
     while turn <= STARS:
         # a group may hold members of several components: each such part is a unit, named by its least member
-        units = written(members.join(labels, "node").groupBy(*group, "component").agg(F.min("node").alias("first"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")), "units")
+        units = written((members.join(labels, "node") if turn else members.withColumn("component", F.col("node"))).groupBy(*group, "component").agg(F.min("node").alias("first"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")), "units")
         # a shingle's bucket holds each unit with its first member's outline; in the last round, where all members are asked for, if it is the only one
         outline = F.col("fold") if turn < STARS else F.when(F.col("size") == 1, F.col("fold"))
         base = posted.join(units.select(*group, "component", "first", outline.alias("fold")), group)
@@ -410,13 +415,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
             within = left.join(right, (F.col("p1") == F.col("p2")) & (F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2"))).select("u", "v")
             pairs = across.unionByName(within)
         likely = written(likely_pairs(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), members, percent), "likely")
+        release(spark)
         if turn == STARS:  # of two components first the likeliest pair, which mostly merges them; then every pair of those that are still apart
             pair = F.struct("u", "v")
             best = named(likely, labels).groupBy(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).agg(F.max_by(pair, F.struct("margin", "u", "v")).alias("best"))
             labels = merged(labels, verified(written(best.select("best.*"), "best")))
             likely = written(named(likely, labels).select("u", "v"), "rest")
         found = verified(likely.select("u", "v"))
-        release(spark)
         turn = turn + 1 if turn == STARS or found.take(1) else STARS  # a round that finds nothing is the last of the stars
         labels = merged(labels, found)
     linked = sets.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))

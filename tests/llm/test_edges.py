@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from readqc.llm import arrays, byte_bpe, embedding_dedup, jaccard_join, license_scan, quality, sharding, textkernel, topk, vectors, wordtable
+from readqc.llm import arrays, byte_bpe, components, embedding_dedup, jaccard_join, license_scan, quality, shared, sharding, textkernel, topk, vectors, wordtable
 
 VEC = "vec_id long, embedding array<float>, row string, block int, x int"  # the last three clash with names that operators use
 
@@ -242,6 +242,29 @@ def test_jaccard_join_deals_common_shingles_over_parts(spark, hot):
     assert got == jaccard_brute(rows)
 
 
+@pytest.mark.parametrize("kept", [8, 14])
+def test_jaccard_join_where_postings_take_shingles_for_one(spark, monkeypatch, kept):
+    monkeypatch.setattr(jaccard_join, "POSTED_BITS", kept)
+    r = random.Random(kept)
+    rows = [(i, prose(r, r.randint(1, 50))) for i in range(50)]
+    rows += [(100 + i, " ".join(w if r.random() < 0.98 else f"edit{i}" for w in t.split())) for i, t in rows[:30]] + rows[:3]
+    got = sorted(tuple(x) for x in jaccard_join.join(docs_of(spark, [t for _, t in rows], [i for i, _ in rows]), hot=2).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == jaccard_brute(rows) and any(a != c for a, _, c in got)
+
+
+def test_components_stop_when_all_links_go_to_roots(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, what: made.append(what) or shared.written(df, what))
+    for links, rounds in ([(9, 1), (8, 1), (1, 7), (7, 1), (5, 2), (3, 3)], 0), ([(1, 2), (2, 3)], 1), ([(i, i + 1) for i in range(9)], None):
+        made.clear()
+        got = {x.id: x.component for x in components.components(spark.createDataFrame(links, "u long, v long").repartition(2)).collect()}
+        least = {i: i for p in links for i in p}
+        for _ in least:
+            for u, v in links:
+                least[u] = least[v] = min(least[u], least[v])
+        assert got == least and (rounds is None or len(made) == 1 + rounds)
+
+
 def test_pipeline_stage_of_near_duplicates_looks_at_rows(spark):
     import corpus_pipeline
 
