@@ -277,6 +277,20 @@ def test_pipeline_stage_of_near_duplicates_looks_at_rows(spark):
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted([(False, 3, a), (False, 5, b), (False, 9, ""), (False, 9, ""), (True, 0, a), (False, 4, "")])
 
 
+def test_pipeline_stage_of_near_duplicates_follows_pairs_without_a_round(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked, made = [], []
+    monkeypatch.setattr(jaccard_join, "components", lambda links: asked.append(1) or components.components(links))
+    monkeypatch.setattr(components, "written", lambda df, what: made.append(what) or shared.written(df, what))
+    r = random.Random(6)
+    texts = [prose(r, 60) for _ in range(20)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*texts, *(t + " more" for t in texts)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(20))
+    assert len(made) == len(asked) > 0  # links that go to roots at once are written once and not again
+
+
 def test_words_of_one_hash_are_told_apart():
     words = [b"one", b"two", b"three", b"a rather long word", b"a rather long wort", b"", b"one", b"two"]
     ends = np.cumsum([len(w) for w in words])
