@@ -24,8 +24,10 @@ def summed(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray]
     def fill(batches):
         out = np.zeros(step * pieces, np.uint32)
         count(batches, out)
-        out = np.minimum(out, np.iinfo(sent).max).astype(sent)
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([out[i * step : (i + 1) * step].tobytes() for i in range(pieces)], pa.binary())], ["piece", "data"])
+        # cut piece by piece, so that no second array of the whole length is held
+        cut = [np.minimum(out[i * step : (i + 1) * step], np.iinfo(sent).max).astype(sent).tobytes() for i in range(pieces)]
+        del out
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(cut, pa.binary())], ["piece", "data"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(step, np.uint64)

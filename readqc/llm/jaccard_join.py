@@ -356,14 +356,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
     def verified(pairs):
         """Of (u, v) those that link, by the whole sets."""
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        # dealt out by node once, for both joins
+        # dealt out by node once, for both joins, which read the one exchange: kept in memory, the sets would fill the executors
         wanted = written(members.join(ends, "node", "left_semi").select("rep"), "wanted")
-        whole = candidate_sets(docs, wanted, levels, width).repartition(buckets, "node").persist()
+        whole = candidate_sets(docs, wanted, levels, width).repartition(buckets, "node")
         a, b = whole.select(F.col("node").alias("u"), F.col("s").alias("su")), whole.select(F.col("node").alias("v"), F.col("s").alias("sv"))
         both = F.size(F.array_intersect("su", "sv"))
         found = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("t")).where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("u", "v")
         found = written(found, "found")
-        whole.unpersist()
         release(spark)
         return found
 

@@ -251,11 +251,8 @@ def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame
         return docs
     arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(shared.value.score(statistics(b.column(at))) >= accept))
+        yield from K.kept(batches, "text", PIECE, lambda text: shared.value.score(statistics(text)) >= accept)
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ byte and some ten operations a word, without a Python object per word.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,6 +80,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[
     trim()
 
 
+def kept(batches: Iterator[pa.RecordBatch], text: str, size: int, keep: Callable[[pa.ChunkedArray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows, all columns, for whose texts keep(..) is true, asked by chunks."""
+    for piece in chunks(batches, text, size):
+        yield from piece.filter(pa.array(keep(piece[text]))).to_batches()
+
+
 def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

@@ -214,11 +214,8 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that are not toxic."""
     arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(shared.value.severity(b.column(at))[1] <= 0.5))
+        yield from K.kept(batches, "text", PIECE, lambda text: shared.value.severity(text)[1] <= 0.5)
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,13 +4,15 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from readqc.llm import arrays, byte_bpe, components, embedding_dedup, jaccard_join, license_scan, quality, shared, sharding, textkernel, topk, vectors, wordtable
+from readqc.llm import arrays, byte_bpe, components, embedding_dedup, fixed, jaccard_join, license_scan, quality, shared, sharding, textkernel, topk, toxicity, vectors, wordtable
 
 VEC = "vec_id long, embedding array<float>, row string, block int, x int"  # the last three clash with names that operators use
 
@@ -291,6 +293,81 @@ def test_pipeline_stage_of_near_duplicates_follows_pairs_without_a_round(spark,
     assert len(made) == len(asked) > 0  # links that go to roots at once are written once and not again
 
 
+def test_pipeline_stage_of_near_duplicates_holds_no_sets_in_memory(spark, monkeypatch):
+    import corpus_pipeline
+
+    plans = []
+
+    def seen(df, what):
+        if what == "found":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return shared.written(df, what)
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    r = random.Random(8)
+    texts = [prose(r, 60) for _ in range(20)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*texts, *(t + " more" for t in texts)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(20))
+    worked = [x for x in plans if "MapInArrow" in x]
+    assert worked and not any("InMemoryTableScan" in x for x in plans)
+    # both joins read one exchange, so the sets are worked out once
+    assert all(x.count("MapInArrow") == x.count("ReusedExchange") == 1 for x in worked)
+
+
+@pytest.mark.parametrize("stage", ["quality", "toxicity"])
+def test_pipeline_stages_look_at_pieces_of_a_batch(spark, monkeypatch, stage):
+    docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
+    made, asked = [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, kind: made.append(f) or self)
+
+    class Model:
+        weights = np.ones(1)
+
+        def score(self, sizes):
+            return (sizes % 2).astype(float)
+
+        def severity(self, column):
+            sizes = lengths(column)
+            return sizes, ((sizes + 1) % 2).astype(float)
+
+    def lengths(column):
+        asked.append([len(t or "") for t in column.to_pylist()])
+        return np.array(asked[-1])
+
+    monkeypatch.setattr(quality, "statistics", lengths)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: type("Shared", (), {"value": value}))
+    quality.accepted(docs, Model()) if stage == "quality" else toxicity.clean(docs, Model())
+    sizes = [700_001, 700_000, 0, 700_003, 700_005, 3_000_000, 5, 3_000_001, 700_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["x" * n if n else None for n in sizes]), pa.array(["en"] * len(sizes))], docs.columns)
+    got = [row for out in made[0](iter([batch, batch.slice(0, 0)])) for row in out.to_pylist()]
+    assert got == [row for row in batch.to_pylist() if len(row["text"] or "") % 2]
+    # a piece ends with the row that passes its size, whatever a batch holds
+    assert sum(asked, []) == sizes and all(sum(x[:-1]) < 2 << 20 for x in asked)
+
+
+def test_sums_hold_one_array_of_the_whole_length(spark, monkeypatch):
+    length, most = 1 << 22, []
+    docs = spark.createDataFrame([(1,)], "x long").repartition(1)
+
+    def run(self, f, kind):
+        tracemalloc.start()
+        rows = [r for out in f(iter([])) for r in out.to_pylist()]
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        held.extend(rows)
+        raise StopIteration
+
+    held: list[dict] = []
+    monkeypatch.setattr(type(docs), "mapInArrow", run)
+    with pytest.raises(StopIteration):
+        fixed.summed(docs, lambda batches, out: out.__setitem__(slice(None), 1000), length, np.uint8)
+    assert b"".join(r["data"] for r in held) == b"\xff" * length
+    # the counts (four bytes), what goes out and its copies for this test, but no second array of four bytes
+    assert most[0] < 7.5 * length
+
+
 def test_words_of_one_hash_are_told_apart():
     words = [b"one", b"two", b"three", b"a rather long word", b"a rather long wort", b"", b"one", b"two"]
     ends = np.cumsum([len(w) for w in words])
