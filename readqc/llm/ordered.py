@@ -19,14 +19,14 @@ RANGES, BLOCKS = 100_000, 65_536
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """df with `name`, the row's place (from 0) in that order. Rows that tie are numbered in any order, so a tie that matters must be broken by
     `order`. Rows of one leading key spread over ranges by what follows it in `order`."""
-    spot = f"{name}_spot"
+    spot, part, before = (f"{name}_{x}" for x in ("spot", "part", "before"))
     table = written(df.orderBy(*order).withColumn(spot, F.monotonically_increasing_id()), "ordered")
-    part, at = F.shiftright(spot, BITS), F.col(spot).bitwiseAND(F.lit((1 << BITS) - 1))
-    sizes = table.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row a range
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    of, at = F.shiftright(spot, BITS), F.col(spot).bitwiseAND(F.lit((1 << BITS) - 1))
+    sizes = table.groupBy(of.alias(part)).agg(F.count("*").alias("n"))  # a row a range
+    ahead = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
     if table.rdd.getNumPartitions() <= RANGES:
-        before = F.broadcast(before)
-    return table.withColumn("part", part).join(before, "part").withColumn(name, F.col("before") + at).drop("part", "before", spot)
+        ahead = F.broadcast(ahead)
+    return table.withColumn(part, of).join(ahead, part).withColumn(name, F.col(before) + at).drop(part, before, spot)
 
 
 def block_width(n: int, least: int) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readqc.llm.divergence import audit_sql
 from readqc.llm.license_scan import scan_sql
+from readqc.llm.prefix_trie import prefix_trie_sql
 from readqc.llm.sharding import SHARDS, place_sql
 from readqc.llm.sql import embedding_dedup_sql, jaccard_join_sql
 from readqc.llm.topk import search_sql
@@ -86,6 +87,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARD_NAMES)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readqc.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readqc.llm.divergence import audit
 
@@ -98,7 +105,7 @@ def op13_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kneser_ney, op2_exact_top_k, op3_toxicity, op4_ngram_jaccard_join, op5_embedding_dedup, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding, op12_source_divergence, op13_pivotal_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kneser_ney, op2_exact_top_k, op3_toxicity, op4_ngram_jaccard_join, op5_embedding_dedup, op6_quality_classifier, op7_license_scan, op8_best_fit_packing, op9_byte_bpe, op10_sharding, op11_prefix_trie, op12_source_divergence, op13_pivotal_mixing)}
 
 #: SQL of the operators that SQL can express; the others are tested against brute force in tests/llm.
-SQL: dict[str, str] = {"op2_exact_top_k": search_sql(), "op4_ngram_jaccard_join": jaccard_join_sql(), "op5_embedding_dedup": embedding_dedup_sql(), "op7_license_scan": scan_sql(), "op10_sharding": place_sql(SHARD_NAMES), "op12_source_divergence": audit_sql()}
+SQL: dict[str, str] = {"op2_exact_top_k": search_sql(), "op4_ngram_jaccard_join": jaccard_join_sql(), "op5_embedding_dedup": embedding_dedup_sql(), "op7_license_scan": scan_sql(), "op10_sharding": place_sql(SHARD_NAMES), "op11_prefix_trie": prefix_trie_sql(), "op12_source_divergence": audit_sql()}
