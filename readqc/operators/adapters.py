@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readqc.operators import fused
 from readqc.operators.positions import grouped
 
 
-def hits(reads: DataFrame, adapters: list[tuple[str, str]]) -> DataFrame:
-    """(file_id, adapter_id, pos, n): reads by the first place (from 1) of an adapter. One search for each adapter in one pass; the few
-    columns become rows only where they hit."""
+def searched(reads: DataFrame, adapters: list[tuple[str, str]]) -> DataFrame:
+    """(file_id, adapter_id, pos, n): reads by the first place (from 1) of an adapter, by one search for each adapter; the plain meaning of `hits`."""
     found = F.array(*(F.struct(F.lit(i).alias("adapter_id"), F.instr(F.upper("seq"), seq.upper()).alias("pos")) for i, (_, seq) in enumerate(adapters)))
-    size = min(len(s) for _, s in adapters)
-    rows = reads.where(F.length("seq") >= size).select("file_id", F.inline(F.filter(found, lambda x: x["pos"] > 0)))
+    rows = reads.select("file_id", F.inline(F.filter(found, lambda x: x["pos"] > 0)))
     return rows.groupBy("file_id", "adapter_id", "pos").agg(F.count("*").alias("n"))
 
 
+def hits(reads: DataFrame, adapters: list[tuple[str, str]]) -> DataFrame:
+    """The same, all adapters in one pass over the bytes."""
+    return fused.part(fused.count(reads, None, [fused.ADAPTER], adapters), fused.ADAPTER)
+
+
 def cumulative(counts: DataFrame, totals: DataFrame, adapters: list[tuple[str, str]], on: bool = False) -> DataFrame:
     """(file_id, group_id, tag, adapter_id, adapter, cumulative_pct): reads in which an adapter began up to a group of positions, in percent of
     all reads. totals: (file_id, n_reads, max_len)."""

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 from readqc.functions.expr import bases
 from readqc.functions.stats import poisson_above
+from readqc.operators import fused
 from readqc.operators.duplicates import sampled
 
-K, EVERY, LONGEST, TOP, LEAST_RATIO, MOST_P = 7, 50, 500, 20, 5.0, 0.01
+K, EVERY, LONGEST, TOP, LEAST_RATIO, MOST_P = fused.K, fused.KMERS, fused.KMER_BASES, 20, 5.0, 0.01
 
 
-def counts(reads: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
+def counts(reads: DataFrame, every: int = EVERY) -> DataFrame:
     """(file_id, pos, kmer, n); N counts as G."""
+    return fused.part(fused.count(reads, None, [fused.KMER], kmers=every), fused.KMER)
+
+
+def exploded(reads: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
+    """The same by a row for each k-mer, the plain meaning."""
     some = sampled(reads.where("length(seq) > 0"), every).where(F.length("seq") >= k)
     seq = F.translate(bases(F.substring("seq", 1, LONGEST)), "N", "G")
     each = some.select("file_id", seq.alias("s")).select("file_id", "s", F.explode(F.expr(f"sequence(1, length(s) - {k - 1})")).alias("pos"))

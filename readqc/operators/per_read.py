@@ -78,7 +78,12 @@ def mean_quality(reads: DataFrame) -> DataFrame:
 
 def quality_by_read(reads: DataFrame, encodings: DataFrame) -> DataFrame:
     """(file_id, quality, n) in Phred units."""
-    return mean_quality(reads).join(F.broadcast(encodings.select("file_id", "offset")), "file_id").select("file_id", (F.col("q") - F.col("offset")).alias("quality"), "n")  # a row a file
+    return in_phred(mean_quality(reads), encodings)
+
+
+def in_phred(hist: DataFrame, encodings: DataFrame) -> DataFrame:
+    """The histogram of mean quality characters in Phred units."""
+    return hist.join(F.broadcast(encodings.select("file_id", "offset")), "file_id").select("file_id", (F.col("q") - F.col("offset")).alias("quality"), "n")  # a row a file
 
 
 def trimmed(hist: DataFrame, value: str) -> DataFrame:

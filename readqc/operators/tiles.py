@@ -5,34 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readqc.functions import expr
-from readqc.operators.duplicates import sampled
+from readqc.operators import fused
 from readqc.operators.positions import grouped
 
-EVERY = 10
+EVERY = fused.TILES
 
 
-def layout(reads: DataFrame) -> DataFrame:
-    """(file_id, tile_field) by the header of each file's first read; null where it names no tile."""
-    first = reads.groupBy("file_id").agg(F.min_by("name", "read_idx").alias("name"))
-    return first.select("file_id", expr.tile_field(F.col("name")).alias("tile_field"))
+def tile_quality(reads: DataFrame, offset: DataFrame | int = 33, every: int = EVERY) -> DataFrame:
+    """(file_id, tile, pos, qsum, n) in Phred units. A sampled read whose header has no number there is an error."""
+    counts = fused.count(reads.where("length(qual) > 0"), fused.settings(fused.profile(reads)), [fused.TILE], tiles=every)
+    return in_phred(fused.part(counts, fused.TILE), offset)
 
 
-def tile_quality(reads: DataFrame, offset: DataFrame | int = 33, every: int = EVERY, field: DataFrame | int | None = None) -> DataFrame:
-    """(file_id, tile, pos, qsum, n) in Phred units. A sampled read whose header has no number there is an error."""
-    some = sampled(reads.where("length(qual) > 0"), every).select("file_id", "name", "qual")
-    if isinstance(field, int):
-        some = some.withColumn("tile_field", F.lit(field))
-    else:
-        some = some.join(F.broadcast(field if field is not None else layout(reads)), "file_id").where("tile_field IS NOT NULL")  # a row a file
+def in_phred(sums: DataFrame, offset: DataFrame | int) -> DataFrame:
+    """Sums of quality characters as sums of qualities; offset is a number or a row a file."""
     if isinstance(offset, int):
-        some = some.withColumn("offset", F.lit(offset))
+        sums = sums.withColumn("offset", F.lit(offset))
     else:
-        some = some.join(F.broadcast(offset.select("file_id", "offset")), "file_id")  # a row a file
-    tile = expr.tile_id(F.col("name"), F.col("tile_field"))
-    tile = F.coalesce(tile, F.raise_error(F.concat(F.lit("no tile in header "), F.col("name"))).cast("int"))
-    each = some.select("file_id", tile.alias("tile"), "offset", F.posexplode(F.split("qual", "")).alias("at", "c"))
-    return each.groupBy("file_id", "tile", (F.col("at") + 1).alias("pos")).agg(F.sum(F.ascii("c") - F.col("offset")).alias("qsum"), F.count("*").alias("n"))
+        sums = sums.join(offset.select("file_id", "offset"), "file_id")
+    return sums.select("file_id", "tile", "pos", (F.col("qsum") - F.col("offset") * F.col("n")).alias("qsum"), "n")
 
 
 def centered(quality: DataFrame, on: bool = False) -> DataFrame:

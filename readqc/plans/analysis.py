@@ -1,8 +1,8 @@
 """A run over reads: the results and grades of the enabled modules, as DataFrames.
 
-The reads are scanned once for the cube and once each for the other families (lengths, GC, mean quality, prefixes,
-adapters, tiles, k-mers), each with its own columns only; what comes back are histograms of a few thousand rows, which are
-persisted and shared by the modules on them. Branches of disabled modules are never built.
+The reads are scanned once, by a kernel that counts for all enabled modules together (`operators/fused.py`); the counts are written to the shared folder, and
+modules and grades are queries over them. A light pass before it tells the kernel each file's number of reads, longest read and header. Branches of disabled
+modules are never built. Nothing of a result comes to the driver.
 """
 
 from __future__ import annotations
@@ -11,47 +11,79 @@ import functools
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readqc.config import MODULES, RunMode, grade
+from readqc.config import MODULES, RunMode
 from readqc.functions import stats
 from readqc.operators import adapters as ad
 from readqc.operators import duplicates as dup
+from readqc.operators import fused, per_read, positions, tiles
 from readqc.operators import kmers as km
-from readqc.operators import per_read, positions, tiles
-from readqc.operators.cube import cube
+from readqc.shared import written
 from readqc.sources.dims import DEFAULT_ADAPTERS
 
+#: What the modules are made from, besides lengths.
+NEEDS = {
+    "basic_stats": {fused.CUBE}, "quality_base": {fused.CUBE}, "tile": {fused.CUBE, fused.TILE}, "quality_sequence": {fused.CUBE, fused.QUALITY}, "sequence": {fused.CUBE},
+    "gc_sequence": {fused.GC}, "n_content": {fused.CUBE}, "sequence_length": set(), "duplication": {fused.KEY}, "overrepresented": {fused.KEY}, "adapter": {fused.ADAPTER}, "kmer": {fused.KMER},
+}
+
 
 def _kept(f):
     """A DataFrame of small results that several modules use: built once and persisted."""
     return functools.cached_property(lambda self: f(self).persist())
 
 
+def graded(value: Column, warn: float, fail: float) -> Column:
+    """0 for pass, 1 for warn, 2 for fail: `config.grade` as an expression."""
+    missing = value.isNull() | F.isnan(value.cast("double"))
+    if warn < fail:
+        return F.when(missing, 2).when(value < warn, 0).when(value < fail, 1).otherwise(2)
+    return F.when(missing, 0).when(value < fail, 2).when(value < warn, 1).otherwise(0)
+
+
 @dataclass
 class Analysis:
     reads: DataFrame
     mode: RunMode = field(default_factory=RunMode)
     adapters: list[tuple[str, str]] = field(default_factory=lambda: list(DEFAULT_ADAPTERS))
     contaminants: DataFrame | None = None
-    kernel: bool = True
 
-    cube = _kept(lambda self: cube(self.reads, self.kernel))
+    cube = _kept(lambda self: self.family(fused.CUBE))
     encodings = _kept(lambda self: positions.encoding(self.cube))
-    lengths = _kept(lambda self: per_read.lengths(self.reads))
+    lengths = _kept(lambda self: self.family(fused.LENGTH))
     summary = _kept(lambda self: per_read.length_summary(self.lengths))
-    qualities = _kept(lambda self: per_read.quality_by_read(self.reads, self.encodings))
-    gc = _kept(lambda self: per_read.gc_combined(per_read.gc_by_length(self.reads)))
+    qualities = _kept(lambda self: per_read.in_phred(self.family(fused.QUALITY), self.encodings))
+    gc = _kept(lambda self: per_read.gc_combined(self.family(fused.GC)))
     levels = _kept(lambda self: self._levels())
-    adapter_hits = _kept(lambda self: ad.hits(self.reads, self.adapters))
-    tile_means = _kept(lambda self: tiles.centered(tiles.tile_quality(self.reads, self.encodings), self.mode.groups))
-    kmer_cells = _kept(lambda self: km.counts(self.reads))
+    adapter_hits = _kept(lambda self: self.family(fused.ADAPTER))
+    tile_means = _kept(lambda self: tiles.centered(tiles.in_phred(self.family(fused.TILE), self.encodings), self.mode.groups))
+    kmer_cells = _kept(lambda self: self.family(fused.KMER))
+
+    @functools.cached_property
+    def files(self) -> DataFrame:
+        """A row a file: reads, longest read, place of the tile in headers."""
+        return written(fused.profile(self.reads), "files")
+
+    @functools.cached_property
+    def families(self) -> frozenset[int]:
+        """What the enabled modules need."""
+        own = {fused.LENGTH}.union(*(NEEDS[m] for m in self.mode.enabled))
+        return frozenset(own - {fused.KEY} if self.mode.original_duplicates else own)
+
+    def _count(self, families: frozenset[int]) -> DataFrame:
+        known = fused.settings(self.files, self.mode.groups, 1 if self.mode.preseq else None)
+        return fused.count(self.reads, known, families, self.adapters)
 
     @functools.cached_property
-    def with_bases(self) -> dict[int, int]:
-        """Reads with bases in each file: one row a file comes to the driver."""
-        return {r["file_id"]: r["n"] for r in self.lengths.where("length > 0").groupBy("file_id").agg(F.sum("n").alias("n")).collect()}
+    def counts(self) -> DataFrame:
+        """All families that the enabled modules need, by one scan of the reads."""
+        return written(self._count(self.families).sortWithinPartitions("family"), "counts")
+
+    def family(self, family: int) -> DataFrame:
+        return fused.part(self.counts if family in self.families else self._count(frozenset([family])), family)
 
     @functools.cached_property
     def _original(self) -> tuple[DataFrame, DataFrame]:
@@ -60,13 +92,8 @@ class Analysis:
     @functools.cached_property
     def key_counts(self) -> DataFrame:
         if self.mode.original_duplicates:
-            return dup.original_counts(self.reads, self._original[0]).persist()
-        every = {f: 1 if self.mode.preseq else dup.stride(n) for f, n in self.with_bases.items()}
-        reads = self.reads
-        if set(every.values()) - {1}:
-            strides = reads.sparkSession.createDataFrame(list(every.items()), "file_id int, stride long")
-            reads = reads.join(F.broadcast(strides), "file_id").where("pmod(read_idx, stride) = 0").drop("stride")  # a row a file
-        return dup.key_counts(reads).persist()
+            return written(dup.original_counts(self.reads, self._original[0]), "keys")
+        return self.family(fused.KEY)
 
     def _levels(self) -> DataFrame:
         hist = dup.levels(self.key_counts)
@@ -119,9 +146,14 @@ class Analysis:
             worst = F.abs((a + g) - (t + c)) if self.mode.bisulfite else F.greatest(F.abs(a - t), F.abs(c - g))
             return self.result(module).groupBy("file_id").agg(F.max(worst).alias("value"))
         if module == "gc_sequence":
-            rows = self.result(module).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("gc", "n"))).alias("h"))  # 101 numbers a file
-            data = [(r["file_id"], stats.gc_deviation(np.array([x["n"] for x in r["h"]]))) for r in rows.collect()]
-            return self.reads.sparkSession.createDataFrame(data, "file_id int, value double")
+            # 101 numbers a file
+            rows = self.result(module).groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("gc", "n"))), lambda x: x["n"]).alias("h"))
+
+            @F.pandas_udf("double")
+            def deviation(h: pd.Series) -> pd.Series:
+                return h.map(lambda x: stats.gc_deviation(np.asarray(x)))
+
+            return rows.select("file_id", deviation("h").alias("value"))
         if module == "n_content":
             return self.result(module).groupBy("file_id").agg((F.max_by("n_pct", F.struct("n", -F.col("group_id"))) / 100).alias("value"))
         if module == "duplication":
@@ -138,28 +170,30 @@ class Analysis:
             return self.summary.select("file_id").join(first, "file_id", "left").select("file_id", value.alias("value"))
         raise ValueError(f"no statistic for {module}")
 
+    def _graded(self, module: str) -> DataFrame:
+        """(file_id, level) of a module: 0 for pass, 1 for warn, 2 for fail."""
+        if module == "sequence_length":
+            shape = self.lengths.groupBy("file_id").agg(F.min("length").alias("least"), F.count("*").alias("kinds"))
+            return shape.select("file_id", F.when(F.col("least") == 0, 2).when(F.col("kinds") > 1, 1).otherwise(0).alias("level"))
+        limits = self.mode.graders
+        if module == "quality_base":
+            level = F.greatest(graded(F.col("value"), *limits["quality_base_median"]), graded(F.col("lower"), *limits["quality_base_lower"]))
+        else:
+            level = graded(F.col("value"), *limits[module])
+        return self.statistic(module).select("file_id", level.alias("level"))
+
     def grades(self) -> DataFrame:
-        """(file_id, section_no, module, title, grade) of the enabled modules. What is collected is a row for each file and module."""
-        files = [r["file_id"] for r in self.summary.select("file_id").collect()]
-        rows = []
-        for number, (module, (title, _)) in enumerate(MODULES.items()):
-            if not self.mode.on(module):
-                continue
-            if module == "basic_stats":
-                got = dict.fromkeys(files, "pass")
-            elif module == "sequence_length":
-                shape = self.lengths.groupBy("file_id").agg(F.min("length").alias("least"), F.count("*").alias("kinds")).collect()
-                got = {r["file_id"]: "fail" if r["least"] == 0 else "warn" if r["kinds"] > 1 else "pass" for r in shape}
-            elif module == "quality_base":
-                limits = [self.mode.graders[k] for k in ("quality_base_median", "quality_base_lower")]
-                got = {r["file_id"]: max((grade(v, *limit) for v, limit in zip((r["value"], r["lower"]), limits, strict=True)), key=["pass", "warn", "fail"].index) for r in self.statistic(module).collect()}
-            else:
-                got = {r["file_id"]: grade(r["value"], *self.mode.graders[module]) for r in self.statistic(module).collect()}
-                if module == "tile":  # a file whose headers name no tile has nothing against it
-                    got = {f: got.get(f, "pass") for f in files}
-            # a file without any base has no statistic
-            rows += [(f, number, module, title, got.get(f, "pass")) for f in files]
-        return self.reads.sparkSession.createDataFrame(rows, "file_id int, section_no int, module string, title string, grade string")
+        """(file_id, section_no, module, title, grade) of the enabled modules. A file without any base has no statistic, and one whose headers name no tile has nothing
+        against it: both pass."""
+        on = [(number, module, title) for number, (module, (title, _)) in enumerate(MODULES.items()) if self.mode.on(module)]
+        sections = F.array(*(F.struct(F.lit(number).alias("section_no"), F.lit(module).alias("module"), F.lit(title).alias("title")) for number, module, title in on))
+        every = self.summary.select("file_id", F.inline(sections))
+        got = [self._graded(m).withColumn("module", F.lit(m)) for _, m, _ in on if m != "basic_stats"]
+        level = F.lit(0)
+        if got:
+            every = every.join(functools.reduce(DataFrame.unionByName, got), ["file_id", "module"], "left")
+            level = F.coalesce("level", F.lit(0))
+        return every.select("file_id", "section_no", "module", "title", F.element_at(F.array(*map(F.lit, ("pass", "warn", "fail"))), level + 1).alias("grade"))
 
     def close(self) -> None:
         """Frees what is persisted."""

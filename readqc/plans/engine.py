@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import functools
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readqc.config import RunMode
 from readqc.plans.analysis import Analysis
@@ -10,9 +17,8 @@ from readqc.report import html, text
 from readqc.sources import sniff, store
 from readqc.sources.files import staged_files
 
-#: Files that are analysed together.
-FILES = 256
 SUFFIXES = (".fastq.gz", ".fq.gz", ".fastq", ".fq", ".bam", ".sam")
+_EMPTY = {"n_reads": 0, "total_bases": 0, "min_len": 0, "max_len": 0, "mean_len": 0.0, "median_len": 0, "gc_pct": None, "encoding": "unknown"}
 
 
 def stem(path: str) -> str:
@@ -28,49 +34,55 @@ def output_folders(paths: list[str], out: str) -> list[str]:
     return [f"{out.rstrip('/') or '/'}/{s}" for s in stems]
 
 
-def collected(analysis: Analysis) -> tuple[dict[str, dict[int, list[dict]]], dict[int, dict[str, str]]]:
-    """Rows of each module by file, and grades by file. Histograms by position and value: a few thousand rows a file."""
-    mode = analysis.mode
-    grades: dict[int, dict[str, str]] = {}
-    for r in analysis.grades().collect():
-        grades.setdefault(r["file_id"], {})[r["module"]] = r["grade"]
-    results: dict[str, dict[int, list[dict]]] = {}
-    for module in mode.enabled:
-        by_file: dict[int, list[dict]] = {}
-        for r in analysis.result(module).collect():
-            by_file.setdefault(r["file_id"], []).append(r.asDict())
-        results[module] = by_file
-    return results, grades
-
-
-def write_reports(analysis: Analysis, infos: list[dict], folders: list[str]) -> None:
-    """One folder for each file_id 0, 1, .."""
-    results, grades = collected(analysis)
-    levels: dict[int, list[dict]] = {}
+def _report_rows(analysis: Analysis, infos: DataFrame) -> DataFrame:
+    """(file_id, part, row): everything that a file's report is made from, each row as JSON; `info` is there for every file."""
+    parts = {"info": infos, "grade": analysis.grades().select("file_id", "module", "grade")} | {m: analysis.result(m) for m in sorted(analysis.mode.enabled)}
     if analysis.mode.on("duplication"):
-        for r in analysis.levels.collect():
-            levels.setdefault(r["file_id"], []).append(r.asDict())
-    empty = {"n_reads": 0, "total_bases": 0, "min_len": 0, "max_len": 0, "mean_len": 0.0, "median_len": 0, "gc_pct": None, "encoding": "unknown"}
-    for i, (info, folder) in enumerate(zip(infos, folders, strict=True)):
-        own = {m: by_file.get(i, [empty] if m == "basic_stats" else []) for m, by_file in results.items()}
-        grade = {m: grades.get(i, {}).get(m, "pass") for m in own}
-        files = {"fastqc_data.txt": text.report(own, grade, info), "fastqc_report.html": html.report(own, grade, info, analysis.mode.graders, levels.get(i)), "summary.txt": text.summary(grade, info["name"])}
-        if analysis.mode.on("duplication"):
-            files["preseq_hist.txt"] = text.preseq(levels.get(i, []))
+        parts["levels"] = analysis.levels
+    rows = [df.select("file_id", F.lit(part).alias("part"), F.to_json(F.struct(*(c for c in df.columns if c != "file_id")), {"ignoreNullFields": "false"}).alias("row")) for part, df in parts.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def write_reports(analysis: Analysis, infos: DataFrame) -> list[str]:
+    """A folder for each row of infos (file_id, name, type, folder). A file's rows meet in one task, which writes its report; only the folders' names come to the
+    driver. Folders must be addresses that the tasks reach. A task that is tried again writes the same files."""
+    mode = analysis.mode
+    enabled, graders, levels_on = sorted(mode.enabled), mode.graders, mode.on("duplication")
+
+    def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list[dict]] = {}
+        for batch in batches:
+            for part, row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                parts.setdefault(part, []).append(json.loads(row))
+        info = parts["info"][0]
+        own = {m: parts.get(m, [_EMPTY] if m == "basic_stats" else []) for m in enabled}
+        known = {r["module"]: r["grade"] for r in parts.get("grade", [])}
+        grade = {m: known.get(m, "pass") for m in own}
+        levels = parts.get("levels", [])
+        files = {"fastqc_data.txt": text.report(own, grade, info), "fastqc_report.html": html.report(own, grade, info, graders, levels), "summary.txt": text.summary(grade, info["name"])}
+        if levels_on:
+            files["preseq_hist.txt"] = text.preseq(levels)
         for name, content in files.items():
-            store.write_text(folder, name, content)
+            store.write_text(info["folder"], name, content)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([info["folder"]])], ["file_id", "folder"])
+
+    done = _report_rows(analysis, infos).groupBy("file_id").applyInArrow(write, "file_id int, folder string")
+    return [r["folder"] for r in done.orderBy("file_id").select("folder").collect()]
 
 
 def run(spark: SparkSession, paths: list[str], out: str, mode: RunMode | None = None, adapters: list[tuple[str, str]] | None = None, contaminants: DataFrame | None = None, **options) -> list[str]:
-    """Reports on files, one folder each under `out`, a path or the address of any store. Returns the folders. Files are taken FILES at a time,
-    so what comes to the driver at once is the histograms of so many."""
+    """Reports on files, one folder each under `out`, a path or the address of any store; all files go through one analysis. Returns the folders."""
     folders = output_folders(paths, out)
-    for lo in range(0, len(paths), FILES):
-        own = paths[lo : lo + FILES]
-        analysis = Analysis(staged_files(spark, own, **options), mode or RunMode(), contaminants=contaminants, **({"adapters": adapters} if adapters else {}))
-        infos = [{"name": p.rstrip("/").rpartition("/")[2], "type": sniff.FORMATS[sniff.detect(p)]} for p in own]
-        try:
-            write_reports(analysis, infos, folders[lo : lo + FILES])
-        finally:
-            analysis.close()
-    return folders
+    if out == out.lstrip("/") and "://" not in out:
+        import os
+
+        folders = [os.path.abspath(f) for f in folders]  # tasks may run elsewhere
+    kinds = [sniff.detect(p) for p in paths]
+    began = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
+    rows = [(i, p.rstrip("/").rpartition("/")[2], sniff.FORMATS[kind], folder, began) for i, (p, kind, folder) in enumerate(zip(paths, kinds, folders, strict=True))]
+    infos = spark.createDataFrame(rows, "file_id int, name string, type string, folder string, began string")
+    analysis = Analysis(staged_files(spark, paths, kinds=kinds, **options), mode or RunMode(), contaminants=contaminants, **({"adapters": adapters} if adapters else {}))
+    try:
+        return write_reports(analysis, infos)
+    finally:
+        analysis.close()

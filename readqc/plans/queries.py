@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc import derived
+from readqc.config import RunMode
 from readqc.functions import expr
 from readqc.functions.stats import base_groups
 from readqc.operators import adapters as ad
@@ -50,6 +51,10 @@ _TAG = "CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END"
 _PCT = ", ".join(f"100.0::DOUBLE * {b} / nullif(a + c + g + t, 0) AS {b}_pct" for b in "gatc")
 
 
+def _only(reads: DataFrame, module: str) -> Analysis:
+    return Analysis(reads, RunMode(enabled=frozenset([module])))
+
+
 def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -144,7 +149,7 @@ def median_length(reads):
 @_query(f"""{_LENGTHS} SELECT (SELECT count(*) FROM reads) AS n_reads, sum(v * n)::BIGINT AS total_bases, min(v)::INTEGER AS min_len, max(v)::INTEGER AS max_len, round(sum(v * n)::DOUBLE / sum(n), 6) AS mean_len,
 min(v) FILTER (upto > total // 2)::INTEGER AS median_len, round((SELECT 100.0::DOUBLE * sum(length(regexp_replace(seq, '[^GC]', '', 'g'))) / sum(length(seq)) FROM reads), 6) AS gc_pct, 'Sanger' AS encoding FROM w""")
 def basic_stats(reads):
-    return _round(Analysis(reads).result("basic_stats").drop("file_id"), "mean_len", "gc_pct")
+    return _round(_only(reads, "basic_stats").result("basic_stats").drop("file_id"), "mean_len", "gc_pct")
 
 
 @_query(f"{_CELLS} SELECT (min(q) + 33)::INTEGER AS lowest, CASE WHEN min(q) + 33 < 33 THEN 'unknown' WHEN min(q) + 33 < 64 THEN 'Sanger' ELSE 'Solexa' END AS encoding FROM cells")
@@ -348,7 +353,7 @@ def gc_theoretical(reads):
 
     from readqc.functions.stats import smoothed, theoretical_gc
 
-    rows = Analysis(reads).result("gc_sequence").orderBy("gc").collect()  # 101 rows
+    rows = _only(reads, "gc_sequence").result("gc_sequence").orderBy("gc").collect()  # 101 rows
     hist = np.array([r["n"] for r in rows])
     data = zip(range(101), hist.tolist(), smoothed(hist.tolist()), theoretical_gc(hist).tolist(), strict=True)
     return _round(reads.sparkSession.createDataFrame(list(data), "gc int, n double, smoothed double, theoretical double"), "n", "smoothed", "theoretical")
@@ -361,7 +366,7 @@ def summary(reads):
 
 @_query("m AS (SELECT (list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c))) // length(qual) - 33)::INTEGER AS quality FROM reads WHERE length(qual) > 0), h AS (SELECT quality, count(*) AS n FROM m GROUP BY 1), g AS (SELECT unnest(range(min(quality), max(quality) + 1))::INTEGER AS quality FROM h) SELECT quality, coalesce(n, 0)::BIGINT AS n FROM g LEFT JOIN h USING (quality)")
 def quality_sequence(reads):
-    return Analysis(reads).result("quality_sequence").drop("file_id")
+    return _only(reads, "quality_sequence").result("quality_sequence").drop("file_id")
 
 
 #: Longer reads out of the derived ones, in either case of letters for Spark and in upper case for SQL.

@@ -22,7 +22,8 @@ SPLITS = 1_000_000
 def with_index(rows: DataFrame) -> DataFrame:
     """read_idx, the number of reads with bases before a read in its file, out of its split and place there. A pass over the rows counts
     the splits; their running totals are a row a split, so that the reads themselves stay where they are."""
-    sizes = rows.groupBy("file_id", "part").agg(F.count(F.when(F.length("seq") > 0, 1)).alias("n"))
+    size = F.col("bases") if "bases" in rows.columns else F.length("seq")
+    sizes = rows.groupBy("file_id", "part").agg(F.count(F.when(size > 0, 1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = sizes.select("file_id", "part", before.alias("before"))
     if rows.rdd.getNumPartitions() <= SPLITS:
@@ -30,11 +31,11 @@ def with_index(rows: DataFrame) -> DataFrame:
     return rows.join(totals, ["file_id", "part"]).withColumn("read_idx", F.col("before") + F.col("local"))
 
 
-def read_parts(spark: SparkSession, paths: list[str], split_bytes: int | None = None, mode: str = "FAILFAST") -> DataFrame:
-    """(file_id, file_name, part, local, name, seq, qual) over all files; file_id is the place in the list."""
+def read_parts(spark: SparkSession, paths: list[str], split_bytes: int | None = None, mode: str = "FAILFAST", kinds: list[str] | None = None) -> DataFrame:
+    """(file_id, file_name, part, local, name, seq, qual) over all files; file_id is the place in the list. kinds: the files' formats, where they are known."""
     if not paths:
         raise ValueError("no files")
-    files = [(i, path, sniff.detect(path)) for i, path in enumerate(paths)]
+    files = [(i, path, kind) for i, (path, kind) in enumerate(zip(paths, kinds or map(sniff.detect, paths), strict=True))]
     parts = []
     for source, kinds in ((FastqSource, ("fastq", "fastq_gz", "fastq_bgzf")), (BamSource, ("bam",))):
         if own := [f for f in files if f[2] in kinds]:
@@ -55,6 +56,7 @@ def read_files(spark: SparkSession, paths: list[str], split_bytes: int | None =
     return (with_index(rows) if index else rows.withColumn("read_idx", F.col("local"))).select(*COMMON)
 
 
-def staged_files(spark: SparkSession, paths: list[str], split_bytes: int | None = None, mode: str = "FAILFAST") -> DataFrame:
-    """The same, inflated and parsed once into a table of the shared folder: what many passes with a few columns each are best read from."""
-    return with_index(written(read_parts(spark, paths, split_bytes, mode), "reads")).select(*COMMON)
+def staged_files(spark: SparkSession, paths: list[str], split_bytes: int | None = None, mode: str = "FAILFAST", kinds: list[str] | None = None) -> DataFrame:
+    """The same and `bases`, each read's length, inflated and parsed once into a table of the shared folder: what further passes are best read from."""
+    parts = read_parts(spark, paths, split_bytes, mode, kinds).withColumn("bases", F.length("seq"))
+    return with_index(written(parts, "reads")).select(*COMMON, "bases")
