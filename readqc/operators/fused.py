@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readqc.functions import expr
-from readqc.functions.stats import RANGES, SINGLES
 from readqc.operators.cube import _BASES, _CODE, DENSE, _Counter, _flat
+from readqc.operators.positions import step_of
 
 CUBE, LENGTH, GC, QUALITY, ADAPTER, TILE, KMER, KEY = FAMILIES = range(8)
 ROWS = "file_id int, family int, a long, b int, c int, key string, n long, s long"
@@ -258,9 +258,7 @@ def settings(files: DataFrame, groups: bool = False, every: int | None = None) -
     """(file_id, step, stride, tile_field) for `count`: the width of position groups, every how many reads one is a key, and the tile's place in headers."""
     from readqc.operators.duplicates import FULL
 
-    widths = F.array(*(F.lit(k * 10**e).cast("long") for e in range(16) for k in (2, 5, 10)))
-    fits = F.array_min(F.filter(widths, lambda k: F.ceil((F.col("longest") - 9) / k) <= RANGES))
-    step = F.when(F.lit(groups) & (F.col("longest") > SINGLES), fits).otherwise(1)
+    step = step_of(F.col("longest")) if groups else F.lit(1)
     stride = F.lit(every) if every else F.when(F.col("n_reads") < FULL, 1).otherwise(1 + F.floor(F.col("n_reads") / FULL))
     return files.select("file_id", step.cast("long").alias("step"), stride.cast("long").alias("stride"), "tile_field")
 
@@ -290,9 +288,14 @@ def count(reads: DataFrame, known: DataFrame | None = None, families: Iterable[i
         reads = reads.withColumns({"step": F.lit(1), "stride": F.lit(1), "tile_field": F.lit(None).cast("int")})
     else:
         reads = reads.join(known, "file_id")
-    rows = reads.select("file_id", "read_idx", "step", "stride", "tile_field", name.alias("name"), "seq", qual.alias("qual"))
+    seq = F.col("seq")
     if LENGTH not in wanted:
-        rows = rows.where("length(seq) > 0")
+        reads = reads.where("length(seq) > 0")
+    if wanted == {TILE}:  # what a sample alone needs
+        reads, seq = reads.where((F.col("read_idx") % tiles == 0) & F.col("tile_field").isNotNull()), F.lit(None).cast("string")
+    elif wanted == {KMER}:
+        reads, seq = reads.where(F.col("read_idx") % kmers == 0), F.substring("seq", 1, KMER_BASES)
+    rows = reads.select("file_id", "read_idx", "step", "stride", "tile_field", name.alias("name"), seq.alias("seq"), qual.alias("qual"))
     partial = rows.mapInArrow(run, ROWS)
     return partial.groupBy("file_id", "family", "a", "b", "c", "key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 

@@ -26,9 +26,9 @@ def in_phred(sums: DataFrame, offset: DataFrame | int) -> DataFrame:
     return sums.select("file_id", "tile", "pos", (F.col("qsum") - F.col("offset") * F.col("n")).alias("qsum"), "n")
 
 
-def centered(quality: DataFrame, on: bool = False) -> DataFrame:
+def centered(quality: DataFrame, on: bool = False, longest: DataFrame | None = None) -> DataFrame:
     """(file_id, tile, group_id, tag, centered_mean): a tile's mean less the plain mean of the tiles' means there."""
-    rows = grouped(quality, on).groupBy("file_id", "tile", "group_id", "tag").agg((F.sum("qsum") / F.sum("n")).alias("mean"))
+    rows = grouped(quality, on, longest).groupBy("file_id", "tile", "group_id", "tag").agg((F.sum("qsum") / F.sum("n")).alias("mean"))
     # in the order of tiles, so that the sum of doubles is the same on any machine
     tiles = Window.partitionBy("file_id", "group_id").orderBy("tile").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.select("file_id", "tile", "group_id", "tag", (F.col("mean") - F.avg("mean").over(tiles)).alias("centered_mean"))

@@ -1,18 +1,20 @@
 """A run over reads: the results and grades of the enabled modules, as DataFrames.
 
 The reads are scanned once, by a kernel that counts for all enabled modules together (`operators/fused.py`); the counts are written to the shared folder, and
-modules and grades are queries over them. A light pass before it tells the kernel each file's number of reads, longest read and header. Branches of disabled
+modules are queries over them, and grades come from each file's histograms (`finish.py`). A light pass before it tells the kernel each file's number of reads, longest read and header. Branches of disabled
 modules are never built. Nothing of a result comes to the driver.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readqc.config import MODULES, RunMode
@@ -21,6 +23,7 @@ from readqc.operators import adapters as ad
 from readqc.operators import duplicates as dup
 from readqc.operators import fused, per_read, positions, tiles
 from readqc.operators import kmers as km
+from readqc.plans import finish
 from readqc.shared import written
 from readqc.sources.dims import DEFAULT_ADAPTERS
 
@@ -36,14 +39,6 @@ def _kept(f):
     return functools.cached_property(lambda self: f(self).persist())
 
 
-def graded(value: Column, warn: float, fail: float) -> Column:
-    """0 for pass, 1 for warn, 2 for fail: `config.grade` as an expression."""
-    missing = value.isNull() | F.isnan(value.cast("double"))
-    if warn < fail:
-        return F.when(missing, 2).when(value < warn, 0).when(value < fail, 1).otherwise(2)
-    return F.when(missing, 0).when(value < fail, 2).when(value < warn, 1).otherwise(0)
-
-
 @dataclass
 class Analysis:
     reads: DataFrame
@@ -59,7 +54,7 @@ class Analysis:
     gc = _kept(lambda self: per_read.gc_combined(self.family(fused.GC)))
     levels = _kept(lambda self: self._levels())
     adapter_hits = _kept(lambda self: self.family(fused.ADAPTER))
-    tile_means = _kept(lambda self: tiles.centered(tiles.in_phred(self.family(fused.TILE), self.encodings), self.mode.groups))
+    tile_means = _kept(lambda self: tiles.centered(tiles.in_phred(self.family(fused.TILE), self.encodings), self.mode.groups, self._longest))
     kmer_cells = _kept(lambda self: self.family(fused.KMER))
 
     @functools.cached_property
@@ -67,6 +62,10 @@ class Analysis:
         """A row a file: reads, longest read, place of the tile in headers."""
         return written(fused.profile(self.reads), "files")
 
+    @property
+    def _longest(self) -> DataFrame:
+        return self.files.select("file_id", "longest")
+
     @functools.cached_property
     def families(self) -> frozenset[int]:
         """What the enabled modules need."""
@@ -108,18 +107,18 @@ class Analysis:
             pct = 100.0 * F.coalesce("gc", F.lit(0)) / F.expr("nullif(total_bases, 0)")
             return rows.select("file_id", "n_reads", "total_bases", "min_len", "max_len", "mean_len", "median_len", pct.alias("gc_pct"), F.coalesce("encoding", F.lit("unknown")).alias("encoding"))
         if module == "quality_base":
-            return positions.quality_by_position(self.cube, on, self.encodings)
+            return positions.quality_by_position(self.cube, on, self.encodings, self._longest)
         if module == "tile":
             return self.tile_means
         if module == "quality_sequence":
             return per_read.trimmed(self.qualities, "quality")
         if module == "sequence":
-            return positions.base_content(self.cube, on)
+            return positions.base_content(self.cube, on, self._longest)
         if module == "gc_sequence":
             grid = self.gc.select("file_id").distinct().withColumn("gc", F.explode(F.sequence(F.lit(0), F.lit(100))))
             return grid.join(self.gc, ["file_id", "gc"], "left").select("file_id", "gc", F.coalesce("n", F.lit(0.0)).alias("n"))
         if module == "n_content":
-            return positions.n_content(self.cube, on)
+            return positions.n_content(self.cube, on, self._longest)
         if module == "sequence_length":
             return per_read.dense_lengths(self.lengths)
         if module == "duplication":
@@ -170,30 +169,34 @@ class Analysis:
             return self.summary.select("file_id").join(first, "file_id", "left").select("file_id", value.alias("value"))
         raise ValueError(f"no statistic for {module}")
 
-    def _graded(self, module: str) -> DataFrame:
-        """(file_id, level) of a module: 0 for pass, 1 for warn, 2 for fail."""
-        if module == "sequence_length":
-            shape = self.lengths.groupBy("file_id").agg(F.min("length").alias("least"), F.count("*").alias("kinds"))
-            return shape.select("file_id", F.when(F.col("least") == 0, 2).when(F.col("kinds") > 1, 1).otherwise(0).alias("level"))
-        limits = self.mode.graders
-        if module == "quality_base":
-            level = F.greatest(graded(F.col("value"), *limits["quality_base_median"]), graded(F.col("lower"), *limits["quality_base_lower"]))
-        else:
-            level = graded(F.col("value"), *limits[module])
-        return self.statistic(module).select("file_id", level.alias("level"))
+    def file_rows(self) -> DataFrame:
+        """(file_id, family, a, b, c, key, n, s): all that a file's report is made from. Keys are there as levels of duplication and as overrepresented ones."""
+        small = self.counts.where(F.col("family") != fused.KEY)
+        blank = lambda **own: [own.get(c, F.lit(None).cast(k)).alias(c) for c, k in (x.split() for x in fused.ROWS.split(", "))]
+        level = lambda df, family: df.select(*blank(file_id=F.col("file_id"), family=F.lit(family), a=F.col("times_seen"), n=F.col("n_keys")))
+        ready = lambda df, family: df.select(*blank(file_id=F.col("file_id"), family=F.lit(family), key=F.to_json(F.struct(*(c for c in df.columns if c != "file_id")), {"ignoreNullFields": "false"})))
+        parts = [small.select(*blank(**{c: F.col(c) for c in small.columns}))]
+        if self.mode.on("duplication") or self.mode.on("overrepresented"):
+            parts.append(level(dup.levels(self.key_counts), finish.LEVELS))
+            if self.mode.original_duplicates:
+                parts.append(level(self.levels, finish.REPORTED))
+        if self.mode.on("overrepresented"):
+            parts.append(ready(self.result("overrepresented"), finish.OVERREPRESENTED))
+        if self.mode.on("kmer"):
+            parts.append(ready(self.result("kmer"), finish.ENRICHED))
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def grades(self) -> DataFrame:
-        """(file_id, section_no, module, title, grade) of the enabled modules. A file without any base has no statistic, and one whose headers name no tile has nothing
-        against it: both pass."""
-        on = [(number, module, title) for number, (module, (title, _)) in enumerate(MODULES.items()) if self.mode.on(module)]
-        sections = F.array(*(F.struct(F.lit(number).alias("section_no"), F.lit(module).alias("module"), F.lit(title).alias("title")) for number, module, title in on))
-        every = self.summary.select("file_id", F.inline(sections))
-        got = [self._graded(m).withColumn("module", F.lit(m)) for _, m, _ in on if m != "basic_stats"]
-        level = F.lit(0)
-        if got:
-            every = every.join(functools.reduce(DataFrame.unionByName, got), ["file_id", "module"], "left")
-            level = F.coalesce("level", F.lit(0))
-        return every.select("file_id", "section_no", "module", "title", F.element_at(F.array(*map(F.lit, ("pass", "warn", "fail"))), level + 1).alias("grade"))
+        """(file_id, section_no, module, title, grade) of the enabled modules, each file's from its histograms in one task."""
+        mode, adapters = self.mode, self.adapters
+
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, grades = finish.finished(finish.of_batches(batches, mode, adapters))
+            names = list(MODULES)
+            rows = [(key[0].as_py(), names.index(m), m, MODULES[m][0], g) for m, g in grades.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["file_id", "section_no", "module", "title", "grade"])
+
+        return self.file_rows().groupBy("file_id").applyInArrow(run, "file_id int, section_no int, module string, title string, grade string")
 
     def close(self) -> None:
         """Frees what is persisted."""

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import datetime
-import functools
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readqc.config import RunMode
+from readqc.plans import finish
 from readqc.plans.analysis import Analysis
 from readqc.report import html, text
 from readqc.sources import sniff, store
 from readqc.sources.files import staged_files
 
 SUFFIXES = (".fastq.gz", ".fq.gz", ".fastq", ".fq", ".bam", ".sam")
-_EMPTY = {"n_reads": 0, "total_bases": 0, "min_len": 0, "max_len": 0, "mean_len": 0.0, "median_len": 0, "gc_pct": None, "encoding": "unknown"}
+#: The family of rows that tell a file's name, type and folder.
+INFO = -1
 
 
 def stem(path: str) -> str:
@@ -34,39 +37,36 @@ def output_folders(paths: list[str], out: str) -> list[str]:
     return [f"{out.rstrip('/') or '/'}/{s}" for s in stems]
 
 
-def _report_rows(analysis: Analysis, infos: DataFrame) -> DataFrame:
-    """(file_id, part, row): everything that a file's report is made from, each row as JSON; `info` is there for every file."""
-    parts = {"info": infos, "grade": analysis.grades().select("file_id", "module", "grade")} | {m: analysis.result(m) for m in sorted(analysis.mode.enabled)}
-    if analysis.mode.on("duplication"):
-        parts["levels"] = analysis.levels
-    rows = [df.select("file_id", F.lit(part).alias("part"), F.to_json(F.struct(*(c for c in df.columns if c != "file_id")), {"ignoreNullFields": "false"}).alias("row")) for part, df in parts.items()]
-    return functools.reduce(DataFrame.unionByName, rows)
-
-
 def write_reports(analysis: Analysis, infos: DataFrame) -> list[str]:
-    """A folder for each row of infos (file_id, name, type, folder). A file's rows meet in one task, which writes its report; only the folders' names come to the
-    driver. Folders must be addresses that the tasks reach. A task that is tried again writes the same files."""
-    mode = analysis.mode
-    enabled, graders, levels_on = sorted(mode.enabled), mode.graders, mode.on("duplication")
+    """A folder for each row of infos (file_id, name, type, folder, began). A file's histograms meet in one task, which writes its report; only the folders' names come to
+    the driver. Folders must be addresses that the tasks reach. A task that is tried again writes the same files."""
+    mode, adapters = analysis.mode, analysis.adapters
 
     def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[dict]] = {}
-        for batch in batches:
-            for part, row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts.setdefault(part, []).append(json.loads(row))
-        info = parts["info"][0]
-        own = {m: parts.get(m, [_EMPTY] if m == "basic_stats" else []) for m in enabled}
-        known = {r["module"]: r["grade"] for r in parts.get("grade", [])}
-        grade = {m: known.get(m, "pass") for m in own}
-        levels = parts.get("levels", [])
-        files = {"fastqc_data.txt": text.report(own, grade, info), "fastqc_report.html": html.report(own, grade, info, graders, levels), "summary.txt": text.summary(grade, info["name"])}
-        if levels_on:
+        info: list[dict] = []
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_info = pc.equal(batch.column(1), INFO)
+                info.extend(map(json.loads, batch.column(5).filter(is_info).to_pylist()))
+                yield batch.filter(pc.invert(is_info))
+
+        file = finish.of_batches(counts(), mode, adapters)
+        results, grade = finish.finished(file)
+        if not results.get("basic_stats", True):
+            results["basic_stats"] = [finish.EMPTY]
+        (own,), levels = info, file.levels()
+        files = {"fastqc_data.txt": text.report(results, grade, own), "fastqc_report.html": html.report(results, grade, own, mode.graders, levels), "summary.txt": text.summary(grade, own["name"])}
+        if mode.on("duplication"):
             files["preseq_hist.txt"] = text.preseq(levels)
         for name, content in files.items():
-            store.write_text(info["folder"], name, content)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([info["folder"]])], ["file_id", "folder"])
+            store.write_text(own["folder"], name, content)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([own["folder"]])], ["file_id", "folder"])
 
-    done = _report_rows(analysis, infos).groupBy("file_id").applyInArrow(write, "file_id int, folder string")
+    rows = analysis.file_rows()
+    told = {"file_id": F.col("file_id"), "family": F.lit(INFO), "key": F.to_json(F.struct("name", "type", "folder", "began"))}
+    every = rows.unionByName(infos.select(*(told.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema)))
+    done = every.groupBy("file_id").applyInArrow(write, "file_id int, folder string")
     return [r["folder"] for r in done.orderBy("file_id").select("folder").collect()]
 
 
@@ -74,8 +74,6 @@ def run(spark: SparkSession, paths: list[str], out: str, mode: RunMode | None =
     """Reports on files, one folder each under `out`, a path or the address of any store; all files go through one analysis. Returns the folders."""
     folders = output_folders(paths, out)
     if out == out.lstrip("/") and "://" not in out:
-        import os
-
         folders = [os.path.abspath(f) for f in folders]  # tasks may run elsewhere
     kinds = [sniff.detect(p) for p in paths]
     began = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")

@@ -47,6 +47,12 @@ def read_parts(spark: SparkSession, paths: list[str], split_bytes: int | None =
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def read_malformed(spark: SparkSession, paths: list[str], split_bytes: int | None = None) -> DataFrame:
+    """(file_id, file_name, part, lines, text) of the places in FASTQ files that mode DROPMALFORMED leaves out: how many lines, and how they begin."""
+    rows = read_parts(spark, paths, split_bytes, "MALFORMED")
+    return rows.select("file_id", "file_name", "part", F.col("local").alias("lines"), F.col("name").alias("text"))
+
+
 COMMON = ["file_id", "file_name", "read_idx", "name", "seq", "qual"]
 
 
