@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from readqc.llm.components import components
 from readqc.llm.shared import arrow, written
-from readqc.llm.vectors import block_of, deal, numbered, packed, sizes, unpacked
+from readqc.llm.vectors import block_of, deal, numbered, packed, sizes, unit_vectors, unpacked
 
 #: Vectors of a block, radii of the levels below the root, slack for rounding.
 BLOCK, RADII, SLACK = 4096, (1.0, 0.5, 0.25), 1e-7
@@ -198,10 +198,6 @@ def dual(t: Tree, u: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
     return nt, nu, join(ends_t), join(ends_u)
 
 
-def unit_vectors(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x**2).sum(1))[:, None]
-
-
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """One row for each block: number, ids, row numbers, vectors as they came, tree, centre and radius."""
 
@@ -216,6 +212,8 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         row, ids, raw = row[start], ids[start], raw[start]
         x = unit_vectors(raw.astype(float))
         order, levels = cover_tree(x)
+        if not all(np.isfinite(r).all() for _, r, _ in levels):
+            raise ValueError("a covering radius is no number, so bounds would prune what links")
         cut = [np.int64(len(levels)).tobytes()] + [np.int64(len(v)).tobytes() + v.astype(np.int64).tobytes() for _, _, v in levels]
         values = [ids[order].tobytes(), row[order].tobytes(), packed(raw[order]), b"".join(cut), np.concatenate([r for _, r, _ in levels]).tobytes(), x[order[0]].tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], pa.int64()), *(pa.array([v], pa.binary()) for v in values), pa.array([float(levels[0][1][0])])], ["block", "ids", "rows", "x", "cuts", "radii", "centre", "radius"])

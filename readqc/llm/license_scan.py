@@ -3,7 +3,8 @@
 Every pair of neighbouring words of a text is hashed; the hashes join to the places of the same pair in
 the sentences of licenses and of notices. A hit, whose words are then compared, at word i of the text and place j of a notice votes for the
 diagonal i - j. Votes are added up by diagonal, as a bit for each place of the notice, so that a place counts once however often its words
-come; neighbouring diagonals of one notice merge (words may be inserted or missing), and a diagonal or a merged span counts if its places
+come; neighbouring diagonals of one notice merge (words may be inserted or missing): each diagonal with those that follow it one by one within one of the distances WIDTHS, so
+that words of the notice which stand before or behind it can't draw a span apart. A diagonal or a merged span counts if its places
 are enough of the notice and dense. The phrases of the base rule are notices too, of which every pair must vote on one diagonal.
 
 Nulls: a null text is an empty text: no words, no labels, score 0; a null doc_id stays null. Repeated rows give a
@@ -57,8 +58,9 @@ NOTICES = {
 #: Pairs of a notice at most: a bit each of a long.
 PAIRS = 63
 
-#: Diagonals that lie so near merge; the share of a notice's pairs that must vote; the share of a span's pairs that must.
-NEAR, COVER, DENSE = 2, 0.8, 0.6
+#: How near the next diagonal must be to merge, and the distances within which all of a span lie; the share of a notice's pairs that must vote; the share of a span's pairs that must. A span that counts is at most 1 / DENSE times
+#: its votes long, so more than two thirds of PAIRS words can't have been inserted.
+NEAR, WIDTHS, COVER, DENSE = 2, (2, 4, 8, 16, 32, 42), 0.8, 0.6
 
 
 def _rows(notices: dict[str, str]) -> list[tuple[int, str, bool, int, int, str, str]]:
@@ -101,28 +103,27 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", notices: dict
     hits = hits.select("row", "doc_id", "n_words", "notice", "label", "base", "pairs", F.expr("shiftleft(1L, place)").alias("bit"), (F.col("i") - F.col("lead")).alias("i"), (F.col("i") - F.col("lead") - F.col("place")).alias("diagonal"))
     by = ["row", "doc_id", "n_words", "notice", "label", "base", "pairs"]
     lines = hits.groupBy(*by, "diagonal").agg(F.bit_or("bit").alias("places"), F.min("i").alias("lo"), F.max("i").alias("hi"))
-    along = Window.partitionBy("row", "notice").orderBy("diagonal")
-    apart = F.col("base") | F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along)) > NEAR, F.lit(True))
     # what is verified is how many different places of the notice have their words there, in one diagonal or in those that merge
-    covered = F.bit_count("places")
-    share = F.when(F.col("base"), F.when(covered == F.col("pairs"), 1.0)).when((covered >= COVER * F.col("pairs")) & (covered >= DENSE * (F.col("hi") - F.col("lo") + 1)), covered / F.col("pairs"))
-    share = F.when(F.col("notice") >= 0, share)
-    merged = (
-        lines.withColumn("apart", apart.cast("int"))
-        .withColumn("span", F.sum("apart").over(along))
-        .withColumn("own", share)
-        .groupBy(*by, "span")
-        .agg(F.bit_or("places").alias("places"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("start"), F.max("own").alias("own"))
-    )
-    spans = merged.withColumn("share", F.greatest("own", share)).withColumn("counts", F.col("share").isNotNull())
+    every = Window.partitionBy("row", "notice").orderBy("diagonal")
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(every)) > NEAR, F.lit(True)).cast("int")
+    lines = lines.withColumn("apart", apart).withColumn("run", F.sum("apart").over(every))
+    along = Window.partitionBy("row", "notice", "run").orderBy("diagonal")
+
+    def share(places, lo, hi):
+        covered = F.bit_count(places)
+        return F.when((covered >= COVER * F.col("pairs")) & (covered >= DENSE * (hi - lo + 1)), covered / F.col("pairs"))
+
+    merged = [share(*(f(c).over(along.rangeBetween(0, width)) for f, c in ((F.bit_or, "places"), (F.min, "lo"), (F.max, "hi")))) for width in WIDTHS]
+    own = F.when(F.col("base"), F.when(F.bit_count("places") == F.col("pairs"), 1.0)).otherwise(F.greatest(share(F.col("places"), F.col("lo"), F.col("hi")), *merged))
+    spans = lines.withColumn("share", F.when(F.col("notice") >= 0, own)).withColumn("counts", F.col("share").isNotNull())
     is_base = F.col("counts") & F.col("base")
     joined = lambda cond: F.concat_ws(",", F.array_sort(F.collect_set(F.when(cond, F.col("label")))))
     return (
         spans.groupBy("row", "doc_id", "n_words")
         .agg(
             F.count(F.when(is_base, 1)).alias("n_base"),
-            F.min(F.when(is_base, F.col("start"))).cast("long").alias("first_word"),
-            F.max(F.when(is_base, F.col("start"))).cast("long").alias("last_word"),
+            F.min(F.when(is_base, F.col("diagonal"))).cast("long").alias("first_word"),
+            F.max(F.when(is_base, F.col("diagonal"))).cast("long").alias("last_word"),
             joined(is_base).alias("base_labels"),
             joined(F.col("counts")).alias("labels"),
             F.coalesce(F.max(F.when(F.col("counts"), F.col("share"))), F.lit(0.0)).alias("score"),
@@ -134,7 +135,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", notices: dict
 def scan_sql(table: str = "documents") -> str:
     """The same in DuckDB's SQL, on words instead of their hashes."""
     rows = [f"({k}, '{label}', {base}, {pairs}, {place}, '{a}', '{b}')" for k, label, base, pairs, place, a, b in _rows(NOTICES)]
-    share = f"CASE WHEN base THEN CASE WHEN bit_count(places) = pairs THEN 1.0::DOUBLE END WHEN bit_count(places) >= {COVER}::DOUBLE * pairs AND bit_count(places) >= {DENSE}::DOUBLE * (hi - lo + 1) THEN bit_count(places)::DOUBLE / pairs END"
+    share = "CASE WHEN bit_count({p}) >= {c}::DOUBLE * pairs AND bit_count({p}) >= {d}::DOUBLE * ({h} - {l} + 1) THEN bit_count({p})::DOUBLE / pairs END"
+    merged = [share.format(p=f"bit_or(places) OVER w{w}", h=f"max(hi) OVER w{w}", l=f"min(lo) OVER w{w}", c=COVER, d=DENSE) for w in WIDTHS]
+    own = f"CASE WHEN base THEN CASE WHEN bit_count(places) = pairs THEN 1.0::DOUBLE END ELSE greatest({', '.join([share.format(p='places', h='hi', l='lo', c=COVER, d=DENSE), *merged])}) END"
+    windows = ", ".join(f"w{w} AS (PARTITION BY r, notice, run ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {w} FOLLOWING)" for w in WIDTHS)
     return rf"""
 WITH notices(notice, label, base, pairs, place, a, b) AS (VALUES {", ".join(rows)}),
 texts AS (SELECT row_number() OVER () AS r, doc_id,
@@ -143,11 +147,9 @@ words AS (SELECT r, unnest(w) AS a, unnest(range(len(w))) AS i FROM texts),
 pairs AS (SELECT r, i, a, lead(a) OVER (PARTITION BY r ORDER BY i) AS b FROM words),
 lines AS (SELECT r, notice, label, base, pairs, i - place AS diagonal, bit_or(1::BIGINT << place::INTEGER) AS places, min(i) AS lo, max(i) AS hi
   FROM pairs JOIN notices USING (a, b) GROUP BY ALL),
-cut AS (SELECT *, {share} AS own, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, notice ORDER BY diagonal) > {NEAR}, true) THEN 1 ELSE 0 END AS apart FROM lines),
-numbered AS (SELECT *, sum(apart) OVER (PARTITION BY r, notice ORDER BY diagonal) AS span FROM cut),
-merged AS (SELECT r, notice, label, base, pairs, bit_or(places) AS places, min(lo) AS lo, max(hi) AS hi, min(diagonal) AS start, max(own) AS own
-  FROM numbered GROUP BY r, notice, label, base, pairs, span),
-spans AS (SELECT *, greatest(own, {share}) AS share FROM merged),
+cut AS (SELECT *, CASE WHEN coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, notice ORDER BY diagonal) > {NEAR}, true) THEN 1 ELSE 0 END AS apart FROM lines),
+runs AS (SELECT *, sum(apart) OVER (PARTITION BY r, notice ORDER BY diagonal) AS run FROM cut),
+spans AS (SELECT r, label, base, diagonal AS start, {own} AS share FROM runs WINDOW {windows}),
 good AS (SELECT * FROM spans WHERE share IS NOT NULL)
 SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(*) FILTER (base) AS n_base,
   min(start) FILTER (base)::BIGINT AS first_word, max(start) FILTER (base)::BIGINT AS last_word,

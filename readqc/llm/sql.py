@@ -23,7 +23,7 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS comp
 def embedding_dedup_sql(table: str = "embeddings", cosine: float = 0.9) -> str:
     return f"""
 WITH RECURSIVE every AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM {table}),
-v AS (SELECT r, vec_id, e FROM every WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT r, vec_id, CASE WHEN list_max(list_transform(e, lambda x: abs(x))) > 0 THEN list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) ELSE e END AS e FROM every WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 u AS (SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
 links AS (SELECT p.r AS a, q.r AS b FROM u p JOIN u q ON p.r < q.r AND len(p.e) = len(q.e) AND p.norm > 0 AND q.norm > 0 WHERE list_sum(list_transform(list_zip(p.e, q.e), lambda x: x[1] * x[2])) / (p.norm * q.norm) >= {cosine}::DOUBLE),{_REACH},
 degree AS (SELECT a, count(*) AS n FROM either_way GROUP BY a),

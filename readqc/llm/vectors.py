@@ -39,6 +39,12 @@ def block_of(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), size)
 
 
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows, none of zeros, as unit vectors. They are scaled by a power of two first, which is exact, so that squares neither vanish nor overflow."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
 def nearest(x: np.ndarray, pivots: np.ndarray, half: np.ndarray, tops: int, owner: np.ndarray) -> np.ndarray:
     """For each row its nearest pivot: of the first `tops`, then of those that this one owns."""
     first = np.argmax(x @ pivots[:tops].T - half[:tops], axis=1)
@@ -62,7 +68,7 @@ def deal(rows: DataFrame, n: int, size: int, block: int, unit: bool) -> tuple[Da
         return rows.select("row", "vec_id", "x", F.pmod(F.xxhash64("row"), F.lit(total)).alias("block")), total
     pivots = np.array([r["x"] for r in rows.orderBy(F.xxhash64("row"), "row").limit(want).collect()], float)
     if unit:
-        pivots /= np.sqrt((pivots**2).sum(1))[:, None]
+        pivots = unit_vectors(pivots)
     half = np.zeros(len(pivots)) if unit else (pivots**2).sum(1) / 2
     tops = len(pivots) if len(pivots) <= DIRECT else TOPS
     owner = nearest(pivots, pivots[:tops], half[:tops], tops, np.arange(tops))
@@ -70,7 +76,8 @@ def deal(rows: DataFrame, n: int, size: int, block: int, unit: bool) -> tuple[Da
 
     def assign(batches):
         for b in batches:
-            cell = nearest(block_of(b.column(2), size).astype(float), *sent.value)
+            x = block_of(b.column(2), size).astype(float)
+            cell = nearest(unit_vectors(x) if unit and len(x) else x, *sent.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int64))], ["row", "vec_id", "x", "cell"])
 
     kind = rows.schema["x"].dataType.simpleString()
