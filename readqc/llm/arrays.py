@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import collections
 import mmap
 import os
 import tempfile
@@ -11,8 +10,8 @@ import uuid
 import numpy as np
 import pyarrow.fs as fs
 
-#: Files that a worker holds mapped; far fewer than the maps that a process may have.
-MAPPED = 4096
+#: Files that a worker holds mapped; a process may have 65,530 maps by default.
+MAPPED = 24_576
 #: Bytes before an array: the kind of its numbers.
 HEAD = 8
 
@@ -67,16 +66,17 @@ def _mapped(file: int) -> np.ndarray:
 
 
 class Shelf:
-    """Arrays of a folder, mapped when they are first asked for. The least used go when there are too many."""
+    """Arrays of a folder, mapped when they are first asked for. Each piece of text asks for all buckets in their order, so where there are more arrays than
+    `most`, what came last goes for what comes next: those that came first stay and need not be opened again."""
 
     def __init__(self, folder: str, most: int = MAPPED):
-        self.folder, self.most = folder, most
-        self.held: collections.OrderedDict[str, np.ndarray] = collections.OrderedDict()
+        self.folder, self.most, self.opened = folder, most, 0
+        self.held: dict[str, np.ndarray] = {}
 
     def __getitem__(self, name: str) -> np.ndarray:
         if name in self.held:
-            self.held.move_to_end(name)
             return self.held[name]
         if len(self.held) >= self.most:
-            self.held.popitem(last=False)
+            self.held.popitem()
+        self.opened += 1
         return self.held.setdefault(name, load(self.folder, name))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from readqc.llm import embedding_dedup, license_scan, vectors
+from readqc.llm import arrays, embedding_dedup, license_scan, vectors
 from readqc.llm.sql import embedding_dedup_sql
 
 DOUBLES = "vec_id long, embedding array<double>"
@@ -87,3 +87,15 @@ def test_every_window_against_brute_force(spark):
     for i, t in enumerate(texts):
         share = max(plain_share(re.findall("[a-z0-9]+", t), n) for n in license_scan.NOTICES)
         assert got[i][1] == pytest.approx(share) and (got[i][0] != "") == (share > 0), i
+
+
+def test_a_shelf_opens_little_when_all_buckets_are_asked_for_again(tmp_path):
+    folder = f"file://{tmp_path}"
+    for i in range(300):
+        arrays.save(folder, f"a-{i}", np.array([i]))
+    for most, again in ((300, 0), (200, 101), (1, 300)):
+        shelf = arrays.Shelf(folder, most)
+        for _ in range(3):
+            before = shelf.opened
+            assert [int(shelf[f"a-{i}"][0]) for i in range(300)] == list(range(300))
+        assert shelf.opened - before == again and len(shelf.held) <= most
