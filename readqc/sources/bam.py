@@ -1,5 +1,10 @@
 """BAM as a Spark data source, split by bytes: a split owns the records that start in its blocks, and finds the first of them by what a record looks
-like, several in a row. Reads of the reverse strand are turned back; absent qualities are null."""
+like, several in a row. Reads of the reverse strand are turned back; absent qualities are null.
+
+Records are decoded by the piece: where they start is a chain of sizes, all else are numpy passes over flat bytes. Numbers are gathered from the
+records' fixed places; names, bases and qualities are spans, each base a half byte that a table turns into a letter; a span of the reverse strand is gathered from its
+end and through the table of complements.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ import json
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -16,10 +22,11 @@ from readqc.sources.fastq import BATCH, COLUMNS, KINDS, SPLIT, Split
 
 #: Fixed value: bases by their four-bit codes.
 CODES = b"=ACMGRSVTWYHKDBN"
-_PAIRS = [bytes([CODES[i >> 4], CODES[i & 15]]) for i in range(256)]
-_PLUS33 = bytes(min(255, i + 33) for i in range(256))
+_LETTER = np.frombuffer(CODES, np.uint8)
 #: The complement; whatever is no base becomes N.
-_COMPLEMENT = bytes({65: 84, 67: 71, 71: 67, 84: 65}.get(i, 78) for i in range(256))
+_COMPLEMENT = np.array([{65: 84, 67: 71, 71: 67, 84: 65}.get(b, 78) for b in CODES], np.uint8)
+#: Bytes that are decoded together.
+PIECE = 1 << 22
 
 
 class _Stream:
@@ -69,6 +76,23 @@ class _Stream:
         return self.starts[0][1]
 
 
+def pieces(s: _Stream, end: int) -> Iterator[tuple[bytes, list[int]]]:
+    """Bytes of some PIECE and where in them the records begin that start in blocks before `end`."""
+    while True:
+        s.has(PIECE)
+        if (address := s.address()) is None or address >= end:
+            return
+        # the first byte of a block from `end` on ends the split
+        stop = next((place - s.before for place, block in s.starts if block >= end), len(s.data))
+        begin, after = starts(s.data, s.at, stop)
+        if not begin:  # a record longer than what is at hand
+            if not s.has(len(s.data) - s.at + PIECE) and len(s.data) - s.at < 4 + (struct.unpack_from("<i", s.data, s.at)[0] if s.has(4) else 0):
+                raise ValueError("the file ends inside a record")
+            continue
+        yield s.data, begin
+        s.at = after
+
+
 def _head(s: _Stream) -> int:
     """Goes past the header; the number of references."""
     if s.take(4) != b"BAM\x01":
@@ -125,17 +149,60 @@ def _find(s: _Stream, references: int) -> bool:
         at += 1
 
 
-def records(s: _Stream, end: int) -> Iterator[tuple[str, int, bytes, bytes | None]]:
-    """(name, flag, seq, qual), as stored, of the records that start in blocks before `end`."""
-    while (address := s.address()) is not None and address < end:
-        data = s.take(struct.unpack("<i", s.take(4))[0])
-        if data is None:
-            raise ValueError("the file ends inside a record")
-        name_size, cigar, flag, size = data[8], *struct.unpack_from("<HHi", data, 12)
-        at = 32 + name_size + 4 * cigar
-        packed = data[at : at + (size + 1) // 2]
-        qual = data[at + len(packed) : at + len(packed) + size]
-        yield data[32 : 31 + name_size].decode(), flag, b"".join([_PAIRS[x] for x in packed])[:size], None if size and qual[0] == 0xFF else qual.translate(_PLUS33)
+def starts(data: bytes, at: int, stop: int) -> tuple[list[int], int]:
+    """Where the records begin that begin before `stop` and are whole, and where the next one would: each size tells the next start."""
+    out, n, size_at = [], len(data), struct.Struct("<i").unpack_from
+    while at < stop and at + 4 <= n:
+        end = at + 4 + size_at(data, at)[0]
+        if end > n:
+            break
+        if end < at + 36:
+            raise ValueError("a record is shorter than its fixed part")
+        out.append(at)
+        at = end
+    return out, at
+
+
+def _gather(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For spans one after the other: offsets, which span each element is of, and its place in it."""
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    row = np.repeat(np.arange(len(size)), size)
+    return offsets, row, np.arange(offsets[-1]) - offsets[row]
+
+
+def _strings(offsets: np.ndarray, values: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    mask = None
+    if missing is not None and missing.any():
+        mask = pa.py_buffer(np.packbits(~missing, bitorder="little").tobytes())
+    made = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [mask, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
+    return made.cast(pa.string())
+
+
+def decoded(data: bytes, begin: list[int]) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
+    """Names, bases, qualities, and numbers of bases, of the records that begin there."""
+    flat, at = np.frombuffer(data, np.uint8), np.array(begin, np.int64) + 4
+    number = lambda place, width: (flat[at[:, None] + place + np.arange(width)].astype(np.int64) << (8 * np.arange(width))).sum(1)
+    name, cigar, flag, size = number(8, 1), number(12, 2), number(14, 2), number(16, 4)
+    seq_at = at + 32 + name + 4 * cigar
+    qual_at = seq_at + (size + 1) // 2
+    ends = at - 4 + 4 + number(-4, 4)
+    if (name < 1).any() or (size >= 1 << 31).any() or (qual_at + size > ends).any():
+        raise ValueError("a record's parts are longer than it")
+    turned = (flag & 16) != 0
+    offsets, row, k = _gather(at + 32, name - 1)
+    names = _strings(offsets, flat[(at + 32)[row] + k])
+    offsets, row, k = _gather(seq_at, size)
+    k = np.where(turned[row], size[row] - 1 - k, k)  # from the end where the strand is the other one
+    pair = flat[seq_at[row] + (k >> 1)]
+    code = np.where(k & 1, pair & 15, pair >> 4)
+    seqs = _strings(offsets, np.where(turned[row], _COMPLEMENT[code], _LETTER[code]))
+    first = flat[np.minimum(qual_at, len(flat) - 1)]
+    missing = (size > 0) & (first == 0xFF)
+    quals = np.minimum(flat[qual_at[row] + k].astype(np.int64) + 33, 255).astype(np.uint8)
+    quals[missing[row]] = 33  # never seen
+    if (quals > 126).any():
+        raise ValueError("a quality over 93")
+    return names, seqs, _strings(offsets, quals, missing), size
 
 
 class BamReader(DataSourceReader):
@@ -151,33 +218,21 @@ class BamReader(DataSourceReader):
         return out
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
-        names, seqs, quals, index, local = [], [], [], [], 0
-
-        def batch():
-            n = len(names)
-            values = [[partition.file_id] * n, [partition.file_name] * n, [partition.start] * n, index, names, seqs, quals]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, COLUMNS.values(), strict=True)], list(COLUMNS))
-
+        local = 0
+        fixed = {"file_id": partition.file_id, "file_name": partition.file_name, "part": partition.start}
         with store.open_file(partition.path) as f:
-            references = _head(head := _Stream(bgzf.blocks(f, 0, partition.size, True)))
-            s = head
+            references = _head(s := _Stream(bgzf.blocks(f, 0, partition.size, True)))
             if partition.start:
                 s = _Stream(bgzf.blocks(f, partition.start, partition.size, False))
                 if not _find(s, references):
                     return
-            for name, flag, seq, qual in records(s, partition.end):
-                if flag & 16:
-                    seq, qual = seq.translate(_COMPLEMENT)[::-1], qual and qual[::-1]
-                names.append(name)
-                seqs.append(seq.decode())
-                quals.append(None if qual is None else qual.decode())
-                index.append(local)
-                local += bool(seq)
-                if len(names) == BATCH:
-                    yield batch()
-                    names, seqs, quals, index = [], [], [], []
-        if names:
-            yield batch()
+            for data, begin in pieces(s, partition.end):
+                for lo in range(0, len(begin), BATCH):
+                    names, seqs, quals, size = decoded(data, begin[lo : lo + BATCH])
+                    some = size > 0
+                    values = {c: pa.repeat(pa.scalar(v, COLUMNS[c]), len(size)) for c, v in fixed.items()} | {"local": pa.array(local + np.cumsum(some) - some), "name": names, "seq": seqs, "qual": quals}
+                    local += int(some.sum())
+                    yield pa.RecordBatch.from_arrays([values[c] for c in COLUMNS], list(COLUMNS))
 
 
 class BamSource(DataSource):
