@@ -59,7 +59,9 @@ def poisson_above(k: np.ndarray, mu: np.ndarray) -> np.ndarray:
     """P(X > k) for X of mean mu, k whole; 1 where mu is not positive. The terms of one tail are added up, each from its logarithm: those above k where
     k is at least mu, as they fall from there on, else one less those up to k."""
     k, mu = (np.asarray(x, float) for x in np.broadcast_arrays(k, mu))
-    return np.array([_above(int(a), m) if m > 0 else 1.0 for a, m in zip(k.ravel().tolist(), mu.ravel().tolist(), strict=True)]).reshape(k.shape)
+    pairs, back = np.unique(np.stack([k.ravel(), mu.ravel()]), axis=1, return_inverse=True)  # many cells share both
+    chance = np.array([_above(int(a), m) if m > 0 else 1.0 for a, m in pairs.T.tolist()])
+    return chance[back.ravel()].reshape(k.shape) if k.size else np.zeros(k.shape)
 
 
 def _above(k: int, mu: float) -> float:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readqc.functions import expr
 from readqc.functions.stats import corrected_count
+from readqc.shared import written
 
 #: Lower ends of the bins of duplication levels, and their labels.
 BINS = [(i, str(i)) for i in range(1, 10)] + [(10, ">10"), (50, ">50"), (100, ">100"), (500, ">500"), (1000, ">1k"), (5000, ">5k"), (10000, ">10k")]
 #: Reads up to which all are counted; keys and reads that the original mode takes up.
 FULL, SEED_KEYS, SEED_READS = 1_000_000, 100_000, 1_000_000
 OVERREPRESENTED = 0.001
+#: Seeds at most whose hashes, 12 bytes each, go to all executors.
+PROBES = 2_000_000
 #: Width of the stretches of indexes in which reads are numbered.
 STRETCH = 65_536
 
@@ -86,8 +91,15 @@ def seeds(reads: DataFrame, keys: int = SEED_KEYS, limit: int = SEED_READS) -> t
 
 
 def original_counts(reads: DataFrame, seeded: DataFrame) -> DataFrame:
-    """Counts of the seeded keys over all reads."""
-    return seeded.join(key_counts(reads), ["file_id", "seq"], "left").select("file_id", "seq", F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts of the seeded keys over all reads. A read is dropped where it is read unless its key may be a seed, by the hashes of up to PROBES seeds, so what is
+    exchanged are seeds and no other keys; with more seeds the keys of all reads are."""
+    seeded = written(seeded, "seeds")
+    keys = reads.where("length(seq) > 0").select("file_id", expr.prefix(F.col("seq")).alias("seq"))
+    if seeded.count() <= PROBES:
+        hashes = seeded.select("file_id", F.xxhash64("seq").alias("h"))
+        keys = keys.withColumn("h", F.xxhash64("seq")).join(F.broadcast(hashes), ["file_id", "h"], "left_semi").drop("h")  # at most PROBES rows, which was counted
+    counts = keys.groupBy("file_id", "seq").agg(F.count("*").alias("n"))
+    return seeded.join(counts, ["file_id", "seq"], "left").select("file_id", "seq", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def corrected(hist: DataFrame, cut: DataFrame) -> DataFrame:
@@ -116,12 +128,39 @@ def overlap(left, right):
     return F.aggregate(sizes, F.lit(0), lambda best, k: F.when(F.contains(left, F.substring(right, F.lit(1), k)), F.greatest(best, k)).otherwise(best))
 
 
+#: Bases of the pieces by which keys and contaminants meet: the longest first, and the next only for keys that met nothing.
+PIECES = (8, 4)
+
+
+def _meetings(keys: DataFrame, contaminants: DataFrame, k: int) -> DataFrame:
+    """(file_id, rank, contam_id): pairs of which one holds the first k bases of the other, once each."""
+
+    def pieces(seq):
+        places = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(seq, i, F.lit(k)))))
+
+    own, other = keys.where(F.length("seq") >= k), contaminants.where(F.length("c") >= k)
+    begins = own.select("file_id", "rank", pieces(F.col("seq")).alias("piece")).join(other.select("contam_id", F.substring("c", 1, k).alias("piece")), "piece")
+    holds = own.select("file_id", "rank", F.substring("seq", 1, k).alias("piece")).join(other.select("contam_id", pieces(F.col("c")).alias("piece")), "piece")
+    return begins.unionByName(holds).select("file_id", "rank", "contam_id").distinct()
+
+
 def contaminant_match(over: DataFrame, contaminants: DataFrame) -> DataFrame:
     """over with source: the contaminant with the longest overlap in either direction, the first of equals, if that reaches half of the
-    shorter sequence; else `No Hit`. Both sides are short lists: a thousand keys a file, and a list that a user writes."""
-    pairs = over.join(F.broadcast(contaminants.select("contam_id", F.col("name").alias("source"), F.upper("seq").alias("c"))), how="left")
-    score = F.greatest(overlap(F.col("seq"), F.col("c")), overlap(F.col("c"), F.col("seq")))
-    scored = pairs.withColumn("score", F.coalesce(score, F.lit(0)))
-    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "rank").orderBy(F.col("score").desc(), "contam_id"))).where("k = 1")
-    hit = (F.col("score") > 0) & (F.col("score") >= F.expr("least(length(c), length(seq)) div 2"))
-    return best.select("file_id", "rank", "seq", "n", "pct", F.when(hit, F.col("source")).otherwise("No Hit").alias("source"))
+    shorter sequence; else `No Hit`. An overlap of k bases and more is one in which a first piece of k bases is found, so keys and contaminants meet by pieces: a
+    key that meets any by 8 bases has its best among these. One that meets none by 4 can only have a hit where it or a contaminant has under 8 bases; for such alone
+    single bases are the pieces."""
+    contaminants = contaminants.select("contam_id", F.col("name").alias("source"), F.upper("seq").alias("c"))
+    least = 2 * PIECES[-1]
+    left, met = written(over, "over"), []
+    short = contaminants.where(F.length("c") < least).limit(1).count() > 0
+    for k in (*PIECES, 1):
+        keys = left if k > 1 or short else left.where(F.length("seq") < least)
+        found = written(_meetings(keys.select("file_id", "rank", "seq"), contaminants, k), "met")
+        met.append(found)
+        left = left.join(found.select("file_id", "rank").distinct(), ["file_id", "rank"], "left_anti")
+    pairs = functools.reduce(DataFrame.unionByName, met).join(over.select("file_id", "rank", "seq"), ["file_id", "rank"]).join(contaminants, "contam_id")
+    scored = pairs.withColumn("score", F.greatest(overlap(F.col("seq"), F.col("c")), overlap(F.col("c"), F.col("seq"))))
+    best = scored.groupBy("file_id", "rank").agg(F.min_by(F.struct("source", "c", "score"), F.struct(-F.col("score"), "contam_id")).alias("best"))
+    hit = (F.col("best.score") > 0) & (F.col("best.score") >= F.expr("least(length(best.c), length(seq)) div 2"))
+    return over.join(best, ["file_id", "rank"], "left").select("file_id", "rank", "seq", "n", "pct", F.when(hit, F.col("best.source")).otherwise("No Hit").alias("source"))

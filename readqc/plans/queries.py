@@ -123,12 +123,12 @@ def gc_hist_by_len(reads):
 
 
 #: Each GC count over the bins of 0 .. 100 that its share of the scale overlaps.
-_SPREAD = """gw AS (SELECT n, gc_bin * (101.0::DOUBLE / (len_bin + 1)) AS lo, (gc_bin + 1) * (101.0::DOUBLE / (len_bin + 1)) AS hi, 101.0::DOUBLE / (len_bin + 1) AS width FROM gc),
+_SPREAD = """gw AS (SELECT len_bin, gc_bin, n, gc_bin * (101.0::DOUBLE / (len_bin + 1)) AS lo, (gc_bin + 1) * (101.0::DOUBLE / (len_bin + 1)) AS hi, 101.0::DOUBLE / (len_bin + 1) AS width FROM gc),
 gf AS (SELECT *, floor(lo)::INTEGER AS first, (least(101, ceil(hi)) - 1)::INTEGER AS last FROM gw), gb AS (SELECT *, unnest(range(first, greatest(first, last) + 1))::INTEGER AS gc FROM gf),
-gs AS (SELECT gc, n / width * CASE WHEN first = last THEN width WHEN gc = first THEN first + 1 - lo WHEN gc = last THEN hi - last ELSE 1 END AS part FROM gb)"""
+gs AS (SELECT gc, len_bin, gc_bin, n / width * CASE WHEN first = last THEN width WHEN gc = first THEN first + 1 - lo WHEN gc = last THEN hi - last ELSE 1 END AS part FROM gb)"""
 
 
-@_query(f"{_GC}, {_SPREAD} SELECT gc, round(sum(part), 6) AS n FROM gs GROUP BY gc")
+@_query(f"{_GC}, {_SPREAD} SELECT gc, round(sum(part ORDER BY len_bin, gc_bin), 6) AS n FROM gs GROUP BY gc")
 def gc_hist_combined(reads):
     return _round(per_read.gc_combined(per_read.gc_by_length(reads)).drop("file_id"), "n")
 
@@ -215,18 +215,28 @@ def dup_levels_sampled(reads):
     return dup.levels(dup.key_counts(reads, 3)).drop("file_id")
 
 
-@_query(f"""r AS (SELECT row_number() OVER (ORDER BY read_idx, substr(seq, 1, 50)) - 1 AS nth, substr(seq, 1, 50) AS seq FROM reads WHERE length(seq) > 0),
-f AS (SELECT seq, min(nth) AS first_at FROM r WHERE nth < {dup.SEED_READS} GROUP BY seq), s AS (SELECT seq, first_at FROM f ORDER BY first_at, seq LIMIT {dup.SEED_KEYS}),
+_ORIGINAL = """r AS (SELECT row_number() OVER (ORDER BY read_idx, substr(seq, 1, 50)) - 1 AS nth, substr(seq, 1, 50) AS seq FROM reads WHERE length(seq) > 0),
+f AS (SELECT seq, min(nth) AS first_at FROM r WHERE nth < {limit} GROUP BY seq), s AS (SELECT seq, first_at FROM f ORDER BY first_at, seq LIMIT {keys}),
 k AS (SELECT s.seq, count(*) AS n FROM s JOIN r USING (seq) GROUP BY s.seq), l AS (SELECT n AS times_seen, count(*) AS seen FROM k GROUP BY n),
-c AS (SELECT (SELECT count(*) FROM r) AS total, CASE WHEN (SELECT count(*) FROM s) >= {dup.SEED_KEYS} THEN (SELECT max(first_at) + 1 FROM s) ELSE least((SELECT count(*) FROM r), {dup.SEED_READS}) END AS took),
+c AS (SELECT (SELECT count(*) FROM r) AS total, CASE WHEN (SELECT count(*) FROM s) >= {keys} THEN (SELECT max(first_at) + 1 FROM s) ELSE least((SELECT count(*) FROM r), {limit}) END AS took),
 m AS (SELECT l.*, c.*, CASE WHEN took = total OR total - seen < took THEN NULL WHEN times_seen > total - took THEN 0 ELSE exp(list_sum(list_transform(range(times_seen), lambda j: ln(1 - took::DOUBLE / (total - j))))) END AS missed FROM l, c)
-SELECT times_seen, CASE WHEN missed IS NULL THEN seen ELSE floor(seen / greatest(2.220446049250313e-16, 1 - CASE WHEN missed < 1 - seen / (seen + 0.01::DOUBLE) THEN 0 ELSE missed END))::BIGINT END AS n_keys FROM m""")
+SELECT times_seen, CASE WHEN missed IS NULL THEN seen ELSE floor(seen / greatest(2.220446049250313e-16, 1 - CASE WHEN missed < 1 - seen / (seen + 0.01::DOUBLE) THEN 0 ELSE missed END))::BIGINT END AS n_keys FROM m"""
+
+
+@_query(_ORIGINAL.format(keys=dup.SEED_KEYS, limit=dup.SEED_READS))
 def orig_dups(reads):
     """The levels that the original mode reports: keys up to its own limit, scaled up by what the seeding may have missed."""
     seeded, cut = dup.seeds(reads)
     return dup.corrected(dup.levels(dup.original_counts(reads, seeded)), cut).drop("file_id")
 
 
+@_query(_ORIGINAL.format(keys=2_000, limit=dup.SEED_READS))
+def orig_dups_few_seeds(reads):
+    """The same where the seeds are far fewer than the keys, so that only these are counted and levels are scaled up."""
+    seeded, cut = dup.seeds(reads, 2_000)
+    return dup.corrected(dup.levels(dup.original_counts(reads, seeded)), cut).drop("file_id")
+
+
 _HITS = "hits AS (" + " UNION ALL ".join(f"SELECT {i} AS adapter_id, instr(seq, '{s}')::INTEGER AS pos FROM reads" for i, (_, s) in enumerate(dims.DEFAULT_ADAPTERS)) + "), ah AS (SELECT adapter_id, pos, count(*) AS n FROM hits WHERE pos > 0 GROUP BY ALL)"
 
 
@@ -294,17 +304,26 @@ def kmer_obs_exp_top20(reads):
 _ABOVE = "list_sum(list_transform(range(1, 80), lambda i: exp((n + i) * ln(mu) - mu - lgamma(n + i + 1))))"
 
 
-@_query(f"""{_KMERS}, bk AS (SELECT kmer, sum(n) AS of_kmer FROM kc GROUP BY 1), bp AS (SELECT pos, sum(n) AS of_pos FROM kc GROUP BY 1), tt AS (SELECT sum(n) AS total FROM kc),
+_ENRICHED = f"""{_KMERS}, bk AS (SELECT kmer, sum(n) AS of_kmer FROM kc GROUP BY 1), bp AS (SELECT pos, sum(n) AS of_pos FROM kc GROUP BY 1), tt AS (SELECT sum(n) AS total FROM kc),
 kx AS (SELECT kmer, of_kmer, pos, (n * total)::DOUBLE / (of_kmer::DOUBLE * of_pos::DOUBLE) AS ratio FROM kc JOIN bk USING (kmer) JOIN bp USING (pos), tt),
 k1 AS (SELECT kmer, of_kmer, pos, ratio FROM kx QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY ratio DESC, pos) = 1),
 cell AS (SELECT kmer, pos, coalesce(kc.n, 0) AS n, k1.of_kmer::DOUBLE / total * of_pos AS mu FROM (SELECT kmer, of_kmer FROM k1 WHERE ratio >= {km.LEAST_RATIO}) k1 CROSS JOIN bp CROSS JOIN tt LEFT JOIN kc USING (kmer, pos)),
 pv AS (SELECT kmer, least(1.0::DOUBLE, {4**km.K}::DOUBLE * min({_ABOVE})) AS pvalue FROM cell GROUP BY kmer),
-k2 AS (SELECT *, row_number() OVER (ORDER BY ratio DESC, translate(kmer, 'ACTG', '0123')) AS rank FROM k1 JOIN pv USING (kmer) WHERE pvalue <= {km.MOST_P})
+k2 AS (SELECT *, row_number() OVER (ORDER BY ratio DESC, translate(kmer, 'ACTG', '0123')) AS rank FROM k1 JOIN pv USING (kmer) WHERE pvalue <= {km.MOST_P})"""
+
+
+@_query(f"""{_ENRICHED}
 SELECT rank::INTEGER AS rank, kmer, of_kmer::BIGINT AS n, round(pvalue, 9) AS pvalue, round(ratio, 6) AS obs_exp, pos FROM k2 WHERE rank <= {km.TOP}""")
 def kmer_enriched(reads):
     return _round(_round(km.enriched(km.counts(reads)).drop("file_id"), "obs_exp"), "pvalue", digits=9)
 
 
+@_query(f"""{_ENRICHED}, v AS (SELECT coalesce((SELECT CASE WHEN pvalue > 0 THEN -log10(pvalue) ELSE 1e308::DOUBLE END FROM k2 WHERE rank = 1), 0) AS v)
+SELECT 11 AS section_no, 'kmer' AS module, 'Kmer Content' AS title, CASE WHEN v < 2 THEN 'pass' WHEN v < 5 THEN 'warn' ELSE 'fail' END AS grade FROM v""")
+def kmer_grade(reads):
+    return Analysis(reads, RunMode(enabled=frozenset(["kmer"]))).grades().drop("file_id")
+
+
 @_query("x AS (SELECT CASE WHEN read_idx % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN read_idx % 2 = 1 THEN reverse(qual) ELSE qual END AS qual FROM reads) SELECT seq, qual, count(*) AS n FROM x GROUP BY ALL")
 def revcomp(reads):
     flag = (F.col("read_idx") % 2 * 16).cast("int")
@@ -313,10 +332,10 @@ def revcomp(reads):
 
 
 #: The GC histogram as 101 numbers, its normal curve, and its moving averages.
-_CURVE = f"""{_GC}, {_SPREAD}, g0 AS (SELECT unnest(range(0, 101))::INTEGER AS gc), gh AS (SELECT gc, coalesce(sum(part), 0)::DOUBLE AS n FROM g0 LEFT JOIN gs USING (gc) GROUP BY gc),
-gt AS (SELECT sum(n) AS whole, trunc(sum(n)) AS total, max(n) AS most, min(gc) FILTER (n = (SELECT max(n) FROM gh)) AS top FROM gh),
+_CURVE = f"""{_GC}, {_SPREAD}, g0 AS (SELECT unnest(range(0, 101))::INTEGER AS gc), gh AS (SELECT gc, coalesce(sum(part ORDER BY len_bin, gc_bin), 0)::DOUBLE AS n FROM g0 LEFT JOIN gs USING (gc) GROUP BY gc),
+gt AS (SELECT sum(n ORDER BY gc) AS whole, trunc(sum(n ORDER BY gc)) AS total, max(n) AS most, min(gc) FILTER (n = (SELECT max(n) FROM gh)) AS top FROM gh),
 gm AS (SELECT top + (coalesce((SELECT min(gc) FROM gh WHERE gc >= top AND n < 0.9::DOUBLE * most), 101) - coalesce((SELECT max(gc) FROM gh WHERE gc <= top AND n < 0.9::DOUBLE * most), -1) - 2) / 2.0::DOUBLE AS mode, * FROM gt),
-gd AS (SELECT *, sqrt((SELECT sum((gc - mode) * (gc - mode) * n) FROM gh) / (total - 1)) AS sd FROM gm),
+gd AS (SELECT *, sqrt((SELECT sum((gc - mode) * (gc - mode) * n ORDER BY gc) FROM gh) / (total - 1)) AS sd FROM gm),
 ge AS (SELECT gc, n, exp(-(gc - mode) * (gc - mode) / (2 * sd * sd)) AS e, total, whole FROM gh, gd),
 gcurve AS (SELECT gc, n, whole, e * total / sum(e) OVER () AS theoretical FROM ge)"""
 

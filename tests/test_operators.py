@@ -117,6 +117,44 @@ def test_original_mode_stops_at_the_key_limit(spark):
     assert {r.seq: r.n for r in duplicates.original_counts(df, seeds).collect()} == {"AAAA": 2, "CCCC": 2}
 
 
+def nested_loop(over, listed):
+    """Every key with every contaminant: the longest piece of one that begins the other, the first of equals, from half of the shorter on."""
+    def longest(a, b):
+        return max((k for k in range(1, min(len(a), len(b)) + 1) if b[:k] in a), default=0)
+
+    out = {}
+    for seq in over:
+        best = max(((max(longest(seq, c), longest(c, seq)), -i) for i, (_, c) in enumerate(listed)), default=(0, 0))
+        score, i = best[0], -best[1]
+        out[seq] = listed[i][0] if score and score >= min(len(seq), len(listed[i][1])) // 2 else "No Hit"
+    return out
+
+
+@pytest.mark.parametrize("shortest", [3, 9, 20])
+def test_contaminants_by_pieces(spark, shortest):
+    from readqc.sources import dims
+
+    r = random.Random(shortest)
+    word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    listed = [(f"c{i}", word(r.randint(shortest, shortest + 12))) for i in range(40)] + [("same", "ACGTACGTACGTACGTACGT"), ("again", "ACGTACGTACGTACGTACGT")]
+    keys = sorted({word(r.choice([4, 7, 12, 50])) for _ in range(60)} | {listed[i][1][: r.randint(3, 20)] + word(9) for i in range(40)} | {word(20) + listed[i][1] for i in range(40)} | {"ACGTACGTACGTACGTAAAA", "NNNN"})
+    over = spark.createDataFrame([(0, i, s, 1, 1.0) for i, s in enumerate(keys)], "file_id int, rank int, seq string, n long, pct double")
+    match = duplicates.contaminant_match(over, dims.contaminants(spark, listed))
+    assert {x.seq: x.source for x in match.collect()} == nested_loop(keys, listed)
+    assert "NestedLoop" not in match._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in match._jdf.queryExecution().executedPlan().toString()
+    assert all(x.source == "No Hit" for x in duplicates.contaminant_match(over, dims.contaminants(spark, [])).collect())
+
+
+@pytest.mark.parametrize("probes", [0, 1000])
+def test_only_seeds_are_counted(spark, monkeypatch, probes):
+    monkeypatch.setattr(duplicates, "PROBES", probes)
+    df = frame(spark, [(s, "I" * len(s)) for s, n in {"A" * 60: 5, "C" * 60: 9, "G" * 9: 1}.items() for _ in range(n)])
+    seeded = spark.createDataFrame([(0, "C" * 50), (0, "T"), (1, "A" * 50)], "file_id int, seq string")
+    counts = duplicates.original_counts(df, seeded)
+    assert {(r.file_id, r.seq): r.n for r in counts.collect()} == {(0, "C" * 50): 9, (0, "T"): 0, (1, "A" * 50): 0}
+    assert ("LeftSemi" in counts._jdf.queryExecution().optimizedPlan().toString()) == bool(probes)
+
+
 def test_overrepresented_order_among_equals(spark):
     df = frame(spark, [(s, "I" * len(s)) for s in ("ACGT", "TTTT", "GGGG", "ACGTA", "NACG")])
     assert [r.seq for r in duplicates.overrepresented(duplicates.key_counts(df)).orderBy("rank").collect()] == sorted(
