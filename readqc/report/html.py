@@ -82,4 +82,5 @@ def report(results: dict[str, list[dict]], grades: dict[str, str], info: dict, g
             body = f'<div id="{module}" class="plot"></div><script>Plotly.newPlot("{module}", {json.dumps(data).replace("</", "<\\/")}, {json.dumps(layout)});</script>'
         parts.append(f'<section><h2><span style="color:{COLOURS[grades[module]]}">[{grades[module]}]</span> {MODULES[module][0]}</h2>{body}</section>')
     style = "body{font-family:sans-serif;max-width:60rem;margin:auto}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2rem .6rem}.plot{height:26rem}"
-    return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(info["name"])}</title><script src="{PLOTLY}"></script><style>{style}</style></head><body><h1>{html.escape(info["name"])}</h1>{"".join(parts)}</body></html>\n'
+    began = f'<p>Begun {html.escape(info["began"])}</p>' if info.get("began") else ""
+    return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(info["name"])}</title><script src="{PLOTLY}"></script><style>{style}</style></head><body><h1>{html.escape(info["name"])}</h1>{began}{"".join(parts)}</body></html>\n'

@@ -1,4 +1,5 @@
-"""FASTQ as a Spark data source: plain and blocked-gzip files split by bytes, gzip files one task each.
+"""FASTQ as a Spark data source: plain and blocked-gzip files split by bytes; a gzip file is inflated by one task, as nothing in it can be found but in order, and
+parsed by as many as there are: it becomes blocks of whole records that an exchange deals out.
 
 A split owns the records that start after its first byte, up to and including one at its end; a record start inside a
 file is a line with @ of which the second next starts with + and the next and third next are equally long, so a quality line
@@ -24,6 +25,8 @@ from readqc.sources import bgzf, store
 COLUMNS = {"file_id": pa.int32(), "file_name": pa.string(), "part": pa.int64(), "local": pa.int64(), "name": pa.string(), "seq": pa.string(), "qual": pa.string()}
 KINDS = {"file_id": "int", "file_name": "string", "part": "long", "local": "long", "name": "string", "seq": "string", "qual": "string"}
 SPLIT, BATCH = 64 << 20, 20_000
+#: Compressed bytes that become a block.
+BLOCK = 1 << 20
 #: Bytes of the file before a split that are read to find the footing where records may be bad.
 LOOK = 1 << 16
 
@@ -275,21 +278,27 @@ class FastqReader(DataSourceReader):
                     }
                     yield pa.RecordBatch.from_arrays([values.get(c, pa.nulls(len(bad), COLUMNS[c])) for c in self.columns], self.columns)
                 continue
-            good = found.good()
-            if not good.all():
-                wrong = int(np.argmin(good))
-                name, seq, qual = (bytes(found.data[found.starts[wrong, i] : found.ends[wrong, i]]) for i in (0, 1, 3))
-                raise ValueError(f"{partition.path}: not a FASTQ record: {name[:80]!r}, {len(seq)} bases, {len(qual)} qualities")
-            kept = np.arange(len(good))
-            for i in range(0, len(kept), BATCH):
-                rows = kept[i : i + BATCH]
-                n = len(rows)
-                name, seq, qual = found.columns(rows)
-                some = found.ends[rows, 1] > found.starts[rows, 1]
-                index = local + np.cumsum(some) - some
-                local += int(some.sum())
-                values = {c: pa.repeat(pa.scalar(v, COLUMNS[c]), n) for c, v in fixed.items()} | {"local": pa.array(index.astype(np.int64)), "name": name, "seq": seq, "qual": qual}
-                yield pa.RecordBatch.from_arrays([values[c] for c in self.columns], self.columns)
+            for batch in columns_of(found, fixed, local, self.columns, partition.path):
+                yield batch
+            local += int((found.ends[:, 1] > found.starts[:, 1]).sum())
+
+
+def columns_of(found: Records, fixed: dict, local: int, columns: list[str], path: str) -> Iterator[pa.RecordBatch]:
+    """Records as batches; the first of them with bases has the number `local`. One that breaks the format is an error."""
+    good = found.good()
+    if not good.all():
+        wrong = int(np.argmin(good))
+        name, seq, qual = (bytes(found.data[found.starts[wrong, i] : found.ends[wrong, i]]) for i in (0, 1, 3))
+        raise ValueError(f"{path}: not a FASTQ record: {name[:80]!r}, {len(seq)} bases, {len(qual)} qualities")
+    for i in range(0, len(good), BATCH):
+        rows = np.arange(i, min(i + BATCH, len(good)))
+        n = len(rows)
+        name, seq, qual = found.columns(rows)
+        some = found.ends[rows, 1] > found.starts[rows, 1]
+        index = local + np.cumsum(some) - some
+        local += int(some.sum())
+        values = {c: pa.repeat(pa.scalar(v, COLUMNS[c]), n) for c, v in fixed.items()} | {"local": pa.array(index.astype(np.int64)), "name": name, "seq": seq, "qual": qual}
+        yield pa.RecordBatch.from_arrays([values[c] for c in columns], columns)
 
 
 class FastqSource(DataSource):
@@ -307,3 +316,40 @@ class FastqSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return FastqReader(dict(self.options), self._columns())
+
+
+class BlockReader(DataSourceReader):
+    """gzip files as blocks of whole records, numbered in their order."""
+
+    def __init__(self, options: dict[str, str]):
+        self.files = json.loads(options["files"])
+
+    def partitions(self) -> list[Split]:
+        return [Split(i, path.rstrip("/").rpartition("/")[2], path, kind, 0, store.size(path), store.size(path)) for i, path, kind in self.files]
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        with store.open_file(partition.path) as f:
+            for number, text in enumerate(stream(gunzip(f, BLOCK))):
+                yield pa.RecordBatch.from_arrays([pa.array([partition.file_id], pa.int32()), pa.array([partition.file_name]), pa.array([number]), pa.array([text], pa.binary())], ["file_id", "file_name", "part", "text"])
+
+
+class BlockSource(DataSource):
+    """Options: files (JSON list of [file_id, path, kind])."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fastq_blocks"
+
+    def schema(self) -> str:
+        return "file_id int, file_name string, part long, text binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return BlockReader(dict(self.options))
+
+
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of blocks, in the columns of the data source."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            file_id, name, part = (batch.column(k)[i].as_py() for k in range(3))
+            yield from columns_of(Records.of(batch.column(3)[i].as_py()), {"file_id": file_id, "file_name": name, "part": part}, 0, list(COLUMNS), name)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from readqc.shared import written
 from readqc.sources import sniff
 from readqc.sources.bam import BamSource
-from readqc.sources.fastq import FastqSource
+from readqc.sources.fastq import BlockSource, FastqSource, parsed
 from readqc.sources.sam import read_sam
 
 
@@ -37,6 +37,12 @@ def read_parts(spark: SparkSession, paths: list[str], split_bytes: int | None =
         raise ValueError("no files")
     files = [(i, path, kind) for i, (path, kind) in enumerate(zip(paths, kinds or map(sniff.detect, paths), strict=True))]
     parts = []
+    if mode == "FAILFAST" and (own := [f for f in files if f[2] == "fastq_gz"]):
+        spark.dataSource.register(BlockSource)
+        blocks = spark.read.format(BlockSource.name()).option("files", json.dumps(own)).load()
+        dealt = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_id", "part")
+        parts.append(dealt.mapInArrow(parsed, FastqSource({}).schema()))
+        files = [f for f in files if f[2] != "fastq_gz"]
     for source, kinds in ((FastqSource, ("fastq", "fastq_gz", "fastq_bgzf")), (BamSource, ("bam",))):
         if own := [f for f in files if f[2] in kinds]:
             spark.dataSource.register(source)

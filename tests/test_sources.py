@@ -1,4 +1,5 @@
 import gzip
+import io
 import random
 import struct
 
@@ -144,6 +145,23 @@ def test_gzip_that_is_cut_short_is_an_error(spark, tmp_path):
             read_files(spark, [str(path)], index=False).collect()
 
 
+def test_a_gzip_file_is_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from readqc.sources import fastq as source
+
+    reads = [(f"r{i}:{i}", "ACGT" * (i % 7), "IIII" * (i % 7)) for i in range(30_000)]
+    path = tmp_path / "x.fq.gz"
+    path.write_bytes(gzip.compress(fastq(reads), 1))
+    one = source.BlockReader({"files": f'[[0, "{path}", "fastq_gz"]]'})
+    monkeypatch.setattr(source, "BLOCK", 1 << 12)
+    assert len([b for p in one.partitions() for b in one.read(p)]) > 20
+    rows = read_files(spark, [str(path)])
+    assert [(r.name, r.seq, r.qual) for r in sorted(rows.collect(), key=lambda r: int(r.name.rpartition(":")[2]))] == reads
+    some = rows.where("seq <> ''").orderBy(F.split("name", ":")[1].cast("int")).select("read_idx").collect()
+    assert [r.read_idx for r in some] == list(range(len(some)))
+
+
 @pytest.mark.parametrize("split", [300, 1500, 10_000])
 def test_bam_splits_lose_and_repeat_nothing(spark, tmp_path, split):
     reads = some_reads(300) + [("long:0", "ACGT" * 900, "IIII" * 900)] + some_reads(50, 9)
@@ -156,6 +174,50 @@ def test_bam_splits_lose_and_repeat_nothing(spark, tmp_path, split):
     assert sorted(r.read_idx for r in rows if r.seq) == sorted(want.values())
 
 
+def test_bam_that_is_cut_short_is_an_error(spark, tmp_path):
+    whole = bam(some_reads(60))
+    inner = b"".join(d for _, d in bgzf.blocks(io.BytesIO(whole), 0, len(whole), True))
+    for cut in (1, 5, 40, 70):
+        path = tmp_path / f"cut{cut}.bam"
+        path.write_bytes(bgzf.deflate(inner[:-cut], 500))
+        with pytest.raises(Exception, match="ends inside a record"):
+            read_files(spark, [str(path)], index=False).collect()
+
+
+@pytest.mark.parametrize("piece", [64, 5000])
+def test_bam_by_pieces(spark, tmp_path, monkeypatch, piece):
+    from readqc.sources.bam import BamReader
+    from readqc.sources import bam as source
+
+    monkeypatch.setattr(source, "PIECE", piece)
+    reads = some_reads(200) + [("long:0", "ACGTN" * 900, "I#@J?" * 900)] + some_reads(30, 9)
+    path = tmp_path / "x.bam"
+    path.write_bytes(bam(reads))
+    for split in (700, 10**6):
+        reader = BamReader({"files": f'[[0, "{path}", "bam"]]', "splitbytes": str(split)})
+        got = [(r["name"], r["seq"], r["qual"] or "") for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert got == reads
+
+
+def test_sam_reads_are_numbered_without_an_exchange(spark, tmp_path):
+    paths = []
+    for i in range(2):
+        path = tmp_path / f"s{i}.sam"
+        path.write_bytes(sam(some_reads(300, i)))
+        paths.append(str(path))
+    rows = read_files(spark, paths, index=False)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        for i in range(2):
+            got = [r.read_idx for r in sorted(read_files(spark, paths).where(f"file_id = {i}").collect(), key=lambda r: int(r.name.rpartition(":")[2])) if r.seq]
+            assert got == list(range(len(got)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+
+
 def test_many_sam_files_are_one_scan(spark, tmp_path):
     paths = []
     for i in range(3):
