@@ -13,7 +13,7 @@ EVERY = fused.TILES
 
 def tile_quality(reads: DataFrame, offset: DataFrame | int = 33, every: int = EVERY) -> DataFrame:
     """(file_id, tile, pos, qsum, n) in Phred units. A sampled read whose header has no number there is an error."""
-    counts = fused.count(reads.where("length(qual) > 0"), fused.settings(fused.profile(reads)), [fused.TILE], tiles=every)
+    counts = fused.count(reads.where("length(qual) > 0"), fused.settings(fused.profile(reads), every=1), [fused.TILE], tiles=every)
     return in_phred(fused.part(counts, fused.TILE), offset)
 
 
