@@ -63,7 +63,7 @@ def corpus(seed, n=120, longest=9, texts=3):
     return rows
 
 
-@pytest.mark.parametrize(("block", "chunk", "stretch"), [(4096, 1024, 1024), (3, 2, 2), (7, 1, 3), (16, 3, 4)])
+@pytest.mark.parametrize(("block", "chunk", "stretch"), [(4096, 1024, 1024), (3, 2, 2), (7, 1, 3)])
 def test_trie(spark, monkeypatch, block, chunk, stretch):
     for name, value in {"BLOCK": block, "CHUNK": chunk, "STRETCH": stretch}.items():
         monkeypatch.setattr(prefix_trie, name, value)
