@@ -32,10 +32,10 @@ def _open(links: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of the links (u, v): component is the least id that links reach. Ends must not be
-    null. A link of an id with itself makes it a component of its own; repeated links count once."""
-    ids = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    null. A link of an id with itself makes it a component of its own; repeated links count once. links is read once."""
     # every link as (larger, smaller)
-    now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    given = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    ids, now = given.select(F.explode(F.array("u", "v")).alias("id")).distinct(), given.where("u <> v")
     while _open(now):
         both = _both(now, ("u", "v"), ("v", "u"))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -368,18 +368,19 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
 
     def merged(labels, found):
         # what links joins components, so it is their links that are followed
-        new = named(found, labels).select(F.col("c1").alias("u"), F.col("c2").alias("v")).distinct()
-        ends = components(written(new, "new")).toDF("component", "root")
+        ends = components(named(found, labels).select(F.col("c1").alias("u"), F.col("c2").alias("v"))).toDF("component", "root")
         return written(labels.join(ends, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
 
     def named(pairs, labels):
         return pairs.join(labels.toDF("u", "c1"), "u").join(labels.toDF("v", "c2"), "v").where("c1 <> c2")
 
-    labels = members.select("node", F.col("node").alias("component"))
+    # a component is named by the least (rep, node) in it, so its name tells its least document and no one has to gather its members
+    alone = F.struct("rep", "node")
+    labels = members.select("node", alone.alias("component"))
     turn = 0
     while turn <= STARS:
         # a group may hold members of several components: each such part is a unit, named by its least member
-        units = written((members.join(labels, "node") if turn else members.withColumn("component", F.col("node"))).groupBy(*group, "component").agg(F.min("node").alias("first"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")), "units")
+        units = written((members.join(labels, "node") if turn else members.withColumn("component", alone)).groupBy(*group, "component").agg(F.min("node").alias("first"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")), "units")
         # a shingle's bucket holds each unit with its first member's outline; in the last round, where all members are asked for, if it is the only one
         outline = F.col("fold") if turn < STARS else F.when(F.col("size") == 1, F.col("fold"))
         base = posted.join(units.select(*group, "component", "first", outline.alias("fold")), group)
@@ -423,7 +424,6 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
         found = verified(likely.select("u", "v"))
         turn = turn + 1 if turn == STARS or found.take(1) else STARS  # a round that finds nothing is the last of the stars
         labels = merged(labels, found)
-    linked = sets.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = linked.join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+    least = sets.join(labels, "node", "left").select("node", F.coalesce("component.rep", "rep").alias("component_id"))
     out = rows.join(least, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
