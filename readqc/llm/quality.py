@@ -7,7 +7,8 @@ size that the number of features sets. The ridge scores of the training rows, pu
 isotonic (pool adjacent violators) map to the share of label 1.
 
 Nulls: a null text is an empty text and has a score; a null doc_id stays null, is not learned from and counts as not
-held out. Repeated rows give a row each. Without training labels every score is the neutral 0.5. Other
+held out. Repeated rows give a row each. Without training labels every score is the neutral 0.5. An empty table gives no rows. Ties: equal
+statistics give equal scores, and a score of just ACCEPT is accepted. Texts of any length are judged whole, one beyond PIECE bytes by itself. Other
 columns of the input are ignored; labels, lang, source and doc_id are never inputs of a score.
 """
 
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readqc.llm import textkernel as K
-from readqc.llm.shared import arrow, texts, written
+from readqc.llm.shared import arrow, texts, thinned, written
 
 #: Random features; width of the kernel in standard deviations; ridge; bins of calibration; threshold of `predicted`; seed.
 FEATURES, WIDTH, RIDGE, BINS, ACCEPT, SEED = 384, 5.0, 1.0, 200, 0.7, 7
-#: Training takes this many labelled rows at most (chosen by a hash of doc_id); other rows are scored only.
+#: Training takes this many labelled rows of the input at most, in expectation (chosen by a hash of doc_id, and where documents repeat their doc_id
+#: so often that there are still more rows, of different rows by a hash of statistics and label); other rows are scored only.
 TRAIN_ROWS = 200_000
 PIECE = 2 << 20
 
@@ -172,12 +174,12 @@ def held_out(key: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, y) of the labelled rows to learn from: not held out, quality 0 or 1, `limit` at most in expectation."""
+    """(doc_id, text, y) of the rows to learn from: not held out, quality 0 or 1, of `limit` doc_ids at most in expectation."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     if (n := known.count()) > limit:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
-    return texts(docs).join(F.broadcast(known), "doc_id")  # `limit` rows
+    return texts(docs).join(F.broadcast(known), "doc_id")  # `limit` doc_ids and labels
 
 
 def _with_statistics(rows: DataFrame) -> DataFrame:
@@ -189,14 +191,21 @@ def _with_statistics(rows: DataFrame) -> DataFrame:
     return rows.select("text", "y").mapInArrow(run, "x array<double>, y int")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the labelled rows of docs."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
+    """Learns from the labelled rows of docs, `limit` at most in expectation."""
     arrow(docs.sparkSession)
-    rows = written(_with_statistics(training_rows(docs, labels)), "statistics")
+    rows = written(_with_statistics(training_rows(docs, labels, limit)), "statistics")
     d = len(NAMES)
     random = np.random.default_rng(SEED)
     model = Model(np.zeros(d), np.ones(d), random.normal(0, 1 / WIDTH, (d, FEATURES)), random.uniform(0, 2 * np.pi, FEATURES))
-    first = _sums(rows, lambda x, y: {"n": np.array([len(y), y.sum()]), "x": x.sum(0), "xx": (x**2).sum(0)})
+
+    def moments(x, y):
+        return {"n": np.array([len(y), y.sum()]), "x": x.sum(0), "xx": (x**2).sum(0)}
+
+    first = _sums(rows, moments)
+    if first and first["n"][0] > limit:
+        rows = thinned(rows, limit)
+        first = _sums(rows, moments)
     if not first or not 0 < first["n"][1] < first["n"][0]:
         return model
     n = first["n"][0]

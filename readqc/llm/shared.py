@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from readqc.shared import new_folder, written
 
-__all__ = ["arrow", "new_folder", "partitions", "release", "texts", "written"]
+__all__ = ["arrow", "new_folder", "partitions", "release", "texts", "thinned", "written"]
 
 #: Rows and bytes of an Arrow batch: the bytes bound it where texts are long.
 BATCH_ROWS, BATCH_BYTES = 500, "8m"
@@ -29,6 +29,14 @@ def arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def thinned(rows: DataFrame, limit: int) -> DataFrame:
+    """Of rows to learn from each different one once, and `limit` of them at most in expectation, by a hash of all columns: a row
+    that comes any number of times can't fill the bound."""
+    rows = written(rows.distinct(), "different")
+    share = min(1_000_000, 1_000_000 * limit // max(1, rows.count()))
+    return written(rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)) < share), "thinned")
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions for an exchange: as many as the session asks for, and twice the splits of the input, which
     follow its bytes."""

@@ -8,7 +8,9 @@ their share of marked words. A row's output is the expected grade, and `toxic` w
 likelier than not.
 
 Nulls: a null text is an empty text with a score; a null doc_id stays null and is not learned from. Repeated rows give a row
-each. Without labels of both kinds every text has severity 0. Other columns of the input are ignored.
+each. Without labels of both kinds every text has severity 0. An empty table gives no rows. Ties: features that equally many toxic texts
+hold are chosen by hash; a probability of just a half is not toxic. Texts of any length are judged whole, one beyond PIECE bytes by itself. Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from pyspark.sql import functions as F
 
 from readqc.llm import textkernel as K
 from readqc.llm.fixed import summed
-from readqc.llm.shared import arrow, texts, written
+from readqc.llm.shared import arrow, texts, thinned, written
 
 #: Grades above 0; features kept; toxic documents and odds that a feature needs; slots of the first sums.
 GRADES, FEATURES, SUPPORT, ODDS, SLOTS = 3, 600, 4, 50.0, 1 << 20
 #: The share of toxic documents that a feature needs where that is more than SUPPORT of them.
 SUPPORT_SHARE = 0.004
-#: Training takes this many labelled rows at most (chosen by a hash of doc_id); the other texts are scored only.
+#: Training takes this many labelled rows of the input at most, in expectation (chosen by a hash of doc_id, and where documents repeat their doc_id
+#: so often that there are still more rows, of different rows by a hash of text and label); the other texts are scored only.
 TRAIN_ROWS = 50_000
 BEGINNINGS = (4, 5)
 PIECE = 2 << 20
@@ -121,20 +124,27 @@ def fit_ordinal(doc: np.ndarray, feature: np.ndarray, x: np.ndarray, share: np.n
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, y) of labelled rows, `limit` at most in expectation, by a hash of doc_id."""
+    """(doc_id, text, y) of the rows of labelled doc_ids, of which there are `limit` at most in expectation, by a hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     if (n := known.count()) > limit:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
-    return texts(docs).join(F.broadcast(known), "doc_id")  # `limit` rows
+    return texts(docs).join(F.broadcast(known), "doc_id")  # `limit` doc_ids and labels
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the labelled rows of docs."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
+    """Learns from the labelled rows of docs, `limit` at most in expectation."""
     arrow(docs.sparkSession)
-    rows = written(training_rows(docs, labels).select("text", "y"), "toxic")
+
+    def sizes_of(rows):
+        return {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+    rows = written(training_rows(docs, labels, limit).select("text", "y"), "toxic")
     empty = Model(np.zeros(0, U), np.zeros(1), np.full(GRADES, 50.0))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sizes = sizes_of(rows)
+    if sum(sizes.values()) > limit:
+        rows = thinned(rows, limit)
+        sizes = sizes_of(rows)
     if len(sizes) < 2:
         return empty
 
