@@ -10,7 +10,8 @@ at one offset. A piece's rank comes from counts by input partition, so that no s
 meets in one task.
 
 Nulls: a null text is an empty text, one piece that holds the closing id alone; a null key stays null.
-Repeated rows are packed each. Other columns of the input are ignored.
+Repeated rows are packed each. An empty table gives no rows. Ties: pieces of one length take their places by their rank, so which of them goes where is
+up to the order of the rows read. Texts of any length are encoded whole, one beyond PIECE bytes by itself. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ CAPACITY, GROUPS, LARGE = 2048, (12, 24, 48, 96), (2, 4, 8)
 STRETCH, PIECE, KNOWN = 12 << 20, 2 << 20, 400_000
 
 
+#: Words that a tokenizer must encode alike alone and among others.
+PROBE = ("the", "Word", "of", "a1b2", "it's", "--", "\u00e9t\u00e9", "(x)", "the", "\u4e2d\u6587", "3.14", ".")
+
+
 @functools.cache
 def _tokenizer(path: str):
     import os
@@ -46,6 +51,10 @@ def _tokenizer(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
+    for gap in (" ", "\n", " \t"):
+        apart = [i for word in PROBE for i in t.encode(word, add_special_tokens=False).ids]
+        if t.encode(gap.join(PROBE), add_special_tokens=False).ids != apart:
+            raise ValueError(f"{path} doesn't encode words apart from each other")
     return t
 
 
