@@ -7,7 +7,8 @@ index. So each word of the corpus is worked out once. The words with their ids g
 memory and look the words of a stretch of text up in, comparing bytes. The text itself never shuffles, and a frequent word is one row a task.
 
 Nulls: a null text is an empty text and has no ids; a null key stays null. Repeated rows and ties
-give a row each. Other columns of the input are ignored.
+give a row each. An empty table gives no rows. Texts of any length are encoded whole, one beyond PIECE bytes by itself. Other columns
+of the input are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ components. No pair is dropped unseen and no group of copies is expanded into al
 
 Nulls: a null text is an empty text, its set is empty, it links with nothing; a null doc_id gives a row
 with a null component. Fewer words than the shingle: the whole sequence is the one shingle. Repeated rows
-and copies are one set. Other columns of the input are ignored.
+and copies are one set. An empty table gives no rows. Ties: a similarity of just the threshold links. Texts of any length are worked out whole,
+one beyond PIECE bytes by itself. Other columns of the input are ignored.
 """
 
 from __future__ import annotations

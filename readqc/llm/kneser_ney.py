@@ -13,7 +13,8 @@ one unknown word. Texts start after an end and close with one; as no word comes
 the first word of a text is judged by pairs. A model of order 2 stops at p(w|v), over counts of pairs.
 
 Nulls: a null text is an empty text (its end alone); a null doc_id stays null, is not learned from and counts as not held out. Repeated rows count and
-score each. Without training rows the model is uniform. Other columns of the input are ignored. More than 2 ** 32 distinct words, or triples whose
+score each. Without training rows the model is uniform; an empty table gives no rows. There are no ties: equal texts score alike. Texts of any length count
+and score whole, one beyond PIECE bytes by itself. Other columns of the input are ignored. More than 2 ** 32 distinct words, or triples whose
 numbers need over 64 bits, are an error.
 """
 
