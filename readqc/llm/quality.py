@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
         return {"n": np.array([len(y), y.sum()]), "x": x.sum(0), "xx": (x**2).sum(0)}
 
     first = _sums(rows, moments)
-    if first and first["n"][0] > limit:
+    if first and first["n"][0] > 1.1 * limit:  # more than the chance of a hash explains
         rows = thinned(rows, limit)
         first = _sums(rows, moments)
     if not first or not 0 < first["n"][1] < first["n"][0]:
