@@ -28,7 +28,7 @@ def length_counts(reads: DataFrame) -> DataFrame:
 
 def key_counts(reads: DataFrame, one_in: int = 1) -> DataFrame:
     """Counts of 50-base prefixes for one in so many keys."""
-    keys = reads.where("length(seq) > 0").select("file_id", expr.prefix(F.col("seq")).alias("seq"))
+    keys = expr.some(reads).select("file_id", expr.prefix(F.col("seq")).alias("seq"))
     kept = keys if one_in == 1 else keys.where(F.pmod(F.xxhash64("seq"), F.lit(one_in)) == 0)
     return kept.groupBy("file_id", "seq").agg(F.count("*").alias("n"))
 
