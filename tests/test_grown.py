@@ -27,7 +27,7 @@ def conditions(text):
 @pytest.mark.parametrize(
     ("query", "without"),
     [
-        ("base_content_long_125", QUALITIES), ("base_content_long_301", QUALITIES), 
+        ("base_content_long_125", QUALITIES), ("base_content_long_301", QUALITIES), ("base_content_grouped", QUALITIES), 
         ("prefix50", QUALITIES), ("position_cube", "regexp_replace"),
     ],
 )
