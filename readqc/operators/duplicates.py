@@ -64,15 +64,24 @@ def summary(hist: DataFrame) -> DataFrame:
     )
 
 
-def first_reads(some: DataFrame, limit: int) -> DataFrame:
-    """(file_id, seq, at) of the first `limit` rows a file by read_idx, which may have gaps; at counts them from 0. Rows are numbered within stretches of
-    indexes, so that no task holds all rows of a file."""
-    some = some.withColumn("stretch", F.floor(F.col("read_idx") / STRETCH))
-    sizes = some.groupBy("file_id", "stretch").agg(F.count("*").alias("here"))
+def _stretch():
+    return F.floor(F.col("read_idx") / STRETCH)
+
+
+def stretches(reads: DataFrame) -> DataFrame:
+    """(file_id, stretch, here): how many reads with bases each stretch of indexes holds; written, as it is asked several things."""
+    return written(expr.some(reads).groupBy("file_id", _stretch().alias("stretch")).agg(F.count("*").alias("here")), "stretches")
+
+
+def first_reads(reads: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """(file_id, seq, at) of the first `limit` reads with bases a file by read_idx, which may have gaps; at counts them from 0. Rows are numbered within stretches
+    of indexes, see `stretches`, so that no task holds all rows of a file. Bases of reads beyond the last stretch that any file needs are never asked for."""
     before = sizes.withColumn("before", F.sum("here").over(Window.partitionBy("file_id").orderBy("stretch")) - F.col("here")).where(F.col("before") < limit)
     # before: a row for each stretch that has any of the first reads
     within = F.row_number().over(Window.partitionBy("file_id", "stretch").orderBy("read_idx", "seq"))
-    rows = some.join(F.broadcast(before.drop("here")), ["file_id", "stretch"])
+    last = before.agg(F.max("stretch")).first()[0]
+    some = expr.some(reads.where(F.col("read_idx") < ((-1 if last is None else last) + 1) * STRETCH)).select("file_id", "read_idx", expr.prefix(F.col("seq")).alias("seq"))
+    rows = some.withColumn("stretch", _stretch()).join(F.broadcast(before.drop("here")), ["file_id", "stretch"])
     return rows.select("file_id", "seq", (F.col("before") + within - 1).alias("at")).where(F.col("at") < limit)
 
 
@@ -80,12 +89,12 @@ def seeds(reads: DataFrame, keys: int = SEED_KEYS, limit: int = SEED_READS) -> t
     """The keys of the original mode: those first seen among the first reads, until there are `keys` of them or `limit` reads; and for each
     file (file_id, count_at_limit), the reads that this took. No read is walked through in order: a key's first place is a
     minimum, and the cut-off the place of the keys-th smallest."""
-    some = reads.where("length(seq) > 0").select("file_id", "read_idx", expr.prefix(F.col("seq")).alias("seq"))
-    first = first_reads(some, limit).groupBy("file_id", "seq").agg(F.min("at").alias("at"))
+    sizes = stretches(reads)
+    first = first_reads(reads, sizes, limit).groupBy("file_id", "seq").agg(F.min("at").alias("at"))
     # of at most `limit` rows a file
-    order = first.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("at", "seq"))).where(F.col("k") <= keys)
+    order = written(first.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("at", "seq"))).where(F.col("k") <= keys), "order")
     last = order.groupBy("file_id").agg(F.max("at").alias("last"), F.count("*").alias("many"))
-    total = some.groupBy("file_id").agg(F.count("*").alias("n"))
+    total = sizes.groupBy("file_id").agg(F.sum("here").alias("n"))
     cut = total.join(last, "file_id").select("file_id", F.when(F.col("many") >= keys, F.col("last") + 1).otherwise(F.least(F.col("n"), F.lit(limit))).alias("count_at_limit"), F.col("n").alias("n_reads"))
     return order.select("file_id", "seq"), cut
 
@@ -94,7 +103,8 @@ def original_counts(reads: DataFrame, seeded: DataFrame) -> DataFrame:
     """Counts of the seeded keys over all reads. A read is dropped where it is read unless its key may be a seed, by the hashes of up to PROBES seeds, so what is
     exchanged are seeds and no other keys; with more seeds the keys of all reads are."""
     seeded = written(seeded, "seeds")
-    keys = reads.where("length(seq) > 0").select("file_id", expr.prefix(F.col("seq")).alias("seq"))
+    # reads with bases have a key; said so, as a join's own condition that it is not null would make it once more
+    keys = expr.some(reads).select("file_id", F.coalesce(expr.prefix(F.col("seq")), F.lit("")).alias("seq"))
     if seeded.count() <= PROBES:
         hashes = seeded.select("file_id", F.xxhash64("seq").alias("h"))
         keys = keys.withColumn("h", F.xxhash64("seq")).join(F.broadcast(hashes), ["file_id", "h"], "left_semi").drop("h")  # at most PROBES rows, which was counted

@@ -28,7 +28,7 @@ def conditions(text):
     ("query", "without"),
     [
         ("base_content_long_125", QUALITIES), ("base_content_long_301", QUALITIES), ("base_content_grouped", QUALITIES), 
-        ("prefix50", QUALITIES), ("position_cube", "regexp_replace"),
+        ("orig_dups_few_seeds", QUALITIES), ("prefix50", QUALITIES), ("position_cube", "regexp_replace"),
     ],
 )
 def test_reads_are_made_once(spark, query, without):
@@ -68,3 +68,15 @@ def test_one_kernel_a_query(spark, query):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("MapInArrow") == 1, final
+
+
+def test_seeds_ask_for_the_first_reads_only(spark, monkeypatch):
+    """Reads beyond the last stretch that holds a first read are dropped by their index before they are made."""
+    seen = []
+    keep = duplicates.written
+    monkeypatch.setattr(duplicates, "written", lambda df, what: seen.append((what, plan(df))) or keep(df, what))
+    monkeypatch.setattr(duplicates, "STRETCH", 512)
+    seeded, cut = duplicates.seeds(derived.reads(spark, TABLES), 50, 300)
+    assert [what for what, _ in seen] == ["stretches", "order"] and "md5" not in seen[0][1]
+    assert any("l_orderkey" in c and " < " in c for c in conditions(seen[1][1])) and not [c for c in conditions(seen[1][1]) if "md5" in c]
+    assert "md5" not in plan(cut) and seeded.count() == 50
