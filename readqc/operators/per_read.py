@@ -39,7 +39,7 @@ def length_summary(hist: DataFrame) -> DataFrame:
 def gc_by_length(reads: DataFrame) -> DataFrame:
     """(file_id, len_bin, gc_bin, n) of reads with bases."""
     length, gc = expr.gc_bin(F.col("seq"))
-    return reads.where("length(seq) > 0").groupBy("file_id", length.alias("len_bin"), gc.alias("gc_bin")).agg(F.count("*").alias("n"))
+    return expr.some(reads).groupBy("file_id", length.alias("len_bin"), gc.alias("gc_bin")).agg(F.count("*").alias("n"))
 
 
 def gc_combined(hist: DataFrame) -> DataFrame:
