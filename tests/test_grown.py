@@ -27,7 +27,7 @@ def conditions(text):
 @pytest.mark.parametrize(
     ("query", "without"),
     [
-        ("base_content_long_125", QUALITIES), ("base_content_long_301", QUALITIES), ("base_content_grouped", QUALITIES), ("gc_hist_by_len_long_301", "regexp_replace"), ("qual_pos_quantiles", BASES), 
+        ("base_content_long_125", QUALITIES), ("base_content_long_301", QUALITIES), ("base_content_grouped", QUALITIES), ("gc_hist_by_len_long_301", "regexp_replace"), ("qual_pos_quantiles", BASES), ("qual_pos_mean", BASES),
         ("orig_dups_few_seeds", QUALITIES), ("prefix50", QUALITIES), ("position_cube", "regexp_replace"),
     ],
 )
