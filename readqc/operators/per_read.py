@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,24 +57,37 @@ def gc_combined(hist: DataFrame) -> DataFrame:
 
 def mean_quality(reads: DataFrame) -> DataFrame:
     """(file_id, q, n): the floor of the mean quality character of each read with qualities. Counted by the batch."""
+    return qualities(reads).where("n > 0").select("file_id", "q", "n")
+
+
+def qualities(reads: DataFrame) -> DataFrame:
+    """(file_id, q, n, chars): for each character of how many reads with qualities it is the floor of the mean, and how often it stands in reads that have as many
+    qualities as bases. By one scan, which does not read the bases where reads have their lengths as `bases`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}  # 2 x 256 counts a file
         for batch in batches:
             if not batch.num_rows:
                 continue
             file_id = batch.column(0).to_numpy()
             data, at = _flat(batch.column(1))
+            size = np.diff(at)
             sums = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
-            mean = (sums[at[1:]] - sums[at[:-1]]) // np.diff(at)
+            mean = (sums[at[1:]] - sums[at[:-1]]) // np.maximum(size, 1)
+            whole = size == pc.fill_null(batch.column(2), 0).to_numpy()
             for f in np.unique(file_id).tolist():
-                total[f] = total.get(f, np.zeros(256, np.int64)) + np.bincount(mean[file_id == f], minlength=256)
-        for f, hist in total.items():
-            q = np.flatnonzero(hist)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), f), pa.int32()), pa.array(q, pa.int32()), pa.array(hist[q])], ["file_id", "q", "n"])
-
-    partial = reads.where("length(qual) > 0").select("file_id", "qual").mapInArrow(run, "file_id int, q int, n long")
-    return partial.groupBy("file_id", "q").agg(F.sum("n").alias("n"))
+                own = file_id == f
+                counts = total.setdefault(f, np.zeros((2, 256), np.int64))
+                counts[0] += np.bincount(mean[own & (size > 0)], minlength=256)
+                own &= whole
+                counts[1] += np.bincount(data if own.all() else data[np.repeat(own, size)], minlength=256)
+        for f, counts in total.items():
+            q = np.flatnonzero(counts.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), f), pa.int32()), pa.array(q, pa.int32()), *map(pa.array, counts[:, q])], ["file_id", "q", "n", "chars"])
+
+    length = F.col("bases") if "bases" in reads.columns else F.octet_length("seq")
+    partial = reads.select("file_id", "qual", length.cast("long").alias("bases")).mapInArrow(run, "file_id int, q int, n long, chars long")
+    return partial.groupBy("file_id", "q").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
 
 
 def quality_by_read(reads: DataFrame, encodings: DataFrame) -> DataFrame:
