@@ -35,7 +35,7 @@ def sampled(reads: DataFrame, every: int, index: str = "read_idx") -> DataFrame:
 
 def key_counts(reads: DataFrame, every: int = 1) -> DataFrame:
     """(file_id, seq, n) of the first 50 bases of reads. Partial counts come before the exchange, so one frequent key is one row a task."""
-    some = sampled(reads.where("length(seq) > 0"), every)
+    some = expr.some(sampled(reads, every))
     return some.groupBy("file_id", expr.prefix(F.col("seq")).alias("seq")).agg(F.count("*").alias("n"))
 
 

@@ -28,7 +28,7 @@ def conditions(text):
     ("query", "without"),
     [
         ("base_content_long_125", QUALITIES), ("base_content_long_301", QUALITIES), ("base_content_grouped", QUALITIES), ("gc_hist_by_len_long_301", "regexp_replace"), ("qual_pos_quantiles", BASES), ("qual_pos_mean", BASES),
-        ("orig_dups_few_seeds", QUALITIES), ("prefix50", QUALITIES), ("position_cube", "regexp_replace"),
+        ("contaminant_match", QUALITIES), ("orig_dups_few_seeds", QUALITIES), ("prefix50", QUALITIES), ("position_cube", "regexp_replace"),
     ],
 )
 def test_reads_are_made_once(spark, query, without):
