@@ -28,7 +28,7 @@ def conditions(text):
     ("query", "without"),
     [
         ("base_content_long_125", QUALITIES), ("base_content_long_301", QUALITIES), ("base_content_grouped", QUALITIES), ("gc_hist_by_len_long_301", "regexp_replace"), ("qual_pos_quantiles", BASES), ("qual_pos_mean", BASES),
-        ("contaminant_match", QUALITIES), ("orig_dups_few_seeds", QUALITIES), ("prefix50", QUALITIES), ("position_cube", "regexp_replace"),
+        ("kmer_counts", QUALITIES), ("contaminant_match", QUALITIES), ("orig_dups_few_seeds", QUALITIES), ("prefix50", QUALITIES), ("position_cube", "regexp_replace"),
     ],
 )
 def test_reads_are_made_once(spark, query, without):
@@ -70,6 +70,20 @@ def test_one_kernel_a_query(spark, query):
     assert final.count("MapInArrow") == 1, final
 
 
+def test_places_of_kmers_are_bounded(monkeypatch):
+    """What a task holds of k-mers follows the places, not the reads."""
+    monkeypatch.setattr(fused, "MERGE", 10_000)
+    r, own, every = np.random.default_rng(1), fused._Places(), []
+    most = 20 * 4**fused.K
+    for _ in range(60):
+        every.append(r.integers(4**fused.K, most, 3_000))
+        own.add(every[-1])
+        assert own.dense.nbytes + sum(x.nbytes for x in own.waiting) <= 8 * most + 4 * 13_000
+    keys, n = (np.concatenate(x) for x in zip(*own.items(), strict=True))
+    want = np.unique(np.concatenate(every), return_counts=True)
+    assert (keys == want[0]).all() and (n == want[1]).all()
+
+
 def test_seeds_ask_for_the_first_reads_only(spark, monkeypatch):
     """Reads beyond the last stretch that holds a first read are dropped by their index before they are made."""
     seen = []
