@@ -70,6 +70,16 @@ def test_one_kernel_a_query(spark, query):
     assert final.count("MapInArrow") == 1, final
 
 
+def test_lengths_and_kmers_need_few_reads(spark):
+    """Of reads that are not taken for k-mers only the length is asked for."""
+    df = files(spark)
+    counts = fused.count(df, None, [fused.LENGTH, fused.KMER], kmers=3)
+    assert rows(fused.part(counts, fused.LENGTH)) == rows(per_read.lengths(df))
+    assert rows(fused.part(counts, fused.KMER)) == rows(fused.part(fused.count(df, None, [fused.KMER], kmers=3), fused.KMER))
+    text = plan(Analysis(derived.reads(spark, TABLES), RunMode(enabled=frozenset(["kmer"])))._count(frozenset([fused.LENGTH, fused.KMER])))
+    assert text.count(BASES) and not [c for c in conditions(text) if "md5" in c] and QUALITIES not in text
+
+
 def test_places_of_kmers_are_bounded(monkeypatch):
     """What a task holds of k-mers follows the places, not the reads."""
     monkeypatch.setattr(fused, "MERGE", 10_000)
