@@ -30,15 +30,20 @@ def _open(links: DataFrame) -> bool:
     return ends.agg(F.max((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1)))).first()[0] or False
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tasks: int | None = None) -> DataFrame:
     """(id, component) of every end of the links (u, v): component is the least id that links reach. Ends must not be
-    null. A link of an id with itself makes it a component of its own; repeated links count once. links is read once."""
+    null. A link of an id with itself makes it a component of its own; repeated links count once. links is read once. tasks: how many write the links of a
+    round at most; all of the exchange, if not given."""
+
+    def kept(df: DataFrame) -> DataFrame:
+        return written(df.coalesce(tasks) if tasks else df, "links")
+
     # every link as (larger, smaller)
-    given = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    given = kept(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     ids, now = given.select(F.explode(F.array("u", "v")).alias("id")).distinct(), given.where("u <> v")
     while _open(now):
         both = _both(now, ("u", "v"), ("v", "u"))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = written(_both(large.join(_least(large), "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct(), "links")
+        now = kept(_both(large.join(_least(large), "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct())
         release(links.sparkSession)
     return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from readqc.llm import textkernel as K
 from readqc.llm.components import components
 from readqc.llm.fixed import summed
-from readqc.llm.shared import arrow, partitions, release, texts, written
+from readqc.llm.shared import arrow, few_tasks, partitions, release, texts, written
 
 #: Words of a shingle; similarity in hundredths; rounds of stars at most, hubs in the first one and in each of the others.
 WIDTH, PERCENT, STARS, FIRST_HUBS, HUBS = 5, 75, 3, 4, 16
@@ -338,7 +338,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
     spark = docs.sparkSession
     arrow(spark)
     docs = texts(docs, key)
-    buckets = partitions(docs)
+    buckets, few = partitions(docs), few_tasks(docs)
     levels = spark.sparkContext.broadcast(sketch(docs, width, slots or sketch_slots(docs)))
     made = written(signatures(docs, levels, width, percent, buckets, hot), "signatures")
     rows = made.where("n IS NOT NULL").select("doc_id", "n", "prefix", "node")
@@ -358,19 +358,19 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
         """Of (u, v) those that link, by the whole sets."""
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         # dealt out by node once, for both joins, which read the one exchange: kept in memory, the sets would fill the executors
-        wanted = written(members.join(ends, "node", "left_semi").select("rep"), "wanted")
+        wanted = written(members.join(ends, "node", "left_semi").select("rep").coalesce(few), "wanted")
         whole = candidate_sets(docs, wanted, levels, width).repartition(buckets, "node")
         a, b = whole.select(F.col("node").alias("u"), F.col("s").alias("su")), whole.select(F.col("node").alias("v"), F.col("s").alias("sv"))
         both = F.size(F.array_intersect("su", "sv"))
         found = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("t")).where(F.expr(f"100L * i >= {percent}L * (t - i)")).select("u", "v")
-        found = written(found, "found")
+        found = written(found.coalesce(few), "found")
         release(spark)
         return found
 
     def merged(labels, found):
         # what links joins components, so it is their links that are followed
-        ends = components(named(found, labels).select(F.col("c1").alias("u"), F.col("c2").alias("v"))).toDF("component", "root")
-        return written(labels.join(ends, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        ends = components(named(found, labels).select(F.col("c1").alias("u"), F.col("c2").alias("v")), few).toDF("component", "root")
+        return written(labels.join(ends, "component", "left").select("node", F.coalesce("root", "component").alias("component")).coalesce(few), "labels")
 
     def named(pairs, labels):
         return pairs.join(labels.toDF("u", "c1"), "u").join(labels.toDF("v", "c2"), "v").where("c1 <> c2")
@@ -381,7 +381,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
     turn = 0
     while turn <= STARS:
         # a group may hold members of several components: each such part is a unit, named by its least member
-        units = written((members.join(labels, "node") if turn else members.withColumn("component", alone)).groupBy(*group, "component").agg(F.min("node").alias("first"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")), "units")
+        units = written((members.join(labels, "node") if turn else members.withColumn("component", alone)).groupBy(*group, "component").agg(F.min("node").alias("first"), F.min_by("fold", "node").alias("fold"), F.count("*").alias("size")).coalesce(few), "units")
         # a shingle's bucket holds each unit with its first member's outline; in the last round, where all members are asked for, if it is the only one
         outline = F.col("fold") if turn < STARS else F.when(F.col("size") == 1, F.col("fold"))
         base = posted.join(units.select(*group, "component", "first", outline.alias("fold")), group)
@@ -415,13 +415,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slots: int
             across = near.select("p1", "n1", "c1", "p2", "n2", "c2").distinct().join(left, ["p1", "n1", "c1"]).join(right, ["p2", "n2", "c2"]).select("u", "v")
             within = left.join(right, (F.col("p1") == F.col("p2")) & (F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2"))).select("u", "v")
             pairs = across.unionByName(within)
-        likely = written(likely_pairs(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), members, percent), "likely")
+        likely = written(likely_pairs(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), members, percent).coalesce(few), "likely")
         release(spark)
         if turn == STARS:  # of two components first the likeliest pair, which mostly merges them; then every pair of those that are still apart
             pair = F.struct("u", "v")
             best = named(likely, labels).groupBy(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).agg(F.max_by(pair, F.struct("margin", "u", "v")).alias("best"))
-            labels = merged(labels, verified(written(best.select("best.*"), "best")))
-            likely = written(named(likely, labels).select("u", "v"), "rest")
+            labels = merged(labels, verified(written(best.select("best.*").coalesce(few), "best")))
+            likely = written(named(likely, labels).select("u", "v").coalesce(few), "rest")
         found = verified(likely.select("u", "v"))
         turn = turn + 1 if turn == STARS or found.take(1) else STARS  # a round that finds nothing is the last of the stars
         labels = merged(labels, found)

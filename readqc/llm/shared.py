@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from readqc.shared import new_folder, written
 
-__all__ = ["arrow", "new_folder", "partitions", "release", "texts", "thinned", "written"]
+__all__ = ["arrow", "few_tasks", "new_folder", "partitions", "release", "texts", "thinned", "written"]
 
 #: Rows and bytes of an Arrow batch: the bytes bound it where texts are long.
 BATCH_ROWS, BATCH_BYTES = 500, "8m"
@@ -29,6 +29,12 @@ def arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def few_tasks(docs: DataFrame) -> int:
+    """By how many tasks at most small results of an exchange are written: some for each core, and as many more as the splits of the input, so that a task's share
+    does not grow. Each file that a task writes starts processes of the executor on local file systems, each of which counts as one more of its size for a moment."""
+    return max(4 * docs.sparkSession.sparkContext.defaultParallelism, partitions(docs) // 16)
+
+
 def thinned(rows: DataFrame, limit: int) -> DataFrame:
     """Of rows to learn from each different one once, and `limit` of them at most in expectation, by a hash of all columns: a row
     that comes any number of times can't fill the bound."""

@@ -104,3 +104,17 @@ def test_seeds_ask_for_the_first_reads_only(spark, monkeypatch):
     assert [what for what, _ in seen] == ["stretches", "order"] and "md5" not in seen[0][1]
     assert any("l_orderkey" in c and " < " in c for c in conditions(seen[1][1])) and not [c for c in conditions(seen[1][1]) if "md5" in c]
     assert "md5" not in plan(cut) and seeded.count() == 50
+
+
+def test_small_results_of_the_join_are_few_files(spark, monkeypatch):
+    """Links and labels are written by a bounded number of tasks, however many partitions an exchange has; the result is the same."""
+    from readqc.llm import components as c
+    from readqc.llm import jaccard_join, shared
+
+    seen, keep = [], c.written
+    monkeypatch.setattr(c, "written", lambda df, what: seen.append(df) or keep(df, what))
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 3)], "u long, v long").repartition(40, "u")
+    got = {r.id: r.component for r in c.components(links, 3).collect()}
+    assert got == {i + k: i for i in range(0, 60, 3) for k in (0, 1)}
+    assert seen and all("Repartition 3, false" in plan(df) for df in seen)
+    assert jaccard_join.few_tasks is shared.few_tasks and shared.few_tasks(spark.range(9)) >= 4
