@@ -61,6 +61,22 @@ def test_sides_of_the_cube(spark):
     assert rows(both.where("chars > 0").selectExpr("file_id", "q", "chars AS n")) == rows(whole.where("q IS NOT NULL").groupBy("file_id", "q").sum("n").withColumnRenamed("sum(n)", "n"))
 
 
+@pytest.mark.parametrize(("name", "column"), [("of_bases", "seq"), ("of_qualities", "qual")])
+def test_sides_are_counted_by_pieces(spark, monkeypatch, name, column):
+    """What is worked out of a batch at once is bounded, a longer read by itself, and the counts are the same."""
+    df = files(spark, parts=1)
+    tables, seen, sizes, keep, add = [], [], [], type(df).mapInArrow, cube._Counter.add
+    monkeypatch.setattr(type(df), "mapInArrow", lambda own, f, schema: seen.append((own, f)) or keep(own, f, schema))
+    want = rows(getattr(cube, name)(df))
+    monkeypatch.setattr(cube._Counter, "add", lambda own, keys: sizes.append(len(keys)) or add(own, keys))
+    monkeypatch.setattr(cube, "PIECE", 40, raising=False)
+    ((own, run),) = seen
+    for batch in run(iter(own.toArrow().to_batches())):
+        tables += batch.to_pylist()
+    assert rows(spark.createDataFrame(tables)) == want
+    assert max(sizes) == df.selectExpr(f"max(length({column}))").first()[0] > 40 and len(sizes) > 100
+
+
 @pytest.mark.parametrize("query", ["qual_pos_quantiles", "qual_pos_mean", "base_content_long_125"])
 def test_one_kernel_a_query(spark, query):
     """The encoding and the longest read come from the exchange that the counts come from."""
