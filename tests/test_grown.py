@@ -77,6 +77,15 @@ def test_sides_are_counted_by_pieces(spark, monkeypatch, name, column):
     assert max(sizes) == df.selectExpr(f"max(length({column}))").first()[0] > 40 and len(sizes) > 100
 
 
+@pytest.mark.parametrize("query", ["base_content_long_301", "base_content_grouped"])
+def test_grouped_bases_come_from_one_kernel(spark, query):
+    """The longest read comes from the exchange that the counts come from, in groups of either size."""
+    df = QUERIES[query](spark, TABLES)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("MapInArrow") == 1, final
+
+
 @pytest.mark.parametrize("query", ["qual_pos_quantiles", "qual_pos_mean", "base_content_long_125"])
 def test_one_kernel_a_query(spark, query):
     """The encoding and the longest read come from the exchange that the counts come from."""
