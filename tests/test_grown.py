@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readqc import derived
 from readqc.operators import cube, duplicates, fused, per_read, positions
@@ -47,6 +48,44 @@ def test_lengths_of_derived_reads(spark, tmp_path):
     assert [r.asDict() for r in odd.where("NOT bases <=> length(seq)").collect()] == []
 
 
+def odd_lines(spark, path):
+    """A lineitem table of odd numbers: none, negative, and beyond those of the table."""
+    rows = [(o, p, 3, n, q) for o in (1, 2, 99, 997, -4) for p in (5, -5, None) for n in (1, 2, 3, 7, None) for q in (-60.0, -46.0, -5.0, 0.0, 5.0, 33.0, 50.0, 55.0, 75.0, 130.0, None)]
+    spark.createDataFrame([(None, *r[1:]) if i % 7 == 0 else r for i, r in enumerate(rows)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_reads_of_digits_are_those_of_the_contract(spark, tmp_path):
+    """Reads that are cut as digits and translated afterwards are those of the SQL as Spark evaluates it, also of odd lines, and as DuckDB does, whose concat skips nulls."""
+    import duckdb
+
+    columns = ["read_idx", "name", "seq", "qual"]
+    for folder in (TABLES, odd_lines(spark, tmp_path)):
+        got = derived.reads(spark, folder).select(columns)
+        if folder == TABLES:
+            want = duckdb.sql(derived.duckdb_sql(f"'{folder}/lineitem.parquet'")).select(*columns).fetchall()
+        else:
+            want = spark.sql(derived.duckdb_sql("{lines}").replace("VARCHAR", "STRING"), lines=spark.read.parquet(f"{folder}/lineitem.parquet")).select(columns).collect()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want)))
+        digits = derived.reads(spark, folder, digits=True)
+        assert digits.where("seq RLIKE '[^0-9a-f]'").count() == 0
+        assert rows(cube.of_bases(digits, derived.DIGITS)) == rows(cube.of_bases(derived.reads(spark, folder)))
+
+
+@pytest.mark.parametrize("query", ["base_content", "n_content", "base_content_grouped", "base_content_long_125", "base_content_long_301"])
+def test_reads_to_count_bases_of_are_not_translated(spark, query):
+    """Letters are looked up where they are counted: Spark's translation of each letter took most of the time that reads took."""
+    assert "translate(" not in plan(QUERIES[query](spark, TABLES))
+
+
+def test_letters_that_stand_for_bases(spark):
+    df = files(spark)
+    there, back = "ACGTNacgtn", "0123456789"
+    coded = df.withColumn("seq", F.translate("seq", there, back))
+    assert rows(cube.of_bases(coded, (back, there))) == rows(cube.of_bases(df))
+    assert {r.base for r in cube.of_bases(df, ("A", "C")).collect()} <= {"C", "N"}
+
+
 def rows(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
